@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 ARROW = {T.StringType: pa.string, T.LongType: pa.int64, T.IntegerType: pa.int32, T.DoubleType: pa.float64, T.BooleanType: pa.bool_, T.BinaryType: pa.binary}
 
 
+def arrow_type(t: T.DataType) -> pa.DataType:
+    return pa.list_(arrow_type(t.elementType)) if isinstance(t, T.ArrayType) else ARROW[type(t)]()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
@@ -53,16 +57,17 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list], dict]], fields:
     dict of column lists.  Arrow batches are cut to ``rows`` rows, so memory follows the
     longest texts of one slice, not the partition.
     """
-    src = df.select(*keep, F.col(value).alias("__value"))
+    src = df.select(*keep) if value in keep else df.select(*keep, F.col(value).alias("__value"))
+    place = keep.index(value) if value in keep else len(keep)
     schema = T.StructType([*(src.schema[c] for c in keep), *fields])
-    added = [(x.name, ARROW[type(x.dataType)]()) for x in fields]
+    added = [(x.name, arrow_type(x.dataType)) for x in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                got = f(part.column(len(keep)).to_pylist())
+                got = f(part.column(place).to_pylist())
                 cols = [*part.columns[: len(keep)], *(pa.array(got[n], type=t) for n, t in added)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, *(n for n, _ in added)])
 

@@ -200,6 +200,6 @@ def identify(docs: DataFrame, held_out: int = 5, id_col: str = "doc_id", text_co
     def make():
         return lambda texts: dict(zip(("lang_pred", "score"), label(texts, langs, w), strict=True))
 
-    src = docs.withColumn("held_out", F.coalesce(remainder(id_col, held_out) == 0, F.lit(False))).withColumn("__text", F.col(text_col))
+    src = docs.withColumn("held_out", F.coalesce(remainder(id_col, held_out) == 0, F.lit(False)))
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return map_rows(src, make, fields, [*dict.fromkeys([id_col, "held_out", *(also or [])])], "__text", 256)
+    return map_rows(src, make, fields, [*dict.fromkeys([id_col, "held_out", *(also or [])])], text_col, 256)

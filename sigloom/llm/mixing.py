@@ -62,7 +62,11 @@ def token_count(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
 
 
-def mix(docs: DataFrame, repetitions: float = REPETITIONS, target_entropy: float | None = None, budget: float | None = None, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42) -> DataFrame:
+def _salt(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
+def mix(docs: DataFrame, repetitions: float = REPETITIONS, target_entropy: float | None = None, budget: float | None = None, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42, with_salt: bool = False) -> DataFrame:
     """(id, source, tokens, weight, epoch, block, position): one row for each time a document is taken.
 
     ``position`` is the hash order inside the epoch's block, ``block`` the hash order of the block;
@@ -71,7 +75,7 @@ def mix(docs: DataFrame, repetitions: float = REPETITIONS, target_entropy: float
     that crosses the end of its source's budget is taken; none behind it is.  Rows that repeat an id
     are documents of their own, in any order among themselves.  An empty table gives an empty result.
     """
-    rows = stored(docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), token_count(F.col(text_col)).alias("__tokens"), F.xxhash64(F.col(id_col), F.length(text_col)).alias("__salt")), "tokens")
+    rows = stored(docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), token_count(F.col(text_col)).alias("__tokens"), _salt(id_col, text_col).alias("__salt")), "tokens")
     sums = {r[0]: (float(r[1]), int(r[2])) for r in rows.groupBy("__source").agg(F.sum("__tokens"), F.count("*")).collect()}  # a row a source
     tokens = {k: v[0] for k, v in sums.items() if v[0] > 0}
     exponent = fit_exponent(tokens, repetitions, target_entropy, budget) if tokens else 1.0
@@ -105,4 +109,14 @@ def mix(docs: DataFrame, repetitions: float = REPETITIONS, target_entropy: float
     ahead = F.coalesce(F.sum("__tokens").over(Window.partitionBy("__source", "epoch", "group").orderBy("position", "__id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = cut.withColumn("__ahead", F.col("before") + ahead).where("__ahead < __quota").drop("__ahead")
     kept = both.where("state = 'all'").unionByName(cut)
-    return kept.select(F.col("__id").alias(id_col), F.col("__source").alias(source_col), F.col("__tokens").alias("tokens"), "weight", "epoch", "block", "position")
+    return kept.select(F.col("__id").alias(id_col), F.col("__source").alias(source_col), F.col("__tokens").alias("tokens"), "weight", "epoch", "block", "position", *(["__salt"] if with_salt else []))
+
+
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The columns of ``docs`` and epoch, block, position, weight: a row for each time a document is taken."""
+    plan = mix(docs, id_col=id_col, text_col=text_col, with_salt=True, **options)
+    # Rows that repeat id and text have the same place in the plan.
+    plan = plan.groupBy(F.col(id_col).alias("__id"), F.col("__salt").alias("__s"), "epoch").agg(F.min("block").alias("block"), F.min("position").alias("position"), F.min("weight").alias("weight"))
+    columns = [c for c in docs.columns if c not in ("epoch", "block", "position", "weight")]
+    salted = docs.select(*columns).withColumn("__salt", _salt(id_col, text_col))
+    return salted.join(plan, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__salt") == F.col("__s"))).select(*columns, "epoch", "block", "position", "weight")

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from re import _constants as op, _parser as parser
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 from sigloom.llm.common import map_rows
 
@@ -191,7 +191,7 @@ def secret_spans(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col:
         return run
 
     fields = [*(T.StructField("n_" + k, T.LongType()) for k in base), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
-    return map_rows(docs.withColumn("__text", F.col(text_col)), make, fields, [id_col, *(also or [])], "__text", 256)
+    return map_rows(docs, make, fields, [id_col, *(also or [])], text_col, 256)
 
 
 def redacted(docs: DataFrame, rules=RULES, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:

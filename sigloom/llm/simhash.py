@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sigloom.llm.common import map_rows, stored
 from sigloom.llm.components import components
@@ -59,19 +59,20 @@ def _high(c: Column) -> Column:
 
 
 def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
-    """Pairs (a, b) of different fingerprints that differ in at most ``radius`` (0 to 2) bits."""
-    if not 0 <= radius <= 2:
-        raise ValueError("two segments with balls of radius one cover at most two bits")
+    """Pairs (a, b) of different fingerprints that differ in at most ``radius`` (0 to 3) bits."""
+    if not 0 <= radius <= 3:
+        raise ValueError("two segments with balls of radius one cover at most three bits")
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-    table = distinct.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("seg"), _high(F.col("fp")).alias("key")), F.struct(F.lit(1).alias("seg"), low.alias("key")))).alias("x")).select("fp", "x.seg", "x.key")
-    bits = F.sequence(F.lit(0), F.lit(31))
-    high = _high(F.col("fp"))
-    flips = F.filter(F.transform(bits, lambda b: high.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))), lambda x: x != high)
-    ball = distinct.select("fp", F.lit(0).alias("seg"), F.explode(flips).alias("key")).select("fp", "seg", "key", F.lit(True).alias("flipped"))
-    probe = table.withColumn("flipped", F.lit(False)).unionByName(ball).withColumnRenamed("fp", "a")
-    hits = probe.join(table.withColumnRenamed("fp", "b"), ["seg", "key"])
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    return hits.where(near & (F.col("a") != F.col("b")) & (F.col("flipped") | (F.col("a") < F.col("b")))).select("a", "b")
+    segments = [_high(F.col("fp")), low]
+    table = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), x.alias("key")) for i, x in enumerate(segments)])).alias("x")).select("fp", "x.seg", "x.key")
+    probe = table.withColumn("flipped", F.lit(False))
+    # Up to one bit: no ball is needed, a segment is equal.  Two: a ball around the high one.  Three: around both.
+    for i, x in enumerate(segments[: max(0, radius - 1)]):
+        near = F.filter(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b, x=x: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))), lambda y, x=x: y != x)
+        probe = probe.unionByName(distinct.select("fp", F.lit(i).alias("seg"), F.explode(near).alias("key"), F.lit(True).alias("flipped")))
+    hits = probe.withColumnRenamed("fp", "a").join(table.withColumnRenamed("fp", "b"), ["seg", "key"])
+    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
+    return hits.where(close & (F.col("a") != F.col("b")) & (F.col("flipped") | (F.col("a") < F.col("b")))).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,14 +85,31 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: st
     is one node.
     """
     prints = stored(fingerprints(docs, width, id_col, text_col), "fingerprints")
+    return prints.join(_components(prints, radius, id_col), "fp").select(id_col, "fp", "component_id")
+
+
+def _components(prints: DataFrame, radius: int, id_col: str) -> DataFrame:
+    """(fp, component_id) for a stored table with columns ``id_col`` and fp."""
     nodes = stored(prints.groupBy("fp").agg(F.min(id_col).alias("root")), "nodes")
     edges = links(nodes.select("fp"), radius)
     # Nodes are numbered by their smallest id, so the least node of a component is its answer.
     roots = nodes.where("root IS NOT NULL")
     named = edges.join(roots.select(F.col("fp").alias("a"), F.col("root").alias("u")), "a").join(roots.select(F.col("fp").alias("b"), F.col("root").alias("v")), "b").select("u", "v")
     comp = components(named)
-    of = nodes.join(comp, nodes.root == comp.node, "left").select("fp", F.coalesce("component", "root").alias("component_id"))
-    return prints.join(of, "fp").select(id_col, "fp", "component_id")
+    return nodes.join(comp, nodes.root == comp.node, "left").select("fp", F.coalesce("component", "root").alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, width: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of its smallest id (a null id only where no other is)."""
+    columns = docs.columns
+    rows = stored(map_rows(docs, lambda: lambda texts: {"__fp": [fingerprint(None if x is None else x.encode("utf-8"), width) for x in texts]}, [T.StructField("__fp", T.LongType())], columns, text_col), "printed")
+    prints = rows.select(F.col(id_col).alias("id"), F.col("__fp").alias("fp"))
+    named = prints.join(_components(prints, radius, "id"), "fp")
+    first = named.groupBy(F.coalesce("component_id", "fp").alias("c"), F.col("component_id").isNull().alias("z")).agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "fp")).alias("x"))
+    kept = first.select(F.col("x.id").alias("__id"), F.col("x.fp").alias("__kept"))
+    joined = rows.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__kept")))
+    once = Window.partitionBy("__id", "__kept").orderBy(F.xxhash64(text_col))
+    return joined.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*columns)
 
 
 def hex_print(c: Column) -> Column:
