@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sigloom.llm import decontaminate, langid, licenses, mixing, quality, secrets, simhash, topk, warc
+from sigloom.llm import decontaminate, langid, licenses, mixing, quality, secrets, simhash, suffix_dedup, topk, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -17,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(_docs(spark, sf_dir, "doc_id", "text")).drop("kept")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_docs(spark, sf_dir, "doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
@@ -57,6 +61,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op3_licenses": op3_licenses,
     "op4_quality": op4_quality,
