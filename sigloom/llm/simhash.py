@@ -58,6 +58,12 @@ def _high(c: Column) -> Column:
     return F.shiftrightunsigned(c, 32)
 
 
+def _flipped_up(x: Column) -> Column:
+    """The segment with one of its zeros set, for each of them."""
+    ones = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)))
+    return F.filter(ones, lambda y: y != x)
+
+
 def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     """Pairs (a, b) of different fingerprints that differ in at most ``radius`` (0 to 3) bits."""
     if not 0 <= radius <= 3:
@@ -68,8 +74,7 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     probe = table.withColumn("flipped", F.lit(False))
     # Up to one bit: no ball is needed, a segment is equal.  Two: a ball around the high one.  Three: around both.
     for i, x in enumerate(segments[: max(0, radius - 1)]):
-        near = F.filter(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b, x=x: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))), lambda y, x=x: y != x)
-        probe = probe.unionByName(distinct.select("fp", F.lit(i).alias("seg"), F.explode(near).alias("key"), F.lit(True).alias("flipped")))
+        probe = probe.unionByName(distinct.select("fp", F.lit(i).alias("seg"), F.explode(_flipped_up(x)).alias("key"), F.lit(True).alias("flipped")))
     hits = probe.withColumnRenamed("fp", "a").join(table.withColumnRenamed("fp", "b"), ["seg", "key"])
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     return hits.where(close & (F.col("a") != F.col("b")) & (F.col("flipped") | (F.col("a") < F.col("b")))).select("a", "b")

@@ -46,9 +46,11 @@ def test_links_lose_no_pair(spark):
     base = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 40)]
     near = {b ^ ((1 << int(i)) | (1 << int(j))) if max(i, j) < 63 else b for b in base for i, j in rng.integers(0, 64, (12, 2))}
     fps = sorted({*base, *near, 0, -1})
-    got = {tuple(sorted((r.a, r.b))) for r in simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long")).collect()}
-    want = {(a, b) for a, b in itertools.combinations(fps, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
-    assert got == want and len(want) > 300
+    table = spark.createDataFrame([(x,) for x in fps], "fp long")
+    for radius in range(4):
+        got = {tuple(sorted((r.a, r.b))) for r in simhash.links(table, radius).collect()}
+        want = {(a, b) for a, b in itertools.combinations(fps, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= radius}
+        assert got == want and len(want) > (0, 0, 300, 600)[radius] - 1
 
 
 def test_simhash_of_nothing_and_repeated_rows(spark):
