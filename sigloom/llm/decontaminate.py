@@ -26,8 +26,10 @@ BLOCK_ITEMS = 2000
 ITEM_WORDS = 2000  # an item's LCS is taken in pieces of so many words
 STEP = 16  # words a block
 WINDOW = 48  # words a passage
-RANK = 96
-COSINE = 0.4
+RANK = 256
+COSINE = 0.3
+COMMON = 0.1  # share of documents from which a word is too common for the latent space
+FEW_WORDS = 4  # a passage with fewer other words keeps its common ones
 COPIED = 0.8  # share of an item's words in order: a copy
 PARAPHRASED = 0.6  # so much is enough if the answer is there
 ANSWER = 0.5
@@ -99,10 +101,17 @@ class Latent:
 
     def fit(self, spark, counts: np.ndarray, rank: int = RANK, power: int = 2, seed: int = 11) -> None:
         self.idf = np.log((counts[-1] + 1) / (counts[:-1] + 1)) + 0.1
+        common = counts[:-1] > COMMON * counts[-1]
+        rare = [[x for x in p if not common[x]] for _, p in self.passages]
+        self.passages = [(k, own if len(own) >= FEW_WORDS else p) for (k, p), own in zip(self.passages, rare, strict=True)]
         rows = [(k, *map(list, self._weighted(x))) for k, (_, x) in enumerate(self.passages)]
         matrix = spark.createDataFrame([(k, [int(i) for i in a], [float(v) for v in b]) for k, a, b in rows], "k long, at array<long>, w array<double>")
         self.basis = randomised_svd(matrix, len(self.number), min(rank, len(rows), len(self.number)), power, seed).astype(np.float32)
-        self.scaled = np.vstack([self.basis * self.idf[:, None].astype(np.float32), np.zeros((1, self.basis.shape[1]), np.float32)])
+        self.scaled = self.basis * self.idf[:, None].astype(np.float32)
+        self.latent = np.zeros(len(self.number) + 1, bool)  # False for words outside the vocabulary, which come last
+        self.latent[[x for _, p in self.passages for x in p]] = True
+        # Squared weights, a word outside the vocabulary last: it counts as the rarest inside.
+        self.squares = np.append(self.idf, self.idf.max()).astype(np.float32) ** 2
         q = np.stack([self.scaled[x].sum(axis=0) for _, x in self.passages])
         self.queries = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
         self.owner = np.array([k for k, _ in self.passages])
@@ -112,16 +121,23 @@ class Latent:
         return at, n * self.idf[at]
 
     def windows(self, numbers: np.ndarray) -> np.ndarray:
-        """Unit latent vectors of the windows that start at every STEP words."""
-        known = np.flatnonzero(numbers >= 0)
-        blocks = max(1, -(-len(numbers) // STEP))
-        sums = np.zeros((blocks + WINDOW // STEP - 1, self.scaled.shape[1]), np.float32)
+        """Latent vectors of the windows that start at every STEP words, over the norms of all their words.
+
+        What lies outside the latent space so lowers a cosine: a window of other words has a small one
+        with every passage, whatever common words they share.
+        """
+        blocks = -(-len(numbers) // STEP)
+        more = WINDOW // STEP - 1
+        sums, norms = np.zeros((blocks + more, self.scaled.shape[1]), np.float32), np.zeros(blocks + more, np.float32)
+        norms[:blocks] = np.add.reduceat(self.squares[numbers], np.arange(0, len(numbers), STEP))
+        known = np.flatnonzero(self.latent[numbers])
         if len(known):
             own = known // STEP
-            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
             sums[own[first]] = np.add.reduceat(self.scaled[numbers[known]], first, axis=0)
-        total = sum(sums[i : i + blocks] for i in range(WINDOW // STEP))
-        return total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+        total = sum(sums[i : i + blocks] for i in range(more + 1))
+        norm = sum(norms[i : i + blocks] for i in range(more + 1))
+        return total / np.sqrt(np.maximum(norm, 1e-9))[:, None]
 
     def judge(self, texts: list[str | None]) -> list[list[tuple[int, float, float, float]]]:
         """For each text its contaminations (item, cosine, share covered, share of the answer)."""
@@ -133,10 +149,12 @@ class Latent:
             numbers = self.numbers(words)
             latent = self.windows(numbers)
             best: dict[int, list[tuple[int, float]]] = {}
-            for at in range(0, len(latent), 4096):
-                cos = latent[at : at + 4096] @ self.queries.T
+            # Queries are unit vectors: a shorter window can't reach the threshold.
+            able = np.flatnonzero((latent * latent).sum(axis=1) >= COSINE**2)
+            for at in range(0, len(able), 4096):
+                cos = latent[able[at : at + 4096]] @ self.queries.T
                 for i, j in zip(*np.nonzero(cos >= COSINE), strict=True):
-                    best.setdefault(int(self.owner[j]), []).append((at + int(i), float(cos[i, j])))
+                    best.setdefault(int(self.owner[j]), []).append((int(able[at + i]), float(cos[i, j])))
             for k, hits in sorted(best.items()):
                 if (found := self._verified(k, words, hits)) is not None:
                     out[slot].append(found)
@@ -146,13 +164,10 @@ class Latent:
         item, w = self.items[k]
         pieces = [w[i : i + ITEM_WORDS] for i in range(0, len(w), ITEM_WORDS)]
         width = int(min(len(w), ITEM_WORDS) * SPAN) + 2
-        known = set(w)
         starts = sorted({max(0, s) for i, _ in hits for a in [i * STEP] for s in range(a - len(w), a + WINDOW, max(1, min(len(w), ITEM_WORDS) // 4))})
         top = (0.0, 0.0)
         for s in starts:
             span = words[s : s + width]
-            if sum(x in known for x in span) < PARAPHRASED * min(len(w), ITEM_WORDS):
-                continue
             for piece in pieces:
                 n, answer = lcs(piece, span)
                 got = (n / len(piece), answer / answer_size(len(piece)))
