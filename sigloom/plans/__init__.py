@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules():
-    from sigloom.plans import rollups
+    from sigloom.plans import parsing, rollups
 
-    return [rollups]
+    return [rollups, parsing]
 
 
 def core_queries() -> dict:
