@@ -14,6 +14,7 @@ from sigloom.llm.license_texts import NOTICES, SPELLINGS, TEXTS
 
 _COPYRIGHT = r"(?im)^[^\p{L}\n]*(?:copyright|\(c\)|©)[^\n]*(?:\(c\)|©|[0-9]{4}|all rights reserved|<|\[)[^\n]*$"
 _TITLE = r"^\s*(?:the )?(?:mit|mit-0|isc|zlib|bsd [23]-clause|0bsd|unlicense)(?: no attribution)? licen[cs]e(?: \([^)]*\))?\s*\n"
+_BETWEEN = r"[^\p{L}\p{N}]+"
 _DIFFERENT = [(a, b) for a, b in SPELLINGS if a != b]
 
 
@@ -21,7 +22,7 @@ def canonical(text: Column) -> Column:
     """Canonical form of a whole text; null counts as empty."""
     t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), _COPYRIGHT, "")
     t = F.regexp_replace(F.lower(t), _TITLE, "")
-    t = F.concat(F.lit(" "), F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    t = F.concat(F.lit(" "), F.regexp_replace(t, _BETWEEN, " "), F.lit(" "))
     # One pass finds out whether any spelling is there; few texts pay for the replacements.
     fixed = t
     for a, b in _DIFFERENT:
@@ -57,3 +58,19 @@ def license_scan(docs: DataFrame, texts=None, notices=None, id_col: str = "doc_i
     found = F.array_sort(F.array_distinct(F.filter(F.transform(wanted, lambda x: F.try_element_at(one, digest(x))), lambda x: x.isNotNull())))
     rows = docs.select(id_col, digest(F.col(text_col)).alias("text_digest"), F.array_join(found, ",").alias("notices"))
     return rows.join(F.broadcast(whole.withColumnRenamed("digest", "text_digest")), "text_digest", "left").select(id_col, "text_digest", "license", "notices")
+
+
+def oracle_sql() -> str:
+    """The scan of ``documents`` with this package's tables, for DuckDB."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    form = f"regexp_replace(regexp_replace(COALESCE(@, ''), '\\r\\n?', chr(10), 'g'), {quote(_COPYRIGHT)}, '', 'g')"
+    form = f"' ' || regexp_replace(regexp_replace(lower({form}), {quote(_TITLE)}, ''), {quote(_BETWEEN)}, ' ', 'g') || ' '"
+    for a, b in _DIFFERENT:
+        form = f"replace({form}, {quote(f' {a} ')}, {quote(f' {b} ')})"
+    of = lambda column: f"sha256(trim({form}))".replace("@", column)
+    known = lambda rows: "SELECT d, min(l) AS l FROM (SELECT l, " + of("t") + " AS d FROM (VALUES " + ", ".join(f"({quote(a)}, {quote(b)})" for a, b in rows) + ") x(l, t)) GROUP BY 1"
+    return f"""WITH whole AS ({known(TEXTS)}), notice AS ({known(NOTICES)}),
+ docs AS (SELECT doc_id, text, {of("text")} AS text_digest FROM documents),
+ lines AS (SELECT doc_id, unnest(string_split(regexp_replace(COALESCE(text, ''), '\r\n?', chr(10), 'g'), chr(10))) AS line FROM documents),
+ found AS (SELECT doc_id, string_agg(DISTINCT notice.l, ',' ORDER BY notice.l) AS notices FROM lines JOIN notice ON notice.d = {of("line")} WHERE regexp_matches(line, '(?i)licen[cs]|releas|public domain|copyright|permi|spdx') GROUP BY 1)
+ SELECT docs.doc_id, text_digest, whole.l AS license, COALESCE(notices, '') AS notices FROM docs LEFT JOIN whole ON whole.d = text_digest LEFT JOIN found ON found.doc_id = docs.doc_id"""
