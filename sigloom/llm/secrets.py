@@ -213,3 +213,22 @@ def redacted(docs: DataFrame, rules=RULES, mark: str = "[SECRET]", text_col: str
     keep = [c for c in docs.columns if c != text_col]
     done = map_rows(docs, make, [T.StructField("__clean", T.StringType())], keep, text_col, 256)
     return done.withColumnRenamed("__clean", text_col).select(*docs.columns)
+
+
+def oracle_sql(rules=RULES) -> str:
+    """The spans of ``documents``, for DuckDB: a match starts where what lies between and within earlier matches ends."""
+    longer = {r"AKIA[A-Z0-9]+": r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]+": r"[0-9a-f]{16,}"}  # the same spans, without the short ones
+    each = []
+    for rank, r in enumerate(rules):
+        flag = "(?i)" if r.flags & re.IGNORECASE else ""
+        pattern = "'" + (flag + longer.get(r.pattern, r.pattern)).replace("'", "''") + "'"
+        each.append(f"SELECT doc_id, {rank} AS r, '{r.kind}' AS kind, {r.least} AS least, string_split_regex(t, {pattern}) AS ps, regexp_extract_all(t, {pattern}) AS ms, regexp_extract_all(t, {pattern}, {r.group}) AS gs FROM d WHERE regexp_matches(t, {pattern})")
+    base = "', '".join(r.kind for r in BASE_RULES)
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in BASE_RULES)
+    zeros = ", ".join(f"CAST(COALESCE(n_{r.kind}, 0) AS BIGINT) AS n_{r.kind}" for r in BASE_RULES)
+    return f"""WITH d AS (SELECT doc_id, COALESCE(text, '') AS t FROM documents), f AS ({" UNION ALL ".join(each)}),
+ m AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM f),
+ s AS (SELECT doc_id, r, kind, list_sum(list_transform(ps[1:i], lambda x: length(x))) + COALESCE(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS a, length(ms[i]) AS n FROM m WHERE length(gs[i]) >= least),
+ g AS (SELECT doc_id, {counts}, string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT), ',' ORDER BY a, r) AS spans,
+  string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT), ',' ORDER BY a, r) FILTER (WHERE kind IN ('{base}')) AS base FROM s GROUP BY 1)
+ SELECT d.doc_id, {zeros}, sha256(COALESCE(base, '')) AS base_sha256, COALESCE(spans, '') AS spans FROM d LEFT JOIN g ON g.doc_id = d.doc_id"""
