@@ -1,4 +1,4 @@
-"""Session settings and shipping of the package to the executors."""
+"""Session settings, and the package on a local session's Python path."""
 
 from __future__ import annotations
 
@@ -24,9 +24,12 @@ def build_session(name: str = "sigloom", master: str | None = None, **conf: str)
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for each application."""
+    """Let a local session's Python workers find this package wherever they start.
+
+    On a cluster the package comes with ``--py-files``; nothing is sent from a local folder there.
+    """
     app = spark.sparkContext.applicationId
-    if app in _shipped:
+    if app in _shipped or not spark.sparkContext.master.startswith("local["):
         return
     root = Path(__file__).resolve().parent
     to = Path(tempfile.mkdtemp(prefix="sigloom-ship-")) / "sigloom.zip"
