@@ -136,8 +136,14 @@ def wide_print(text: bytes | None, width: int = 5) -> list[int]:
     return [int(np.packbits(x).view(">i8")[0]) for x in 2 * ones > len(grams)]
 
 
+def node_of(p: np.ndarray) -> np.ndarray:
+    """A print's number, of rows of three words."""
+    x = p.view(np.uint64)
+    return _mixed(_mixed(_mixed(x[..., 0]) ^ x[..., 1]) ^ x[..., 2]).view(np.int64)
+
+
 def _buckets(prints: DataFrame) -> DataFrame:
-    """(bucket, node, p0, p1, p2): each print in the buckets of its segments and of their balls' upper halves."""
+    """(bucket, p0, p1, p2): each print in the buckets of its segments and of their balls' upper halves."""
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
@@ -146,7 +152,7 @@ def _buckets(prints: DataFrame) -> DataFrame:
                 rows, keys = [], []
                 everyone = np.arange(part.num_rows)
                 for k in range(WORDS):
-                    word = cols[1 + k].view(np.uint64)
+                    word = cols[k].view(np.uint64)
                     for j in range(64 // SEGMENT):
                         key = (word >> np.uint64(j * SEGMENT) & np.uint64((1 << SEGMENT) - 1)).astype(np.int64)
                         seg = (k * 3 + j) << SEGMENT
@@ -157,9 +163,9 @@ def _buckets(prints: DataFrame) -> DataFrame:
                             rows.append(low)
                             keys.append(key[low] | 1 << b | seg)
                 pick = np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(pa.array(c[pick]) for c in cols)], names=["bucket", "node", "p0", "p1", "p2"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(pa.array(c[pick]) for c in cols)], names=["bucket", "p0", "p1", "p2"])
 
-    return prints.select("node", "p0", "p1", "p2").mapInArrow(run, "bucket long, node long, p0 long, p1 long, p2 long")
+    return prints.select("p0", "p1", "p2").mapInArrow(run, "bucket long, p0 long, p1 long, p2 long")
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -167,7 +173,7 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def wide_links(prints: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
-    """(u, v): nodes whose prints (node, p0, p1, p2) meet in a bucket and differ in at most ``radius`` bits.
+    """(u, v): nodes of prints (p0, p1, p2) that meet in a bucket and differ in at most ``radius`` bits.
 
     In a bucket, the first print leads; those near it link to it, and the first of the others leads
     next.  So a bucket full of copies costs one comparison a row, and what a task holds of a
@@ -178,8 +184,9 @@ def wide_links(prints: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, node = (batch.column(i).to_numpy() for i in range(2))
-            bits = np.stack([batch.column(i).to_numpy() for i in (2, 3, 4)], axis=1).view(np.uint64)
+            keys = batch.column(0).to_numpy()
+            bits = np.stack([batch.column(i).to_numpy() for i in (1, 2, 3)], axis=1).view(np.uint64)
+            node = node_of(bits)
             us, vs = [], []
             rest = np.arange(len(keys))
             if keys[0] == bucket:
@@ -209,7 +216,7 @@ def wide_links(prints: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
             u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    dealt = _buckets(prints).repartition(F.col("bucket")).sortWithinPartitions("bucket", "node")
+    dealt = _buckets(prints).repartition(F.col("bucket")).sortWithinPartitions("bucket", "p0", "p1", "p2")
     return dealt.mapInArrow(run, "u long, v long").where("u <> v").distinct()
 
 
@@ -222,20 +229,22 @@ def deduplicated(docs: DataFrame, width: int = 5, radius: int = WIDE_RADIUS, id_
 
     def make():
         def run(texts):
-            found = [wide_print(None if x is None else x.encode("utf-8", "surrogatepass"), width) for x in texts]
-            return {f"__p{k}": [x[k] for x in found] for k in range(WORDS)}
+            p = np.array([wide_print(None if x is None else x.encode("utf-8", "surrogatepass"), width) for x in texts], np.int64).reshape(-1, WORDS)
+            return {f"p{k}": p[:, k] for k in range(WORDS)} | {"node": node_of(p)}
 
         return run
 
-    rows = map_rows(docs, make, [T.StructField(f"__p{k}", T.LongType()) for k in range(WORDS)], columns, text_col)
-    rows = stored(rows.withColumn("__node", F.xxhash64("__p0", "__p1", "__p2")), "printed")
-    first = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col("__node").alias("node")))
-    nodes = stored(rows.groupBy(F.col("__node").alias("node")).agg(F.first("__p0").alias("p0"), F.first("__p1").alias("p1"), F.first("__p2").alias("p2"), first.alias("x")), "nodes")
+    # Texts stay where they are until the rows to keep are known.
+    which = [F.col(id_col).alias("id"), F.xxhash64(text_col).alias("salt"), F.col(text_col).alias("text")]
+    fields = [*(T.StructField(f"p{k}", T.LongType()) for k in range(WORDS)), T.StructField("node", T.LongType())]
+    rows = stored(map_rows(docs.select(*which), make, fields, ["id", "salt"], "text"), "prints")
+    first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "salt"))
+    nodes = stored(rows.groupBy("node").agg(F.first("p0").alias("p0"), F.first("p1").alias("p1"), F.first("p2").alias("p2"), first.alias("x")), "nodes")
     group = components(wide_links(nodes, radius))
     best = nodes.join(group, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("x").alias("x"))
-    kept = best.select(F.col("x.id").alias("__id"), F.col("x.node").alias("__kept"))
-    joined = rows.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__kept")))
-    once = Window.partitionBy("__id", "__kept").orderBy(F.xxhash64(text_col))
+    kept = best.select(F.col("x.id").alias("__id"), F.col("x.salt").alias("__salt"))
+    joined = docs.withColumn("__s", F.xxhash64(text_col)).join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__s") == F.col("__salt")))
+    once = Window.partitionBy("__id", "__salt").orderBy(F.lit(0))  # rows that repeat id and text are one
     return joined.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*columns)
 
 
