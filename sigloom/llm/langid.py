@@ -139,7 +139,12 @@ def fit(docs: DataFrame, held_out: int = 5, id_col: str = "doc_id", text_col: st
     """(languages, weights) learnt from text and non-null language of rows outside the held-out split."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (remainder(id_col, held_out) != 0))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= PER_LANGUAGE)
+    ids = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
+    # A cut through the hashes leaves about twice as many as are wanted to be ranked, however many there are.
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    near = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 40)) * F.col("n") < float(2 * PER_LANGUAGE << 40)
+    near = ids.join(F.broadcast(sizes), "lang").where(near).select("id", "lang")  # a row a language
+    picked = near.distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= PER_LANGUAGE)
     texts = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     size = F.greatest(F.length("text") - STEPS, F.lit(0)) + 1
     spots = F.transform(F.sequence(F.lit(1), F.lit(WINDOWS)), lambda i: F.encode(F.substring("text", (F.pmod(F.xxhash64("id", i), size) + 1).cast("int"), F.lit(STEPS)), "UTF-8"))

@@ -124,6 +124,22 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 _ROWS = "h long, s long, doc long, pack long"
+_KNOWN = -(2**63)  # added to the pack of a row that repeats another of its batch
+
+
+def _combined(h: np.ndarray, s: np.ndarray, doc: np.ndarray, pack: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The rows of a batch, sorted, with all but the first of a kind marked as known repeats.
+
+    A known repeat needs no family: it goes to any task, so a string that occurs everywhere sends
+    its own task a row for each batch and not for each occurrence.
+    """
+    order = np.lexsort((pack, doc, s, h))
+    h, s, doc, pack = (x[order] for x in (h, s, doc, pack))
+    kind = np.append(True, (h[1:] != h[:-1]) | (s[1:] != s[:-1]))[: len(h)]
+    lead = np.flatnonzero(kind)[np.cumsum(kind) - 1]
+    known = ~kind & ((doc != doc[lead]) | (pack != pack[lead]))
+    h[known] = _mixed((pack[known] ^ doc[known]).view(np.uint64)).view(np.int64)
+    return h, s, doc, np.where(known, pack + _KNOWN, pack)
 
 
 def _anchored(keyed: DataFrame) -> DataFrame:
@@ -136,7 +152,7 @@ def _anchored(keyed: DataFrame) -> DataFrame:
                 text, start, count, h, s = segment_rows(texts)
                 tags = np.array([tag_of(x) for x in texts], np.int64)
                 pack = tags[text] << 39 | start << 7 | count
-                yield _batch(h.view(np.int64), s.view(np.int64), part.column(0).to_numpy()[text], pack)
+                yield _batch(*_combined(h.view(np.int64), s.view(np.int64), part.column(0).to_numpy()[text], pack))
 
     return keyed.mapInArrow(run, _ROWS)
 
@@ -157,6 +173,12 @@ def _sorted_out(rows: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             h, s, doc, pack = (c.to_numpy() for c in batch.columns)
+            told = pack < 0
+            if told.any():
+                yield _batch(h[told], doc[told], pack[told] - _KNOWN, np.zeros(int(told.sum()), bool), names=names)
+                h, s, doc, pack = (x[~told] for x in (h, s, doc, pack))
+                if not len(h):
+                    continue
             known = np.zeros(len(h), bool)
             if held is not None:
                 h, s, doc, pack = (np.append(a, b) for a, b in zip(held[:4], (h, s, doc, pack), strict=True))
@@ -204,24 +226,32 @@ def _fetched(keyed: DataFrame, asked: DataFrame) -> DataFrame:
     """Text for each asked segment (h, doc, pack, hot): the segment, or, if hot, a row for each string's digest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
-        names = ("h", "s", "doc", "pack", "segment")
         for batch in batches:
+            whole, strings = [], []
             for at in range(batch.num_rows):
                 doc, blob, asks = (batch.column(i)[at].as_py() for i in range(3))
-                text = z.decompress(blob) if asks else b""
-                rows = []
+                text = z.decompress(blob)
                 for x in asks:
                     start, count = x["pack"] >> 7 & 0xFFFFFFFF, x["pack"] & 127
                     if not x["hot"]:
-                        rows.append((x["h"], 0, doc, x["pack"], text[start : start + count + SPAN - 1]))
+                        whole.append((x["h"], 0, doc, x["pack"], text[start : start + count + SPAN - 1]))
                         continue
                     for i in range(start, start + count):
                         d = hashlib.blake2b(text[i : i + SPAN], digest_size=16).digest()
-                        own = x["pack"] >> 39 << 39 | i << 7 | 1
-                        rows.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), doc, own, None))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)], names=names)
+                        strings.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), doc, x["pack"] >> 39 << 39 | i << 7 | 1))
+                if len(whole) + len(strings) >= 1 << 16:
+                    yield from rows_of(whole, strings)
+                    whole, strings = [], []
+            yield from rows_of(whole, strings)
+
+    def rows_of(whole: list, strings: list) -> Iterator[pa.RecordBatch]:
+        names = ("h", "s", "doc", "pack", "segment")
+        if whole:
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*whole), kinds, strict=True)], names=names)
+        if strings:
+            columns = _combined(*(np.array(c, np.int64) for c in zip(*strings)))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(strings), pa.binary())], names=names)
 
     asks = asked.select("doc", F.shiftright("pack", 39).alias("tag"), F.struct("h", "pack", "hot").alias("x")).groupBy("doc", "tag").agg(F.collect_list("x").alias("asks"))
     texts = _packed(keyed).join(asks, ["doc", "tag"]).select("doc", "blob", "asks")

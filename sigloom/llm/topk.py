@@ -19,6 +19,7 @@ from sigloom.llm.common import stored
 SHARD_ROWS = 8192
 QUERY_ROWS = 1024
 LEAF_ROWS = 64
+TASKS = 20_000  # at most, for pairs of a shard and a block of queries
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
@@ -116,7 +117,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, shard_rows: int = S
         return _found(ids[asks], found)
 
     hits = "query_id long, vec_id long, score long"
-    home = dealt.withColumn("asks", is_query).groupBy("shard").applyInPandas(at_home, hits)
+    # The rows are small and the searches are not: fixed numbers of partitions aren't merged.
+    home = dealt.withColumn("asks", is_query).repartition(shards, "shard").groupBy("shard").applyInPandas(at_home, hits)
     if shards > 1:
         home = stored(home, "home")
         kth = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
@@ -131,6 +133,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, shard_rows: int = S
             ids = ask["asker"].to_numpy()
             return _found(ids, Tree(rows["vec_id"].to_numpy(), _matrix(rows["v"])).search(ids, _matrix(ask["q"]), k, floors))
 
+        tasks = min(shards * blocks, TASKS)
+        spread, away = spread.repartition(tasks, "shard", "block"), away.repartition(tasks, "to_shard", "asks_block")
         home = home.union(spread.groupBy("shard", "block").cogroup(away.groupBy("to_shard", "asks_block")).applyInPandas(elsewhere, hits))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return home.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -116,21 +116,29 @@ class _Window:
 
 
 def _member(w: _Window, at: int) -> tuple[bytes, int] | None:
-    """The WARC record whose gzip member starts at ``at`` and the offset behind it, if there is one."""
-    z, parts, i, seen = zlib.decompressobj(31), [], at - w.base, 0
-    try:
-        while not z.eof:
-            if i >= len(w.buf) and not w.more():
-                return None
-            step = 4096 if not parts else 1 << 20  # a candidate is judged by its first kilobytes
-            parts.append(z.decompress(w.buf[i : i + step]))
-            i, seen = i + step, seen + len(parts[-1])
-            if seen >= 7 and not b"".join(parts[:2])[:7] == b"WARC/1.":
+    """The WARC record whose gzip member starts at ``at`` and the offset behind it, if there is one.
+
+    A candidate that doesn't inflate to a WARC header is none; a record that breaks off is an error.
+    """
+    z, head, parts, i = zlib.decompressobj(31), b"", [], at - w.base
+    while not z.eof:
+        if i >= len(w.buf) and not w.more():
+            if head[:7] == b"WARC/1.":
+                raise ValueError(f"a record breaks off at {at}")
+            return None
+        data = w.buf[i : i + (1 << 20 if len(head) >= 7 else 4096)]  # a candidate is judged by its first kilobytes
+        i += len(data)
+        try:
+            parts.append(z.decompress(data))
+        except zlib.error as e:
+            if head[:7] == b"WARC/1.":
+                raise ValueError(f"a record is damaged at {at}") from e
+            return None
+        if len(head) < 7:
+            head += parts[-1]
+            if len(head) >= 7 and head[:7] != b"WARC/1.":
                 return None
-    except zlib.error:
-        return None
-    record = b"".join(parts)
-    return (record, w.base + min(i, len(w.buf)) - len(z.unused_data)) if record[:7] == b"WARC/1." else None
+    return (b"".join(parts), w.base + i - len(z.unused_data)) if head[:7] == b"WARC/1." else None
 
 
 def read_range(store: pafs.FileSystem, path: str, start: int, end: int) -> Iterator[bytes]:
@@ -160,7 +168,10 @@ def read_range(store: pafs.FileSystem, path: str, start: int, end: int) -> Itera
 def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Every record of the archives in ``manifest`` (path, bytes), each read by the range it starts in."""
     parts = manifest.where("bytes > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
-    spread = parts.repartition(F.xxhash64("path", "start"))
+    # The rows are few and small but each is much work: a fixed number of partitions isn't merged.
+    ranges = parts.count()
+    width = manifest.sparkSession.sparkContext.defaultParallelism
+    spread = parts.repartition(max(1, min(ranges, max(4 * width, ranges // 64))), F.xxhash64("path", "start"))
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +210,9 @@ def archive_roles(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
     digest = F.when(F.length("payload") >= LEAST_BYTES, F.sha2("payload", 256))
     first = rows.select(digest.alias("digest"), "page_id").where("digest IS NOT NULL").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").drop("n")
-    joined = rows.withColumn("digest", digest).join(first, "digest", "left")
+    # Small payloads match nothing; keys of their own keep them from meeting in one task.
+    spread = F.coalesce(digest, F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    joined = rows.withColumn("digest", spread).join(first, "digest", "left")
     return joined.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 

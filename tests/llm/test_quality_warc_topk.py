@@ -88,6 +88,17 @@ def test_warc_round_trip(spark, sf):
     assert warc.round_trip(spark, pages.limit(0)).count() == 0
 
 
+def test_records_across_buffers(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(i, "u", "".join(rng.choices("abcdefghijklmnop <>é", k=rng.randrange(3000, 60_000)))) for i in range(400)]
+    pages = spark.createDataFrame(rows, PAGES).coalesce(1)
+    want = {i: h.encode() for i, _, h in rows}
+    for size in (warc.RANGE_BYTES, 300_000):
+        assert {r.page_id: bytes(r.payload) for r in warc.round_trip(spark, pages, size).collect()} == want
+
+
 def test_warc_null_and_repeated_ids(spark):
     body = "b" * 200
     rows = [(5, "u", body), (5, "u", body), (None, "u", body), (9, "u", body)]
