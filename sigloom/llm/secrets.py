@@ -69,7 +69,7 @@ def _of_runs(runs: set[str]) -> tuple:
         b = s.lower().encode()
         return _all(("tri", b[i] << 16 | b[i + 1] << 8 | b[i + 2]) for i in range(len(b) - 2))
 
-    return _either(one(s) for s in runs)
+    return _either(one(s) for s in sorted(runs))
 
 
 def _expand(items, runs: set[str], need: list[tuple]) -> set[str]:
