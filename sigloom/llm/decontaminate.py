@@ -2,14 +2,15 @@
 
 Benchmark items are cut into passages and weighted by TF-IDF, with document frequencies over
 the whole corpus.  A randomised SVD of those passages, its products summed on the executors,
-gives a latent space that resolves the benchmark.  Every document is folded in, in windows of
+gives a latent space that holds every passage whole: a model takes at most ``PASSAGES`` passages
+(or one item) and its rank is their number.  Every document is folded in, in windows of
 words, and a window whose cosine with a passage reaches a threshold is a candidate.  A
 candidate is contamination if the longest common subsequence of words covers most of the
 item within a span not much longer than it; a paraphrase, with less covered, must also hold
 the item's answer, its last words.
 
-The benchmark is the query set: it is taken in blocks of ``BLOCK_ITEMS`` items, and the corpus
-is read once for each block, so what is sent to the tasks is bounded.
+The benchmark is the query set: it is taken in blocks of ``BLOCK_ITEMS`` items, each a few models, and
+the corpus is read once for each block, so what is sent to the tasks is bounded.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ BLOCK_ITEMS = 2000
 ITEM_WORDS = 2000  # an item's LCS is taken in pieces of so many words
 STEP = 16  # words a block
 WINDOW = 48  # words a passage
-RANK = 256
+PASSAGES = 256  # of a model
 COSINE = 0.3
 COMMON = 0.1  # share of documents from which a word is too common for the latent space
 FEW_WORDS = 4  # a passage with fewer other words keeps its common ones
@@ -63,51 +64,68 @@ def answer_size(n: int) -> int:
     return max(1, n // 4)
 
 
+def passages_of(words: list[bytes]) -> int:
+    return -(-len(words) // WINDOW)
+
+
+def parts(items: list[tuple[int, list[bytes]]]) -> list[list[tuple[int, list[bytes]]]]:
+    """The items in runs of at most PASSAGES passages; a longer item is a run of its own."""
+    out, size = [], PASSAGES + 1
+    for item in items:
+        n = passages_of(item[1])
+        if size + n > PASSAGES:
+            out.append([])
+            size = 0
+        out[-1].append(item)
+        size += n
+    return out
+
+
+def document_counts(docs: DataFrame, words: set[bytes], text_col: str) -> tuple[dict[bytes, int], int]:
+    """In how many documents each word occurs, and the number of all documents."""
+    ordered = sorted(words)
+    number = {x: k for k, x in enumerate(ordered)}
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            seen = Counter()
+            for text in texts:
+                seen.update(number.keys() & set(words_of(text)))
+            yield pd_batch({"k": [*(number[x] for x in seen), -1], "n": [*seen.values(), len(texts)]})
+
+    counts = docs.select(text_col).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()  # the vocabulary at most
+    found = {r.k: r.n for r in counts}
+    return {x: found.get(k, 0) for k, x in enumerate(ordered)}, found.get(-1, 0)
+
+
 class Latent:
-    """Vocabulary, weights, latent basis and the query passages of one block of items."""
+    """Vocabulary, weights, latent basis and the query passages of some items, given as words."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(i, words_of(t)) for i, t in items]
-        self.items = [(i, w) for i, w in self.items if w]
+    def __init__(self, items: list[tuple[int, list[bytes]]]):
+        self.items = items
         vocabulary = sorted({x for _, w in self.items for x in w})
         self.number = {x: k for k, x in enumerate(vocabulary)}
         self.passages = []  # (item's place, feature numbers)
         for k, (_, w) in enumerate(self.items):
-            n = max(1, -(-len(w) // WINDOW))
-            cuts = np.linspace(0, len(w), n + 1).astype(int)
+            cuts = np.linspace(0, len(w), passages_of(w) + 1).astype(int)
             self.passages += [(k, [self.number[x] for x in w[a:b]]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         get = self.number.get
         return np.fromiter((get(x, -1) for x in words), np.int64, len(words))
 
-    def document_counts(self, docs: DataFrame, text_col: str) -> np.ndarray:
-        """In how many documents each word occurs; the last number is that of all documents."""
-        number = self.number
-
-        def run(batches):
-            for batch in batches:
-                texts = batch.column(0).to_pylist()
-                seen = Counter()
-                for text in texts:
-                    seen.update(number.keys() & set(words_of(text)))
-                yield pd_batch({"k": [*(number[x] for x in seen), -1], "n": [*seen.values(), len(texts)]})
-
-        counts = docs.select(text_col).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()  # the vocabulary at most
-        out = np.zeros(len(number) + 1)
-        for r in counts:
-            out[r.k] = r.n
-        return out
-
-    def fit(self, spark, counts: np.ndarray, rank: int = RANK, power: int = 2, seed: int = 11) -> None:
-        self.idf = np.log((counts[-1] + 1) / (counts[:-1] + 1)) + 0.1
-        common = counts[:-1] > COMMON * counts[-1]
+    def fit(self, spark, counts: dict[bytes, int], documents: int, power: int = 2, seed: int = 11) -> None:
+        held = np.array([counts[x] for x in self.number], float)
+        self.idf = np.log((documents + 1) / (held + 1)) + 0.1
+        common = held > COMMON * documents
         rare = [[x for x in p if not common[x]] for _, p in self.passages]
         self.passages = [(k, own if len(own) >= FEW_WORDS else p) for (k, p), own in zip(self.passages, rare, strict=True)]
         rows = [(k, *map(list, self._weighted(x))) for k, (_, x) in enumerate(self.passages)]
         matrix = spark.createDataFrame([(k, [int(i) for i in a], [float(v) for v in b]) for k, a, b in rows], "k long, at array<long>, w array<double>")
-        self.basis = randomised_svd(matrix, len(self.number), min(rank, len(rows), len(self.number)), power, seed).astype(np.float32)
-        self.scaled = self.basis * self.idf[:, None].astype(np.float32)
+        # The rank is that of all passages: a lower one would shorten every window, more the more passages there are.
+        basis = randomised_svd(matrix, len(self.number), min(len(rows), len(self.number)), power, seed)
+        self.scaled = (basis * self.idf[:, None]).astype(np.float32)
         self.latent = np.zeros(len(self.number) + 1, bool)  # False for words outside the vocabulary, which come last
         self.latent[[x for _, p in self.passages for x in p]] = True
         # Squared weights, a word outside the vocabulary last: it counts as the rarest inside.
@@ -139,11 +157,10 @@ class Latent:
         norm = sum(norms[i : i + blocks] for i in range(more + 1))
         return total / np.sqrt(np.maximum(norm, 1e-9))[:, None]
 
-    def judge(self, texts: list[str | None]) -> list[list[tuple[int, float, float, float]]]:
-        """For each text its contaminations (item, cosine, share covered, share of the answer)."""
+    def judge(self, texts: list[list[bytes]]) -> list[list[tuple[int, float, float, float]]]:
+        """For each text, given as words, its contaminations (item, cosine, share covered, share of the answer)."""
         out: list[list] = [[] for _ in texts]
-        for slot, text in enumerate(texts):
-            words = words_of(text)
+        for slot, words in enumerate(texts):
             if not words:
                 continue
             numbers = self.numbers(words)
@@ -219,22 +236,26 @@ def randomised_svd(matrix: DataFrame, n_features: int, rank: int, power: int = 2
 
 
 def _models(docs: DataFrame, benchmark: DataFrame, text_col: str):
-    """A fitted model for each block of items; null ids and texts without a word are left out."""
+    """The fitted models of each block of items; null ids and texts without a word are left out."""
     n = benchmark.count()
     blocks = max(1, -(-n // BLOCK_ITEMS))
     known = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
     for b in range(blocks):
         rows = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).distinct().collect()  # about BLOCK_ITEMS
-        model = Latent(sorted((r.item_id, r.text) for r in rows))
-        if model.items:
-            model.fit(docs.sparkSession, model.document_counts(docs, text_col))
-            yield model
+        items = [(i, w) for i, t in sorted((r.item_id, r.text) for r in rows) if (w := words_of(t))]
+        if items:
+            counts, documents = document_counts(docs, {x for _, w in items for x in w}, text_col)
+            models = [Latent(x) for x in parts(items)]
+            for model in models:
+                model.fit(docs.sparkSession, counts, documents)
+            yield models
 
 
-def _hits(docs: DataFrame, model: Latent, keep: list[str], text_col: str) -> DataFrame:
+def _hits(docs: DataFrame, models: list[Latent], keep: list[str], text_col: str) -> DataFrame:
     def make():
         def run(texts):
-            found = model.judge(texts)
+            words = [words_of(x) for x in texts]
+            found = [[x for y in own for x in y] for own in zip(*(m.judge(words) for m in models), strict=True)]
             return {n: [[x[i] for x in y] for y in found] for i, n in enumerate(("__items", "__cosine", "__covered", "__answer"))}
 
         return run
@@ -251,8 +272,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items count once; an empty corpus or benchmark gives an empty result.
     """
     out = None
-    for model in _models(docs, benchmark, text_col):
-        found = _hits(docs, model, [id_col], text_col).select(id_col, F.explode(F.arrays_zip("__items", "__cosine", "__covered", "__answer")).alias("x"))
+    for models in _models(docs, benchmark, text_col):
+        found = _hits(docs, models, [id_col], text_col).select(id_col, F.explode(F.arrays_zip("__items", "__cosine", "__covered", "__answer")).alias("x"))
         found = found.select(id_col, F.col("x.__items").alias("item_id"), F.col("x.__cosine").alias("cosine"), F.col("x.__covered").alias("covered"), F.col("x.__answer").alias("answer"))
         out = found if out is None else out.union(found)
     if out is None:
@@ -263,6 +284,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a benchmark item."""
-    for model in _models(docs, benchmark, text_col):
-        docs = _hits(docs, model, docs.columns, text_col).where(F.size("__items") == 0).select(*docs.columns)
+    for models in _models(docs, benchmark, text_col):
+        docs = _hits(docs, models, docs.columns, text_col).where(F.size("__items") == 0).select(*docs.columns)
     return docs

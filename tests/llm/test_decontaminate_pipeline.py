@@ -48,6 +48,20 @@ def test_exact_leaks_match_brute_force(spark):
     assert got == want and len(want) > 20
 
 
+def test_exact_leaks_of_many_items(spark):
+    texts = [r.text.split() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    cuts = [" ".join(w[i : i + 40]) for w in texts for i in range(0, len(w) - 39, 40)]
+    cuts = list(dict.fromkeys(cuts))
+    for n in (500, 2000):
+        items = list(enumerate(cuts[:n]))
+        hosts = [w.split() for w in cuts[n : n + 200]]
+        leaked = items[:: n // 200][:200]
+        rows = [(k, " ".join([*hosts[j][:20], t, *hosts[j][20:]]), "en", "x") for j, (k, t) in enumerate(leaked)]
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(rows, DOCS), bench).collect()}
+        assert {(k, k) for k, _ in leaked} <= got
+
+
 def test_paraphrases_and_odd_rows(spark, sf):
     rng = random.Random(8)
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
