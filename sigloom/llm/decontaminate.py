@@ -4,8 +4,10 @@ Benchmark items are cut into passages and weighted by TF-IDF, with document freq
 the whole corpus.  A randomised SVD of those passages, its products summed on the executors,
 gives a latent space that holds every passage whole: a model takes at most ``PASSAGES`` passages
 (or one item) and its rank is their number.  Every document is folded in, in windows of
-words, and a window whose cosine with a passage reaches a threshold is a candidate.  A
-candidate is contamination if the longest common subsequence of words covers most of the
+words, and a window whose projection on a passage reaches a share of the passage's own norm is
+a candidate.  A window that holds all words of a passage has a share of one at least, whatever
+else it holds and however the words are weighted, and some window holds every passage of a
+verbatim item.  A candidate is contamination if the longest common subsequence of words covers most of the
 item within a span not much longer than it; a paraphrase, with less covered, must also hold
 the item's answer, its last words.
 
@@ -26,11 +28,11 @@ from sigloom.llm.common import map_rows
 BLOCK_ITEMS = 2000
 ITEM_WORDS = 2000  # an item's LCS is taken in pieces of so many words
 STEP = 16  # words a block
-WINDOW = 48  # words a passage
+PASSAGE = 48  # words
+WINDOW = PASSAGE + STEP  # every run of PASSAGE words lies in a window whole
 PASSAGES = 256  # of a model
-COSINE = 0.3
-COMMON = 0.1  # share of documents from which a word is too common for the latent space
-FEW_WORDS = 4  # a passage with fewer other words keeps its common ones
+HELD = 0.3  # share of a passage, its words weighted
+LIGHT = 0.2  # so much of any passage may be in words that the latent space leaves out
 COPIED = 0.8  # share of an item's words in order: a copy
 PARAPHRASED = 0.6  # so much is enough if the answer is there
 ANSWER = 0.5
@@ -65,7 +67,7 @@ def answer_size(n: int) -> int:
 
 
 def passages_of(words: list[bytes]) -> int:
-    return -(-len(words) // WINDOW)
+    return -(-len(words) // PASSAGE)
 
 
 def parts(items: list[tuple[int, list[bytes]]]) -> list[list[tuple[int, list[bytes]]]]:
@@ -118,32 +120,47 @@ class Latent:
     def fit(self, spark, counts: dict[bytes, int], documents: int, power: int = 2, seed: int = 11) -> None:
         held = np.array([counts[x] for x in self.number], float)
         self.idf = np.log((documents + 1) / (held + 1)) + 0.1
-        common = held > COMMON * documents
-        rare = [[x for x in p if not common[x]] for _, p in self.passages]
-        self.passages = [(k, own if len(own) >= FEW_WORDS else p) for (k, p), own in zip(self.passages, rare, strict=True)]
+        light = self._light(held)
+        self.passages = [(k, [x for x in p if not light[x]]) for k, p in self.passages]
         rows = [(k, *map(list, self._weighted(x))) for k, (_, x) in enumerate(self.passages)]
         matrix = spark.createDataFrame([(k, [int(i) for i in a], [float(v) for v in b]) for k, a, b in rows], "k long, at array<long>, w array<double>")
         # The rank is that of all passages: a lower one would shorten every window, more the more passages there are.
         basis = randomised_svd(matrix, len(self.number), min(len(rows), len(self.number)), power, seed)
         self.scaled = (basis * self.idf[:, None]).astype(np.float32)
-        self.latent = np.zeros(len(self.number) + 1, bool)  # False for words outside the vocabulary, which come last
-        self.latent[[x for _, p in self.passages for x in p]] = True
+        self.latent = np.append(~light, False)  # words outside the vocabulary come last
         # Squared weights, a word outside the vocabulary last: it counts as the rarest inside.
         self.squares = np.append(self.idf, self.idf.max()).astype(np.float32) ** 2
         q = np.stack([self.scaled[x].sum(axis=0) for _, x in self.passages])
-        self.queries = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
+        self.norms = np.linalg.norm(q, axis=1)
+        self.queries = q / self.norms[:, None] ** 2  # a vector's product with one is the share of the passage that it holds
         self.owner = np.array([k for k, _ in self.passages])
 
+    def _light(self, held: np.ndarray) -> np.ndarray:
+        """The most frequent words, as long as every passage keeps all but LIGHT of its weight.
+
+        They are most of a corpus, and no passage depends on them: one whose words are all frequent keeps them.
+        """
+        within: list[list[tuple[int, float]]] = [[] for _ in self.number]
+        left = np.empty(len(self.passages))
+        for k, (_, p) in enumerate(self.passages):
+            at, w = self._weighted(p)
+            left[k] = LIGHT * (w * w).sum()
+            for x, v in zip(at, w * w, strict=True):
+                within[x].append((k, v))
+        light = np.zeros(len(self.number), bool)
+        for x in np.argsort(-held, kind="stable"):
+            light[x] = all(left[k] >= v for k, v in within[x])
+            if light[x]:
+                for k, v in within[x]:
+                    left[k] -= v
+        return light
+
     def _weighted(self, x: list[int]) -> tuple[np.ndarray, np.ndarray]:
         at, n = np.unique(x, return_counts=True)
         return at, n * self.idf[at]
 
-    def windows(self, numbers: np.ndarray) -> np.ndarray:
-        """Latent vectors of the windows that start at every STEP words, over the norms of all their words.
-
-        What lies outside the latent space so lowers a cosine: a window of other words has a small one
-        with every passage, whatever common words they share.
-        """
+    def windows(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Latent vectors of the windows that start at every STEP words, and the norms of all their words."""
         blocks = -(-len(numbers) // STEP)
         more = WINDOW // STEP - 1
         sums, norms = np.zeros((blocks + more, self.scaled.shape[1]), np.float32), np.zeros(blocks + more, np.float32)
@@ -155,7 +172,7 @@ class Latent:
             sums[own[first]] = np.add.reduceat(self.scaled[numbers[known]], first, axis=0)
         total = sum(sums[i : i + blocks] for i in range(more + 1))
         norm = sum(norms[i : i + blocks] for i in range(more + 1))
-        return total / np.sqrt(np.maximum(norm, 1e-9))[:, None]
+        return total, np.sqrt(np.maximum(norm, 1e-9))
 
     def judge(self, texts: list[list[bytes]]) -> list[list[tuple[int, float, float, float]]]:
         """For each text, given as words, its contaminations (item, cosine, share covered, share of the answer)."""
@@ -164,14 +181,15 @@ class Latent:
             if not words:
                 continue
             numbers = self.numbers(words)
-            latent = self.windows(numbers)
+            latent, norms = self.windows(numbers)
             best: dict[int, list[tuple[int, float]]] = {}
-            # Queries are unit vectors: a shorter window can't reach the threshold.
-            able = np.flatnonzero((latent * latent).sum(axis=1) >= COSINE**2)
+            # A shorter window can't hold so much of any passage.
+            able = np.flatnonzero((latent * latent).sum(axis=1) >= (HELD * self.norms.min()) ** 2)
             for at in range(0, len(able), 4096):
-                cos = latent[able[at : at + 4096]] @ self.queries.T
-                for i, j in zip(*np.nonzero(cos >= COSINE), strict=True):
-                    best.setdefault(int(self.owner[j]), []).append((int(able[at + i]), float(cos[i, j])))
+                held = latent[able[at : at + 4096]] @ self.queries.T
+                for i, j in zip(*np.nonzero(held >= HELD), strict=True):
+                    w = able[at + i]
+                    best.setdefault(int(self.owner[j]), []).append((int(w), float(held[i, j] * self.norms[j] / norms[w])))
             for k, hits in sorted(best.items()):
                 if (found := self._verified(k, words, hits)) is not None:
                     out[slot].append(found)

@@ -62,6 +62,19 @@ def test_exact_leaks_of_many_items(spark):
         assert {(k, k) for k, _ in leaked} <= got
 
 
+def test_leaks_in_a_third_of_all_rows(spark, sf):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").collect()]
+    items += [(9000 + n, " ".join(items[n][1].split()[: n + 1])) for n in range(6)]  # of one to six words
+    hosts = [r.text.split() for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(300).collect()]
+    rows = []
+    for n, w in enumerate(hosts):
+        at = len(w) // 2 + n % 16
+        leaked = [t for _, t in items] if n % 3 == 0 else []
+        rows.append((n, " ".join([*w[:at], *(x for k, t in enumerate(leaked) for x in [t, *w[k : k + 30]]), *w[at:]]), "en", "x"))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(d, i) for d, text, *_ in rows for i, t in items if holds(text, t)} <= got
+
+
 def test_paraphrases_and_odd_rows(spark, sf):
     rng = random.Random(8)
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
