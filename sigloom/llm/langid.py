@@ -10,7 +10,7 @@ backpropagation through time on a bounded sample (``PER_LANGUAGE`` documents a l
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sigloom.llm.common import map_rows, remainder
 
@@ -135,6 +135,11 @@ def segments(raw: bytes) -> np.ndarray:
     return out.reshape(n, STEPS)
 
 
+def below_cut(id: Column, n: Column) -> Column:
+    """True for about twice PER_LANGUAGE of ``n`` ids; the bound is a double, as a product of longs overflows."""
+    return F.pmod(F.xxhash64(F.lit(3), id), F.lit(1 << 40)) < F.lit(float(2 * PER_LANGUAGE << 40)) / n
+
+
 def fit(docs: DataFrame, held_out: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], dict[str, np.ndarray] | None]:
     """(languages, weights) learnt from text and non-null language of rows outside the held-out split."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (remainder(id_col, held_out) != 0))
@@ -142,8 +147,7 @@ def fit(docs: DataFrame, held_out: int = 5, id_col: str = "doc_id", text_col: st
     ids = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
     # A cut through the hashes leaves about twice as many as are wanted to be ranked, however many there are.
     sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
-    near = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 40)) * F.col("n") < float(2 * PER_LANGUAGE << 40)
-    near = ids.join(F.broadcast(sizes), "lang").where(near).select("id", "lang")  # a row a language
+    near = ids.join(F.broadcast(sizes), "lang").where(below_cut(F.col("id"), F.col("n"))).select("id", "lang")  # a row a language
     picked = near.distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= PER_LANGUAGE)
     texts = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     size = F.greatest(F.length("text") - STEPS, F.lit(0)) + 1

@@ -128,3 +128,11 @@ def test_langid_of_odd_rows(spark):
     blank = spark.createDataFrame([(1, "text", None, "x")], DOCS)
     assert [r.lang_pred for r in langid.identify(blank).collect()] == ["und"]
     assert langid.identify(blank.limit(0)).count() == 0
+
+
+def test_langid_cut_of_many_rows(spark):
+    ids = spark.range(2_000_000)
+    for n in (1, 1000, 1200):
+        assert ids.limit(1000).where(langid.below_cut(F.col("id"), F.lit(n).cast("long"))).count() == 1000
+    got = ids.where(langid.below_cut(F.col("id"), F.lit(20_000_000).cast("long"))).count()
+    assert 70 <= got <= 180  # 120 are expected
