@@ -286,9 +286,10 @@ _TAGGED = "(SELECT *, CASE WHEN raw_id % 2 = 0 THEN 'x LAB_HOST=' || host || ' e
 
 
 def tagged(spark: SparkSession, d: str) -> DataFrame:
-    ev = normalized_events(spark, d).where("raw_id % 3 > 0")
+    """All events; the raw text of every third has no tag."""
+    ev = normalized_events(spark, d)
     kv, js = F.concat(F.lit("x LAB_HOST="), "host", F.lit(" end")), F.concat(F.lit('{"lab_host" : "'), "host", F.lit('"}'))
-    return ev.withColumn("raw", F.when(F.col("raw_id") % 2 == 0, kv).otherwise(js))
+    return ev.withColumn("raw", F.when(F.col("raw_id") % 3 > 0, F.when(F.col("raw_id") % 2 == 0, kv).otherwise(js)).otherwise("x end"))
 
 
 query("q_rex", f"WITH {EV} SELECT host AS lab_host, count(*) AS n FROM {_TAGGED} GROUP BY 1")(lambda s, d: V.tagged_counts(tagged(s, d), "lab_host"))

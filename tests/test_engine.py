@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigloom.operators import correlate, detect, features, serve, state
-from sigloom.plans import batch
+from sigloom.plans import batch, rollups
 from sigloom.sources.adapter import normalized_events, raw_lines
 from sigloom.sources.export import SearchExport, SessionKey, database_url, search_text
 from sigloom.sources.files import envelope
@@ -212,3 +212,9 @@ def test_small_helpers():
 @pytest.mark.parametrize("status, colour", [("NEW", "danger"), ("x", "secondary"), (None, "secondary")])
 def test_colours(spark, status, colour):
     assert spark.range(1).select(serve.status_colour(F.lit(status).cast("string"))).first()[0] == colour
+
+
+def test_tag_queries_read_all_events(spark, sf):
+    tagged = rollups.tagged(spark, sf)
+    assert tagged.count() == normalized_events(spark, sf).count()
+    assert 0 < sum(r.n for r in serve.tagged_counts(tagged, "lab_host").collect()) < tagged.count()
