@@ -172,49 +172,79 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def wide_links(prints: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
-    """(u, v): nodes of prints (p0, p1, p2) that meet in a bucket and differ in at most ``radius`` bits.
+def _bucket_links(keys: np.ndarray, bits: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (u, v) of rows, sorted by bucket, that connect all rows of a bucket that pairs within ``radius`` connect.
+
+    The first print of a bucket leads; those near it link to it, and the first of the others leads
+    next.  A print beyond a lead can still be near one that the lead took, if it is within twice the
+    radius of the lead: those are compared with all that the lead took, and link to one of them.
+    """
+    us, vs, far, far_lead = [], [], [], []
+    rest = np.arange(len(keys))
+    while len(rest):
+        k = keys[rest]
+        first = np.append(True, k[1:] != k[:-1])
+        lead = rest[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        rest, lead = rest[~first], lead[~first]
+        d = _apart(bits[rest], bits[lead])
+        near, unsure = d <= radius, (d > radius) & (d <= 2 * radius)
+        us.append(rest[near])
+        vs.append(lead[near])
+        far.append(rest[unsure])
+        far_lead.append(lead[unsure])
+        rest = rest[~near]
+    u, v, far, far_lead = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs, far, far_lead))
+    by, by_far = np.argsort(v, kind="stable"), np.argsort(far_lead, kind="stable")
+    taken, far, far_lead = v[by], far[by_far], far_lead[by_far]
+    more_u, more_v = [u], [v]
+    for lead in np.unique(far_lead):
+        own = u[by[np.searchsorted(taken, lead) : np.searchsorted(taken, lead, side="right")]]
+        if not len(own):
+            continue
+        asked = far[np.searchsorted(far_lead, lead) : np.searchsorted(far_lead, lead, side="right")]
+        for at in range(0, len(own), 4096):
+            members = own[at : at + 4096]
+            left = []
+            for k in range(0, len(asked), 256):
+                part = asked[k : k + 256]
+                close = _apart(bits[part][:, None], bits[members][None]) <= radius
+                hit = close.any(axis=1)
+                more_u.append(part[hit])
+                more_v.append(members[close[hit].argmax(axis=1)])
+                left.append(part[~hit])
+            asked = np.concatenate(left) if left else asked
+            if not len(asked):
+                break
+    return np.concatenate(more_u), np.concatenate(more_v)
 
-    In a bucket, the first print leads; those near it link to it, and the first of the others leads
-    next.  So a bucket full of copies costs one comparison a row, and what a task holds of a
-    bucket is its leaders.
+
+def wide_links(prints: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
+    """(u, v): nodes of prints (p0, p1, p2), so that all pairs are connected that meet in a bucket and differ
+    in at most ``radius`` bits, and every link is such a pair.  A task holds one bucket and one batch.
     """
     def run(batches):
-        bucket, leaders = None, []  # of the bucket that the next batch may go on with
+        open_keys, open_bits = [], []  # parts of the bucket that the next batch may go on with
+
+        def links(keys, bits):
+            u, v = _bucket_links(keys, bits, radius)
+            node = node_of(bits)
+            return pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], names=["u", "v"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = batch.column(0).to_numpy()
             bits = np.stack([batch.column(i).to_numpy() for i in (1, 2, 3)], axis=1).view(np.uint64)
-            node = node_of(bits)
-            us, vs = [], []
-            rest = np.arange(len(keys))
-            if keys[0] == bucket:
-                own = rest[: np.searchsorted(keys, bucket, side="right")]
-                after = rest[len(own) :]
-                for lead, lead_bits in leaders:
-                    near = _apart(bits[own], lead_bits) <= radius
-                    us.append(node[own[near]])
-                    vs.append(np.full(int(near.sum()), lead))
-                    own = own[~near]
-                rest = np.concatenate((own, after))
-            if keys[-1] != bucket:
-                bucket, leaders = keys[-1], []
-            while len(rest):
-                k = keys[rest]
-                first = np.append(True, k[1:] != k[:-1])
-                at = np.flatnonzero(first)
-                lead = rest[at[np.cumsum(first) - 1]]
-                if k[-1] == bucket:
-                    leaders.append((node[lead[-1]], bits[lead[-1]]))
-                others = ~first
-                rest, lead = rest[others], lead[others]
-                near = _apart(bits[rest], bits[lead]) <= radius
-                us.append(node[rest[near]])
-                vs.append(node[lead[near]])
-                rest = rest[~near]
-            u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            last = int(np.searchsorted(keys, keys[-1]))
+            if open_keys and (last or open_keys[0][0] != keys[0]):
+                yield links(np.concatenate([*open_keys, keys[:last]]), np.concatenate([*open_bits, bits[:last]]))
+                open_keys, open_bits = [], []
+            elif last:
+                yield links(keys[:last], bits[:last])
+            open_keys.append(keys[last:])
+            open_bits.append(bits[last:])
+        if open_keys:
+            yield links(np.concatenate(open_keys), np.concatenate(open_bits))
 
     dealt = _buckets(prints).repartition(F.col("bucket")).sortWithinPartitions("bucket", "p0", "p1", "p2")
     return dealt.mapInArrow(run, "u long, v long").where("u <> v").distinct()
