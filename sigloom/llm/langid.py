@@ -1,10 +1,10 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
-Texts are cut into segments of ``STEPS`` bytes.  In each, one GRU reads forwards and one
+Texts are cut into segments of ``STEPS`` bytes (the last is padded).  In each, one GRU reads forwards and one
 backwards; both states together label every byte position, and a document's probabilities
 are the mean over the positions of its whole text.  The network is trained in numpy by
 backpropagation through time on a bounded sample (``PER_LANGUAGE`` documents a language,
-``WINDOWS`` windows of each); everything else covers all rows.
+``WINDOWS`` windows of STEPS characters of each); everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -110,7 +110,7 @@ def gradients(w, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndar
 
 
 def train(x: np.ndarray, y: np.ndarray, n_langs: int, epochs: int = EPOCHS, batch: int = BATCH, seed: int = 7) -> dict[str, np.ndarray]:
-    """Adam over minibatches of segments ``x`` (rows, STEPS) with language numbers ``y``."""
+    """Adam over minibatches of segments ``x`` (rows, STEPS) with language numbers ``y``; gradients are cut to norm 1."""
     w, rng = start_weights(n_langs, seed), np.random.default_rng(seed)
     m1 = {k: np.zeros_like(v) for k, v in w.items()}
     m2 = {k: np.zeros_like(v) for k, v in w.items()}
@@ -119,11 +119,12 @@ def train(x: np.ndarray, y: np.ndarray, n_langs: int, epochs: int = EPOCHS, batc
         pick = rng.integers(0, len(x), min(batch, len(x)))
         _, g = gradients(w, x[pick].T, y[pick])
         norm = float(np.sqrt(sum((v * v).sum() for v in g.values())))
-        rate = 0.02 * (1 - 0.9 * step / steps) * min(1.0, 1.0 / (norm + 1e-9))
+        clip, rate = min(1.0, 1.0 / (norm + 1e-9)), 0.02 * (1 - 0.9 * step / steps)
         for k, v in g.items():
+            v = v * clip
             m1[k] = 0.9 * m1[k] + 0.1 * v
             m2[k] = 0.99 * m2[k] + 0.01 * v * v
-            w[k] -= (0.02 * (1 - 0.9 * step / steps)) * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-6)
+            w[k] -= rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-6)
     return w
 
 
@@ -153,13 +154,17 @@ def fit(docs: DataFrame, held_out: int = 5, id_col: str = "doc_id", text_col: st
     size = F.greatest(F.length("text") - STEPS, F.lit(0)) + 1
     spots = F.transform(F.sequence(F.lit(1), F.lit(WINDOWS)), lambda i: F.encode(F.substring("text", (F.pmod(F.xxhash64("id", i), size) + 1).cast("int"), F.lit(STEPS)), "UTF-8"))
     # The picked ids are bounded by PER_LANGUAGE a language: the broadcast is too.
-    rows = texts.join(F.broadcast(picked.drop("k")), ["id", "lang"]).select("lang", F.explode(spots).alias("raw")).where(F.length("raw") > 0).collect()
+    # Of rows that repeat an id and language one is taken, so what is collected is bounded by ids.
+    windows = texts.join(F.broadcast(picked.drop("k")), ["id", "lang"]).groupBy("lang", "id").agg(F.min(spots).alias("spots"))
+    rows = windows.select("lang", F.explode("spots").alias("raw")).where(F.length("raw") > 0).collect()
     langs = sorted({r.lang for r in rows})
     if not langs:
         return [], None
     rows.sort(key=lambda r: (r.lang, bytes(r.raw)))
-    x = np.concatenate([segments(bytes(r.raw)[:STEPS]) for r in rows])
-    y = np.array([langs.index(r.lang) for r in rows])
+    # A window of STEPS characters is one to four segments of bytes; all of them train.
+    cut = [segments(bytes(r.raw)) for r in rows]
+    x = np.concatenate(cut)
+    y = np.repeat([langs.index(r.lang) for r in rows], [len(c) for c in cut])
     return langs, train(x, y, len(langs))
 
 

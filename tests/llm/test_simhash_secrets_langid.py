@@ -173,3 +173,47 @@ def test_wide_links_lose_no_link_of_a_bucket(spark):
             assert np.bitwise_count((bits[at[u]] ^ bits[at[v]]).view(np.uint64)).sum() <= simhash.WIDE_RADIUS
             root[find(at[u])] = find(at[v])
         assert all(find(4 * f) == find(4 * f + k) for f in range(60) for k in range(4))
+
+
+def plain_label(text, langs, w):
+    """Language and score by loops over single bytes."""
+    raw, n, h = text.encode(), len(langs), langid.HIDDEN
+    sums = np.zeros(n)
+    w = {k: v.astype(np.float64) for k, v in w.items()}
+    for at in range(0, len(raw), langid.STEPS):
+        seg = raw[at : at + langid.STEPS]
+        states = np.zeros((len(seg), 2 * h))
+        for k, d in enumerate("fb"):
+            s = np.zeros(h)
+            for i in range(len(seg)) if d == "f" else reversed(range(len(seg))):
+                a, u = w["E" + d][:, seg[i]] + w["c" + d][:, 0], w["U" + d] @ s
+                z, r = (1 / (1 + np.exp(-(a[j * h : j * h + h] + u[j * h : j * h + h]))) for j in (0, 1))
+                s = z * s + (1 - z) * np.tanh(a[2 * h :] + r * u[2 * h :])
+                states[i, k * h : k * h + h] = s
+        for s in states:
+            e = np.exp(w["V"] @ s + w["o"][:, 0])
+            sums += e / e.sum()
+    return langs[int(sums.argmax())], float(sums.max() / len(raw))
+
+
+def test_labels_match_plain_loops(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    langs, w = langid.fit(docs)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(12).collect()] + ["é", "a" * 64, "日本語" * 50]
+    names, scores = langid.label([*texts, None, "", "12"], langs, w)
+    for text, name, score in zip(texts, names, scores):
+        want = plain_label(text[:3000] if len(text) > 3000 else text, langs, w)
+        if len(text) <= 3000:
+            assert name == want[0] and abs(score - want[1]) < 1e-4
+    assert names[-3:] == ["und"] * 3 and scores[-3:] == [0.0] * 3
+
+
+def test_windows_of_wide_characters_train_whole(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda x, y, n: seen.append((x, y)))
+    rows = [(1, "日" * 64, "ja", "x"), (2, "a" * 64, "en", "x"), *[(3, "b" * 10, "en", "x")] * 50]
+    langid.fit(spark.createDataFrame(rows, DOCS), held_out=7919)
+    x, y = seen[0]
+    # Four windows a document; 192 bytes make three segments, and an id counts once however often it is repeated.
+    assert len(x) == len(y) == 4 * 3 + 4 + 4 and (y == 1).sum() == 12
+    assert sorted((x[y == 1] != langid.PAD).sum(axis=1)) == [64] * 12
