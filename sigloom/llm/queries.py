@@ -18,7 +18,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.without_repeats(_docs(spark, sf_dir, "doc_id", "text")).drop("kept")
+    return suffix_dedup.without_repeats(_docs(spark, sf_dir, "doc_id", "text"), with_text=False)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

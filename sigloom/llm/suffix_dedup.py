@@ -7,12 +7,14 @@ meet without sending the corpus around once for each:
 1. Each string of SPAN bytes has an anchor, the leftmost least of its k-gram hashes.  Strings
    that follow one another and share an anchor are one segment; equal strings have equal
    anchors at equal places.  One row a segment, some bytes long, is shuffled by its anchor.
-2. In an anchor's family, equal segments need no text: all but the first are repeats.  Only a
-   family with different segments is sorted: the text of the first of each kind is fetched,
-   a suffix array of the family is built by linear grouping (:mod:`sigloom.llm.gsaca`), and of
-   neighbours that agree in SPAN bytes all but the earliest are repeats.
-3. A family of more than ``FAMILY`` different segments is split by its strings: rows of a
-   string's 128-bit digest, shuffled by it, find the first of each kind.
+2. Copies are folded before anything is sorted: segments equal in 128-bit BLAKE2 digests are one
+   string, and all of its places but the first are repeats.  A family with several strings is
+   sorted: their text is fetched, a suffix array of the family is built by linear grouping
+   (:mod:`sigloom.llm.gsaca`), and of neighbours that agree in SPAN bytes all but the earliest
+   are repeats.
+3. No task holds a hot anchor: a family of more than ``LARGE`` strings is dealt on by its windows of SPAN
+   bytes.  Those go to the same suffix arrays, seven bytes a symbol, and only those that copy one of
+   their batch are folded before.
 4. The repeats of each document are united and cut out.
 """
 
@@ -33,7 +35,9 @@ from sigloom.llm.gsaca import suffix_arrays
 SPAN = 100
 GRAM = 32
 WIDTH = SPAN - GRAM + 1  # k-grams in a string
-FAMILY = 48
+LARGE = 512  # strings of an anchor; more are dealt on by their windows
+SMALL_TABLE = 1_000_000  # rows of two numbers that may be broadcast
+PACKED = 7  # bytes a symbol where only whole windows are sorted
 PIECE = 1 << 20  # window starts hashed at a time
 SORTED_AT_ONCE = 2 << 20  # symbols
 NO_ID = 2**63 - 1  # place of null ids: after all others
@@ -61,8 +65,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def segment_rows(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text number, first window, windows, anchor hash, segment hash) of every segment."""
-    out: list[list[np.ndarray]] = [[] for _ in range(5)]
+    """(text number, first window, windows, anchor hash, both halves of the digest) of every segment."""
+    out: list[list[np.ndarray]] = [[] for _ in range(6)]
     todo: list[tuple[int, int, bytes]] = []
     held = 0
 
@@ -84,7 +88,8 @@ def segment_rows(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def _segments(pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
-    buf = np.frombuffer(b"".join(x[2] for x in pieces), np.uint8)
+    raw = b"".join(x[2] for x in pieces)
+    buf = np.frombuffer(raw, np.uint8)
     ends = np.cumsum([len(x[2]) for x in pieces])
     up, down = _power(len(buf))
     h = np.zeros(len(buf) + 1, np.uint64)
@@ -106,11 +111,12 @@ def _segments(pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)))
     count = np.diff(np.append(first, len(at)))
     start, place = at[first], own[first]
-    content = (h[start + count + SPAN - 1] - h[start]) * down[start]
-    segment = _mixed(_mixed(content) + (place - start).astype(np.uint64) * _U(0x9FB21C651E98DF25) + count.astype(np.uint64))
+    digest = hashlib.blake2b
+    digests = b"".join([digest(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), (start + count + SPAN - 1).tolist(), strict=True)])
+    halves = np.frombuffer(digests, np.uint64).reshape(-1, 2)
     piece = np.searchsorted(ends, start, side="right")
     starts, text, offset = ends - [len(x[2]) for x in pieces], np.array([x[0] for x in pieces]), np.array([x[1] for x in pieces])
-    return text[piece], start - starts[piece] + offset[piece], count, gram[place], segment
+    return text[piece], start - starts[piece] + offset[piece], count, gram[place], halves[:, 0], halves[:, 1]
 
 
 def tag_of(text: bytes) -> int:
@@ -123,84 +129,100 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), text.alias("text"))
 
 
-_ROWS = "h long, s long, doc long, pack long"
+_ROWS = "h long, s long, t long, doc long, pack long"
 _KNOWN = -(2**63)  # added to the pack of a row that repeats another of its batch
 
 
-def _combined(h: np.ndarray, s: np.ndarray, doc: np.ndarray, pack: np.ndarray) -> tuple[np.ndarray, ...]:
+def _combined(h: np.ndarray, s: np.ndarray, t: np.ndarray, doc: np.ndarray, pack: np.ndarray) -> tuple[np.ndarray, ...]:
     """The rows of a batch, sorted, with all but the first of a kind marked as known repeats.
 
     A known repeat needs no family: it goes to any task, so a string that occurs everywhere sends
     its own task a row for each batch and not for each occurrence.
     """
-    order = np.lexsort((pack, doc, s, h))
-    h, s, doc, pack = (x[order] for x in (h, s, doc, pack))
-    kind = np.append(True, (h[1:] != h[:-1]) | (s[1:] != s[:-1]))[: len(h)]
+    order = np.lexsort((pack, doc, t, s, h))
+    h, s, t, doc, pack = (x[order] for x in (h, s, t, doc, pack))
+    kind = np.append(True, (h[1:] != h[:-1]) | (s[1:] != s[:-1]) | (t[1:] != t[:-1]))[: len(h)]
     lead = np.flatnonzero(kind)[np.cumsum(kind) - 1]
     known = ~kind & ((doc != doc[lead]) | (pack != pack[lead]))
     h[known] = _mixed((pack[known] ^ doc[known]).view(np.uint64)).view(np.int64)
-    return h, s, doc, np.where(known, pack + _KNOWN, pack)
+    return h, s, t, doc, np.where(known, pack + _KNOWN, pack)
 
 
 def _anchored(keyed: DataFrame) -> DataFrame:
-    """(h, s, doc, pack): a row a segment; pack orders tag, start and holds the number of windows."""
+    """(h, s, t, doc, pack): a row a segment; pack orders tag, start and holds the number of windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = part.column(1).to_pylist()
-                text, start, count, h, s = segment_rows(texts)
+                text, start, count, h, s, t = segment_rows(texts)
                 tags = np.array([tag_of(x) for x in texts], np.int64)
                 pack = tags[text] << 39 | start << 7 | count
-                yield _batch(*_combined(h.view(np.int64), s.view(np.int64), part.column(0).to_numpy()[text], pack))
+                yield _batch(*_combined(h.view(np.int64), s.view(np.int64), t.view(np.int64), part.column(0).to_numpy()[text], pack))
 
     return keyed.mapInArrow(run, _ROWS)
 
 
-def _batch(*columns, names=("h", "s", "doc", "pack")) -> pa.RecordBatch:
+def _batch(*columns, names=("h", "s", "t", "doc", "pack")) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(names))
 
 
+REPEAT, FIRST, HOT = 0, 1, 2  # what a row of events tells
+
+
 def _sorted_out(rows: DataFrame) -> DataFrame:
-    """(h, doc, pack, first) of every row in need of more: repeats, and the first of each kind in a mixed family.
+    """(h, doc, pack, what): the repeats, the first of each string in a family of several, and a row HOT for a
+    family of more than LARGE strings.
 
-    Rows come sorted by h, s, doc, pack; one row is carried from batch to batch.
+    Rows come sorted by h, s, t, doc, pack; one row is carried from batch to batch.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the latest first of a kind: h, s, doc, pack, whether its family is known to be mixed
-        names = ("h", "doc", "pack", "first")
+        held = None  # the latest first of a string: h, s, t, doc, pack, and the strings of its family so far
+        names = ("h", "doc", "pack", "what")
+
+        def out(h, doc, pack, what):
+            return _batch(h, doc, pack, np.full(len(h), what, np.int8), names=names)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, s, doc, pack = (c.to_numpy() for c in batch.columns)
+            h, s, t, doc, pack = (c.to_numpy() for c in batch.columns)
             told = pack < 0
             if told.any():
-                yield _batch(h[told], doc[told], pack[told] - _KNOWN, np.zeros(int(told.sum()), bool), names=names)
-                h, s, doc, pack = (x[~told] for x in (h, s, doc, pack))
+                yield out(h[told], doc[told], pack[told] - _KNOWN, REPEAT)
+                h, s, t, doc, pack = (x[~told] for x in (h, s, t, doc, pack))
                 if not len(h):
                     continue
-            known = np.zeros(len(h), bool)
             if held is not None:
-                h, s, doc, pack = (np.append(a, b) for a, b in zip(held[:4], (h, s, doc, pack), strict=True))
-                known = np.append(held[4], known)
-            kind = np.append(True, (h[1:] != h[:-1]) | (s[1:] != s[:-1]))
+                h, s, t, doc, pack = (np.append(a, b) for a, b in zip(held[:5], (h, s, t, doc, pack), strict=True))
+            kind = np.append(True, (h[1:] != h[:-1]) | (s[1:] != s[:-1]) | (t[1:] != t[:-1]))
             at = np.flatnonzero(kind)
             lead = at[np.cumsum(kind) - 1]
             repeat = ~kind & ((doc != doc[lead]) | (pack != pack[lead]))
-            same = h[at][1:] == h[at][:-1]
-            mixed = known[at] | np.append(False, same) | np.append(same, False)
+            fam = h[at]
+            begins = np.flatnonzero(np.append(True, fam[1:] != fam[:-1]))
+            sizes = np.diff(np.append(begins, len(at)))
+            if held is not None:
+                sizes[0] += held[5] - 1  # those of earlier batches; the carried one counts once
+            size = np.repeat(sizes, np.diff(np.append(begins, len(at))))
+            # The last string waits for the next batch, in which its family may go on.
+            mixed = size > 1
             last = at[-1]
-            if len(at) and held is not None and at[-1] == 0:
-                mixed[0] = held[4]
-            held = (h[last], s[last], doc[last], pack[last], bool(mixed[-1]))
             firsts = at[:-1][mixed[:-1]]
-            pick = np.concatenate((np.flatnonzero(repeat), firsts))
-            yield _batch(h[pick], doc[pick], pack[pick], np.arange(len(pick)) >= len(pick) - len(firsts), names=names)
-        if held is not None and held[4]:
-            yield _batch([held[0]], [held[2]], [held[3]], [True], names=names)
-
-    dealt = rows.repartition(F.col("h")).sortWithinPartitions("h", "s", "doc", "pack")
-    return dealt.mapInArrow(run, "h long, doc long, pack long, first boolean")
+            pick = np.flatnonzero(repeat)
+            yield out(h[pick], doc[pick], pack[pick], REPEAT)
+            yield out(h[firsts], doc[firsts], pack[firsts], FIRST)
+            done = begins[:-1][sizes[:-1] > LARGE]  # families that ended
+            if len(done):
+                yield out(fam[done], np.zeros(len(done), np.int64), np.zeros(len(done), np.int64), HOT)
+            held = (h[last], s[last], t[last], doc[last], pack[last], int(sizes[-1]))
+        if held is not None and held[5] > 1:
+            yield out(np.array([held[0]]), np.array([held[3]]), np.array([held[4]]), FIRST)
+            if held[5] > LARGE:
+                yield out(np.array([held[0]]), np.zeros(1, np.int64), np.zeros(1, np.int64), HOT)
+
+    dealt = rows.repartition(F.col("h")).sortWithinPartitions("h", "s", "t", "doc", "pack")
+    return dealt.mapInArrow(run, "h long, doc long, pack long, what byte")
 
 
 def _intervals(repeats: DataFrame) -> DataFrame:
@@ -223,68 +245,97 @@ def _packed(keyed: DataFrame) -> DataFrame:
 
 
 def _fetched(keyed: DataFrame, asked: DataFrame) -> DataFrame:
-    """Text for each asked segment (h, doc, pack, hot): the segment, or, if hot, a row for each string's digest."""
+    """(h, doc, pack, segment): the text of each asked segment (h, doc, pack, hot) or, if hot, of each of its windows,
+    under their digests.  A window that copies one of its batch is known: its pack is negative and it needs no text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         for batch in batches:
-            whole, strings = [], []
+            rows, size, seen = [], 0, {}
             for at in range(batch.num_rows):
                 doc, blob, asks = (batch.column(i)[at].as_py() for i in range(3))
                 text = z.decompress(blob)
                 for x in asks:
                     start, count = x["pack"] >> 7 & 0xFFFFFFFF, x["pack"] & 127
                     if not x["hot"]:
-                        whole.append((x["h"], 0, doc, x["pack"], text[start : start + count + SPAN - 1]))
+                        rows.append((x["h"], doc, x["pack"], text[start : start + count + SPAN - 1]))
+                        size += count + SPAN
                         continue
                     for i in range(start, start + count):
-                        d = hashlib.blake2b(text[i : i + SPAN], digest_size=16).digest()
-                        strings.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), doc, x["pack"] >> 39 << 39 | i << 7 | 1))
-                if len(whole) + len(strings) >= 1 << 16:
-                    yield from rows_of(whole, strings)
-                    whole, strings = [], []
-            yield from rows_of(whole, strings)
-
-    def rows_of(whole: list, strings: list) -> Iterator[pa.RecordBatch]:
-        names = ("h", "s", "doc", "pack", "segment")
-        if whole:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*whole), kinds, strict=True)], names=names)
-        if strings:
-            columns = _combined(*(np.array(c, np.int64) for c in zip(*strings)))
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(strings), pa.binary())], names=names)
+                        own, pack = text[i : i + SPAN], x["pack"] >> 39 << 39 | i << 7 | 1
+                        first = seen.setdefault(own, (doc, pack))
+                        if first == (doc, pack):
+                            d = int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "big", signed=True)
+                            rows.append((d, doc, pack, own))
+                            size += SPAN
+                        elif first < (doc, pack):
+                            rows.append((0, doc, pack + _KNOWN, None))
+                        else:  # the earlier of the two stands for both
+                            seen[own] = (doc, pack)
+                            d = int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "big", signed=True)
+                            rows += [(d, doc, pack, own)]
+                            size += SPAN
+                if size + 32 * len(rows) >= 8 << 20:
+                    yield rows_of(rows)
+                    rows, size = [], 0
+                    seen = {} if len(seen) > 1 << 18 else seen
+            yield rows_of(rows)
+
+    def rows_of(rows: list) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        columns = zip(*rows) if rows else ((),) * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["h", "doc", "pack", "segment"])
 
     asks = asked.select("doc", F.shiftright("pack", 39).alias("tag"), F.struct("h", "pack", "hot").alias("x")).groupBy("doc", "tag").agg(F.collect_list("x").alias("asks"))
     texts = _packed(keyed).join(asks, ["doc", "tag"]).select("doc", "blob", "asks")
-    return texts.mapInArrow(run, _ROWS + ", segment binary")
+    return texts.mapInArrow(run, "h long, doc long, pack long, segment binary")
+
+
+def _packed_symbols(windows: list[bytes]) -> np.ndarray:
+    """Windows of SPAN bytes as rows of numbers of PACKED bytes each, equal if and only if the windows are."""
+    wide = -(-SPAN // PACKED)
+    x = np.zeros((len(windows), wide * PACKED), np.int64)
+    x[:, :SPAN] = np.frombuffer(b"".join(windows), np.uint8).reshape(-1, SPAN)
+    return x.reshape(len(windows), wide, PACKED) @ (256 ** np.arange(PACKED - 1, -1, -1))
 
 
 def family_repeats(families: list[list[tuple[int, int, bytes]]]) -> list[tuple[int, int]]:
-    """(doc, pack) runs of windows that repeat an earlier one; a family lists (doc, pack, segment) in order."""
-    symbols, base, docs, packs, at_of = [], [0], [], [], []
+    """(doc, pack) runs of windows that repeat an earlier one; a family lists (doc, pack, segment) in order.
+
+    Families of single windows are sorted by packed symbols, the others byte by byte.
+    """
+    single = [f for f in families if all(len(x[2]) == SPAN for x in f)]
+    others = [f for f in families if any(len(x[2]) != SPAN for x in f)]
+    return (_repeats(single, True) if single else []) + (_repeats(others, False) if others else [])
+
+
+def _repeats(families: list[list[tuple[int, int, bytes]]], packed: bool) -> list[tuple[int, int]]:
+    symbols, base, at_of = [], [0], []
+    docs, packs = ([x[i] for f in families for x in f] for i in (0, 1))
+    if packed:
+        made = iter(np.unique(_packed_symbols([x[2] for f in families for x in f]), return_inverse=True)[1].reshape(len(docs), -1) + 2)
+    span = -(-SPAN // PACKED) if packed else SPAN
     for family in families:
-        for i, (doc, pack, seg) in enumerate(family):
-            x = np.frombuffer(seg, np.uint8).astype(np.int64) + 2
+        for i, (_, _, seg) in enumerate(family):
+            x = next(made) if packed else np.frombuffer(seg, np.uint8).astype(np.int64) + 2
             symbols += [x, np.array([0 if i == len(family) - 1 else 1])]
-            docs.append(doc)
-            packs.append(pack)
-            at_of.append(len(seg) + 1)
-        base.append(base[-1] + sum(len(s) + 1 for _, _, s in family))
+            at_of.append(len(x) + 1)
+        base.append(base[-1] + sum(at_of[len(at_of) - len(family) :]))
     text = np.concatenate(symbols)
     sa = suffix_arrays(text, np.array(base))
-    # Windows: places with SPAN bytes left in their segment.
+    # Windows: places with a window's symbols left in their segment.
     start = np.cumsum(at_of) - at_of
     left = np.repeat(start + at_of - 1, at_of) - np.arange(len(text))
-    rows = sa[left[sa] >= SPAN]
+    rows = sa[left[sa] >= span]
     lane = np.searchsorted(np.array(base), rows, side="right")
     equal = np.zeros(len(rows), bool)
     for a in range(1, len(rows), 1 << 16):
         x, y = rows[a - 1 : a + (1 << 16) - 1], rows[a : a + (1 << 16)]
         x = x[: len(y)]
-        same = (text[x] == text[y]) & (text[x + SPAN - 1] == text[y + SPAN - 1]) & (lane[a - 1 : a - 1 + len(y)] == lane[a : a + len(y)])
+        same = (text[x] == text[y]) & (text[x + span - 1] == text[y + span - 1]) & (lane[a - 1 : a - 1 + len(y)] == lane[a : a + len(y)])
         k = np.flatnonzero(same)
         if len(k):
-            span = np.arange(SPAN)
-            same[k] = (text[x[k][:, None] + span] == text[y[k][:, None] + span]).all(axis=1)
+            each = np.arange(span)
+            same[k] = (text[x[k][:, None] + each] == text[y[k][:, None] + each]).all(axis=1)
         equal[a : a + len(y)] = same
     group = np.cumsum(~equal)
     first = np.full(group[-1] + 1 if len(group) else 1, np.iinfo(np.int64).max)
@@ -306,7 +357,7 @@ def _sorted_families(rows: DataFrame) -> DataFrame:
         family: list[tuple[int, int, bytes]] = []
         held, last = 0, None
 
-        def found(everything: bool) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[pa.RecordBatch]:
             nonlocal pool, held
             pool.sort(key=lambda f: sum(len(x[2]) for x in f))
             chunk, size = [], 0
@@ -329,15 +380,15 @@ def _sorted_families(rows: DataFrame) -> DataFrame:
                 if h != last:
                     if len(family) > 1:
                         pool.append(family)
+                        held += sum(len(x[2]) for x in family)
                     family, last = [], h
                     if held >= 4 * SORTED_AT_ONCE:
-                        yield from found(False)
+                        yield from found()
                 if not family or family[-1][:2] != (doc, pack):
                     family.append((doc, pack, seg))
-                    held += len(seg)
         if len(family) > 1:
             pool.append(family)
-        yield from found(True)
+        yield from found()
 
     dealt = rows.select("h", "doc", "pack", "segment").repartition(F.col("h")).sortWithinPartitions("h", "doc", "pack")
     return dealt.mapInArrow(run, "doc long, pack long")
@@ -357,18 +408,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc, tag, start, end): byte intervals that go, in any order, overlaps included."""
     keyed = _keyed(docs, id_col, text_col)
     events = stored(_sorted_out(_anchored(keyed)), "segments")
-    asked = events.where("first").select("h", "doc", "pack")
-    large = asked.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > FAMILY).select("h", F.lit(True).alias("hot"))
-    asked = asked.join(large, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    hot = events.where(F.col("what") == HOT).select("h", F.lit(True).alias("hot"))
+    if hot.count() <= SMALL_TABLE:
+        hot = F.broadcast(hot)
+    asked = events.where(F.col("what") == FIRST).select("h", "doc", "pack").join(hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     texts = stored(_fetched(keyed, asked), "families")
-    repeats = events.where("NOT first").select("doc", "pack")
-    repeats = repeats.union(_sorted_families(texts.where("segment IS NOT NULL")))
-    strings = _sorted_out(texts.where("segment IS NULL").select("h", "s", "doc", "pack"))
-    return _intervals(repeats.union(strings.where("NOT first").select("doc", "pack")))
+    repeats = events.where(F.col("what") == REPEAT).select("doc", "pack")
+    known = texts.where("segment IS NULL").select("doc", (F.col("pack") - F.lit(_KNOWN)).alias("pack"))
+    return _intervals(repeats.union(known).union(_sorted_families(texts.where("segment IS NOT NULL"))))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary).
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 and, ``with_text``, kept (binary).
 
     A null text counts as empty.  A null id comes after all others.  Rows that repeat id and text
     are one document and get the same result; texts that differ under one id are ordered by a
@@ -385,12 +436,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     spans = union_of([x["start"] for x in cuts or ()], [x["end"] for x in cuts or ()])
                     edges = [0, *(y for x in spans for y in x), len(text)]
                     kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    rows.append((None if doc == NO_ID else doc, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+                    rows.append((None if doc == NO_ID else doc, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] if with_text else []))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)], names=schema.fieldNames())
 
     cuts = repeated_spans(docs, id_col, text_col).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
     texts = _packed(_keyed(docs, id_col, text_col)).join(cuts, ["doc", "tag"], "left").select("doc", "blob", "cuts")
-    schema = T.StructType([T.StructField(id_col, T.LongType()), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([T.StructField(id_col, T.LongType()), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), *([T.StructField("kept", T.BinaryType())] if with_text else [])])
     return texts.mapInArrow(run, schema)

@@ -36,9 +36,9 @@ def test_small_corpus(spark):
     assert got == want and sum(x[1] for x in want.values()) > 100_000
 
 
-@pytest.mark.parametrize("family", [48, 3])
-def test_odd_texts(spark, family, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "FAMILY", family)
+@pytest.mark.parametrize("large", [512, 3])
+def test_odd_texts(spark, large, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "LARGE", large)
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcé ") for _ in range(rng.randint(2, 9)))
     text = lambda n: " ".join(word() for _ in range(n))
@@ -64,7 +64,33 @@ def test_repeated_and_null_ids(spark):
 def test_long_text_in_pieces(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 300)
     b = bytes(random.Random(1).randrange(256) for _ in range(5000))
-    text, start, count, h, s = suffix_dedup.segment_rows([b, b[:99], b[1000:2500]])
+    text, start, count, h, s, t = suffix_dedup.segment_rows([b, b[:99], b[1000:2500]])
     own = sorted((int(a), int(n)) for t, a, n in zip(text, start, count) if t == 0)
     assert own[0][0] == 0 and all(x + n == y for (x, n), (y, _) in zip(own, own[1:])) and sum(own[-1]) == 4901
     assert max(count) <= suffix_dedup.WIDTH and set(text.tolist()) == {0, 2}
+
+
+def test_families_by_brute_force(monkeypatch):
+    rng = random.Random(6)
+    called = []
+    arrays = suffix_dedup.suffix_arrays
+    monkeypatch.setattr(suffix_dedup, "suffix_arrays", lambda *a: called.append(len(a[1]) - 1) or arrays(*a))
+    for lengths in ((100,), (100, 101, 130, 168)):
+        families = []
+        for _ in range(60):
+            parts = [bytes(rng.choice(b"ab") for _ in range(rng.choice(lengths))) for _ in range(3)]
+            own = [(d, d << 7 | 1, rng.choice(parts)) for d in range(rng.randint(2, 9))]
+            families.append([(d, p & ~127 | len(x) - 99, x) for d, p, x in own])
+        got = set()
+        for doc, pack in suffix_dedup.family_repeats([[(k * 100 + d, p, x) for d, p, x in f] for k, f in enumerate(families)]):
+            got |= {(doc, (pack >> 7 & 0xFFFFFFFF) + i) for i in range(pack & 127)}
+        want = set()
+        for k, f in enumerate(families):
+            seen = set()
+            for d, p, x in f:
+                for i in range(len(x) - 99):
+                    if x[i : i + 100] in seen:
+                        want.add((k * 100 + d, (p >> 7) + i))
+                    seen.add(x[i : i + 100])
+        assert got == want and want
+    assert called == [60, 60] or sum(called) == 120
