@@ -2,16 +2,18 @@
 
 Signals come in order of their window's end.  One joins the entity's incident if that was
 updated in the last 30 minutes and started in the last 4 hours; otherwise it founds a new one.
-In this order only the newest incident can match, so the fold's state is one incident.  Rows
-are dealt by entity and sorted on disk if need be; a task streams through them.
+In this order only the newest incident can match, so the fold's state is one incident.  No incident spans a
+gap of over 30 minutes, so each entity's signals are cut into sessions there, by a window function; sessions are
+dealt and folded each on its own, and a signal without neighbours founds its incident without a fold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 GAP_MINUTES = 30  # fixed values
 CAP_HOURS = 4
@@ -23,21 +25,29 @@ def assign(signals: DataFrame, id_col: str = "dedupe_key", gap_minutes: int = GA
     gap, cap = gap_minutes * 60_000_000, cap_hours * 3_600_000_000
     columns = signals.columns
     keyed = signals.withColumns({"__s": F.unix_micros(F.col("window_start").cast("timestamp")), "__e": F.unix_micros(F.col("window_end").cast("timestamp"))})
-    dealt = keyed.repartition("entity_type", "entity_id").sortWithinPartitions("entity_type", "entity_id", "__e", id_col)
+    order = Window.partitionBy("entity_type", "entity_id").orderBy("__e", id_col)
+    opens = F.coalesce(F.col("__e") - F.lag("__e").over(order) > gap, F.lit(True))
+    # A session is named by the end and the id of its first signal.
+    first = F.when(opens, F.struct(F.col("__e").alias("e"), F.col(id_col).alias("id")))
+    sessions = keyed.withColumn("__session", F.xxhash64("entity_type", "entity_id", F.last(first, True).over(order)))
+    dealt = sessions.repartition("__session").sortWithinPartitions("__session", "entity_type", "entity_id", "__e", id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entity, start, last, incident = None, 0, 0, None
         for batch in batches:
-            ids, founders = [], []
-            got = (batch.column(c).to_pylist() for c in ("entity_type", "entity_id", "__s", "__e", id_col))
-            for kind, name, s, e, key in zip(*got, strict=True):
-                joins = entity == (kind, name) and last >= e - gap and start >= e - cap
+            session = batch.column("__session").to_numpy()
+            ids, founders = batch.column(id_col).to_pylist(), [True] * batch.num_rows
+            same = np.append(False, session[1:] == session[:-1])[: len(session)]
+            # Rows alone in their session are done; the batch's ends may go on in its neighbours.
+            todo = np.flatnonzero(same | np.append(same[1:], True) | (np.arange(len(session)) == 0))
+            got = (batch.column(c).take(pa.array(todo)).to_pylist() for c in ("__session", "entity_type", "entity_id", "__s", "__e", id_col))
+            for at, *own, s, e, key in zip(todo.tolist(), *got, strict=True):
+                joins = entity == own and last >= e - gap and start >= e - cap
                 if joins:
                     last = max(last, e)
                 else:
-                    entity, start, last, incident = (kind, name), s, e, key
-                ids.append(incident)
-                founders.append(not joins)
+                    entity, start, last, incident = own, s, e, key
+                ids[at], founders[at] = incident, not joins
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(ids, pa.string()), pa.array(founders, pa.bool_())], names=[*columns, "incident_id", "founder"])
 
     schema = signals.schema.add("incident_id", "string").add("founder", "boolean")

@@ -202,8 +202,36 @@ def host_profiles(events: DataFrame) -> DataFrame:
 
 
 def five_minute_rollup(events: DataFrame, seconds: int = 300) -> DataFrame:
-    parts = [host_counts, signature_counts, rule_counts, auth_failures, top_src_ip_json, error_rates]
-    out = parts[0](events, seconds)
-    for p in parts[1:]:
-        out = out.unionByName(p(events, seconds))
-    return out
+    """All five-minute metrics from one scan: each event gives an array of what it counts for, counted by key and then ranked."""
+    bad = F.coalesce((F.col("http_status") >= 400).cast("int"), F.lit(0))
+    null = F.lit(None).cast("string")
+
+    def tag(name: str, kind: str, entity: Column, value: Column, when: Column | None = None, other: Column = null, seen: Column = null) -> Column:
+        made = F.struct(F.lit(name).alias("feature_name"), F.lit(kind).alias("entity_type"), entity.alias("entity_id"), value.cast("bigint").alias("v"), other.alias("other"), seen.alias("seen"))
+        return made if when is None else F.when(when, made)
+
+    one = F.lit(1)
+    tags = [
+        tag("event_count", "host", _named("host"), one),
+        tag("event_count", "signature", F.col("signature"), one, filled(F.col("signature")).isNotNull(), seen=F.col("sourcetype")),
+        tag("event_count", "rule_id", _named("rule_id"), one, F.col("sourcetype") == "wazuh-alerts"),
+        tag("auth_fail_count", "host", _named("host"), _auth_failure()),
+        tag("auth_fail_count", "user", _named("username"), _auth_failure()),
+        tag("top_src_ip", "host", _named("host"), one, F.col("src_ip").isNotNull(), other=F.col("src_ip")),
+        tag("error_rate", "endpoint", _named("http_path"), bad, F.col("sourcetype") == "juiceshop:app"),
+    ]
+    keys = ["bin_start", "feature_name", "entity_type", "entity_id"]
+    flat = events.select(bin_start(F.col("event_time"), seconds).alias("bin_start"), F.explode(F.array_compact(F.array(*tags))).alias("x")).select("bin_start", "x.*")
+    counted = flat.groupBy(*keys, "other").agg(F.sum("v").alias("v"), F.count("*").alias("n"), F.collect_set("seen").alias("seen"))
+    # Only addresses have more than one row a key; of them the first five are kept.
+    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "other"))).where("rank <= 5")
+    top = F.transform(F.array_sort(F.collect_list(F.struct("rank", "other", "n"))), lambda r: F.struct(r["other"].alias("src_ip"), r["n"].alias("count")))
+    out = ranked.groupBy(*keys).agg(F.sum("v").alias("v"), F.sum("n").alias("n"), F.first("seen").alias("seen"), top.alias("top"))
+    name, is_top = F.col("feature_name"), F.col("feature_name") == "top_src_ip"
+    value = F.when(~is_top, F.when(name == "error_rate", F.col("v") / F.col("n")).otherwise(F.col("v").cast("double")))
+    meta = (
+        F.when(is_top, F.to_json(F.struct("top")))
+        .when(name == "error_rate", F.to_json(F.struct(F.col("n").alias("total"), F.col("v").alias("errors"))))
+        .when(F.col("entity_type") == "signature", F.to_json(F.struct(F.array_sort("seen").alias("sourcetype"))))
+    )
+    return out.select("bin_start", F.lit(seconds).alias("bin_size_sec"), "feature_name", "entity_type", "entity_id", value.alias("value"), F.when(~is_top, F.col("n").cast("int")).alias("n_events"), meta.alias("meta"))

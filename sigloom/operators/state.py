@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row a key, the first in ``order``; all other columns, as text, break ties."""
-    rest = F.to_json(F.struct(*[F.col(c) for c in rows.columns]), {"ignoreNullFields": "false"})
-    w = Window.partitionBy(*keys).orderBy(*order, rest)
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """One row a key, the first in ``order``; a hash of all columns, as text, breaks ties.
+
+    An aggregate, combined before the shuffle: a key of very many rows sends one from each task.
+    """
+    whole = F.struct(*[F.col(c) for c in rows.columns])
+    rest = F.xxhash64(F.to_json(whole, {"ignoreNullFields": "false"}))
+    return rows.groupBy(*keys).agg(F.min_by(whole, F.struct(*order, rest)).alias("__x")).select("__x.*")
 
 
 def append_new(target: DataFrame, rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -36,8 +39,8 @@ def upserted(target: DataFrame, rows: DataFrame, keys: list[str], merge: dict[st
 
 def latest_per_key(rows: DataFrame, keys: list[str], sequence: str) -> DataFrame:
     """The row of the greatest sequence number of each key."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(sequence))
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    whole = F.struct(*[F.col(c) for c in rows.columns])
+    return rows.groupBy(*keys).agg(F.max_by(whole, F.col(sequence)).alias("__x")).select("__x.*")
 
 
 def unprocessed(rows: DataFrame, done: DataFrame, key: str, done_key: str) -> DataFrame:

@@ -1,6 +1,7 @@
-"""The whole job in batch: raw events to incidents, as one chain of frames.
+"""The whole job in batch: raw events to incidents.
 
-Only what later runs read again is stored, by date: normalized events and features.
+What several stages read is stored once, in the work folder: normalized events, features and signals with their
+incidents.  What later runs read again is stored by date: :func:`store`.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sigloom.operators import correlate, detect, features, normalize, state
 from sigloom.params import DEFAULT, Compat
+from sigloom.storage import stored
 
 
 @dataclass
@@ -27,17 +29,20 @@ class Result:
 def run(raw: DataFrame, start: Column | None = None, end: Column | None = None, as_of: Column | None = None, compat: Compat = DEFAULT) -> Result:
     """All stages over raw events, with signals of [start, end)."""
     keyed = state.first_per_key(raw, ["event_key"], ["id"]) if "event_key" in raw.columns else raw
-    events = normalize.normalize(keyed, compat)
-    table = features.minute_rollup(events, compat=compat)
-    signals = detect.run_detections(table, events, start, end, as_of)
-    assigned = correlate.assign(signals)
+    events = stored(normalize.normalize(keyed, compat), "normalized")
+    table = stored(features.minute_rollup(events, compat=compat), "features")
+    assigned = stored(correlate.assign(detect.run_detections(table, events, start, end, as_of)), "signals")
+    signals = assigned.drop("incident_id", "founder")
     return Result(events, normalize.rejected(keyed, compat), table, signals, assigned, correlate.incidents(assigned), correlate.evidence(assigned))
 
 
 def store(rows: DataFrame, path: str, time: str) -> None:
-    """Write a table by date, replacing the dates that ``rows`` has."""
+    """Write a table by date, replacing the dates that ``rows`` has.
+
+    Rows are rebalanced by date: small dates share a task, and a date of more than a partition's size is split.
+    """
     dated = rows.withColumn("date", F.to_date(time))
-    dated.repartition("date").sortWithinPartitions(time).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("date").parquet(path)
+    dated.hint("rebalance", "date").sortWithinPartitions(time).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("date").parquet(path)
 
 
 def load(spark: SparkSession, path: str, start: Column | None = None, end: Column | None = None) -> DataFrame:

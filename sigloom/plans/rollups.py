@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sigloom.operators import correlate as C, detect as D, features as X, serve as V, state as S
 from sigloom.params import Compat
 from sigloom.sources.adapter import EV, normalized_events
+from sigloom.storage import stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -107,8 +108,10 @@ for _n, _f in (("g01_host_events", X.host_counts), ("g02_signature_events", X.si
 _RANKED = f"""WITH {EV}, n AS (SELECT time_bucket(INTERVAL '300 seconds', event_time) AS bin_start, {_none('host')} AS host, src_ip, count(*) AS c FROM ev WHERE src_ip IS NOT NULL GROUP BY 1, 2, 3),
  r AS (SELECT *, row_number() OVER (PARTITION BY bin_start, host ORDER BY c DESC, src_ip) AS rn FROM n)"""
 query("g05_top_src_ips", _RANKED + " SELECT bin_start, host, src_ip, c AS count, CAST(rn AS INTEGER) AS rank FROM r WHERE rn <= 5")(lambda s, d: X.top_src_ips(normalized_events(s, d)))
-query("g05_top_src_ip_json", _RANKED + """ SELECT bin_start, CAST(300 AS INTEGER) AS bin_size_sec, 'top_src_ip' AS feature_name, 'host' AS entity_type, host AS entity_id, CAST(NULL AS DOUBLE) AS value, CAST(NULL AS INTEGER) AS n_events,
- '{"top":[' || string_agg('{"src_ip":"' || src_ip || '","count":' || c || '}', ',' ORDER BY rn) || ']}' AS meta FROM r WHERE rn <= 5 GROUP BY bin_start, host""")(lambda s, d: X.top_src_ip_json(normalized_events(s, d)))
+_TOP_IPS = """SELECT bin_start, CAST(300 AS INTEGER) AS bin_size_sec, 'top_src_ip' AS feature_name, 'host' AS entity_type, host AS entity_id, CAST(NULL AS DOUBLE) AS value, CAST(NULL AS INTEGER) AS n_events,
+ '{"top":[' || string_agg('{"src_ip":"' || src_ip || '","count":' || c || '}', ',' ORDER BY rn) || ']}' AS meta FROM r WHERE rn <= 5 GROUP BY bin_start, host"""
+query("g05_top_src_ip_json", _RANKED + " " + _TOP_IPS)(lambda s, d: X.top_src_ip_json(normalized_events(s, d)))
+query("g08_five_minute_rollup", _RANKED + " " + " UNION ALL ".join([*G.values(), _TOP_IPS]))(lambda s, d: X.five_minute_rollup(normalized_events(s, d)))
 query("g07_host_profiles", f"""WITH {EV} SELECT 'host' AS entity_type, {_none('host')} AS entity_id, min(event_time) AS first_seen, max(event_time) AS last_seen, count(*) AS event_count,
  count(DISTINCT src_ip) AS unique_src_ips, count(DISTINCT username) FILTER (WHERE username <> '') AS unique_users FROM ev GROUP BY 2""")(lambda s, d: X.host_profiles(normalized_events(s, d)))
 
@@ -214,7 +217,8 @@ _ALL = f"WITH RECURSIVE {EV}, {FT}, {SIG}, {FOLD}"
 
 
 def assigned(spark: SparkSession, d: str) -> DataFrame:
-    return C.assign(signals(spark, d))
+    """Signals with their incidents, stored: what is derived from them twice is folded once."""
+    return stored(C.assign(signals(spark, d)), "signals")
 
 
 query("c01_incident_assignment", _ALL + " SELECT signal_id, incident_id, founder FROM fold")(lambda s, d: assigned(s, d).select(F.col("dedupe_key").alias("signal_id"), "incident_id", "founder"))
@@ -303,8 +307,8 @@ query("q_cover", f"WITH {EV} SELECT host FROM (VALUES ('host_1'), ('host_9'), ('
 
 # Table state and incremental selection
 
-query("s11_idempotent_append", f"WITH {EV} SELECT host, min(raw_id) AS raw_id FROM ev WHERE raw_id % 7 <> 0 AND host NOT IN ('host_1') GROUP BY 1")(
-    lambda s, d: S.append_new(normalized_events(s, d).where("host = 'host_1'").select("host"), normalized_events(s, d).where("raw_id % 7 <> 0").select("host", "raw_id"), ["host"], ["raw_id"])
+query("s11_idempotent_append", f"WITH {EV} SELECT host, min(raw_id) AS raw_id FROM ev WHERE host NOT IN ('host_1') GROUP BY 1")(
+    lambda s, d: S.append_new(normalized_events(s, d).where("host = 'host_1'").select("host"), normalized_events(s, d).select("host", "raw_id"), ["host"], ["raw_id"])
 )
 
 
