@@ -1,13 +1,15 @@
-"""What the corpus operators share: a shared work folder and Arrow mapping helpers."""
+"""What the corpus operators share: the work folder and Arrow mapping helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from sigloom.storage import shared_dir, stored, work_path
+
+__all__ = ["arrow_type", "map_rows", "remainder", "shared_dir", "stored", "work_path"]
 
 
 ARROW = {T.StringType: pa.string, T.LongType: pa.int64, T.IntegerType: pa.int32, T.DoubleType: pa.float64, T.BooleanType: pa.bool_, T.BinaryType: pa.binary}
@@ -17,34 +19,6 @@ def arrow_type(t: T.DataType) -> pa.DataType:
     return pa.list_(arrow_type(t.elementType)) if isinstance(t, T.ArrayType) else ARROW[type(t)]()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    A temporary folder is set only where the setting is missing and the session is
-    local (tests); a cluster without the setting is an error.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    found = found or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sigloom-"))
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/sigloom/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def remainder(id_col: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``: the held-out split of the classifiers."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus
