@@ -11,7 +11,7 @@ meet without sending the corpus around once for each:
    string, and all of its places but the first are repeats.  A family with several strings is
    sorted: their text is fetched, a suffix array of the family is built by linear grouping
    (:mod:`sigloom.llm.gsaca`), and of neighbours that agree in SPAN bytes all but the earliest
-   are repeats.
+   are repeats.  A long family is cut into shorter ones by anchors of other hashes first.
 3. No task holds a hot anchor: a family of more than ``LARGE`` strings is dealt on by its windows of SPAN
    bytes.  Those go to the same suffix arrays, seven bytes a symbol, and only those that copy one of
    their batch are folded before.
@@ -35,6 +35,8 @@ from sigloom.llm.gsaca import suffix_arrays
 SPAN = 100
 GRAM = 32
 WIDTH = SPAN - GRAM + 1  # k-grams in a string
+MIDDLE = 48  # strings that are sorted as one family
+ROUNDS = 4  # of splitting a family
 LARGE = 512  # strings of an anchor; more are dealt on by their windows
 SMALL_TABLE = 1_000_000  # rows of two numbers that may be broadcast
 PACKED = 7  # bytes a symbol where only whole windows are sorted
@@ -64,8 +66,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def segment_rows(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text number, first window, windows, anchor hash, both halves of the digest) of every segment."""
+def segment_rows(texts: list[bytes], seed: int = 0) -> tuple[np.ndarray, ...]:
+    """(text number, first window, windows, anchor hash, both halves of the digest) of every segment.
+
+    Another ``seed`` makes other grams the least, and leaves the digests out.
+    """
     out: list[list[np.ndarray]] = [[] for _ in range(6)]
     todo: list[tuple[int, int, bytes]] = []
     held = 0
@@ -73,7 +78,7 @@ def segment_rows(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     def flush() -> None:
         nonlocal todo, held
         if todo:
-            for a, b in zip(out, _segments(todo), strict=True):
+            for a, b in zip(out, _segments(todo, seed), strict=True):
                 a.append(b)
         todo, held = [], 0
 
@@ -87,14 +92,14 @@ def segment_rows(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) if x else np.zeros(0, np.uint64 if i > 2 else np.int64) for i, x in enumerate(out))
 
 
-def _segments(pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
+def _segments(pieces: list[tuple[int, int, bytes]], seed: int) -> tuple[np.ndarray, ...]:
     raw = b"".join(x[2] for x in pieces)
     buf = np.frombuffer(raw, np.uint8)
     ends = np.cumsum([len(x[2]) for x in pieces])
     up, down = _power(len(buf))
     h = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_TABLE[buf] * up, out=h[1:])
-    gram = _mixed((h[GRAM:] - h[:-GRAM]) * down[: len(buf) - GRAM + 1])
+    gram = _mixed((h[GRAM:] - h[:-GRAM]) * down[: len(buf) - GRAM + 1] ^ _U(seed * _BASE & 2**64 - 1))
     # The place in the low bits makes ties go left and the minimum tell where it is.
     least = (gram & ~_U(0xFFFFFF)) | np.arange(len(gram), dtype=np.uint64)
     have = 1
@@ -112,7 +117,8 @@ def _segments(pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
     count = np.diff(np.append(first, len(at)))
     start, place = at[first], own[first]
     digest = hashlib.blake2b
-    digests = b"".join([digest(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), (start + count + SPAN - 1).tolist(), strict=True)])
+    spans = [] if seed else zip(start.tolist(), (start + count + SPAN - 1).tolist(), strict=True)
+    digests = b"".join([digest(raw[a:b], digest_size=16).digest() for a, b in spans]) or bytes(16 * len(start))
     halves = np.frombuffer(digests, np.uint64).reshape(-1, 2)
     piece = np.searchsorted(ends, start, side="right")
     starts, text, offset = ends - [len(x[2]) for x in pieces], np.array([x[0] for x in pieces]), np.array([x[1] for x in pieces])
@@ -298,6 +304,29 @@ def _packed_symbols(windows: list[bytes]) -> np.ndarray:
     return x.reshape(len(windows), wide, PACKED) @ (256 ** np.arange(PACKED - 1, -1, -1))
 
 
+def split(family: list[tuple[int, int, bytes]], seed: int = 1) -> tuple[list[list[tuple[int, int, bytes]]], list[tuple[int, int]]]:
+    """A family of many strings as smaller ones, by other anchors, and the (doc, pack) of those that copy another.
+
+    Equal windows have equal anchors, so they stay in one family.
+    """
+    if len(family) <= MIDDLE or seed > ROUNDS:
+        return [family], []
+    lanes: dict[int, dict[bytes, tuple[int, int]]] = {}
+    repeats, out = [], []
+    text, start, count, h, _, _ = segment_rows([x[2] for x in family], seed)
+    for k, a, n, lane in zip(text.tolist(), start.tolist(), count.tolist(), h.tolist(), strict=True):
+        doc, pack, seg = family[k]
+        own = (doc, (pack & ~127) + (a << 7) | n)
+        if lanes.setdefault(lane, {}).setdefault(seg[a : a + n + SPAN - 1], own) != own:
+            repeats.append(own)
+    for strings in lanes.values():
+        if len(strings) > 1:
+            more, copies = split([(*own, x) for x, own in strings.items()], seed + 1)
+            out += more
+            repeats += copies
+    return out, repeats
+
+
 def family_repeats(families: list[list[tuple[int, int, bytes]]]) -> list[tuple[int, int]]:
     """(doc, pack) runs of windows that repeat an earlier one; a family lists (doc, pack, segment) in order.
 
@@ -356,9 +385,21 @@ def _sorted_families(rows: DataFrame) -> DataFrame:
         pool: list[list[tuple[int, int, bytes]]] = []
         family: list[tuple[int, int, bytes]] = []
         held, last = 0, None
+        copies: list[tuple[int, int]] = []
+
+        def close() -> None:
+            nonlocal held
+            if len(family) > 1:
+                parts, more = split(family) if len(family[0][2]) > SPAN or len(family[-1][2]) > SPAN else ([family], [])
+                pool.extend(parts)
+                copies.extend(more)
+                held += sum(len(x[2]) for f in parts for x in f)
 
         def found() -> Iterator[pa.RecordBatch]:
-            nonlocal pool, held
+            nonlocal pool, held, copies
+            if copies:
+                yield _batch(*(pa.array(c, pa.int64()) for c in zip(*copies)), names=("doc", "pack"))
+                copies = []
             pool.sort(key=lambda f: sum(len(x[2]) for x in f))
             chunk, size = [], 0
             for f in pool:
@@ -378,16 +419,13 @@ def _sorted_families(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for h, doc, pack, seg in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if h != last:
-                    if len(family) > 1:
-                        pool.append(family)
-                        held += sum(len(x[2]) for x in family)
+                    close()
                     family, last = [], h
                     if held >= 4 * SORTED_AT_ONCE:
                         yield from found()
                 if not family or family[-1][:2] != (doc, pack):
                     family.append((doc, pack, seg))
-        if len(family) > 1:
-            pool.append(family)
+        close()
         yield from found()
 
     dealt = rows.select("h", "doc", "pack", "segment").repartition(F.col("h")).sortWithinPartitions("h", "doc", "pack")

@@ -94,3 +94,21 @@ def test_families_by_brute_force(monkeypatch):
                     seen.add(x[i : i + 100])
         assert got == want and want
     assert called == [60, 60] or sum(called) == 120
+
+
+def test_splitting_a_family_loses_no_repeat(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MIDDLE", 5)
+    rng = random.Random(9)
+    part = lambda n: bytes(rng.choice(b"abcd") for _ in range(n))
+    core, left, right = part(60), [part(40) for _ in range(6)], [part(40) for _ in range(6)]
+    family = [(d, 1000 << 7 | 41, rng.choice(left) + core + rng.choice(right)) for d in range(80)]
+    lanes, copies = suffix_dedup.split(family)
+    assert len(lanes) > 1 and copies
+    got = {(d, (p >> 7) + i) for d, p in copies + suffix_dedup.family_repeats(lanes) for i in range(p & 127)}
+    seen, want = set(), set()
+    for d, _, x in family:
+        for i in range(len(x) - 99):
+            if x[i : i + 100] in seen:
+                want.add((d, 1000 + i))
+            seen.add(x[i : i + 100])
+    assert got == want
