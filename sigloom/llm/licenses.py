@@ -10,67 +10,74 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sigloom.llm.license_texts import NOTICES, SPELLINGS, TEXTS
+from sigloom.llm.license_texts import DIGESTS, NOTICES, SPELLINGS, TEXTS
 
 _COPYRIGHT = r"(?im)^[^\p{L}\n]*(?:copyright|\(c\)|©)[^\n]*(?:\(c\)|©|[0-9]{4}|all rights reserved|<|\[)[^\n]*$"
 _TITLE = r"^\s*(?:the )?(?:mit|mit-0|isc|zlib|bsd [23]-clause|0bsd|unlicense)(?: no attribution)? licen[cs]e(?: \([^)]*\))?\s*\n"
 _BETWEEN = r"[^\p{L}\p{N}]+"
-_DIFFERENT = [(a, b) for a, b in SPELLINGS if a != b]
+# Words are kept apart by two spaces, one for each of them, so that a spelling may follow itself.
+_DIFFERENT = [(f" {a} ".replace(" ", "  ")[1:-1], f" {b} ".replace(" ", "  ")[1:-1]) for a, b in SPELLINGS if a != b]
+MOST_KNOWN = 100_000  # rows of a known table that is broadcast
 
 
 def canonical(text: Column) -> Column:
     """Canonical form of a whole text; null counts as empty."""
     t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), _COPYRIGHT, "")
     t = F.regexp_replace(F.lower(t), _TITLE, "")
-    t = F.concat(F.lit(" "), F.regexp_replace(t, _BETWEEN, " "), F.lit(" "))
+    t = F.concat(F.lit("  "), F.regexp_replace(t, _BETWEEN, "  "), F.lit("  "))
     # One pass finds out whether any spelling is there; few texts pay for the replacements.
     fixed = t
     for a, b in _DIFFERENT:
-        fixed = F.replace(fixed, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(F.when(t.rlike(" (?:" + "|".join(a for a, _ in _DIFFERENT) + ") "), fixed).otherwise(t))
+        fixed = F.replace(fixed, F.lit(a), F.lit(b))
+    fixed = F.when(t.rlike("|".join(a for a, _ in _DIFFERENT)), fixed).otherwise(t)
+    return F.replace(F.trim(fixed), F.lit("  "), F.lit(" "))
 
 
 def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known(spark: SparkSession, entries: list[tuple[str, str]]) -> DataFrame:
-    """(digest, license): a digest that several entries share has the first name in order."""
-    rows = spark.createDataFrame(entries, "license string, text string")
-    return rows.select(digest(F.col("text")).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+def known(spark: SparkSession, entries: list[tuple[str, str]], digests: list[tuple[str, str]] = ()) -> DataFrame:
+    """(digest, license) of (license, text) and (license, digest): a digest that several share has the first name in order.
+
+    Broadcast up to MOST_KNOWN rows, shuffled beyond.
+    """
+    rows = spark.createDataFrame(list(entries), "license string, text string").select(digest(F.col("text")).alias("digest"), "license")
+    rows = rows.union(spark.createDataFrame(list(digests), "license string, digest string").select("digest", "license"))
+    found = rows.groupBy("digest").agg(F.min("license").alias("license"))
+    return F.broadcast(found) if len(entries) + len(digests) <= MOST_KNOWN else found
 
 
-def license_scan(docs: DataFrame, texts=None, notices=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, texts=TEXTS, notices=NOTICES, digests=DIGESTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, text_digest, license (of the whole text, or null), notices (sorted names, comma-joined,
     of lines that are known notices, '' if none).
 
-    The known tables are arguments or the ones of this package; either is small, with a row for
-    each licence, and is broadcast.  Null and empty texts have the digest of the empty text, which is
-    no licence.  Rows that repeat an id stay apart.  An empty table gives an empty result.
+    The known tables are arguments or the ones of this package.  Null and empty texts have the digest of the
+    empty text, which is no licence.  Rows that repeat an id stay apart.  An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    whole = known(spark, TEXTS if texts is None else texts)
-    lines = known(spark, NOTICES if notices is None else notices)
-    # A line matters only if its digest is known: a map from digest to name, a row for each notice.
-    names = {r.digest: r.license for r in lines.collect()}
-    one = F.create_map(*[F.lit(x) for kv in names.items() for x in kv]) if names else F.create_map().cast("map<string,string>")
-    wanted = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\r\n?|\n"), lambda x: x.rlike("(?i)licen[cs]|releas|public domain|copyright|permi|spdx")) if notices is None else F.split(F.coalesce(F.col(text_col), F.lit("")), "\r\n?|\n")
-    found = F.array_sort(F.array_distinct(F.filter(F.transform(wanted, lambda x: F.try_element_at(one, digest(x))), lambda x: x.isNotNull())))
-    rows = docs.select(id_col, digest(F.col(text_col)).alias("text_digest"), F.array_join(found, ",").alias("notices"))
-    return rows.join(F.broadcast(whole.withColumnRenamed("digest", "text_digest")), "text_digest", "left").select(id_col, "text_digest", "license", "notices")
+    spark, text = docs.sparkSession, F.col(text_col)
+    rows = docs.select(F.col(id_col), F.xxhash64(text).alias("__salt"), digest(text).alias("text_digest"))
+    lines = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__s"), F.explode(F.split(F.coalesce(text, F.lit("")), "\r\n?|\n")).alias("line"))
+    hits = lines.select("__id", "__s", digest(F.col("line")).alias("digest")).join(known(spark, notices), "digest")
+    # Few rows have a line that is a notice; only their names are grouped.
+    found = hits.groupBy("__id", "__s").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
+    whole = known(spark, texts, digests).withColumnRenamed("digest", "text_digest")
+    joined = rows.join(whole, "text_digest", "left").join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__salt") == F.col("__s")), "left")
+    return joined.select(id_col, "text_digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
 def oracle_sql() -> str:
     """The scan of ``documents`` with this package's tables, for DuckDB."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     form = f"regexp_replace(regexp_replace(COALESCE(@, ''), '\\r\\n?', chr(10), 'g'), {quote(_COPYRIGHT)}, '', 'g')"
-    form = f"' ' || regexp_replace(regexp_replace(lower({form}), {quote(_TITLE)}, ''), {quote(_BETWEEN)}, ' ', 'g') || ' '"
+    form = f"'  ' || regexp_replace(regexp_replace(lower({form}), {quote(_TITLE)}, ''), {quote(_BETWEEN)}, '  ', 'g') || '  '"
     for a, b in _DIFFERENT:
-        form = f"replace({form}, {quote(f' {a} ')}, {quote(f' {b} ')})"
-    of = lambda column: f"sha256(trim({form}))".replace("@", column)
-    known = lambda rows: "SELECT d, min(l) AS l FROM (SELECT l, " + of("t") + " AS d FROM (VALUES " + ", ".join(f"({quote(a)}, {quote(b)})" for a, b in rows) + ") x(l, t)) GROUP BY 1"
-    return f"""WITH whole AS ({known(TEXTS)}), notice AS ({known(NOTICES)}),
+        form = f"replace({form}, {quote(a)}, {quote(b)})"
+    of = lambda column: f"sha256(replace(trim({form}), '  ', ' '))".replace("@", column)
+    rows = lambda x: ", ".join(f"({quote(a)}, {quote(b)})" for a, b in x)
+    known = lambda x: "SELECT l, " + of("t") + f" AS d FROM (VALUES {rows(x)}) x(l, t)"
+    return f"""WITH whole AS (SELECT d, min(l) AS l FROM ({known(TEXTS)} UNION ALL SELECT * FROM (VALUES {rows(DIGESTS)}) y(l, d)) GROUP BY 1), notice AS (SELECT d, min(l) AS l FROM ({known(NOTICES)}) GROUP BY 1),
  docs AS (SELECT doc_id, text, {of("text")} AS text_digest FROM documents),
  lines AS (SELECT doc_id, unnest(string_split(regexp_replace(COALESCE(text, ''), '\r\n?', chr(10), 'g'), chr(10))) AS line FROM documents),
- found AS (SELECT doc_id, string_agg(DISTINCT notice.l, ',' ORDER BY notice.l) AS notices FROM lines JOIN notice ON notice.d = {of("line")} WHERE regexp_matches(line, '(?i)licen[cs]|releas|public domain|copyright|permi|spdx') GROUP BY 1)
+ found AS (SELECT doc_id, string_agg(DISTINCT notice.l, ',' ORDER BY notice.l) AS notices FROM lines JOIN notice ON notice.d = {of("line")} GROUP BY 1)
  SELECT docs.doc_id, text_digest, whole.l AS license, COALESCE(notices, '') AS notices FROM docs LEFT JOIN whole ON whole.d = text_digest LEFT JOIN found ON found.doc_id = docs.doc_id"""

@@ -11,6 +11,7 @@ order until the source's tokens are used up.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -18,6 +19,8 @@ from sigloom.llm.common import stored
 
 BLOCK_TOKENS = 200_000
 REPETITIONS = 2.0
+BLOCK_DOCUMENTS = 50_000
+PARTS = 32  # of an interval, tried at once
 
 
 def weights_at(shares: dict[str, float], exponent: float) -> dict[str, float]:
@@ -31,30 +34,41 @@ def entropy(weights: dict[str, float]) -> float:
     return -math.fsum(w * math.log(w) for w in weights.values() if w > 0)
 
 
-def covering_budget(tokens: dict[str, float], weights: dict[str, float]) -> float:
-    """The least budget at which each source is taken whole at least once."""
-    return max(tokens[k] / weights[k] for k in tokens)
+def bisected(too_flat: Callable[[list[float]], list[bool]]) -> float:
+    """The least exponent in [0, 1] that isn't too flat: the interval is cut in 32 parts, twelve times."""
+    low, high = 0.0, 1.0
+    if not too_flat([low])[0]:
+        return low
+    for _ in range(12):
+        edges = [low, *(low + (high - low) * i / PARTS for i in range(1, PARTS)), high]
+        told = too_flat(edges[1:-1])
+        k = told.index(False) if False in told else PARTS - 1
+        low, high = edges[k], edges[k + 1]
+    return high
 
 
-def fit_exponent(tokens: dict[str, float], repetitions: float | None = REPETITIONS, target_entropy: float | None = None, budget: float | None = None) -> float:
-    """The exponent in [0, 1] by bisection; without a budget the covering one of each exponent holds."""
-    total = math.fsum(tokens.values())
-    shares = {k: v / total for k, v in tokens.items()}
+def fit(sums: Callable[[list[float]], list[tuple[float, float]]], least: float, top: float, repetitions: float | None, target_entropy: float | None, budget: float | None) -> float:
+    """The exponent by bisection; without a budget the covering one of each exponent holds.
 
-    def too_flat(x: float) -> bool:
-        w = weights_at(shares, x)
+    With r the tokens of a source by those of the largest, ``top``, ``sums`` gives for each exponent x the sums of r^x and of
+    r^x ln r, and ``least`` is the least r.  Nothing else is asked of the sources, so they may be any number: a source's
+    weight is r^x by the sum, all are taken whole once at ``top`` times the sum, and the smallest repeats most.
+    """
+    def too_flat(xs: list[float]) -> list[bool]:
         if target_entropy is not None:
-            return entropy(w) > target_entropy
-        whole = covering_budget(tokens, w) if budget is None else budget
-        return max(w[k] * whole / tokens[k] for k in tokens) > repetitions * (1 + 1e-12)
+            return [math.log(z) - x * zl / z > target_entropy for x, (z, zl) in zip(xs, sums(xs), strict=True)]
+        if budget is None:
+            return [least ** (x - 1) > repetitions * (1 + 1e-12) for x in xs]
+        return [budget / (z * top) * least ** (x - 1) > repetitions * (1 + 1e-12) for x, (z, _) in zip(xs, sums(xs), strict=True)]
 
-    if not too_flat(0.0):
-        return 0.0
-    low, high = 0.0, 1.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if too_flat(mid) else (low, mid)
-    return high
+    return bisected(too_flat)
+
+
+def fit_exponent(tokens: dict[str, float], repetitions: float | None = REPETITIONS, target_entropy: float | None = None, budget: float | None = None) -> float:
+    """:func:`fit` for sources at hand."""
+    top = max(tokens.values())
+    r = [v / top for v in tokens.values()]
+    return fit(lambda xs: [(math.fsum(v**x for v in r), math.fsum(v**x * math.log(v) for v in r)) for x in xs], min(r), top, repetitions, target_entropy, budget)
 
 
 def token_count(text: Column) -> Column:
@@ -76,30 +90,39 @@ def mix(docs: DataFrame, repetitions: float = REPETITIONS, target_entropy: float
     are documents of their own, in any order among themselves.  An empty table gives an empty result.
     """
     rows = stored(docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), token_count(F.col(text_col)).alias("__tokens"), _salt(id_col, text_col).alias("__salt")), "tokens")
-    sums = {r[0]: (float(r[1]), int(r[2])) for r in rows.groupBy("__source").agg(F.sum("__tokens"), F.count("*")).collect()}  # a row a source
-    tokens = {k: v[0] for k, v in sums.items() if v[0] > 0}
-    exponent = fit_exponent(tokens, repetitions, target_entropy, budget) if tokens else 1.0
-    total = math.fsum(tokens.values()) or 1.0
-    weights = weights_at({k: v / total for k, v in tokens.items()}, exponent) if tokens else {}
-    whole = (covering_budget(tokens, weights) if budget is None else budget) if tokens else 0.0
-    plan = []
-    for k, (size, n) in sorted(sums.items(), key=lambda x: str(x[0])):
-        w = weights.get(k, 0.0)
-        quota = w * whole
-        if budget is None and abs(quota - size) < 1e-6 * max(1.0, size):
-            quota = size  # the source that sets the covering budget: exactly once
-        plan.append((k, w, float(quota), float(size), max(1, -(-int(size) // block_tokens)), max(1, math.ceil(quota / size - 1e-9)) if size else 1))
-    spec = docs.sparkSession.createDataFrame(plan, "__source string, weight double, __quota double, __size double, __blocks int, __epochs int")
-    # A row a source: as many as there are weights to choose.
-    joined = rows.join(F.broadcast(spec.withColumnRenamed("__source", "__s")), F.col("__source").eqNullSafe(F.col("__s")))
-    group = F.pmod(F.xxhash64(F.lit(seed), "__id", "__salt"), F.col("__blocks").cast("long"))
+    sources = stored(rows.groupBy("__source").agg(F.sum("__tokens").cast("double").alias("__size"), F.count("*").alias("__docs")), "sources")
+    with_words = sources.where("__size > 0")
+    span = with_words.agg(F.min("__size"), F.max("__size")).first()
+    top = span[1] or 1.0
+
+    def sums(xs: list[float]) -> list[tuple[float, float]]:
+        r = F.col("__size") / F.lit(top)
+        row = with_words.agg(*(y for x in xs for y in (F.sum(F.pow(r, F.lit(x))), F.sum(F.pow(r, F.lit(x)) * F.log(r))))).first()
+        return list(zip(row[::2], row[1::2], strict=True))
+
+    exponent = fit(sums, span[0] / top, top, repetitions, target_entropy, budget) if span[0] else 1.0
+    total = sums([exponent])[0][0] if span[0] else 1.0
+    whole = total * top if budget is None else float(budget)
+    weight = F.when(F.col("__size") > 0, F.pow(F.col("__size") / F.lit(top), F.lit(exponent)) / F.lit(total)).otherwise(F.lit(0.0))
+    quota = F.col("weight") * F.lit(whole)
+    if budget is None:  # the source that sets the covering budget: exactly once
+        quota = F.when(F.abs(quota - F.col("__size")) < 1e-6 * F.greatest(F.lit(1.0), "__size"), F.col("__size")).otherwise(quota)
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("__size") / block_tokens), F.ceil(F.col("__docs") / BLOCK_DOCUMENTS)).cast("long")
+    epochs = F.when(F.col("__size") > 0, F.greatest(F.lit(1), F.ceil(F.col("__quota") / F.col("__size") - 1e-9))).otherwise(F.lit(1)).cast("int")
+    spec = sources.select(F.col("__source").alias("__s"), weight.alias("weight"), "__size", blocks.alias("__blocks")).withColumn("__quota", quota).withColumn("__epochs", epochs)
+    joined = rows.join(spec, F.col("__source").eqNullSafe(F.col("__s")))  # broadcast or shuffled by the size of the stored table
+    group = F.pmod(F.xxhash64(F.lit(seed), "__id", "__salt"), "__blocks")
     taken = joined.withColumn("group", group).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__epochs") - 1)))
     block = F.xxhash64(F.lit(seed), "epoch", "group")
     taken = taken.withColumn("block", block).withColumn("position", F.xxhash64(F.lit(seed + 1), "epoch", "__id", "__salt"))
-    # How far each block reaches: a table of a row for each source, epoch and block.
-    reach = taken.groupBy("__source", "epoch", "block", "group", "__quota", "__size").agg(F.sum("__tokens").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("__source", "epoch").orderBy("block", "group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    reach = reach.withColumn("before", F.col("epoch") * F.col("__size") + before)
+    # How far each block reaches: a row for each source, epoch and block, summed in ranges of hashes and then within them.
+    reach = taken.groupBy("__source", "epoch", "block", "group", "__quota", "__size").agg(F.sum("__tokens").alias("n")).withColumn("range", F.shiftright("block", 54))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = reach.groupBy(F.col("__source").alias("__s3"), F.col("epoch").alias("__e3"), F.col("range").alias("__r3")).agg(F.sum("n").alias("n"))
+    ranges = ranges.withColumn("__ranges", earlier(Window.partitionBy("__s3", "__e3").orderBy("__r3"))).drop("n")  # 1024 rows at most
+    within = earlier(Window.partitionBy("__source", "epoch", "range").orderBy("block", "group"))
+    reach = reach.withColumn("before", within).join(ranges, F.col("__source").eqNullSafe(F.col("__s3")) & (F.col("epoch") == F.col("__e3")) & (F.col("range") == F.col("__r3")))
+    reach = reach.withColumn("before", F.col("epoch") * F.col("__size") + F.col("__ranges") + F.col("before"))
     state = F.when(F.col("before") + F.col("n") <= F.col("__quota"), "all").when(F.col("before") >= F.col("__quota"), "none").otherwise("cut")
     reach = reach.withColumn("state", state).select(F.col("__source").alias("__s2"), F.col("epoch").alias("__e2"), F.col("group").alias("__g2"), "before", "state")
     at = F.col("__source").eqNullSafe(F.col("__s2")) & (F.col("epoch") == F.col("__e2")) & (F.col("group") == F.col("__g2"))
@@ -113,7 +136,11 @@ def mix(docs: DataFrame, repetitions: float = REPETITIONS, target_entropy: float
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The columns of ``docs`` and epoch, block, position, weight: a row for each time a document is taken."""
+    """The columns of ``docs`` and epoch, block, position, weight: a row for each time a document is taken.
+
+    Columns of ``docs`` with one of these four names are replaced.  Nulls, empty texts and tables and repeated rows
+    are as in :func:`mix`; rows that repeat id and text are all taken where one of them is.
+    """
     plan = mix(docs, id_col=id_col, text_col=text_col, with_salt=True, **options)
     # Rows that repeat id and text have the same place in the plan.
     plan = plan.groupBy(F.col(id_col).alias("__id"), F.col("__salt").alias("__s"), "epoch").agg(F.min("block").alias("block"), F.min("position").alias("position"), F.min("weight").alias("weight"))
