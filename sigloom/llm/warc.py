@@ -5,6 +5,12 @@ are unique, and a stored manifest lists what successful tasks wrote; files of lo
 are never read.  Reader: archives are cut into byte ranges; a task looks for the gzip magic
 inside its range, takes a candidate for a record only if it inflates to a WARC header, and
 owns the records that start in its range, reading past the end where a record does.
+
+A payload that gzip stores uncompressed can hold whole records, so a candidate alone proves nothing.  An index is made
+first: each range finds the candidate from which member follows member to the range's end, and says
+where the first record beyond the end starts.  The file's start is a record; where a range's first
+record is not where the range before says it is, the range is indexed again from there.  Then
+the records are read from the starts in the index.
 Archives are reached through ``pyarrow.fs``, so any store it knows will do.
 """
 
@@ -18,7 +24,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sigloom.llm.common import stored, work_path
 
@@ -141,37 +147,114 @@ def _member(w: _Window, at: int) -> tuple[bytes, int] | None:
     return (b"".join(parts), w.base + i - len(z.unused_data)) if head[:7] == b"WARC/1." else None
 
 
-def read_range(store: pafs.FileSystem, path: str, start: int, end: int) -> Iterator[bytes]:
-    """The records that start in [start, end)."""
-    with store.open_input_file(path) as f:
-        w, at = _Window(f, start), start
-        while at < end:
-            hit = w.buf.find(MAGIC, at - w.base)
-            if hit < 0:
-                at = max(at, w.base + len(w.buf) - 2)
-                w.drop(at)
-                if not w.more():
-                    return
-                continue
+def _next_candidate(w: _Window, at: int, end: int) -> int | None:
+    """The first gzip magic in [at, end); the window is dropped up to it."""
+    while at < end:
+        hit = w.buf.find(MAGIC, at - w.base)
+        if hit >= 0:
             at = w.base + hit
-            if at >= end:
-                return
-            w.drop(at)
-            if (found := _member(w, at)) is None:
-                at += 1
-                continue
-            record, at = found
             w.drop(at)
+            return at if at < end else None
+        at = max(at, w.base + len(w.buf) - len(MAGIC) + 1)
+        w.drop(at)
+        if not w.more():
+            return None
+    return None
+
+
+def _chain(w: _Window, at: int, end: int, size: int) -> Iterator[tuple[bytes, int]]:
+    """The records (record, offset behind it) from a true start ``at`` on that start before ``end``."""
+    while at < min(end, size):
+        w.drop(at)
+        if (found := _member(w, at)) is None:
+            raise ValueError(f"no record at {at}")
+        record, at = found
+        yield record, at
+
+
+def index_range(store: pafs.FileSystem, path: str, start: int, end: int, known: int | None = None) -> tuple[int | None, int | None]:
+    """(first, behind): where the first record of [start, end) starts, and the first record at or behind ``end``.
+
+    Both are None if no record starts in the range.  Without ``known`` the first is the first candidate from which
+    members follow each other to the end of the range or of the file; a candidate within a payload breaks
+    off sooner, unless the records that the payload holds reach to the end.
+    """
+    with store.open_input_file(path) as f:
+        size = f.size()
+        at = start if known is None else known
+        while at < end:
+            w = _Window(f, at)
+            if known is None and (at := _next_candidate(w, at, end)) is None:
+                return None, None
+            try:
+                first = at
+                for _, at in _chain(w, first, end, size):
+                    pass
+                return first, at
+            except ValueError:
+                if known is not None:
+                    raise
+                at = first + 1
+    return None, None
+
+
+def read_range(store: pafs.FileSystem, path: str, first: int, end: int) -> Iterator[bytes]:
+    """The records from that at ``first`` on that start before ``end``."""
+    with store.open_input_file(path) as f:
+        for record, _ in _chain(_Window(f, first), first, end, f.size()):
             yield record
 
 
-def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Every record of the archives in ``manifest`` (path, bytes), each read by the range it starts in."""
-    parts = manifest.where("bytes > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
+def _dealt(parts: DataFrame, *keys: str) -> DataFrame:
     # The rows are few and small but each is much work: a fixed number of partitions isn't merged.
-    ranges = parts.count()
-    width = manifest.sparkSession.sparkContext.defaultParallelism
-    spread = parts.repartition(max(1, min(ranges, max(4 * width, ranges // 64))), F.xxhash64("path", "start"))
+    n, width = parts.count(), parts.sparkSession.sparkContext.defaultParallelism
+    return parts.repartition(max(1, min(n, max(4 * width, n // 64))), F.xxhash64(*keys))
+
+
+def range_index(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(path, start, first, behind) of every range in which a record starts, a stored table.
+
+    Every range follows from the one before, so an index in which all agree is the one that a reader from the file's start makes.
+    """
+    schema = "path string, start long, first long, behind long"
+
+    def indexed(asked: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = []
+                for path, start, known in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    store, name = _open(path)
+                    rows.append((path, start, *index_range(store, name, start, start + range_bytes, known)))
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 4, kinds, strict=True)], names=["path", "start", "first", "behind"])
+
+        return stored(_dealt(asked, "path", "start").mapInArrow(run, schema), "warc-index")
+
+    parts = manifest.where("bytes > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
+    now = indexed(parts.withColumn("known", F.when(F.col("start") == 0, F.lit(0).cast("long"))))
+    order = Window.partitionBy("path").orderBy("start")  # a row a range of one file
+    while True:
+        # Where the ranges before say that the next record starts.
+        said = now.withColumn("said", F.coalesce(F.last("behind", True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
+        in_range = F.col("said") < F.col("start") + range_bytes
+        wrong = F.when(in_range, ~F.col("first").eqNullSafe(F.col("said"))).otherwise(F.col("first").isNotNull())
+        # Only the first wrong range of a file is known to be; those behind it are judged again afterwards.
+        bad = said.where(wrong).groupBy("path").agg(F.min(F.struct("start", "said")).alias("x")).select("path", "x.*")
+        bad = stored(bad, "warc-wrong")
+        if bad.isEmpty():
+            return now.where("first IS NOT NULL")
+        none = bad.where(F.col("said") >= F.col("start") + range_bytes).select("path", "start", F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("behind"))
+        again = indexed(bad.where(F.col("said") < F.col("start") + range_bytes).select("path", "start", F.col("said").alias("known")))
+        now = stored(now.join(bad, ["path", "start"], "left_anti").union(none).union(again), "warc-index")
+
+
+def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Every record of the archives in ``manifest`` (path, bytes), each read by the range it starts in.
+
+    Size and digest of a response are those of the payload that was read, and a header that says otherwise is an error; a
+    revisit has those of its header.
+    """
+    spread = _dealt(range_index(manifest, range_bytes).select("path", "start", "first"), "path", "start")
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,13 +265,15 @@ def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFr
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)], names=names)
 
         for batch in batches:
-            for path, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for path, start, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 store, name = _open(path)
                 rows, size = [], 0
-                for record in read_range(store, name, start, start + range_bytes):
+                for record in read_range(store, name, first, start + range_bytes):
                     x = decode(record)
-                    page, refers = x.get("x-page-id"), x.get("x-refers-to-page-id")
-                    rows.append((None if page is None else int(page), x.get("warc-target-uri"), x["warc-type"], x["payload_bytes"], x["warc-payload-digest"].removeprefix("sha256:"), None if refers is None else int(refers), x["payload"]))
+                    page, refers, said = x.get("x-page-id"), x.get("x-refers-to-page-id"), x["warc-payload-digest"].removeprefix("sha256:")
+                    if x["payload"] is not None and hashlib.sha256(x["payload"]).hexdigest() != said:
+                        raise ValueError(f"a payload of {path} differs from its digest {said}")
+                    rows.append((None if page is None else int(page), x.get("warc-target-uri"), x["warc-type"], x["payload_bytes"], said, None if refers is None else int(refers), x["payload"]))
                     size += len(record)
                     if size > 16 << 20:
                         yield batch_of(rows)
@@ -202,18 +287,17 @@ def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFr
 def archive_roles(pages: DataFrame) -> DataFrame:
     """(page_id, url, payload, refers_to): what the writer takes from ``pages`` (page_id, url, html).
 
-    Of equal payloads of ``LEAST_BYTES`` or more, the smallest page_id is the response.  Only
-    digests that repeat are joined; a digest with very many pages is split by the adaptive
-    skew join.  Rows that repeat page_id and html share its role; a null page_id comes after
-    all others; null html is an empty payload.
+    Of equal payloads of ``LEAST_BYTES`` or more, the smallest page_id is the response.  Roles are found from ids and
+    digests; payloads are shuffled once, by id and digest, so a payload of very many pages is spread.
+    Rows that repeat page_id and html share its role; a null page_id comes after all others; null html is an empty payload.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
-    digest = F.when(F.length("payload") >= LEAST_BYTES, F.sha2("payload", 256))
-    first = rows.select(digest.alias("digest"), "page_id").where("digest IS NOT NULL").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").drop("n")
-    # Small payloads match nothing; keys of their own keep them from meeting in one task.
-    spread = F.coalesce(digest, F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
-    joined = rows.withColumn("digest", spread).join(first, "digest", "left")
-    return joined.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    rows = rows.withColumn("digest", F.when(F.length("payload") >= LEAST_BYTES, F.sha2("payload", 256)))
+    narrow = rows.select("page_id", "digest").where("digest IS NOT NULL")
+    first = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").drop("n")
+    later = narrow.distinct().join(first, "digest").where("NOT page_id <=> first").select(F.col("page_id").alias("id"), F.col("digest").alias("d"), "first")
+    joined = rows.join(later, F.col("page_id").eqNullSafe(F.col("id")) & (F.coalesce("digest", F.lit("-")) == F.col("d")), "left")
+    return joined.select("page_id", "url", "payload", F.col("first").alias("refers_to"))
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:

@@ -106,21 +106,42 @@ def test_warc_null_and_repeated_ids(spark):
     assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in got) == sorted([("5", "response", None)] * 2 + [("9", "revisit", 5), ("None", "revisit", 5)])
 
 
-@pytest.mark.parametrize("step", [17, 64, 5000])
-def test_ranges_pass_over_false_magic(tmp_path, step):
+def stored_member(data):
     import zlib
 
-    def stored_member(data):
-        z = zlib.compressobj(0, zlib.DEFLATED, 31)
-        return z.compress(data) + z.flush()
+    z = zlib.compressobj(0, zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
 
-    inner = [warc.encode(i, "http://x", b"\x1f\x8b\x08" * i + bytes(range(256)) + gzip.compress(b"not a record"), None) for i in range(12)]
+
+def read_all(spark, path, step):
+    manifest = spark.createDataFrame([(str(path), path.stat().st_size)], "path string, bytes long")
+    return {r.page_id: bytes(r.payload) for r in warc.read_archives(manifest, step).collect()}
+
+
+@pytest.mark.parametrize("step", [97, 5000])
+def test_ranges_pass_over_false_magic(spark, tmp_path, step):
+    payloads = {i: b"\x1f\x8b\x08" * i + bytes(range(256)) + gzip.compress(b"not a record") for i in range(12)}
+    p = Path(tmp_path) / "a.warc.gz"
+    p.write_bytes(b"".join(stored_member(warc.encode(i, "http://x", x, None)) for i, x in payloads.items()))
+    assert read_all(spark, p, step) == payloads
+
+
+@pytest.mark.parametrize("step", [64, 700, 100_000])
+def test_records_within_payloads_are_none(spark, tmp_path, step):
+    inner = b"".join(stored_member(warc.encode(900 + i, "http://x", b"inner %d " % i * 20, None)) for i in range(5))
+    payloads = {1: b"before", 2: b"a" + inner, 3: inner + b"tail", 4: inner, 5: b"after" * 50}
     p = Path(tmp_path) / "a.warc.gz"
-    p.write_bytes(b"".join(map(stored_member, inner)))
-    store, size = pafs.LocalFileSystem(), p.stat().st_size
-    got = [r for a in range(0, size, step) for r in warc.read_range(store, str(p), a, min(size, a + step))]
-    assert got == inner
-    assert gzip.decompress(p.read_bytes()) == b"".join(inner)
+    p.write_bytes(b"".join(stored_member(warc.encode(i, "http://x", x, None)) for i, x in payloads.items()))
+    assert read_all(spark, p, step) == payloads
+
+
+def test_damage_is_an_error(spark, tmp_path):
+    p = Path(tmp_path) / "a.warc.gz"
+    members = [stored_member(warc.encode(i, "http://x", b"some payload %d" % i * 9, None)) for i in range(6)]
+    for broken in (b"".join(members)[:-30], b"".join([*members[:3], b"???", *members[3:]]), b"".join(members).replace(b"payload 4", b"PAYLOAD 4")):
+        p.write_bytes(broken)
+        with pytest.raises(Exception, match="no record at|breaks off|damaged"):
+            read_all(spark, p, 300)
 
 
 def plain_top(vectors, k):
@@ -139,7 +160,7 @@ def test_topk_matches_brute_force(spark, sf):
     table = spark.read.parquet(f"{sf}/embeddings.parquet").withColumn("shard", F.lit(1)).withColumn("v", F.lit("clash"))
     vectors = {r.vec_id: [int(np.floor(64 * float(x))) for x in r.embedding] for r in table.collect()}
     for rows in (8192, 90):
-        got = topk.top_k(table, F.col("vec_id") % 20 == 0, 20, shard_rows=rows, query_rows=10)
+        got = topk.top_k(table, F.col("vec_id") % 20 == 0, 20, shard_rows=rows, query_rows=4)
         assert sorted(map(tuple, got.collect())) == plain_top(vectors, 20)
 
 
@@ -154,3 +175,27 @@ def test_topk_of_odd_rows(spark):
     assert topk.top_k(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     few = topk.top_k(table.where("vec_id in (0, 1, 2)"), F.col("vec_id") % 20 == 0).collect()
     assert [(r.rank, r.vec_id) for r in few] == [(1, 0 + 2), (2, 1)] or len(few) == 2
+
+
+def test_queries_visit_only_cells_that_may_hold_better(spark, tmp_path):
+    """Of clustered vectors each moves once, and a query goes to few of the shards; equal ones fill shards of their own."""
+    rng = np.random.default_rng(8)
+    heart = rng.normal(0, 3, (16, 6))
+    rows = [(i, [float(x) for x in heart[i % 16] + rng.normal(0, 0.05, 6)]) for i in range(3000)] + [(5000 + i, [0.5] * 6) for i in range(1000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)
+    asks = F.col("vec_id") % 20 == 0
+    dealt, home = topk.planted(table, asks, 20, 100, str(tmp_path))
+    trees = home.where("path IS NOT NULL").count()
+    assert dealt.count() == 4000 and 40 <= trees <= 90
+    assert dealt.groupBy("shard").count().agg(F.max("count")).first()[0] <= 250
+    queries, visits = dealt.where(asks).count(), topk.visits(dealt, home, asks, 20).count()
+    assert visits < 0.35 * queries * trees
+    vectors = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows}
+    got = topk.top_k(table, asks, 20, shard_rows=100)
+    assert sorted(map(tuple, got.collect())) == plain_top(vectors, 20)
+
+
+def test_packed_vectors():
+    for v in ([0], [127, -128], [128, 0], [-129], [2**31, 1], [-(2**40)], [], [32767, -32768], [32768]):
+        x = np.array(v, np.int64)
+        assert topk._unpacked([topk._packed(x)]).tolist() == [v]
