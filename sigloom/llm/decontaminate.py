@@ -7,31 +7,35 @@ gives a latent space that holds every passage whole: a model takes at most ``PAS
 words, and a window whose projection on a passage reaches a share of the passage's own norm is
 a candidate.  A window that holds all words of a passage has a share of one at least, whatever
 else it holds and however the words are weighted, and some window holds every passage of a
-verbatim item.  A candidate is contamination if the longest common subsequence of words covers most of the
-item within a span not much longer than it; a paraphrase, with less covered, must also hold
-the item's answer, its last words.
+verbatim item.  A candidate is contamination if, in some span of words not much longer than the item, the longest
+common subsequence covers most of the item; a paraphrase, with less covered, must also hold
+the item's answer, its last words, in that span.
 
-The benchmark is the query set: it is taken in blocks of ``BLOCK_ITEMS`` items, each a few models, and
-the corpus is read once for each block, so what is sent to the tasks is bounded.
+The corpus is read twice, however large the benchmark is: once to count words, once to judge.  The
+benchmark lies in tables; the driver fits one model after another and stores each in the shared folder, and
+a task loads them one by one and keeps ``KEPT_BYTES`` of them.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from sigloom.llm.common import map_rows
+from sigloom.llm.common import map_rows, stored, work_path
+from sigloom.llm.warc import _open as opened
 
-BLOCK_ITEMS = 2000
-ITEM_WORDS = 2000  # an item's LCS is taken in pieces of so many words
+KEPT_BYTES = 64 << 20  # of models in a task
+COUNTED = 200_000  # different words that a task counts before it hands them on
 STEP = 16  # words a block
 PASSAGE = 48  # words
 WINDOW = PASSAGE + STEP  # every run of PASSAGE words lies in a window whole
 PASSAGES = 256  # of a model
-HELD = 0.3  # share of a passage, its words weighted
+HELD = 0.2  # share of a passage, its words weighted
 LIGHT = 0.2  # so much of any passage may be in words that the latent space leaves out
 COPIED = 0.8  # share of an item's words in order: a copy
 PARAPHRASED = 0.6  # so much is enough if the answer is there
@@ -46,7 +50,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def lcs(item: list[bytes], span: list[bytes]) -> tuple[int, int]:
-    """Length of the longest common subsequence, and how much of it can fall in the item's last quarter."""
+    """Length of the longest common subsequence, and by how much the item's last quarter lengthens it."""
     where: dict[bytes, int] = {}
     for i, x in enumerate(item):
         where[x] = where.get(x, 0) | 1 << i
@@ -70,35 +74,47 @@ def passages_of(words: list[bytes]) -> int:
     return -(-len(words) // PASSAGE)
 
 
-def parts(items: list[tuple[int, list[bytes]]]) -> list[list[tuple[int, list[bytes]]]]:
-    """The items in runs of at most PASSAGES passages; a longer item is a run of its own."""
-    out, size = [], PASSAGES + 1
-    for item in items:
-        n = passages_of(item[1])
-        if size + n > PASSAGES:
-            out.append([])
-            size = 0
-        out[-1].append(item)
-        size += n
-    return out
-
+def cut(words: list[bytes]) -> list[list[bytes]]:
+    """An item's passages, of nearly equal length."""
+    ends = np.linspace(0, len(words), passages_of(words) + 1).astype(int)
+    return [words[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
-def document_counts(docs: DataFrame, words: set[bytes], text_col: str) -> tuple[dict[bytes, int], int]:
-    """In how many documents each word occurs, and the number of all documents."""
-    ordered = sorted(words)
-    number = {x: k for k, x in enumerate(ordered)}
 
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """(item_id, place, words, passages): the different items with a word; a stored table."""
     def run(batches):
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            seen = Counter()
-            for text in texts:
-                seen.update(number.keys() & set(words_of(text)))
-            yield pd_batch({"k": [*(number[x] for x in seen), -1], "n": [*seen.values(), len(texts)]})
+            rows = [(i, w) for i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (w := words_of(t))]
+            yield pa.RecordBatch.from_pydict({"item_id": pa.array([i for i, _ in rows], pa.int64()), "words": pa.array([w for _, w in rows], pa.list_(pa.binary())), "passages": pa.array([passages_of(w) for _, w in rows], pa.int64())})
+
+    known = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text").distinct()
+    return stored(known.mapInArrow(run, "item_id long, words array<binary>, passages long").withColumn("place", F.xxhash64("item_id", "words")), "items")
 
-    counts = docs.select(text_col).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()  # the vocabulary at most
-    found = {r.k: r.n for r in counts}
-    return {x: found.get(k, 0) for k, x in enumerate(ordered)}, found.get(-1, 0)
+
+def document_counts(docs: DataFrame, items: DataFrame, text_col: str) -> tuple[DataFrame, int]:
+    """(word, n): in how many documents each word of the items occurs, a stored table; and the number of all documents."""
+    def run(batches):
+        seen, rows = Counter(), 0
+
+        def out():
+            return pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen.update(set(words_of(text)))
+                rows += 1
+                if len(seen) > COUNTED:
+                    yield out()
+                    seen = Counter()
+        seen[None] = rows
+        yield out()
+
+    counts = docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = items.select(F.explode("words").alias("word")).distinct()
+    total = counts.join(words.withColumn("own", F.lit(True)), "word", "left").where("own OR word IS NULL").select("word", "n")
+    found = stored(total, "words")
+    documents = found.where("word IS NULL").first()
+    return found.where("word IS NOT NULL"), documents.n if documents else 0
 
 
 class Latent:
@@ -110,22 +126,32 @@ class Latent:
         self.number = {x: k for k, x in enumerate(vocabulary)}
         self.passages = []  # (item's place, feature numbers)
         for k, (_, w) in enumerate(self.items):
-            cuts = np.linspace(0, len(w), passages_of(w) + 1).astype(int)
-            self.passages += [(k, [self.number[x] for x in w[a:b]]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            self.passages += [(k, [self.number[x] for x in p]) for p in cut(w)]
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         get = self.number.get
         return np.fromiter((get(x, -1) for x in words), np.int64, len(words))
 
-    def fit(self, spark, counts: dict[bytes, int], documents: int, power: int = 2, seed: int = 11) -> None:
-        held = np.array([counts[x] for x in self.number], float)
+    def fit(self, table: DataFrame, counts: dict[bytes, int], documents: int, power: int = 2, seed: int = 11) -> None:
+        """``table`` holds the same items; their passages become rows of the matrix on the executors."""
+        held = np.array([counts.get(x, 0) for x in self.number], float)
         self.idf = np.log((documents + 1) / (held + 1)) + 0.1
         light = self._light(held)
         self.passages = [(k, [x for x in p if not light[x]]) for k, p in self.passages]
-        rows = [(k, *map(list, self._weighted(x))) for k, (_, x) in enumerate(self.passages)]
-        matrix = spark.createDataFrame([(k, [int(i) for i in a], [float(v) for v in b]) for k, a, b in rows], "k long, at array<long>, w array<double>")
+        number, idf = self.number, self.idf
+
+        def rows(batches):
+            for batch in batches:
+                made = []
+                for words in batch.column(0).to_pylist():
+                    for p in cut(words):
+                        at, n = np.unique([i for x in p if not light[i := number[x]]], return_counts=True)
+                        made.append((at.tolist(), (n * idf[at]).tolist()))
+                yield pa.RecordBatch.from_pydict({"at": pa.array([x[0] for x in made], pa.list_(pa.int64())), "w": pa.array([x[1] for x in made], pa.list_(pa.float64()))})
+
+        matrix = table.select("words").mapInArrow(rows, "at array<long>, w array<double>")
         # The rank is that of all passages: a lower one would shorten every window, more the more passages there are.
-        basis = randomised_svd(matrix, len(self.number), min(len(rows), len(self.number)), power, seed)
+        basis = randomised_svd(matrix, len(self.number), min(len(self.passages), len(self.number)), power, seed)
         self.scaled = (basis * self.idf[:, None]).astype(np.float32)
         self.latent = np.append(~light, False)  # words outside the vocabulary come last
         # Squared weights, a word outside the vocabulary last: it counts as the rarest inside.
@@ -196,27 +222,22 @@ class Latent:
         return out
 
     def _verified(self, k: int, words: list[bytes], hits: list[tuple[int, float]]):
+        """The best span around the hits that is a copy or a paraphrase of the whole item with its answer, if any is."""
         item, w = self.items[k]
-        pieces = [w[i : i + ITEM_WORDS] for i in range(0, len(w), ITEM_WORDS)]
-        width = int(min(len(w), ITEM_WORDS) * SPAN) + 2
-        starts = sorted({max(0, s) for i, _ in hits for a in [i * STEP] for s in range(a - len(w), a + WINDOW, max(1, min(len(w), ITEM_WORDS) // 4))})
-        top = (0.0, 0.0)
+        width, grid = int(len(w) * SPAN) + 2, max(1, len(w) // 4)
+        starts = sorted({max(0, s) for i, _ in hits for s in range((i * STEP - len(w)) // grid * grid, i * STEP + WINDOW, grid)})
+        own = set(w)
+        inside = np.append(0, np.cumsum([x in own for x in words]))
+        top = None
         for s in starts:
-            span = words[s : s + width]
-            for piece in pieces:
-                n, answer = lcs(piece, span)
-                got = (n / len(piece), answer / answer_size(len(piece)))
-                top = max(top, got)
-        covered, answer = top
-        if covered >= COPIED or (covered >= PARAPHRASED and answer >= ANSWER and len(w) >= 8):
-            return item, max(c for _, c in hits), covered, answer
-        return None
-
-
-def pd_batch(columns: dict):
-    import pyarrow as pa
-
-    return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in columns.items()})
+            e = min(len(words), s + width)
+            if s >= e or inside[e] - inside[s] < PARAPHRASED * len(w):
+                continue  # no subsequence can be long enough
+            n, answer = lcs(w, words[s:e])
+            got = (n / len(w), answer / answer_size(len(w)))
+            if got[0] >= COPIED or (got[0] >= PARAPHRASED and got[1] >= ANSWER and len(w) >= 8):
+                top = got if top is None else max(top, got)
+        return None if top is None else (item, max(c for _, c in hits), *top)
 
 
 def randomised_svd(matrix: DataFrame, n_features: int, rank: int, power: int = 2, seed: int = 11) -> np.ndarray:
@@ -253,27 +274,63 @@ def randomised_svd(matrix: DataFrame, n_features: int, rank: int, power: int = 2
     return basis @ rotate[:, np.argsort(-values)[:rank]]
 
 
-def _models(docs: DataFrame, benchmark: DataFrame, text_col: str):
-    """The fitted models of each block of items; null ids and texts without a word are left out."""
-    n = benchmark.count()
-    blocks = max(1, -(-n // BLOCK_ITEMS))
-    known = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
-    for b in range(blocks):
-        rows = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).distinct().collect()  # about BLOCK_ITEMS
-        items = [(i, w) for i, t in sorted((r.item_id, r.text) for r in rows) if (w := words_of(t))]
-        if items:
-            counts, documents = document_counts(docs, {x for _, w in items for x in w}, text_col)
-            models = [Latent(x) for x in parts(items)]
-            for model in models:
-                model.fit(docs.sparkSession, counts, documents)
-            yield models
+def _models(docs: DataFrame, benchmark: DataFrame, text_col: str) -> list[str]:
+    """Paths of the fitted models; null ids and texts without a word are left out.
 
-
-def _hits(docs: DataFrame, models: list[Latent], keep: list[str], text_col: str) -> DataFrame:
+    Items are dealt to models by their place in hash order: a model takes runs of it with at most PASSAGES passages, or
+    one longer item.  The driver holds the place and size of each item, and one model at a time.
+    """
+    items = items_of(benchmark)
+    order = items.select("place", "passages").orderBy("place", "item_id").collect()  # two numbers an item
+    runs, size = [], PASSAGES + 1
+    for r in order:
+        if size + r.passages > PASSAGES and (not runs or runs[-1][-1] != r.place):
+            runs.append([])
+            size = 0
+        runs[-1].append(r.place)
+        size += r.passages
+    if not runs:
+        return []
+    counts, documents = document_counts(docs, items, text_col)
+    folder = work_path(docs.sparkSession, "models")
+    store, base = opened(folder)
+    store.create_dir(base, recursive=True)
+    paths = []
+    for k, run in enumerate(runs):
+        own = items.where(F.col("place").between(run[0], run[-1]))
+        model = Latent(sorted((r.item_id, list(map(bytes, r.words))) for r in own.select("item_id", "words").collect()))
+        words = own.select(F.explode("words").alias("word")).distinct()
+        model.fit(own, {bytes(r.word): r.n for r in counts.join(words, "word").collect()}, documents)
+        paths.append(f"{folder}/{k}.pickle")
+        with store.open_output_stream(f"{base}/{k}.pickle") as f:
+            f.write(pickle.dumps(model))
+    return paths
+
+
+def _hits(docs: DataFrame, paths: list[str], keep: list[str], text_col: str) -> DataFrame:
     def make():
+        kept: dict[str, Latent] = {}
+        size = 0
+
+        def model_of(path: str) -> Latent:
+            nonlocal size
+            if path in kept:
+                return kept[path]
+            store, name = opened(path)
+            with store.open_input_file(name) as f:
+                data = f.read()
+            model = pickle.loads(data)
+            if size + len(data) <= KEPT_BYTES or not kept:
+                kept[path] = model
+                size += len(data)
+            return model
+
         def run(texts):
             words = [words_of(x) for x in texts]
-            found = [[x for y in own for x in y] for own in zip(*(m.judge(words) for m in models), strict=True)]
+            found = [[] for _ in texts]
+            for path in paths:
+                for own, more in zip(found, model_of(path).judge(words), strict=True):
+                    own += more
             return {n: [[x[i] for x in y] for y in found] for i, n in enumerate(("__items", "__cosine", "__covered", "__answer"))}
 
         return run
@@ -289,19 +346,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Null and empty texts hold nothing; rows that repeat an id are judged on their own; repeated
     items count once; an empty corpus or benchmark gives an empty result.
     """
-    out = None
-    for models in _models(docs, benchmark, text_col):
-        found = _hits(docs, models, [id_col], text_col).select(id_col, F.explode(F.arrays_zip("__items", "__cosine", "__covered", "__answer")).alias("x"))
-        found = found.select(id_col, F.col("x.__items").alias("item_id"), F.col("x.__cosine").alias("cosine"), F.col("x.__covered").alias("covered"), F.col("x.__answer").alias("answer"))
-        out = found if out is None else out.union(found)
-    if out is None:
-        z = F.lit(0.0)
-        return docs.select(id_col, F.lit(0).cast("long").alias("item_id"), z.alias("cosine"), z.alias("covered"), z.alias("answer")).where(F.lit(False))
-    return out
+    paths = _models(docs, benchmark, text_col)
+    found = _hits(docs, paths, [id_col], text_col).select(id_col, F.explode(F.arrays_zip("__items", "__cosine", "__covered", "__answer")).alias("x"))
+    return found.select(id_col, F.col("x.__items").alias("item_id"), F.col("x.__cosine").alias("cosine"), F.col("x.__covered").alias("covered"), F.col("x.__answer").alias("answer"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item."""
-    for models in _models(docs, benchmark, text_col):
-        docs = _hits(docs, models, docs.columns, text_col).where(F.size("__items") == 0).select(*docs.columns)
-    return docs
+    """``docs`` without the rows that hold a benchmark item.
+
+    Rows with null and empty texts stay, as do rows that repeat another unless they hold an item; an empty corpus
+    gives an empty result and an empty benchmark leaves all rows.
+    """
+    paths = _models(docs, benchmark, text_col)
+    return _hits(docs, paths, docs.columns, text_col).where(F.size("__items") == 0).select(*docs.columns)
