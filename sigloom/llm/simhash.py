@@ -11,9 +11,8 @@ exactly one has the zero.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sigloom.llm.common import map_rows, stored
 from sigloom.llm.components import components
@@ -85,197 +84,18 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: st
     """(id, fp, component_id): every row with the smallest id reachable over links of fingerprints.
 
     Null and empty texts have fingerprint zero and link like any other.  Rows that repeat an
-    id each get the component of their own text.  A null id gets a component but never names
-    one unless all of its fingerprint's ids are null.  An empty table gives an empty result.
+    id each get the component of their own text.  A null id links like any other but never names a
+    component; one of null ids only has a null component.  An empty table gives an empty result.
     Copies are folded to one fingerprint before anything is joined, so a group of any size
     is one node.
     """
     prints = stored(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    return prints.join(_components(prints, radius, id_col), "fp").select(id_col, "fp", "component_id")
-
-
-def _components(prints: DataFrame, radius: int, id_col: str) -> DataFrame:
-    """(fp, component_id) for a stored table with columns ``id_col`` and fp."""
-    nodes = stored(prints.groupBy("fp").agg(F.min(id_col).alias("root")), "nodes")
-    edges = links(nodes.select("fp"), radius)
-    # Nodes are numbered by their smallest id, so the least node of a component is its answer.
-    roots = nodes.where("root IS NOT NULL")
-    named = edges.join(roots.select(F.col("fp").alias("a"), F.col("root").alias("u")), "a").join(roots.select(F.col("fp").alias("b"), F.col("root").alias("v")), "b").select("u", "v")
-    comp = components(named)
-    return nodes.join(comp, nodes.root == comp.node, "left").select("fp", F.coalesce("component", "root").alias("component_id"))
-
-
-# Near-duplicates at a similarity of 0.8 differ in too many bits for balls around halves of one
-# 64-bit fingerprint.  Three fingerprints make a print of 192 bits with nine segments of 21; two
-# prints meet where a segment differs in at most one bit, or in one of each side, and are then
-# verified on all bits.
-
-WORDS = 3
-SEGMENT = 21
-#: Bits of 192 that may differ.  Shingle sets of similarity 0.8 differ in 29 on average, of 0.9 in 20, of 0.6 in 44.
-WIDE_RADIUS = 33
-_SEEDS = (0, 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def wide_print(text: bytes | None, width: int = 5) -> list[int]:
-    """Three fingerprints of the shingles, with hashes derived from one another, as signed numbers."""
-    grams, digest = shingles(text, width), xxhash.xxh64_intdigest
-    ones = np.zeros((WORDS, 64), np.int64)
-    for at in range(0, len(grams), 65536):
-        part = grams[at : at + 65536]
-        h = np.fromiter((digest(x, 42) for x in part), np.uint64, len(part))
-        for k, seed in enumerate(_SEEDS):
-            own = (_mixed(h ^ np.uint64(seed)) if k else h).astype(">u8")
-            ones[k] += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return [int(np.packbits(x).view(">i8")[0]) for x in 2 * ones > len(grams)]
-
-
-def node_of(p: np.ndarray) -> np.ndarray:
-    """A print's number, of rows of three words."""
-    x = p.view(np.uint64)
-    return _mixed(_mixed(_mixed(x[..., 0]) ^ x[..., 1]) ^ x[..., 2]).view(np.int64)
-
-
-def _buckets(prints: DataFrame) -> DataFrame:
-    """(bucket, p0, p1, p2): each print in the buckets of its segments and of their balls' upper halves."""
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                cols = [c.to_numpy() for c in part.columns]
-                rows, keys = [], []
-                everyone = np.arange(part.num_rows)
-                for k in range(WORDS):
-                    word = cols[k].view(np.uint64)
-                    for j in range(64 // SEGMENT):
-                        key = (word >> np.uint64(j * SEGMENT) & np.uint64((1 << SEGMENT) - 1)).astype(np.int64)
-                        seg = (k * 3 + j) << SEGMENT
-                        rows.append(everyone)
-                        keys.append(key | seg)
-                        for b in range(SEGMENT):
-                            low = np.flatnonzero((key >> b & 1) == 0)
-                            rows.append(low)
-                            keys.append(key[low] | 1 << b | seg)
-                pick = np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(pa.array(c[pick]) for c in cols)], names=["bucket", "p0", "p1", "p2"])
-
-    return prints.select("p0", "p1", "p2").mapInArrow(run, "bucket long, p0 long, p1 long, p2 long")
-
-
-def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
-
-
-def _bucket_links(keys: np.ndarray, bits: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (u, v) of rows, sorted by bucket, that connect all rows of a bucket that pairs within ``radius`` connect.
-
-    The first print of a bucket leads; those near it link to it, and the first of the others leads
-    next.  A print beyond a lead can still be near one that the lead took, if it is within twice the
-    radius of the lead: those are compared with all that the lead took, and link to one of them.
-    """
-    us, vs, far, far_lead = [], [], [], []
-    rest = np.arange(len(keys))
-    while len(rest):
-        k = keys[rest]
-        first = np.append(True, k[1:] != k[:-1])
-        lead = rest[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        rest, lead = rest[~first], lead[~first]
-        d = _apart(bits[rest], bits[lead])
-        near, unsure = d <= radius, (d > radius) & (d <= 2 * radius)
-        us.append(rest[near])
-        vs.append(lead[near])
-        far.append(rest[unsure])
-        far_lead.append(lead[unsure])
-        rest = rest[~near]
-    u, v, far, far_lead = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs, far, far_lead))
-    by, by_far = np.argsort(v, kind="stable"), np.argsort(far_lead, kind="stable")
-    taken, far, far_lead = v[by], far[by_far], far_lead[by_far]
-    more_u, more_v = [u], [v]
-    for lead in np.unique(far_lead):
-        own = u[by[np.searchsorted(taken, lead) : np.searchsorted(taken, lead, side="right")]]
-        if not len(own):
-            continue
-        asked = far[np.searchsorted(far_lead, lead) : np.searchsorted(far_lead, lead, side="right")]
-        for at in range(0, len(own), 4096):
-            members = own[at : at + 4096]
-            left = []
-            for k in range(0, len(asked), 256):
-                part = asked[k : k + 256]
-                close = _apart(bits[part][:, None], bits[members][None]) <= radius
-                hit = close.any(axis=1)
-                more_u.append(part[hit])
-                more_v.append(members[close[hit].argmax(axis=1)])
-                left.append(part[~hit])
-            asked = np.concatenate(left) if left else asked
-            if not len(asked):
-                break
-    return np.concatenate(more_u), np.concatenate(more_v)
-
-
-def wide_links(prints: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
-    """(u, v): nodes of prints (p0, p1, p2), so that all pairs are connected that meet in a bucket and differ
-    in at most ``radius`` bits, and every link is such a pair.  A task holds one bucket and one batch.
-    """
-    def run(batches):
-        open_keys, open_bits = [], []  # parts of the bucket that the next batch may go on with
-
-        def links(keys, bits):
-            u, v = _bucket_links(keys, bits, radius)
-            node = node_of(bits)
-            return pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], names=["u", "v"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column(0).to_numpy()
-            bits = np.stack([batch.column(i).to_numpy() for i in (1, 2, 3)], axis=1).view(np.uint64)
-            last = int(np.searchsorted(keys, keys[-1]))
-            if open_keys and (last or open_keys[0][0] != keys[0]):
-                yield links(np.concatenate([*open_keys, keys[:last]]), np.concatenate([*open_bits, bits[:last]]))
-                open_keys, open_bits = [], []
-            elif last:
-                yield links(keys[:last], bits[:last])
-            open_keys.append(keys[last:])
-            open_bits.append(bits[last:])
-        if open_keys:
-            yield links(np.concatenate(open_keys), np.concatenate(open_bits))
-
-    dealt = _buckets(prints).repartition(F.col("bucket")).sortWithinPartitions("bucket", "p0", "p1", "p2")
-    return dealt.mapInArrow(run, "u long, v long").where("u <> v").distinct()
-
-
-def deduplicated(docs: DataFrame, width: int = 5, radius: int = WIDE_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: that of its smallest id, a null id last.
-
-    Null and empty texts are copies of one another.  Rows that repeat an id go by their own texts.
-    """
-    columns = docs.columns
-
-    def make():
-        def run(texts):
-            p = np.array([wide_print(None if x is None else x.encode("utf-8", "surrogatepass"), width) for x in texts], np.int64).reshape(-1, WORDS)
-            return {f"p{k}": p[:, k] for k in range(WORDS)} | {"node": node_of(p)}
-
-        return run
-
-    # Texts stay where they are until the rows to keep are known.
-    which = [F.col(id_col).alias("id"), F.xxhash64(text_col).alias("salt"), F.col(text_col).alias("text")]
-    fields = [*(T.StructField(f"p{k}", T.LongType()) for k in range(WORDS)), T.StructField("node", T.LongType())]
-    rows = stored(map_rows(docs.select(*which), make, fields, ["id", "salt"], "text"), "prints")
-    first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "salt"))
-    nodes = stored(rows.groupBy("node").agg(F.first("p0").alias("p0"), F.first("p1").alias("p1"), F.first("p2").alias("p2"), first.alias("x")), "nodes")
-    group = components(wide_links(nodes, radius))
-    best = nodes.join(group, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("x").alias("x"))
-    kept = best.select(F.col("x.id").alias("__id"), F.col("x.salt").alias("__salt"))
-    joined = docs.withColumn("__s", F.xxhash64(text_col)).join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__s") == F.col("__salt")))
-    once = Window.partitionBy("__id", "__salt").orderBy(F.lit(0))  # rows that repeat id and text are one
-    return joined.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*columns)
+    nodes = stored(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
+    group = components(links(nodes.select("fp"), radius).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    known = nodes.join(group, nodes.fp == group.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
+    named = known.groupBy("group").agg(F.min("least").alias("component_id"))
+    found = known.join(named, "group").select("fp", "component_id")
+    return prints.join(found, "fp").select(id_col, "fp", "component_id")
 
 
 def hex_print(c: Column) -> Column:

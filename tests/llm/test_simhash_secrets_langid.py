@@ -60,6 +60,14 @@ def test_simhash_of_nothing_and_repeated_rows(spark):
     assert got == [("1", 1)] * 3 + [("7", 7), ("None", 1)]
 
 
+def test_components_reach_through_null_ids(spark, monkeypatch):
+    prints = {"a": 0b11, "b": 0b1111, "c": 0b111111, "d": 1 << 40 | 1 << 50 | 1 << 60}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs.select("doc_id", F.element_at(F.create_map(*[F.lit(x) for kv in prints.items() for x in kv]), F.col("text")).cast("long").alias("fp")))
+    rows = [(9, "a", None, None), (None, "b", None, None), (4, "c", None, None), (None, "d", None, None)]
+    got = {r.fp: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {prints["a"]: 4, prints["b"]: 4, prints["c"]: 4, prints["d"]: None}
+
+
 def plain_spans(text):
     text, out = text or "", []
     for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII):
@@ -138,43 +146,6 @@ def test_langid_cut_of_many_rows(spark):
     assert 70 <= got <= 180  # 120 are expected
 
 
-def test_wide_links_lose_no_link_of_a_bucket(spark):
-    rng = np.random.default_rng(5)
-    rows = []
-    for family in range(60):
-        free = [64 * k + 21 * j + b for k in range(3) for j in range(3) for b in range(21) if k + j]
-        order = rng.permutation(free)
-        step = [family, 0, 0]  # the first segment is that of the family; each print adds 20 or 30 bits to the last
-        rows.append(tuple(step))
-        for at in ((0, 30), (30, 60), (60, 80)):
-            for b in order[slice(*at)]:
-                step[b // 64] |= 1 << int(b % 64)
-            rows.append(tuple(step))
-    rows += [tuple(int(x) for x in r) for r in rng.integers(0, 2**63 - 1, (400, 3))]
-    bits = np.array(rows, np.int64)
-    node = simhash.node_of(bits).tolist()
-    table = spark.createDataFrame(rows, "p0 long, p1 long, p2 long")
-    key, size = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    for n in (size, "7"):
-        spark.conf.set(key, n)
-        try:
-            got = [(r.u, r.v) for r in simhash.wide_links(table).collect()]
-        finally:
-            spark.conf.set(key, size)
-        at = {x: i for i, x in enumerate(node)}
-        root = list(range(len(rows)))
-
-        def find(x, root=root):
-            while root[x] != x:
-                x = root[x]
-            return x
-
-        for u, v in got:
-            assert np.bitwise_count((bits[at[u]] ^ bits[at[v]]).view(np.uint64)).sum() <= simhash.WIDE_RADIUS
-            root[find(at[u])] = find(at[v])
-        assert all(find(4 * f) == find(4 * f + k) for f in range(60) for k in range(4))
-
-
 def plain_label(text, langs, w):
     """Language and score by loops over single bytes."""
     raw, n, h = text.encode(), len(langs), langid.HIDDEN
