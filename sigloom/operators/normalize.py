@@ -28,6 +28,9 @@ IDS_TEXT = r"(?d)\[\d+:\d+:\d+\]\s+(.*?)\s+\[Classification:"
 IDS_TEXT_LOOSE = r"(?d)\]\s+(.*?)\s+\[Classification:"
 IDS_PRIORITY = r"Priority: (\d+)"
 ACTION = r"action (\w+) ([^\s]+)"
+IDS_LINE = r"suricata|Classification:"
+FLOW_START = "zenarmor: {"
+FLOW = r"(?s)zenarmor: (\{.*\})\s*$"
 SEVERITIES = {7: ["error", "critical", "high", "err", "severe"], 4: ["warn", "medium", "warning"], 1: ["info", "low", "informational"], 0: ["debug"]}
 
 
@@ -169,7 +172,7 @@ def _firewall(df: DataFrame, compat: Compat) -> DataFrame:
     df = df.withColumns({"__p": payload, "__alert": on & alert})
     p, js = F.col("__p"), F.col("__alert")
     missing = F.lit(None if compat.none_as_null else "None")
-    df = df.withColumns({"__ids": ~js & F.coalesce(p.rlike("suricata|Classification:"), F.lit(False)), "__flow": F.when(~js & p.contains("zenarmor: {"), F.try_parse_json(match(p, r"(?s)zenarmor: (\{.*\})\s*$")))})
+    df = df.withColumns({"__ids": ~js & F.coalesce(p.rlike(IDS_LINE), F.lit(False)), "__flow": F.when(~js & p.contains(FLOW_START), F.try_parse_json(match(p, FLOW)))})
     ids, flow = F.col("__ids"), F.col("__flow")
     prio = F.when(ids, match(p, IDS_PRIORITY))
     in_flow = F.coalesce(F.schema_of_variant(flow).startswith("OBJECT"), F.lit(False))
@@ -224,21 +227,23 @@ def _finished(df: DataFrame, compat: Compat) -> DataFrame:
 def normalize(raw: DataFrame, compat: Compat = DEFAULT) -> DataFrame:
     """Normalized events of raw ones (id, event_time, sourcetype, source, host, raw_json, raw_text).
 
-    Metric lines and rows without any time are left out; see :func:`rejected`.
+    Metric lines, rows without any time and rows whose payload isn't JSON are left out; see :func:`rejected`.
     """
-    return _prepared(raw, compat).where(~F.col("__noise") & F.col("event_time").isNotNull()).select(*COLUMNS)
+    return _prepared(raw, compat).where(~F.col("__noise") & ~F.col("__broken") & F.col("event_time").isNotNull()).select(*COLUMNS)
 
 
 def rejected(raw: DataFrame, compat: Compat = DEFAULT) -> DataFrame:
     """(raw_id, reason) of the rows that :func:`normalize` leaves out."""
-    bad = _prepared(raw, compat).where(F.col("__noise") | F.col("event_time").isNull())
-    return bad.select("raw_id", F.when(F.col("__noise"), "metric line").otherwise("no time").alias("reason"))
+    bad = _prepared(raw, compat).where(F.col("__noise") | F.col("__broken") | F.col("event_time").isNull())
+    return bad.select("raw_id", F.when(F.col("__noise"), "metric line").when(F.col("event_time").isNull(), "no time").otherwise("broken payload").alias("reason"))
 
 
 def _prepared(raw: DataFrame, compat: Compat) -> DataFrame:
     null = F.lit(None).cast("string")
-    v = F.coalesce(F.try_parse_json("raw_json"), F.parse_json(F.lit("{}")))
-    df = raw.withColumns({"__v": v, "__class": classify(F.col("sourcetype"), F.col("source")), "__noise": is_noise(F.col("raw_text"))})
+    read = F.try_parse_json("raw_json")
+    v = F.coalesce(read, F.parse_json(F.lit("{}")))
+    broken = filled(F.col("raw_json")).isNotNull() & read.isNull()
+    df = raw.withColumns({"__v": v, "__broken": broken, "__class": classify(F.col("sourcetype"), F.col("source")), "__noise": is_noise(F.col("raw_text"))})
     text = F.coalesce(filled(F.col("raw_text")), filled(field(F.col("__v"), "$._raw")), F.lit(""))
     df = df.withColumn("__raw", text).withColumn("__message", F.coalesce(filled(field(F.col("__v"), "$.Message")), F.col("__raw")))
     df = df.withColumns(

@@ -56,23 +56,17 @@ def heuristic_brief(incident: Row | None, stats: Row | None, key: list[Row]) ->
     """A Markdown brief of one incident, from a row of each table and its key evidence."""
     if incident is None or stats is None:
         return "No evidence found for this incident."
-    root, kind = incident.root_entity_id, incident.root_entity_type
     lines = [
-        f"**Summary**: {kind}:{root}, severity {incident.severity}, score {incident.score:.0f}.",
-        f"{stats.total_signals} signals, {stats.unique_evidence} distinct, from {incident.start_time} to {incident.last_update_time} (UTC).",
-        f"Detection types: {stats.top_types}.",
+        f"{incident.root_entity_type}:{incident.root_entity_id} has {stats.total_signals} signals, {stats.unique_evidence} distinct, severity {incident.severity}, score {incident.score:.0f}.",
+        f"From {incident.start_time} to {incident.last_update_time} (UTC); mostly {stats.top_types}.",
         "",
-        "**Key evidence**",
-        *(f"* {r.time_str}: {r.signal_name} (severity {r.severity}) on {r.entity_id}" for r in key),
-        "",
-        "**Next steps**",
-        f"* [ ] Review the activity of {root} in that time.",
+        *(f"{n}. {r.time_str} {r.entity_id}: {r.signal_name} (severity {r.severity})" for n, r in enumerate(key, 1)),
     ]
-    if "host" in kind:
-        lines += ["* [ ] Look for failed logons (event 4625).", f"* [ ] List processes and connections of {root}."]
-    elif "ip" in kind:
-        lines += [f"* [ ] Look for firewall traffic with {root}.", f"* [ ] Find out whether {root} is a known asset."]
-    return "\n".join(lines)
+    # What else to read: the other entities in the evidence, and the searches there are for this kind of entity.
+    others = sorted({r.entity_id for r in key} - {incident.root_entity_id})
+    lines += ["", f"Also involved: {', '.join(others)}."] if others else []
+    searches = investigation_queries(incident.root_entity_type, incident.root_entity_id, str(incident.start_time), str(incident.last_update_time))
+    return "\n".join(lines + [f"Search: {q['title']}." for q in searches])
 
 
 def written_brief(incident: Row, stats: Row, key: list[Row], write: Callable[[str], str] | None = None) -> str:
@@ -87,7 +81,7 @@ def written_brief(incident: Row, stats: Row, key: list[Row], write: Callable[[st
 
 
 def investigation_queries(entity_type: str, entity_id: str, start: str, end: str) -> list[dict[str, str]]:
-    """Spark SQL over normalized_events for an analyst to run, by kind of entity."""
+    """Spark SQL over normalized_events for an analyst to run, by kind of entity.  The titles are fixed values."""
     quote = lambda s: "'" + str(s).replace("\\", "\\\\").replace("'", "\\'") + "'"
     who, span = quote(entity_id), f"event_time BETWEEN TIMESTAMP {quote(start)} AND TIMESTAMP {quote(end)}"
     if entity_type in ("host", "ip", "src_ip", "dest_ip"):

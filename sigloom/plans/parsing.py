@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sigloom.functions import columns as K
 from sigloom.operators import normalize as N, state as S
 from sigloom.sources import files as I
-from sigloom.sources.adapter import EV, RAW, normalized_events, raw_lines
+from sigloom.sources.adapter import EV, RAW, _k, normalized_events, raw_lines
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -115,6 +115,72 @@ NORMALIZED = f"""x AS (SELECT event_id AS raw_id, t, host,
 query("n_normalized", f"WITH {RAW}, {NORMALIZED} SELECT * FROM norm")(lambda s, d: N.normalize(raw_lines(s, d)).drop("event_time", "source", "sourcetype"))
 
 
+# Rules that the lines above don't reach: a payload or line is built for each.
+
+
+def _text(*xs):
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs])
+
+
+def parsed(spark: SparkSession, d: str, sourcetype: str, payload, line="nothing to see", host="h", function=N.normalize) -> DataFrame:
+    """Normalized events of one raw row an event; k and u are columns of payload, line and host."""
+    rows = spark.read.parquet(f"{d}/events.parquet").withColumn("k", _k()).withColumn("u", F.col("user_id"))
+    as_column = lambda x: F.lit(x) if isinstance(x, str) else x
+    raw = rows.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("event_time"), F.lit(sourcetype).alias("sourcetype"), F.lit("s").alias("source"), as_column(host).alias("host"), as_column(payload).alias("raw_json"), as_column(line).alias("raw_text"))
+    return function(raw)
+
+
+@query("n07_level_names", f"WITH {RAW} SELECT event_id AS raw_id, CAST(CASE k % 5 WHEN 0 THEN 7 WHEN 1 THEN 7 WHEN 2 THEN 4 WHEN 3 THEN 1 ELSE 0 END AS INTEGER) AS severity FROM raw")
+def n07(spark: SparkSession, d: str) -> DataFrame:
+    forms = F.array(*map(F.lit, ['{"Type":"Error"}', '{"Type":"","Level":"Critical"}', '{"LevelDisplayName":["Warning","x"]}', '{"Type":"Information"}', '{"Type":"Verbose"}']))
+    return parsed(spark, d, "WinEventLog", F.get(forms, F.col("k") % 5)).select("raw_id", "severity")
+
+
+@query("n08_rule_object", f"WITH {RAW} SELECT event_id AS raw_id, CASE WHEN k % 2 = 0 THEN 'alert' ELSE 'event' END AS event_kind, 'rule ' || k AS signature, '57' || k AS rule_id, CAST(CASE WHEN u % 16 >= 12 THEN 7 WHEN u % 16 >= 7 THEN 4 WHEN u % 16 = 0 THEN 0 ELSE 1 END AS INTEGER) AS severity FROM raw")
+def n08(spark: SparkSession, d: str) -> DataFrame:
+    groups = F.when(F.col("k") % 2 == 0, '["sshd","authentication_failed"]').otherwise('["sshd"]')
+    payload = _text('{"rule":{"level":', F.col("u") % 16, ',"id":"57', F.col("k"), '","description":"rule ', F.col("k"), '","groups":', groups, "}}")
+    return parsed(spark, d, "WinEventLog", payload).select("raw_id", "event_kind", "signature", "rule_id", "severity")
+
+
+@query("n13_web_fallbacks", f"WITH {RAW} SELECT event_id AS raw_id, CASE k % 4 WHEN 0 THEN 'dev1' WHEN 1 THEN 'shop_' || k WHEN 2 THEN 'juiceshop' ELSE 'own' END AS host, CASE WHEN k % 4 = 0 THEN {_OK_IP} END AS src_ip FROM raw")
+def n13(spark: SparkSession, d: str) -> DataFrame:
+    payload = F.when(F.col("k") % 4 == 0, _text('{"clientip":"10.1.', F.col("u") % 300, '.7","dvc":"dev1"}')).when(F.col("k") % 4 == 1, _text('{"container_name":"shop_', F.col("k"), '"}')).when(F.col("k") % 4 == 2, "{}").otherwise('{"dvc":"x"}')
+    host = F.when(F.col("k") % 4 == 3, "own").when(F.col("k") % 4 == 1, "").otherwise("unknown")
+    return parsed(spark, d, "juiceshop:app", payload, host=host).select("raw_id", "host", "src_ip")
+
+
+@query("n16_json_alert", f"WITH {RAW} SELECT event_id AS raw_id, 'ids' AS event_kind, 'ET probe ' || k AS signature, CAST(k AS VARCHAR) AS rule_id, CASE WHEN k % 3 > 0 THEN {_OK_IP} END AS src_ip, '10.5.5.5' AS dest_ip FROM raw")
+def n16(spark: SparkSession, d: str) -> DataFrame:
+    address = F.when(F.col("k") % 3 > 0, _text('"src_ip":"10.1.', F.col("u") % 300, '.7",')).otherwise("")
+    payload = _text('{"alert":{"signature":"ET probe ', F.col("k"), '","signature_id":', F.col("k"), "},", address, '"dest_ip":"10.5.5.5"}')
+    return parsed(spark, d, "suricata", payload, "from 9.9.9.9").select("raw_id", "event_kind", "signature", "rule_id", "src_ip", "dest_ip")
+
+
+@query("n19_action_line", f"WITH {RAW} SELECT event_id AS raw_id, 'network' AS event_kind, 'allowed firmware.reload.' || k AS signature, 'firmware.reload.' || k AS rule_id, {_OK_IP} AS src_ip FROM raw")
+def n19(spark: SparkSession, d: str) -> DataFrame:
+    line = _text("configd 10.1.", F.col("u") % 300, ".7 action allowed firmware.reload.", F.col("k"), " for user root")
+    return parsed(spark, d, "opnsense:syslog", "{}", line).select("raw_id", "event_kind", "signature", "rule_id", "src_ip")
+
+
+@query("n20_event_type", f"WITH {RAW} SELECT event_id AS raw_id, 'dns' || (k % 3) AS signature, substr(md5('dns' || (k % 3)), 1, 8) AS rule_id FROM raw")
+def n20(spark: SparkSession, d: str) -> DataFrame:
+    return parsed(spark, d, "opnsense", _text('{"event_type":"dns', F.col("k") % 3, '"}')).select("raw_id", "signature", "rule_id")
+
+
+@query("n28_quarantine", f"WITH {RAW} SELECT event_id AS raw_id, CASE WHEN k % 4 = 0 THEN 'broken payload' ELSE 'metric line' END AS reason FROM raw WHERE k % 4 < 2")
+def n28(spark: SparkSession, d: str) -> DataFrame:
+    payload = F.when(F.col("k") % 4 == 0, _text('{"k":', F.col("k"))).otherwise("{}")
+    return parsed(spark, d, "opnsense", payload, F.when(F.col("k") % 4 == 1, "1.00      2.00").otherwise("x"), function=N.rejected)
+
+
+@query("n30_inner_json", f"WITH {RAW} SELECT event_id AS id, k AS inner FROM raw")
+def n30(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/events.parquet").withColumn("k", _k())
+    v = F.parse_json(_text('{"_raw":"{\\"a\\":{\\"b\\":', F.col("k"), '}}"}'))
+    return rows.select(F.col("event_id").alias("id"), F.try_variant_get(N.inner_json(v, "$.a.b"), "$", "int").alias("inner"))
+
+
 @query("n01_n27_rejected", "SELECT event_id AS raw_id, CASE WHEN event_id % 6 = 0 THEN 'metric line' ELSE 'no time' END AS reason FROM events WHERE event_id % 6 = 0 OR event_id % 5 = 0")
 def n01(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("id")

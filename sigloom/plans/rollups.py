@@ -126,61 +126,88 @@ query("d01_feature_clock", f"WITH {EV}, {FT} SELECT max(bin_start) AS now FROM f
  cur AS (SELECT entity_id, sum(value) AS c FROM ft, now_ WHERE feature_name = 'auth_fail_count' AND entity_type = 'host' AND bin_start > now - INTERVAL 24 HOUR GROUP BY 1),
  base AS (SELECT entity_id, avg(value) AS a FROM ft, now_ WHERE feature_name = 'auth_fail_count' AND entity_type = 'host' AND bin_start > now - INTERVAL 168 HOUR AND bin_start <= now - INTERVAL 24 HOUR GROUP BY 1)
  SELECT now AS event_time, now - INTERVAL 24 HOUR AS window_start, now AS window_end, 'auth_fail_spike' AS signal_name, 'host' AS entity_type, cur.entity_id, CAST(7 AS INTEGER) AS severity,
-  round(c / (COALESCE(a, 0) + 0.1), 9) AS score, 'auth_fail_spike|host|' || cur.entity_id || '|' || strftime(now, '%Y%m%d%H%M%S') AS dedupe_key
+  round(c / (COALESCE(a, 0) + 0.1), 9) AS score, 'auth_fail_spike|host|' || cur.entity_id || '|' || strftime(now, '%Y%m%d%H%M%S') AS dedupe_key,
+  round(c, 6) AS of_now, round(COALESCE(a, 0), 6) AS of_base
  FROM cur LEFT JOIN base ON cur.entity_id = base.entity_id, now_ WHERE c >= 5 AND c > COALESCE(a, 0) * 3 + 5""")
 def d02(spark: SparkSession, d: str) -> DataFrame:
     f = features(spark, d)
-    return X_round(D.auth_fail_spikes(f, D.feature_clock(f), DAY, WEEK))
+    return X_round(D.auth_fail_spikes(f, D.feature_clock(f), DAY, WEEK), "current_sum", "baseline_avg")
 
 
-def X_round(signals: DataFrame) -> DataFrame:
-    return signals.drop("metadata").withColumn("score", F.round("score", 9))
+def X_round(signals: DataFrame, now: str, base: str) -> DataFrame:
+    """The score and the two numbers of the metadata, rounded."""
+    of = lambda name: F.round(F.get_json_object("metadata", f"$.{name}").cast("double"), 6)
+    return signals.withColumns({"score": F.round("score", 9), "of_now": of(now), "of_base": of(base)}).drop("metadata")
 
 
 @query("d03_silent_agents", f"""WITH {EV}, g AS ({_five('event_count', 'user', 'username')}), {_NOW.format('g')}
  SELECT now AS event_time, now - INTERVAL 24 HOUR AS window_start, now AS window_end, 'agent_silent' AS signal_name, 'user' AS entity_type, entity_id, CAST(3 AS INTEGER) AS severity, CAST(10 AS DOUBLE) AS score,
-  'agent_silent|user|' || entity_id || '|' || strftime(now, '%Y%m%d%H%M%S') AS dedupe_key
+  'agent_silent|user|' || entity_id || '|' || strftime(now, '%Y%m%d%H%M%S') AS dedupe_key, '{{}}' AS metadata
  FROM g, now_ WHERE bin_start > now - INTERVAL 168 HOUR GROUP BY now, entity_id HAVING max(bin_start) <= now - INTERVAL 24 HOUR""")
 def d03(spark: SparkSession, d: str) -> DataFrame:
     f = X._metric(normalized_events(spark, d), "user", "event_count", F.col("username"), F.count("*"))
-    return D.silent_agents(f, D.feature_clock(f, 300), DAY, timedelta(days=7), 300, "user").drop("metadata")
+    return D.silent_agents(f, D.feature_clock(f, 300), DAY, timedelta(days=7), 300, "user")
 
 
-@query("d04_app_error_spike", f"""WITH {EV}, g AS ({G['g06_error_rates']}), {_NOW.format('g')},
- cur AS (SELECT entity_id, avg(value) AS c FROM g, now_ WHERE bin_start > now - INTERVAL 24 HOUR GROUP BY 1),
- base AS (SELECT entity_id, avg(value) AS b FROM g, now_ WHERE bin_start > now - INTERVAL 168 HOUR AND bin_start <= now - INTERVAL 24 HOUR GROUP BY 1)
- SELECT now AS event_time, now - INTERVAL 24 HOUR AS window_start, now AS window_end, 'app_error_spike' AS signal_name, 'application' AS entity_type, cur.entity_id, CAST(5 AS INTEGER) AS severity,
-  round(c / (COALESCE(b, 0) + 0.01), 9) AS score, 'app_error_spike|application|' || cur.entity_id || '|' || strftime(now, '%Y%m%d%H%M%S') AS dedupe_key
- FROM cur LEFT JOIN base ON cur.entity_id = base.entity_id, now_ WHERE c > 0.05 AND c > COALESCE(b, 0) * 0.9""")
+@query("d03_silent_hosts", f"""WITH {EV}, g AS (SELECT time_bucket(INTERVAL '60 seconds', event_time) AS bin_start, host || '-' || (raw_id % 97) AS entity_id FROM ev), {_NOW.format('g')}
+ SELECT now AS event_time, now - INTERVAL 1 HOUR AS window_start, now AS window_end, 'agent_silent' AS signal_name, 'host' AS entity_type, entity_id, CAST(3 AS INTEGER) AS severity, CAST(10 AS DOUBLE) AS score,
+  'agent_silent|host|' || entity_id || '|' || strftime(now, '%Y%m%d%H%M%S') AS dedupe_key, '{{}}' AS metadata
+ FROM g, now_ WHERE bin_start > now - INTERVAL 24 HOUR GROUP BY now, entity_id HAVING max(bin_start) <= now - INTERVAL 1 HOUR""")
+def d03_hosts(spark: SparkSession, d: str) -> DataFrame:
+    """The default windows, bins and entities, over more hosts than the events name."""
+    named = normalized_events(spark, d).withColumn("host", F.concat("host", F.lit("-"), (F.col("raw_id") % 97).cast("string")))
+    f = X.host_counts(named, 60)
+    return D.silent_agents(f, D.feature_clock(f))
+
+
+def _d04_sql(now: int, base: int, factor: float) -> str:
+    return f"""WITH {EV}, g AS ({G['g06_error_rates']}), {_NOW.format('g')},
+ cur AS (SELECT entity_id, avg(value) AS c FROM g, now_ WHERE bin_start > now - INTERVAL {now} HOUR GROUP BY 1),
+ base AS (SELECT entity_id, avg(value) AS b FROM g, now_ WHERE bin_start > now - INTERVAL {now + base} HOUR AND bin_start <= now - INTERVAL {now} HOUR GROUP BY 1)
+ SELECT now AS event_time, now - INTERVAL {now} HOUR AS window_start, now AS window_end, 'app_error_spike' AS signal_name, 'application' AS entity_type, cur.entity_id, CAST(5 AS INTEGER) AS severity,
+  round(c / (COALESCE(b, 0) + 0.01), 9) AS score, 'app_error_spike|application|' || cur.entity_id || '|' || strftime(now, '%Y%m%d%H%M%S') AS dedupe_key, round(c, 6) AS of_now, round(COALESCE(b, 0), 6) AS of_base
+ FROM cur LEFT JOIN base ON cur.entity_id = base.entity_id, now_ WHERE c > 0.05 AND c > COALESCE(b, 0) * {factor}"""
+
+
+@query("d04_app_error_spike", _d04_sql(24, 144, 0.9))
 def d04(spark: SparkSession, d: str) -> DataFrame:
     f = X.error_rates(normalized_events(spark, d))
-    return X_round(D.app_error_spikes(f, D.feature_clock(f, 300), DAY, WEEK, 300, factor=0.9))
+    return X_round(D.app_error_spikes(f, D.feature_clock(f, 300), DAY, WEEK, 300, factor=0.9), "current_rate", "baseline_rate")
+
+
+@query("d04_app_error_spike_default", _d04_sql(1, 6, 2))
+def d04_default(spark: SparkSession, d: str) -> DataFrame:
+    f = X.error_rates(normalized_events(spark, d))
+    return X_round(D.app_error_spikes(f, D.feature_clock(f, 300), bin_size_sec=300), "current_rate", "baseline_rate")
 
 
 _ISO = "CASE WHEN microsecond(window_end) % 1000000 = 0 THEN strftime(window_end, '%Y-%m-%dT%H:%M:%S') ELSE strftime(window_end, '%Y-%m-%dT%H:%M:%S.%f') END"
 _KEY = f"sha1(signal_name || '|' || entity_type || '|' || entity_id || '|' || {_ISO} || '+00:00')"
-BAD = f"""bad AS (SELECT *, {_KEY} AS dedupe_key FROM (SELECT min(bin_start) AS window_start, max(bin_start) AS window_end, 'Spike in Bad Events' AS signal_name, entity_type, entity_id, CAST(7 AS INTEGER) AS severity, sum(value) AS score
+BAD = f"""bad AS (SELECT *, {_KEY} AS dedupe_key FROM (SELECT min(bin_start) AS window_start, max(bin_start) AS window_end, 'Spike in Bad Events' AS signal_name, entity_type, entity_id, CAST(7 AS INTEGER) AS severity, sum(value) AS score,
+  '{{{{"feature":"bad_event_count","threshold":{{t}},"value":' || CAST(sum(value) AS BIGINT) || '}}}}' AS metadata
  FROM ft WHERE feature_name = 'bad_event_count' GROUP BY entity_type, entity_id, {{by}} HAVING sum(value) > {{t}}))"""
 RAW_ALERTS = f"""alerts AS (SELECT *, {_KEY} AS dedupe_key FROM (SELECT event_time AS window_start, event_time AS window_end, COALESCE(NULLIF(signature, ''), vendor || ' Alert') AS signal_name,
   CASE WHEN vendor = 'opnsense' AND src_ip IS NOT NULL THEN 'ip' ELSE 'host' END AS entity_type, CASE WHEN vendor = 'opnsense' AND src_ip IS NOT NULL THEN src_ip ELSE host END AS entity_id,
-  CASE WHEN severity > 0 THEN severity ELSE 4 END AS severity, CAST(10 AS DOUBLE) AS score
+  CASE WHEN severity > 0 THEN severity ELSE 4 END AS severity, CAST(10 AS DOUBLE) AS score,
+  '{{"rule_id":"' || rule_id || '","vendor":"' || vendor || '"' || COALESCE(',"src_ip":"' || src_ip || '"', '') || COALESCE(',"dest_ip":"' || dest_ip || '"', '') || '}}' AS metadata
  FROM ev WHERE severity >= 7 OR (vendor = 'opnsense' AND event_kind = 'ids')) WHERE entity_id <> '' AND entity_id <> 'unknown')"""
 _SIG = "window_start, window_end, signal_name, entity_type, entity_id, severity, score, dedupe_key"
+_WITH_META = _SIG + ", metadata"
 
 
-@query("d05_bad_event_spike", f"WITH {EV}, {FT}, {BAD.format(by='true', t=50)} SELECT window_end AS event_time, {_SIG} FROM bad")
+@query("d05_bad_event_spike", f"WITH {EV}, {FT}, {BAD.format(by='true', t=50)} SELECT window_end AS event_time, {_WITH_META} FROM bad")
 def d05(spark: SparkSession, d: str) -> DataFrame:
-    return D.bad_event_spikes(features(spark, d)).drop("metadata")
+    return D.bad_event_spikes(features(spark, d))
 
 
-@query("d05_bad_event_spike_daily", f"WITH {EV}, {FT}, {BAD.format(by='CAST(bin_start AS DATE)', t=10)} SELECT window_end AS event_time, {_SIG} FROM bad")
+@query("d05_bad_event_spike_daily", f"WITH {EV}, {FT}, {BAD.format(by='CAST(bin_start AS DATE)', t=10)} SELECT window_end AS event_time, {_WITH_META} FROM bad")
 def d05_daily(spark: SparkSession, d: str) -> DataFrame:
-    return D.bad_event_spikes(features(spark, d), threshold=10, by=[F.to_date("bin_start")]).drop("metadata")
+    return D.bad_event_spikes(features(spark, d), threshold=10, by=[F.to_date("bin_start")])
 
 
-@query("d06_promoted_alerts", f"WITH {EV}, {RAW_ALERTS} SELECT window_end AS event_time, {_SIG} FROM alerts")
+@query("d06_promoted_alerts", f"WITH {EV}, {RAW_ALERTS} SELECT window_end AS event_time, {_WITH_META} FROM alerts")
 def d06(spark: SparkSession, d: str) -> DataFrame:
-    return D.promoted_alerts(normalized_events(spark, d)).drop("metadata")
+    return D.promoted_alerts(normalized_events(spark, d))
 
 
 def signals(spark: SparkSession, d: str) -> DataFrame:
@@ -188,15 +215,15 @@ def signals(spark: SparkSession, d: str) -> DataFrame:
     return D.run_detections(features(spark, d), normalized_events(spark, d), None, None)
 
 
-SIG = f"""{BAD.format(by='true', t=50)}, {RAW_ALERTS}, sig AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY window_start, score) AS n FROM
- (SELECT {_SIG} FROM bad UNION ALL SELECT {_SIG} FROM alerts)) WHERE n = 1)"""
-query("d07_d08_run_detections", f"WITH {EV}, {FT}, {SIG} SELECT window_end AS event_time, {_SIG} FROM sig")(lambda s, d: signals(s, d).drop("metadata"))
+SIG = f"""{BAD.format(by='true', t=50)}, {RAW_ALERTS}, sig AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY window_start, score, metadata) AS n FROM
+ (SELECT {_WITH_META} FROM bad UNION ALL SELECT {_WITH_META} FROM alerts)) WHERE n = 1)"""
+query("d07_d08_run_detections", f"WITH {EV}, {FT}, {SIG} SELECT window_end AS event_time, {_WITH_META} FROM sig")(signals)
 
 
-@query("d08_detection_window", f"WITH {EV}, {RAW_ALERTS} SELECT window_end AS event_time, {_SIG} FROM alerts WHERE window_end >= TIMESTAMP '2024-01-10 00:00:00' AND window_end < TIMESTAMP '2024-01-12 06:00:00'")
+@query("d08_detection_window", f"WITH {EV}, {RAW_ALERTS} SELECT window_end AS event_time, {_WITH_META} FROM alerts WHERE window_end >= TIMESTAMP '2024-01-10 00:00:00' AND window_end < TIMESTAMP '2024-01-12 06:00:00'")
 def d08(spark: SparkSession, d: str) -> DataFrame:
     start, end = D.window_of(datetime(2024, 1, 10), datetime(2024, 1, 12, 6, 0, 40))
-    return D.promoted_alerts(normalized_events(spark, d), F.lit(start), F.lit(end)).drop("metadata")
+    return D.promoted_alerts(normalized_events(spark, d), F.lit(start), F.lit(end))
 
 
 # Incidents

@@ -1,18 +1,22 @@
 """A Python data source over a search server's export endpoint, batch and streaming.
 
 The transport is a function named by the option ``transport`` ("package.module:function"):
-called with a search and a half-open range of epoch seconds, it yields the response's lines.
-Ranges are cut into ``splits``, read in parallel.
+called with a search and a half-open range of epoch seconds, it yields the response's lines.  Without that
+option it is HTTP, to the option ``url``: see :mod:`sigloom.sources.http_search`.  Ranges are cut into
+``splits``, or in a stream into ranges of ``step`` seconds, read in parallel by the executors.
 """
 
 from __future__ import annotations
 
 import importlib
 import json
+import math
 import time
 from collections.abc import Callable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+
+from sigloom.sources import http_search
 
 SESSION_SECONDS = 1800  # fixed value: how long a session key is used
 
@@ -47,10 +51,15 @@ class _Range(InputPartition):
 
 
 def _lines(options: dict, start: float, end: float) -> Iterator[tuple[str]]:
-    module, _, name = options["transport"].partition(":")
+    search = options.get("search", search_text())
+    if "transport" in options:
+        module, _, name = options["transport"].partition(":")
+        lines = getattr(importlib.import_module(module), name)(search, start, end)
+    else:
+        lines = http_search.export(search, start, end, options)
     strict = str(options.get("unwrap", "true")).lower() == "true"
     left = int(options.get("limit", 0)) or None
-    for line in getattr(importlib.import_module(module), name)(options.get("search", search_text()), start, end):
+    for line in lines:
         line = line.decode("utf-8", "replace") if isinstance(line, bytes) else line
         if strict and not line.strip().startswith("{"):
             continue
@@ -82,8 +91,8 @@ class _Reader(DataSourceReader):
         return _lines(self.options, partition.start, partition.end)
 
 
-class _StreamReader(SimpleDataSourceStreamReader):
-    """Offsets are epoch seconds; a trigger reads ``step`` seconds, up to ``end`` if that is given."""
+class _StreamReader(DataSourceStreamReader):
+    """Offsets are epoch seconds; a trigger reads up to now, or to ``end`` if that is given, in ranges of ``step`` seconds."""
 
     def __init__(self, options: dict):
         self.options = options
@@ -91,14 +100,16 @@ class _StreamReader(SimpleDataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {"at": float(self.options.get("start", 0))}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple[str]], dict]:
-        end = min(start["at"] + float(self.options.get("step", 60)), float(self.options.get("end", time.time())))
-        if end <= start["at"]:
-            return iter(()), start
-        return iter(list(_lines(self.options, start["at"], end))), {"at": end}
+    def latestOffset(self) -> dict:
+        return {"at": min(time.time(), float(self.options.get("end", "inf")))}
+
+    def partitions(self, start: dict, end: dict) -> list[_Range]:
+        step, at, last = float(self.options.get("step", 60)), start["at"], end["at"]
+        n = max(1, math.ceil((last - at) / step)) if last > at else 0
+        return [_Range(at + i * step, min(last, at + (i + 1) * step)) for i in range(n)]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple[str]]:
-        return iter(list(_lines(self.options, start["at"], end["at"])))
+    def read(self, partition: _Range) -> Iterator[tuple[str]]:
+        return _lines(self.options, partition.start, partition.end)
 
 
 class SearchExport(DataSource):
@@ -114,5 +125,5 @@ class SearchExport(DataSource):
     def reader(self, schema) -> _Reader:
         return _Reader(dict(self.options))
 
-    def simpleStreamReader(self, schema) -> _StreamReader:
+    def streamReader(self, schema) -> _StreamReader:
         return _StreamReader(dict(self.options))

@@ -190,7 +190,7 @@ def test_export_source(spark, tmp_path):
     assert events.count() == 50 and events.select("event_key").distinct().count() == 50
     assert spark.read.format("search_export").options(**{**options, "unwrap": "false"}).load().count() == 54
     assert spark.read.format("search_export").options(**{**options, "splits": "1", "limit": "1"}).load().count() == 1
-    q = spark.readStream.format("search_export").options(**options, step="20").load().writeStream.format("memory").queryName("exported").start()
+    q = spark.readStream.format("search_export").options(**{**options, "limit": "0"}, step="20").load().writeStream.format("memory").queryName("exported").start()
     q.processAllAvailable()
     for _ in range(4):
         q.processAllAvailable()
@@ -218,3 +218,67 @@ def test_tag_queries_read_all_events(spark, sf):
     tagged = rollups.tagged(spark, sf)
     assert tagged.count() == normalized_events(spark, sf).count()
     assert 0 < sum(r.n for r in serve.tagged_counts(tagged, "lab_host").collect()) < tagged.count()
+
+
+class _Server:
+    """An export endpoint: a login, then one line for each ten seconds of the range."""
+
+    def __enter__(self):
+        import http.server
+        import json
+        import threading
+        import urllib.parse
+
+        seen = self.seen = []
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def do_POST(self):
+                form = dict(urllib.parse.parse_qsl(self.rfile.read(int(self.headers["Content-Length"])).decode()))
+                seen.append((self.path, self.headers.get("Authorization")))
+                self.send_response(200)
+                self.end_headers()
+                if self.path.endswith("login"):
+                    self.wfile.write(json.dumps({"sessionKey": "k1" if form["password"] == "p" else "no"}).encode())
+                    return
+                at = range(int(float(form["earliest_time"])), int(float(form["latest_time"])), 10)
+                self.wfile.write("".join(json.dumps({"result": {"_time": str(x), "q": form["search"]}}) + "\n" for x in at).encode())
+
+            def log_message(self, *a):
+                pass
+
+        self.server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        return self
+
+    def __exit__(self, *a):
+        self.server.shutdown()
+
+
+def test_export_over_http(spark):
+    spark.dataSource.register(SearchExport)
+    with _Server() as server:
+        options = {"url": f"http://127.0.0.1:{server.server.server_port}/", "username": "u", "password": "p", "search": "search x", "end": "200", "splits": "4"}
+        got = spark.read.format("search_export").options(**options).load()
+        assert sorted(r.event for r in got.collect())[0] == '{"_time": "0", "q": "search x"}' and got.count() == 20
+        assert all(key == "Bearer k1" for path, key in server.seen if path.endswith("export")) and any(p.endswith("login") for p, _ in server.seen)
+        q = spark.readStream.format("search_export").options(**options, step="50").load().writeStream.format("memory").queryName("over_http").trigger(availableNow=True).start()
+        q.awaitTermination(60)
+        assert spark.table("over_http").count() == 20
+
+
+def test_a_hot_key_is_combined_before_the_shuffle(spark):
+    from sigloom.operators import state
+
+    rows = spark.range(5000).selectExpr("id % 2 AS k", "5000 - id AS o", "id AS v")
+    assert sorted(map(tuple, state.first_per_key(rows, ["k"], ["o"]).collect())) == [(0, 2, 4998), (1, 1, 4999)]
+    assert sorted(map(tuple, state.latest_per_key(rows, ["k"], "v").collect())) == [(0, 2, 4998), (1, 1, 4999)]
+    plan = state.first_per_key(rows, ["k"], ["o"])._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by" in plan and "Window" not in plan
+
+
+def test_one_scan_for_the_five_minute_rollup(spark, sf):
+    from sigloom.operators import features
+    from sigloom.sources.adapter import normalized_events
+
+    plan = features.five_minute_rollup(normalized_events(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
