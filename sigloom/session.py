@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that the results rely on (the time zone) or that every job here profits from.
 SETTINGS = {
@@ -23,6 +23,15 @@ def build_session(name: str = "sigloom", master: str | None = None, **conf: str)
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A scan of one file, or of few, dealt out to all cores: where three in four cores would wait, rows are worth a shuffle.
+
+    A table with more partitions than a quarter of the cores is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 4 * rows.rdd.getNumPartitions() <= cores else rows
+
+
 def ship(spark: SparkSession) -> None:
     """Let a local session's Python workers find this package wherever they start.
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sigloom.session import spread
+
 
 def _k() -> Column:
     return F.get_json_object("props", "$.k").cast("int")
@@ -12,7 +14,7 @@ def _k() -> Column:
 def normalized_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, u, v, k = F.col("event_type"), F.col("user_id"), F.col("value"), F.col("k")
     by = lambda **x: F.create_map(*[F.lit(y) for kv in x.items() for y in kv])[t]
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", _k())
+    rows = spread(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("k", _k())
     rows = rows.withColumn("vendor", by(click="juiceshop", view="opnsense", error="wazuh", signup="windows", purchase="juiceshop"))
     rows = rows.withColumn("rule_id", F.when(t == "error", "4625").when(t == "signup", "4624").otherwise(F.substring(F.md5(t), 1, 8)))
     shop = F.col("vendor") == "juiceshop"
@@ -66,7 +68,7 @@ EV = """ev AS (SELECT event_id AS raw_id, ts AS event_time, vendor,
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw events in the formats of five log sources, one row for each event; see :data:`RAW`."""
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", _k())
+    rows = spread(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("k", _k())
     t, u, k, e = F.col("event_type"), F.col("user_id").cast("string"), F.col("k"), F.col("event_id")
     text = lambda *xs: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in xs])
     ks = k.cast("string")
