@@ -30,7 +30,8 @@ def small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable, for every node that has an edge.
 
-    ``edges`` has long columns u and v.  Rounds grow with the logarithm of the longest
+    ``edges`` has long columns u and v; a null in either and an edge from a node to itself link nothing, repeated edges
+    and edges in both directions count once, and no edges give an empty result.  Rounds grow with the logarithm of the longest
     path; each round is a stored table, so a lost executor costs one round.
     """
     now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")

@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from dataclasses import dataclass
+from functools import cache
 from re import _constants as op, _parser as parser
 
 import numpy as np
@@ -117,6 +118,7 @@ def _expand(items, runs: set[str], need: list[tuple]) -> set[str]:
     return runs
 
 
+@cache
 def trigram_query(pattern: str) -> tuple:
     """A query that every text with a match satisfies: ("tri", code), ("and", ...) or ("or", ...)."""
     need: list[tuple] = []
@@ -195,7 +197,10 @@ def secret_spans(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col:
 
 
 def redacted(docs: DataFrame, rules=RULES, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
-    """``docs`` with every span, overlapping ones merged, replaced by ``mark``; a null text stays null."""
+    """``docs`` with every span, overlapping ones merged, replaced by ``mark``; a null text stays null.
+
+    Empty texts stay empty, repeated rows are each treated alike, and an empty table gives an empty result.
+    """
     def make():
         def run(texts):
             out = []

@@ -44,6 +44,43 @@ def test_discriminant_matches_a_plain_density():
     assert np.allclose(model.score(both), 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500))))
 
 
+def plain_statistics(raw):
+    """The statistics by loops over characters and words."""
+    import math
+
+    if not raw:
+        return [0.0] * quality.N_FEATURES
+    n = len(raw)
+    of = lambda test: sum(1 for b in raw if test(b))
+    upper, lower, digits, high = of(lambda b: 65 <= b <= 90), of(lambda b: 97 <= b <= 122), of(lambda b: 48 <= b <= 57), of(lambda b: b > 127)
+    space, symbols = of(lambda b: b in b" \t\n\v\f\r"), of(lambda b: b in b"#$%&*@^~<>{}[]\\=_+")
+    words, lines, share = raw.split(), raw.split(b"\n"), [raw.count(b) / n for b in set(raw)]
+    m = max(1, len(words))
+    return [
+        math.log(1 + n), math.log(1 + len(words)), math.log(1 + (n - space) / m), math.sqrt(upper / (upper + lower + 1)), math.sqrt(digits / n), math.sqrt(symbols / n),
+        math.sqrt(raw.count(b"!") / n), math.sqrt(raw.count(b"|") / n), math.sqrt((n - upper - lower - digits - high - space) / n), math.log(1 + len(set(words))) / math.log(1 + m),
+        1 - len(set(lines)) / len(lines), math.log(1 + n / len(lines)), -sum(x * math.log(x) for x in share), sum(1 for w in words if len(w) <= 3) / m, math.sqrt(high / n),
+        1 - len({(a, b) for a, b in zip(words, words[1:])}) / max(1, len(words) - 1),
+    ]
+
+
+def test_statistics_and_moments_match_plain_ones(spark, sf):
+    import zlib
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r.doc_id: r.text.encode() for r in docs.collect()}
+    for raw in [*list(texts.values())[:60], b"", b" ", b"\n\n", b"a", "é!|{".encode(), b"x\ty\vz"]:
+        assert np.allclose(quality.statistics(raw), plain_statistics(raw))
+    known = {r.doc_id: r.quality for r in labels.collect() if r.quality in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.doc_id in texts}
+    x = quality.features(docs)
+    split = {r.doc_id: r.held_out for r in x.collect()}
+    assert split == {k: zlib.crc32(str(k).encode()) % 4 == 2 for k in texts}
+    got = quality.moments(x.where("NOT held_out").join(labels.where("quality IN (0, 1)").select("doc_id", F.col("quality").cast("int").alias("y")), "doc_id"))
+    for y in (0, 1):
+        own = np.array([plain_statistics(texts[k]) for k, v in known.items() if v == y])
+        assert got[y][0] == len(own) and np.allclose(got[y][1], own.sum(axis=0)) and np.allclose(got[y][2], own.T @ own)
+
+
 def test_quality_of_odd_rows(spark):
     rows = [(1, None, None, None), (2, "", "en", "x"), (2, "again " * 9000, "en", "x"), (None, "é", None, None)]
     docs, none = spark.createDataFrame(rows, DOCS), spark.createDataFrame([], "doc_id long, quality int, toxic int")
