@@ -52,6 +52,7 @@ def test_segments_of_similar_sets_meet():
         a, b = (np.sort(np.concatenate([own[:320], own[320 + 40 * k : 360 + 40 * k]])) for k in (0, 0))
         b = np.sort(np.concatenate([own[:320], rng.integers(0, 2**64, 40, dtype=np.uint64)]))  # 320 of 400
         (_, x, s), (_, y, t) = (neardup.node_print(z, bits, segments) for z in (a, b))
+        x, y = x[0], y[0]
         apart = [(i ^ j).bit_count() for i, j in zip(s, t)]
         met += any(d < 2 or (d == 2 and (i & ~j) and (j & ~i)) for d, i, j in zip(apart, s, t))
         close += ((x ^ y) & 2**64 - 1).bit_count() <= neardup.CHECK
@@ -99,36 +100,38 @@ def test_unlike_prints_of_one_bucket(spark, monkeypatch):
         spark.conf.set(key, n)
         try:
             some = {tuple(r) for r in neardup.candidates(table, 8).collect()}
-            every = {tuple(r) for r in neardup.candidates(table, 8, across="g").collect()}
+            none = neardup.candidates(table.withColumn("g", F.col("g") % 1000), 8, across="g").where("u = v + 1000").count()
         finally:
             spark.conf.set(key, size)
-        assert every == close and some <= close
-        a, b = Union(range(2000)), Union(range(2000))
-        for x in some:
-            a.link(*x)
-        for x in close:
-            b.link(*x)
-        assert all(a.find(k) == b.find(k) for k in range(2000))
+        # Every node has its nearest, and what differs in a bit is found in a bucket of 220.
+        assert some <= close and {x for p in some for x in p} == {x for p in close for x in p} and none == 0
+        assert {(1000 + i, i) for i in range(0, 200, 10)} <= some
 
 
 @pytest.mark.parametrize("radius", [6, 18])
-def test_connected_loses_no_link(radius):
+def test_nearest_of_small_buckets(radius):
     rng = np.random.default_rng(radius)
     for _ in range(60):
-        n = int(rng.integers(2, 60))
-        keys = np.sort(rng.integers(0, 3, n))
+        n = int(rng.integers(1, 60))
+        keys, group = np.sort(rng.integers(0, 3, n)), rng.integers(0, 9, n)
         check = rng.integers(0, 1 << 20, n).astype(np.uint64)
-        u, v = neardup._connected(keys, check, radius)
-        near = lambda i, j: keys[i] == keys[j] and int(check[i] ^ check[j]).bit_count() <= radius
-        assert all(near(i, j) for i, j in zip(u, v))
-        a, b = Union(range(n)), Union(range(n))
-        for i, j in zip(u.tolist(), v.tolist()):
-            a.link(i, j)
-        for i in range(n):
-            for j in range(i):
-                if near(i, j):
-                    b.link(i, j)
-        assert all(a.find(i) == b.find(i) for i in range(n))
+        for own in (None, group):
+            u, v = neardup._nearest(keys, check, own, radius)
+            assert len(set(zip(u.tolist(), v.tolist()))) == len(u)
+            far = lambda i, j: int(check[i] ^ check[j]).bit_count()
+            for i in range(n):
+                want = sorted(d for j in range(n) if j != i and keys[j] == keys[i] and (own is None or own[i] != own[j]) and (d := far(i, j)) <= radius)
+                assert sorted(far(i, j) for j in v[u == i].tolist()) == want[: neardup.PARTNERS]
+
+
+def test_nearest_of_a_large_bucket():
+    """Linear work: of 5000 rows of one bucket, pairs a few bits apart are found by the orders."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**64, 2500, dtype=np.uint64)
+    check = np.concatenate([base, base ^ (np.uint64(1) << rng.integers(0, 64, 2500, dtype=np.uint64))])
+    u, v = neardup._nearest(np.zeros(5000, np.int64), check, None, 18)
+    twin = {(i, i + 2500) for i in range(2500)}
+    assert len(u) < 2 * 5000 + 1 and len(twin & {tuple(sorted(x)) for x in zip(u.tolist(), v.tolist())}) > 2490
 
 
 def test_second_round_links_what_the_first_did_not_try(spark, monkeypatch):
