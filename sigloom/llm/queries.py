@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sigloom.llm import decontaminate, langid, licenses, merkle, mixing, quality, secrets, simhash, suffix_dedup, topk, warc
+from sigloom.llm import decontaminate, divergence, langid, licenses, merkle, mixing, quality, secrets, simhash, suffix_dedup, topk, warc
 from sigloom.llm.common import remainder
 from sigloom.session import spread
 
@@ -68,6 +68,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(_docs(spark, sf_dir, *merkle.COLUMNS), altered={"text": lower}, where=remainder("doc_id", 3) == 0, with_path=False)
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_docs(spark, sf_dir, "text", "lang", "source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -80,12 +84,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_langid": op10_langid,
     "op11_merkle": op11_merkle,
+    "op12_divergence": op12_divergence,
 }
 
 ORACLES: dict[str, str] = {
     "op3_licenses": licenses.oracle_sql(),
     "op8_secrets": secrets.oracle_sql(),
     "op11_merkle": merkle.oracle_sql(),
+    "op12_divergence": divergence.oracle_sql(),
     "op5_warc": """WITH p AS (SELECT page_id, strlen(COALESCE(html, '')) AS n, sha256(COALESCE(html, '')) AS d FROM pages),
  f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
  SELECT p.page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
