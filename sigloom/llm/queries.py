@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sigloom.llm import decontaminate, divergence, langid, licenses, merkle, mixing, quality, secrets, simhash, suffix_dedup, topk, warc
+from sigloom.llm import ann, decontaminate, divergence, langid, licenses, merkle, mixing, quality, secrets, simhash, suffix_dedup, topk, warc
 from sigloom.llm.common import remainder
 from sigloom.session import spread
 
@@ -72,6 +72,10 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_docs(spark, sf_dir, "text", "lang", "source"))
 
 
+def op13_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_langid": op10_langid,
     "op11_merkle": op11_merkle,
     "op12_divergence": op12_divergence,
+    "op13_ann": op13_ann,
 }
 
 ORACLES: dict[str, str] = {
