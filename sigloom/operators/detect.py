@@ -5,6 +5,7 @@ Every detector takes its window and clock as arguments and gives rows of ``COLUM
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Row, functions as F
@@ -15,24 +16,42 @@ BAD_EVENTS = 50  # fixed value
 COLUMNS = ["event_time", "window_start", "window_end", "signal_name", "entity_type", "entity_id", "severity", "score", "dedupe_key", "metadata"]
 
 
+@dataclass(frozen=True)
+class Baselines:
+    """The windows and bounds of the baseline detectors."""
+
+    current: timedelta = timedelta(hours=1)
+    baseline: timedelta = timedelta(hours=6)
+    quiet: timedelta = timedelta(hours=1)
+    lookback: timedelta = timedelta(hours=24)
+    least: float = 5
+    rate: float = 0.05
+    factor: float = 2
+
+
 def feature_clock(features: DataFrame, bin_size_sec: int = 60) -> datetime | None:
-    """The latest bin: the data's own clock."""
+    """The latest bin: the data's own clock, None without any; detectors without a clock give no signal."""
     row: Row = features.where(F.col("bin_size_sec") == bin_size_sec).agg(F.max("bin_start")).first()
     return row[0]
 
 
-def _windows(now: datetime, current: timedelta, baseline: timedelta) -> tuple[Column, Column]:
-    start, past = now - current, now - current - baseline
+def _at(now: datetime | None, before: timedelta = timedelta()) -> Column:
+    """A time as the clock's kind of timestamp: null without a clock."""
+    return F.lit(None).cast("timestamp") if now is None else F.lit(now - before)
+
+
+def _windows(now: datetime | None, current: timedelta, baseline: timedelta) -> tuple[Column, Column]:
+    start, past = _at(now, current), _at(now, current + baseline)
     bin_ = F.col("bin_start")
-    return bin_ > F.lit(start), (bin_ > F.lit(past)) & (bin_ <= F.lit(start))
+    return bin_ > start, (bin_ > past) & (bin_ <= start)
 
 
-def _signal(rows: DataFrame, now: datetime, start: datetime, name: str, kind: str, severity: int, metadata: Column) -> DataFrame:
-    at = F.lit(now)
-    return rows.select(at.alias("event_time"), F.lit(start).alias("window_start"), at.alias("window_end"), F.lit(name).alias("signal_name"), F.lit(kind).alias("entity_type"), "entity_id", F.lit(severity).alias("severity"), "score", spike_key(name, kind, F.col("entity_id"), at).alias("dedupe_key"), metadata.alias("metadata"))
+def _signal(rows: DataFrame, now: datetime | None, window: timedelta, name: str, kind: str, severity: int, metadata: Column) -> DataFrame:
+    at = _at(now)
+    return rows.select(at.alias("event_time"), _at(now, window).alias("window_start"), at.alias("window_end"), F.lit(name).alias("signal_name"), F.lit(kind).alias("entity_type"), "entity_id", F.lit(severity).alias("severity"), "score", spike_key(name, kind, F.col("entity_id"), at).alias("dedupe_key"), metadata.alias("metadata"))
 
 
-def auth_fail_spikes(features: DataFrame, now: datetime, current: timedelta = timedelta(hours=1), baseline: timedelta = timedelta(hours=6), bin_size_sec: int = 60, least: float = 5) -> DataFrame:
+def auth_fail_spikes(features: DataFrame, now: datetime | None, current: timedelta = timedelta(hours=1), baseline: timedelta = timedelta(hours=6), bin_size_sec: int = 60, least: float = 5) -> DataFrame:
     """Hosts whose failures in the current window are at least 5 and over 3 times the mean baseline bin plus 5.
 
     The mean is over bins that exist.  One aggregate serves both windows.
@@ -41,25 +60,34 @@ def auth_fail_spikes(features: DataFrame, now: datetime, current: timedelta = ti
     rows = features.where((F.col("feature_name") == "auth_fail_count") & (F.col("entity_type") == "host") & (F.col("bin_size_sec") == bin_size_sec) & (in_now | in_base))
     agg = rows.groupBy("entity_id").agg(F.sum(F.when(in_now, F.col("value"))).alias("current_sum"), F.coalesce(F.avg(F.when(in_base, F.col("value"))), F.lit(0.0)).alias("baseline_avg"))
     hit = agg.where((F.col("current_sum") >= least) & (F.col("current_sum") > F.col("baseline_avg") * 3 + 5)).withColumn("score", F.col("current_sum") / (F.col("baseline_avg") + 0.1))
-    return _signal(hit, now, now - current, "auth_fail_spike", "host", 7, F.to_json(F.struct("current_sum", "baseline_avg")))
+    return _signal(hit, now, current, "auth_fail_spike", "host", 7, F.to_json(F.struct("current_sum", "baseline_avg")))
 
 
-def silent_agents(features: DataFrame, now: datetime, quiet: timedelta = timedelta(hours=1), lookback: timedelta = timedelta(hours=24), bin_size_sec: int = 60, entity_type: str = "host", feature: str = "event_count") -> DataFrame:
+def silent_agents(features: DataFrame, now: datetime | None, quiet: timedelta = timedelta(hours=1), lookback: timedelta = timedelta(hours=24), bin_size_sec: int = 60, entity_type: str = "host", feature: str = "event_count") -> DataFrame:
     """Entities active in the lookback but not in its last, quiet, part."""
     bin_ = F.col("bin_start")
-    rows = features.where((F.col("feature_name") == feature) & (F.col("entity_type") == entity_type) & (F.col("bin_size_sec") == bin_size_sec) & (bin_ > F.lit(now - lookback)))
-    last = rows.groupBy("entity_id").agg(F.max("bin_start").alias("last")).where((F.col("last") <= F.lit(now - quiet)) & (F.col("entity_id") != "(none)"))
-    return _signal(last.withColumn("score", F.lit(10.0)), now, now - quiet, "agent_silent", entity_type, 3, F.lit("{}"))
+    rows = features.where((F.col("feature_name") == feature) & (F.col("entity_type") == entity_type) & (F.col("bin_size_sec") == bin_size_sec) & (bin_ > _at(now, lookback)))
+    last = rows.groupBy("entity_id").agg(F.max("bin_start").alias("last")).where((F.col("last") <= _at(now, quiet)) & (F.col("entity_id") != "(none)"))
+    return _signal(last.withColumn("score", F.lit(10.0)), now, quiet, "agent_silent", entity_type, 3, F.lit("{}"))
 
 
-def app_error_spikes(features: DataFrame, now: datetime, current: timedelta = timedelta(hours=1), baseline: timedelta = timedelta(hours=6), bin_size_sec: int = 60, rate: float = 0.05, factor: float = 2) -> DataFrame:
+def app_error_spikes(features: DataFrame, now: datetime | None, current: timedelta = timedelta(hours=1), baseline: timedelta = timedelta(hours=6), bin_size_sec: int = 60, rate: float = 0.05, factor: float = 2) -> DataFrame:
     """Endpoints whose mean error rate is over 5 % and over twice that of the baseline."""
     in_now, in_base = _windows(now, current, baseline)
     rows = features.where((F.col("feature_name") == "error_rate") & (F.col("entity_type") == "endpoint") & (F.col("bin_size_sec") == bin_size_sec) & (in_now | in_base))
     agg = rows.groupBy("entity_id").agg(F.avg(F.when(in_now, F.col("value"))).alias("current_rate"), F.coalesce(F.avg(F.when(in_base, F.col("value"))), F.lit(0.0)).alias("baseline_rate"))
     hit = agg.where((F.col("current_rate") > rate) & (F.col("current_rate") > F.col("baseline_rate") * factor)).withColumn("score", F.col("current_rate") / (F.col("baseline_rate") + 0.01))
     named = hit.withColumn("entity_id", F.when(F.coalesce("entity_id", F.lit("")).isin("", "(none)"), "juiceshop_global").otherwise(F.col("entity_id")))
-    return _signal(named, now, now - current, "app_error_spike", "application", 5, F.to_json(F.struct("current_rate", "baseline_rate")))
+    return _signal(named, now, current, "app_error_spike", "application", 5, F.to_json(F.struct("current_rate", "baseline_rate")))
+
+
+def run_baselines(features: DataFrame, now: datetime | None, windows: Baselines = Baselines(), bin_size_sec: int = 60) -> DataFrame:
+    """The three baseline detectors at one clock."""
+    w = windows
+    auth = auth_fail_spikes(features, now, w.current, w.baseline, bin_size_sec, w.least)
+    silent = silent_agents(features, now, w.quiet, w.lookback, bin_size_sec)
+    errors = app_error_spikes(features, now, w.current, w.baseline, bin_size_sec, w.rate, w.factor)
+    return auth.unionByName(silent).unionByName(errors)
 
 
 def _keyed(rows: DataFrame, as_of: Column) -> DataFrame:
@@ -113,9 +141,11 @@ def advanced(checkpoint: datetime | None, end: datetime) -> datetime:
     return end if checkpoint is None else max(checkpoint, end)
 
 
-def run_detections(features: DataFrame, events: DataFrame, start: Column | None, end: Column | None, as_of: Column | None = None) -> DataFrame:
-    """Both detectors over [start, end), one signal for each key."""
+def run_detections(features: DataFrame, events: DataFrame, start: Column | None, end: Column | None, as_of: Column | None = None, *more: DataFrame) -> DataFrame:
+    """Both detectors over [start, end) and ``more`` signals, one for each key."""
     from sigloom.operators.state import first_per_key
 
     both = bad_event_spikes(features, start, end, as_of).unionByName(promoted_alerts(events, start, end, as_of))
+    for signals in more:
+        both = both.unionByName(signals)
     return first_per_key(both, ["dedupe_key"], ["window_start", "score", "metadata"])

@@ -18,6 +18,7 @@ SUSPICIOUS = ["ET TROJAN", "ET MALWARE", "ET POLICY", "ET INFO External IP", "Wa
 PROFILE_NOISE = ["allowed", "zenarmor:allowed", "ICMP ping"]
 AUTH_PHRASES = ["failed password", "authentication failed", "invalid user", "logon failure", "login failed"]
 
+BASELINE = ["event_count", "error_rate"]
 KEYS = ["bin_start", "bin_size_sec", "feature_name", "entity_type", "entity_id", "secondary_type", "secondary_id"]
 COLUMNS = ["bin_start", "bin_size_sec", "vendor", "feature_name", "entity_type", "entity_id", "secondary_type", "secondary_id", "value", "n_events"]
 
@@ -41,6 +42,8 @@ class Feature:
     vendor: str | None = None  # None: the vendors seen
     secondary: str | None = None
     secondary_type: str = "-"
+    unknown: str = "unknown"  # stands for a missing entity
+    mean: Column | None = None  # the value is its mean, not the number of events
 
 
 def minute_features() -> list[Feature]:
@@ -61,6 +64,15 @@ def minute_features() -> list[Feature]:
     ]
 
 
+def baseline_features() -> list[Feature]:
+    """What the baselines of hosts and endpoints need besides: all events, and the share of failed requests."""
+    failed = F.coalesce((F.col("http_status") >= 400).cast("double"), F.lit(0.0))
+    return [
+        Feature("event_count", "host", "host", F.lit(True), unknown="(none)"),
+        Feature("error_rate", "endpoint", "http_path", F.col("sourcetype") == "juiceshop:app", unknown="(none)", mean=failed),
+    ]
+
+
 def since(events: DataFrame, as_of: Column | None, lookback_minutes: int, seconds: int, compat: Compat = DEFAULT) -> DataFrame:
     """Events of the lookback; its start moves down to a bin's, so that no bin is counted in part."""
     if as_of is None:
@@ -81,13 +93,19 @@ def minute_rollup(events: DataFrame, bin_size_sec: int = 60, as_of: Column | Non
         second = F.coalesce(F.col(f.secondary), F.lit("unknown")) if f.secondary else F.lit("-")
         if f.secondary == "src_ip" and compat.inet_text:
             second = F.concat(second, F.lit("/32"))
-        return F.when(f.when, F.struct(F.lit(f.name).alias("feature_name"), F.lit(f.entity_type).alias("entity_type"), F.coalesce(F.col(f.entity), F.lit("unknown")).alias("entity_id"), F.lit(f.secondary_type).alias("secondary_type"), second.alias("secondary_id"), F.coalesce(F.lit(f.vendor), F.col("vendor")).alias("vendor")))
+        entity = F.col(f.entity) if f.unknown == "unknown" else filled(F.col(f.entity))
+        mean = [] if counts else [(F.lit(None).cast("double") if f.mean is None else f.mean).alias("mean")]
+        return F.when(f.when, F.struct(F.lit(f.name).alias("feature_name"), F.lit(f.entity_type).alias("entity_type"), F.coalesce(entity, F.lit(f.unknown)).alias("entity_id"), F.lit(f.secondary_type).alias("secondary_type"), second.alias("secondary_id"), F.coalesce(F.lit(f.vendor), F.col("vendor")).alias("vendor"), *mean))
 
     rows = since(events, as_of, lookback_minutes, bin_size_sec, compat)
-    tags = F.array_compact(F.array(*map(tag, features or minute_features())))
+    features = features or minute_features()
+    counts = all(f.mean is None for f in features)
+    tags = F.array_compact(F.array(*map(tag, features)))
     flat = rows.select(bin_start(F.col("event_time"), bin_size_sec).alias("bin_start"), F.explode(tags).alias("f")).select("bin_start", F.lit(bin_size_sec).alias("bin_size_sec"), "f.*")
-    out = flat.groupBy(*KEYS).agg(F.array_join(F.array_sort(F.collect_set("vendor")), ",").alias("vendor"), F.count("*").alias("n"))
-    return out.withColumn("value", F.col("n").cast("double")).withColumn("n_events", F.col("n").cast("int")).select(*COLUMNS)
+    mean = [] if counts else [F.avg("mean").alias("mean")]
+    out = flat.groupBy(*KEYS).agg(F.array_join(F.array_sort(F.collect_set("vendor")), ",").alias("vendor"), F.count("*").alias("n"), *mean)
+    value = F.col("n").cast("double")
+    return out.withColumn("value", value if counts else F.coalesce("mean", value)).withColumn("n_events", F.col("n").cast("int")).select(*COLUMNS)
 
 
 def minute_rollup_apart(events: DataFrame, bin_size_sec: int = 60) -> DataFrame:
@@ -100,8 +118,11 @@ def minute_rollup_apart(events: DataFrame, bin_size_sec: int = 60) -> DataFrame:
 
 
 def entity_stats(features: DataFrame) -> DataFrame:
-    """First and last bin and number of counted events of each entity: one pass over all its rows."""
-    return features.groupBy("entity_type", "entity_id").agg(F.min("bin_start").alias("first_seen"), F.max("bin_start").alias("last_seen"), F.sum("n_events").cast("bigint").alias("event_count"))
+    """First and last bin and number of counted events of each entity: one pass over all its rows.
+
+    Rows that only baselines need (:func:`baseline_features`) count nothing twice: they are left out.
+    """
+    return features.where(~F.col("feature_name").isin(BASELINE)).groupBy("entity_type", "entity_id").agg(F.min("bin_start").alias("first_seen"), F.max("bin_start").alias("last_seen"), F.sum("n_events").cast("bigint").alias("event_count"))
 
 
 def top_signatures(features: DataFrame, compat: Compat = DEFAULT) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sigloom.functions.columns import either_match, event_time, filled, first_of, ipv4, match, stripped
 from sigloom.params import DEFAULT, Compat
+from sigloom.session import settle
 
 COLUMNS = ["raw_id", "event_time", "vendor", "event_kind", "source", "sourcetype", "host", "src_ip", "dest_ip", "username", "rule_id", "signature", "severity", "http_method", "http_path", "http_status"]
 
@@ -227,18 +228,20 @@ def _finished(df: DataFrame, compat: Compat) -> DataFrame:
 def normalize(raw: DataFrame, compat: Compat = DEFAULT) -> DataFrame:
     """Normalized events of raw ones (id, event_time, sourcetype, source, host, raw_json, raw_text).
 
-    Metric lines, rows without any time and rows whose payload isn't JSON are left out; see :func:`rejected`.
+    Metric lines and rows without any time are left out.  A payload that isn't JSON counts as an empty object, so its row
+    is read from the raw text; of a key that a payload repeats the last value counts.  :func:`rejected` lists all three.
     """
-    return _prepared(raw, compat).where(~F.col("__noise") & ~F.col("__broken") & F.col("event_time").isNotNull()).select(*COLUMNS)
+    return _prepared(raw, compat).where(~F.col("__noise") & F.col("event_time").isNotNull()).select(*COLUMNS)
 
 
 def rejected(raw: DataFrame, compat: Compat = DEFAULT) -> DataFrame:
-    """(raw_id, reason) of the rows that :func:`normalize` leaves out."""
+    """(raw_id, reason) of the rows that :func:`normalize` leaves out and, as a warning, of those whose payload it can't read."""
     bad = _prepared(raw, compat).where(F.col("__noise") | F.col("__broken") | F.col("event_time").isNull())
     return bad.select("raw_id", F.when(F.col("__noise"), "metric line").when(F.col("event_time").isNull(), "no time").otherwise("broken payload").alias("reason"))
 
 
 def _prepared(raw: DataFrame, compat: Compat) -> DataFrame:
+    settle(raw.sparkSession)
     null = F.lit(None).cast("string")
     read = F.try_parse_json("raw_json")
     v = F.coalesce(read, F.parse_json(F.lit("{}")))

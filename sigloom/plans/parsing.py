@@ -174,6 +174,14 @@ def n28(spark: SparkSession, d: str) -> DataFrame:
     return parsed(spark, d, "opnsense", payload, F.when(F.col("k") % 4 == 1, "1.00      2.00").otherwise("x"), function=N.rejected)
 
 
+@query("n02_kept_payloads", f"WITH {RAW} SELECT event_id AS raw_id, 'windows' AS vendor, CASE WHEN k % 4 = 1 THEN 'auth' ELSE 'event' END AS event_kind, CASE k % 4 WHEN 1 THEN '4624' ELSE '77' || (k % 5) END AS rule_id, CASE WHEN k % 4 = 1 THEN 'u' ELSE 'text ' || k END AS username FROM raw")
+def n02(spark: SparkSession, d: str) -> DataFrame:
+    """Broken payloads, read from their raw text, lists, and payloads that repeat keys."""
+    k = F.col("k")
+    payload = F.when(k % 4 == 0, _text('{"EventCode":"9', k)).when(k % 4 == 1, '{"EventCode":"1","Message":"x","EventCode":"4624","Message":"User: u"}').when(k % 4 == 2, "[1, 2]").otherwise("{}")
+    return parsed(spark, d, "WinEventLog", payload, _text("EventCode=77", k % 5, " User: text ", k)).select("raw_id", "vendor", "event_kind", "rule_id", "username")
+
+
 @query("n30_inner_json", f"WITH {RAW} SELECT event_id AS id, k AS inner FROM raw")
 def n30(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/events.parquet").withColumn("k", _k())

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sigloom.operators import correlate as C, detect as D, features as X, serve as V, state as S
 from sigloom.params import Compat
+from sigloom.plans import batch as B
 from sigloom.sources.adapter import EV, normalized_events
-from sigloom.storage import stored
+from sigloom.storage import stored, work_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -252,6 +253,67 @@ query("c01_incident_assignment", _ALL + " SELECT signal_id, incident_id, founder
 query("c02_c03_incidents", _ALL + " SELECT * FROM inc")(lambda s, d: C.incidents(assigned(s, d)))
 query("c04_evidence", _ALL + " SELECT DISTINCT incident_id, signal_id FROM fold")(lambda s, d: C.evidence(assigned(s, d)))
 
+# All five detectors, as the job runs them.  Hosts are named more finely, so that some fall silent.
+
+JOB = D.Baselines(current=DAY, baseline=WEEK, factor=0.9)
+
+
+def job_events(spark: SparkSession, d: str) -> DataFrame:
+    return normalized_events(spark, d).withColumn("host", F.concat("host", F.lit("-"), (F.col("raw_id") % 97).cast("string")))
+
+
+def job_signals(spark: SparkSession, d: str) -> DataFrame:
+    events = job_events(spark, d)
+    return B.signals_of(stored(B.feature_table(events), "features"), events, windows=JOB)
+
+
+_FINE = EV.replace("ev AS (", "ev0 AS (") + ", ev AS (SELECT * REPLACE (host || '-' || (raw_id % 97) AS host) FROM ev0)"
+_EVENTS = _minute("event_count", 10, "", "host", "NULLIF(host, '')", "true").replace("'unknown'", "'(none)'")
+_RATES = f"SELECT time_bucket(INTERVAL '60 seconds', event_time) AS bin_start, {_none('http_path')} AS entity_id, CAST({_ERR} AS DOUBLE) / count(*) AS value FROM ev WHERE sourcetype = 'juiceshop:app' GROUP BY 1, 2"
+_BASED = f"""ec AS ({_EVENTS}), er AS ({_RATES}), now_ AS (SELECT max(bin_start) AS now FROM ec),
+ b2 AS (SELECT 'auth_fail_spike' AS signal_name, 'host' AS entity_type, entity_id, 7 AS severity, c / (COALESCE(a, 0) + 0.1) AS score, INTERVAL 24 HOUR AS w FROM
+   (SELECT entity_id, sum(value) FILTER (bin_start > now - INTERVAL 24 HOUR) AS c, avg(value) FILTER (bin_start <= now - INTERVAL 24 HOUR) AS a FROM ft, now_ WHERE feature_name = 'auth_fail_count' AND entity_type = 'host' AND bin_start > now - INTERVAL 168 HOUR GROUP BY 1) WHERE c >= 5 AND c > COALESCE(a, 0) * 3 + 5),
+ b3 AS (SELECT 'agent_silent', 'host', entity_id, 3, 10.0, INTERVAL 1 HOUR FROM ec, now_ WHERE bin_start > now - INTERVAL 24 HOUR GROUP BY entity_id, now HAVING max(bin_start) <= now - INTERVAL 1 HOUR),
+ b4 AS (SELECT 'app_error_spike', 'application', entity_id, 5, c / (COALESCE(a, 0) + 0.01), INTERVAL 24 HOUR FROM
+   (SELECT entity_id, avg(value) FILTER (bin_start > now - INTERVAL 24 HOUR) AS c, avg(value) FILTER (bin_start <= now - INTERVAL 24 HOUR) AS a FROM er, now_ WHERE bin_start > now - INTERVAL 168 HOUR GROUP BY 1) WHERE c > 0.05 AND c > COALESCE(a, 0) * 0.9),
+ bl AS (SELECT now - w AS window_start, now AS window_end, signal_name, entity_type, entity_id, CAST(severity AS INTEGER) AS severity, CAST(score AS DOUBLE) AS score, signal_name || '|' || entity_type || '|' || entity_id || '|' || strftime(now, '%Y%m%d%H%M%S') AS dedupe_key, '' AS metadata
+  FROM (SELECT * FROM b2 UNION ALL SELECT * FROM b3 UNION ALL SELECT * FROM b4), now_)"""
+_ALL_SIG = SIG.replace("UNION ALL SELECT {0} FROM alerts".format(_WITH_META), "UNION ALL SELECT {0} FROM alerts UNION ALL SELECT {0} FROM bl".format(_WITH_META))
+_JOB = f"WITH RECURSIVE {_FINE}, {FT}, {_BASED}, {_ALL_SIG}, {FOLD}"
+query("signals_all", _JOB + " SELECT window_start, window_end, signal_name, entity_type, entity_id, severity, round(score, 6) AS score, dedupe_key FROM sig")(
+    lambda s, d: job_signals(s, d).select("window_start", "window_end", "signal_name", "entity_type", "entity_id", "severity", F.round("score", 6).alias("score"), "dedupe_key")
+)
+query("c02_job_incidents", _JOB + " SELECT * REPLACE (round(score, 6) AS score) FROM inc")(lambda s, d: C.incidents(C.assign(job_signals(s, d))).withColumn("score", F.round("score", 6)))
+
+# Correlation in runs: three thirds of the range, the incidents of one host closed after the first.
+
+CUTS = [datetime(2024, 1, 10), datetime(2024, 1, 20)]
+
+
+def in_runs(spark: SparkSession, d: str) -> B.Tables:
+    rows = stored(signals(spark, d), "signals")
+    tables = B.Tables(spark, work_path(spark, "runs"))
+    at = F.col("window_end")
+    for i, part in enumerate((rows.where(at < CUTS[0]), rows.where((at >= CUTS[0]) & (at < CUTS[1])), rows.where(at >= CUTS[1]))):
+        tables.correlate(part, f"{i}")
+        if not i and tables.incidents() is not None:
+            shut = stored(tables.incidents().withColumn("status", F.when(F.col("root_entity_id") == "host_1", "CLOSED").otherwise(F.col("status"))), "shut")
+            B.store(shut, f"{tables.root}/incidents", "start_time")
+    return tables
+
+
+_CUT = "TIMESTAMP '2024-01-10 00:00:00'"
+_SHUT = FOLD.replace("'NEW' AS status", f"CASE WHEN max(entity_id) = 'host_1' AND min(window_end) < {_CUT} THEN 'CLOSED' ELSE 'NEW' END AS status")
+_SHUT = _SHUT.replace("f.l >= o.window_end - INTERVAL 30 MINUTE", f"(f.l >= o.window_end - INTERVAL 30 MINUTE AND NOT (o.entity_id = 'host_1' AND f.l < {_CUT} AND o.window_end >= {_CUT}))")
+_RUNS = f"WITH RECURSIVE {EV}, {FT}, {SIG}, {_SHUT}"
+
+
+@query("c01_incremental_incidents", _RUNS + " SELECT * FROM inc")
+def c01_runs(spark: SparkSession, d: str) -> DataFrame:
+    found = in_runs(spark, d).incidents()
+    return C.empty_table(signals(spark, d)) if found is None else found
+
+
 # Serving
 
 _NOW_EV = "(SELECT max(event_time) FROM ev)"

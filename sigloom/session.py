@@ -14,7 +14,10 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
+#: Those that change what a payload's JSON says: of a repeated key the last value counts.
+PARSING = ["spark.sql.variant.allowDuplicateKeys"]
 _shipped: set[str] = set()
 
 
@@ -23,6 +26,13 @@ def build_session(name: str = "sigloom", master: str | None = None, **conf: str)
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+def settle(spark: SparkSession) -> None:
+    """Set what parsing relies on in a session that was built elsewhere; it holds for frames that are planned afterwards."""
+    for k in PARSING:
+        if spark.conf.get(k) != SETTINGS[k]:
+            spark.conf.set(k, SETTINGS[k])
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """A scan of one file, or of few, dealt out to all cores: where three in four cores would wait, rows are worth a shuffle.
 

@@ -41,6 +41,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all that this application stored.  Frames that rest on it can't be read afterwards, so their results come first."""
     path = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))

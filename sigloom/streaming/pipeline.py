@@ -34,7 +34,7 @@ def _keyed(raw: DataFrame, compat: Compat) -> DataFrame:
 
 def feature_stream(events: DataFrame, bin_size_sec: int = 60, compat: Compat = DEFAULT) -> DataFrame:
     """The minute features of a watermarked stream; run it in update mode (append withholds open bins)."""
-    return features.minute_rollup(events, bin_size_sec, compat=compat)
+    return features.minute_rollup(events, bin_size_sec, features=[*features.minute_features(), *features.baseline_features()], compat=compat)
 
 
 def keep_features(path: str, then: Callable[[DataFrame], None] | None = None) -> Callable[[DataFrame, int], None]:

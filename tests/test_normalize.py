@@ -133,3 +133,15 @@ def test_extras_and_inner_json(spark):
     assert df.select(N.extras(F.col("j"))).first()[0] == {"x": "2"}
     assert df.select(N.inner_json(F.parse_json("j"), "$.a.b").cast("int")).first()[0] == 3
     assert df.select(N.key_values(F.lit("a=1\nb = x=y\n\na=2"))).first()[0] == {"a": "2", "b": "x=y"}
+
+
+def test_broken_and_repeated_payloads_stay(spark):
+    """Batch and stream keep the same rows: what can't be parsed counts as an empty object, of a repeated key the last value."""
+    from sigloom.streaming.pipeline import _keyed
+
+    rows = [(i, "2025-01-01 00:00:00", "WinEventLog", "s", "h", p, "EventCode=7") for i, p in enumerate(['{"EventCode":"1"}', '{"EventCode":', '{"EventCode":"1","EventCode":"2"}', "[1,2]", "", None])]
+    raw = spark.createDataFrame(rows, "id long, event_time string, sourcetype string, source string, host string, raw_json string, raw_text string").withColumn("event_time", F.col("event_time").cast("timestamp"))
+    got = {r.raw_id: r.rule_id for r in N.normalize(raw).collect()}
+    assert got == {0: "1", 1: "7", 2: "2", 3: "7", 4: "7", 5: "7"}
+    assert {r.raw_id: r.rule_id for r in _keyed(raw.withColumn("event_key", F.col("id").cast("string")), N.DEFAULT).collect()} == got
+    assert [tuple(r) for r in N.rejected(raw).collect()] == [(1, "broken payload")]
