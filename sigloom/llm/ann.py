@@ -22,9 +22,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sigloom.llm.common import stored
 
-LISTS = 2048  # at most: their centroids go to every task
+LISTS = 1024  # at most: their centroids go to every task
 LIST_ROWS = 256  # that a list should have, until there are LISTS
-SAMPLE = 32_768  # vectors that the lists are fitted on, about
+SAMPLE = 16_384  # vectors that the lists are fitted on, about
 JUDGED = 256  # vectors of the sample that the ratio is fitted on
 TARGET = 0.97
 BOUNDARY = 0.02  # a list so much farther than the nearest takes the vector too
@@ -141,18 +141,18 @@ def homes(graph: Graph, v: np.ndarray, boundary: float = BOUNDARY, replicas: int
 def fitted_ratio(graph: Graph, sample: np.ndarray, k: int, target: float = TARGET) -> float:
     """The ratio at which the share ``target`` of the k nearest in the sample lies in the lists searched."""
     step = max(1, len(sample) // JUDGED)
-    q = sample[::step]
-    row, where = homes(graph, sample)
     of = np.full((len(sample), REPLICAS), -1)
-    nth = np.arange(len(row)) - np.searchsorted(row, row)
-    of[row, nth] = where
-    d = distances(q, sample)
-    d[np.arange(len(q)), np.arange(0, len(sample), step)] = np.inf
-    best = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
-    to = distances(q, graph.centroids)
-    lists = of[best]  # queries x neighbours x replicas
-    far = np.where(lists >= 0, to[np.arange(len(q))[:, None, None], lists], np.inf).min(axis=2)
-    needed = np.sort((far / np.maximum(to.min(axis=1), 1e-300)[:, None]).ravel())
+    for at in range(0, len(sample), 1024):
+        row, where = homes(graph, sample[at : at + 1024])
+        of[at + row, np.arange(len(row)) - np.searchsorted(row, row)] = where
+    needed = []
+    for at in range(0, len(sample), step):  # one at a time: the driver has no room for all
+        d = distances(sample[at : at + 1], sample)[0]
+        d[at] = np.inf
+        best = np.argsort(d, kind="stable")[: min(k, len(sample) - 1)]
+        to = distances(sample[at : at + 1], graph.centroids)[0]
+        needed.append(np.where(of[best] >= 0, to[of[best]], np.inf).min(axis=1) / max(to.min(), 1e-300))
+    needed = np.sort(np.concatenate(needed))
     return float(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)]) - 1 + 1e-9 if len(needed) else 0.0
 
 
