@@ -8,9 +8,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from sigloom.functions.columns import filled, signal_key, spike_key
+from sigloom.operators.features import BASELINE
 
 BAD_EVENTS = 50  # fixed value
 COLUMNS = ["event_time", "window_start", "window_end", "signal_name", "entity_type", "entity_id", "severity", "score", "dedupe_key", "metadata"]
@@ -90,6 +91,56 @@ def run_baselines(features: DataFrame, now: datetime | None, windows: Baselines
     return auth.unionByName(silent).unionByName(errors)
 
 
+# The same detectors at every bin, not at one clock: what a run each minute finds.
+
+
+def swept(features: DataFrame, now: datetime | None, windows: Baselines = Baselines(), bin_size_sec: int = 60) -> DataFrame:
+    """(feature_name, entity_type, entity_id, at, current, baseline): the windows of each bin that an entity has, and each time at which
+    an entity has been quiet for long enough, up to ``now``.
+
+    Sums only fall between the bins of an entity, so it is judged where it has one.
+    """
+    at = F.unix_seconds(F.col("bin_start").cast("timestamp"))
+    rows = features.where((F.col("bin_size_sec") == bin_size_sec) & F.col("feature_name").isin("auth_fail_count", *BASELINE)).withColumn("__at", at)
+    entity = Window.partitionBy("feature_name", "entity_type", "entity_id").orderBy("__at")
+    seconds = lambda t: int(t.total_seconds())
+    cur = entity.rangeBetween(1 - seconds(windows.current), 0)
+    base = entity.rangeBetween(1 - seconds(windows.current + windows.baseline), -seconds(windows.current))
+    value = F.col("value")
+    spikes = rows.where("feature_name = 'auth_fail_count' AND entity_type = 'host' OR feature_name = 'error_rate' AND entity_type = 'endpoint'")
+    total = F.when(F.col("feature_name") == "error_rate", F.avg(value).over(cur)).otherwise(F.sum(value).over(cur))
+    spikes = spikes.select("feature_name", "entity_type", "entity_id", F.col("bin_start").cast("timestamp").alias("at"), total.alias("current"), F.coalesce(F.avg(value).over(base), F.lit(0.0)).alias("baseline"))
+    alive = rows.where("feature_name = 'event_count' AND entity_type = 'host'").withColumn("__next", F.lead("__at").over(entity))
+    until = F.col("__at") + seconds(windows.quiet)
+    silent = alive.where(F.coalesce(F.col("__next") > until, until <= F.unix_seconds(_at(now).cast("timestamp"))))
+    return spikes.unionByName(silent.select("feature_name", "entity_type", "entity_id", F.timestamp_seconds(until).alias("at"), F.lit(0.0).alias("current"), F.lit(0.0).alias("baseline")))
+
+
+def judged(rows: DataFrame, windows: Baselines = Baselines(), *more: str) -> DataFrame:
+    """Signals of such rows, with the columns ``more`` of theirs."""
+    c, b, is_auth, is_error = F.col("current"), F.col("baseline"), F.col("feature_name") == "auth_fail_count", F.col("feature_name") == "error_rate"
+    hit = F.when(is_auth, (c >= windows.least) & (c > b * 3 + 5)).when(is_error, (c > windows.rate) & (c > b * windows.factor)).otherwise(F.col("entity_id") != "(none)")
+    entity = F.when(is_error & F.coalesce("entity_id", F.lit("")).isin("", "(none)"), "juiceshop_global").otherwise(F.col("entity_id"))
+    name = F.when(is_auth, "auth_fail_spike").when(is_error, "app_error_spike").otherwise("agent_silent")
+    kind = F.when(is_error, "application").otherwise(F.col("entity_type"))
+    micros = lambda t: int(t.total_seconds()) * 1_000_000
+    span = F.when(is_auth | is_error, micros(windows.current)).otherwise(micros(windows.quiet))
+    meta = F.when(is_auth, F.to_json(F.struct(c.alias("current_sum"), b.alias("baseline_avg")))).when(is_error, F.to_json(F.struct(c.alias("current_rate"), b.alias("baseline_rate")))).otherwise("{}")
+    made = {
+        "event_time": F.col("at"),
+        "window_start": F.timestamp_micros(F.unix_micros("at") - span),
+        "window_end": F.col("at"),
+        "signal_name": name,
+        "entity_type": kind,
+        "entity_id": entity,
+        "severity": F.when(is_auth, 7).when(is_error, 5).otherwise(3),
+        "score": F.when(is_auth, c / (b + 0.1)).when(is_error, c / (b + 0.01)).otherwise(10.0),
+        "dedupe_key": F.concat_ws("|", name, kind, entity, F.date_format("at", "yyyyMMddHHmmss")),
+        "metadata": meta,
+    }
+    return rows.where(hit).select(*[x.alias(n) for n, x in made.items()], *more)
+
+
 def _keyed(rows: DataFrame, as_of: Column) -> DataFrame:
     key = signal_key(F.col("signal_name"), F.col("entity_type"), F.col("entity_id"), F.col("window_end"))
     return rows.withColumn("event_time", as_of).withColumn("dedupe_key", key).select(*COLUMNS)
@@ -103,10 +154,16 @@ def bad_event_spikes(features: DataFrame, start: Column | None = None, end: Colu
     rows = features.where("feature_name = 'bad_event_count'")
     rows = rows if start is None else rows.where(F.col("bin_start") >= start)
     rows = rows if end is None else rows.where(F.col("bin_start") < end)
-    agg = rows.groupBy("entity_type", "entity_id", *(by or [])).agg(F.sum("value").alias("score"), F.min("bin_start").alias("window_start"), F.max("bin_start").alias("window_end")).where(F.col("score") > threshold)
+    agg = rows.groupBy("entity_type", "entity_id", *(by or [])).agg(F.sum("value").alias("score"), F.min("bin_start").alias("window_start"), F.max("bin_start").alias("window_end"))
+    return over_threshold(agg, F.col("window_end") if as_of is None else as_of, threshold)
+
+
+def over_threshold(sums: DataFrame, as_of: Column, threshold: float = BAD_EVENTS, more: list[Column] = []) -> DataFrame:
+    """Signals of the sums (entity_type, entity_id, score, window_start, window_end) above the threshold, with ``more`` columns."""
     meta = F.to_json(F.struct(F.lit("bad_event_count").alias("feature"), F.lit(int(threshold)).alias("threshold"), F.col("score").cast("bigint").alias("value")))
-    rows = agg.select("window_start", "window_end", F.lit("Spike in Bad Events").alias("signal_name"), "entity_type", "entity_id", F.lit(7).alias("severity"), "score", meta.alias("metadata"))
-    return _keyed(rows, F.col("window_end") if as_of is None else as_of)
+    rows = sums.where(F.col("score") > threshold).select("window_start", "window_end", F.lit("Spike in Bad Events").alias("signal_name"), "entity_type", "entity_id", F.lit(7).alias("severity"), "score", meta.alias("metadata"), *more)
+    keyed = rows.withColumn("event_time", as_of).withColumn("dedupe_key", signal_key(F.col("signal_name"), F.col("entity_type"), F.col("entity_id"), F.col("window_end")))
+    return keyed.select(*COLUMNS, *[c for c in rows.columns if c not in COLUMNS])
 
 
 def promoted_alerts(events: DataFrame, start: Column | None = None, end: Column | None = None, as_of: Column | None = None) -> DataFrame:

@@ -87,21 +87,29 @@ def bin_start_of(c: Column, seconds: int) -> Column:
     return F.timestamp_seconds(F.floor(F.unix_timestamp(c.cast("timestamp")) / seconds) * seconds)
 
 
-def minute_rollup(events: DataFrame, bin_size_sec: int = 60, as_of: Column | None = None, lookback_minutes: int = 60, features: list[Feature] | None = None, compat: Compat = DEFAULT) -> DataFrame:
-    """The long feature table of normalized events, a row for each bin and key."""
+def tags(features: list[Feature], compat: Compat = DEFAULT) -> Column:
+    """What an event counts for: an array of features with their keys, and the number whose mean a value is, if it is one."""
     def tag(f: Feature) -> Column:
         second = F.coalesce(F.col(f.secondary), F.lit("unknown")) if f.secondary else F.lit("-")
         if f.secondary == "src_ip" and compat.inet_text:
             second = F.concat(second, F.lit("/32"))
         entity = F.col(f.entity) if f.unknown == "unknown" else filled(F.col(f.entity))
-        mean = [] if counts else [(F.lit(None).cast("double") if f.mean is None else f.mean).alias("mean")]
+        mean = [] if _counts(features) else [(F.lit(None).cast("double") if f.mean is None else f.mean).alias("mean")]
         return F.when(f.when, F.struct(F.lit(f.name).alias("feature_name"), F.lit(f.entity_type).alias("entity_type"), F.coalesce(entity, F.lit(f.unknown)).alias("entity_id"), F.lit(f.secondary_type).alias("secondary_type"), second.alias("secondary_id"), F.coalesce(F.lit(f.vendor), F.col("vendor")).alias("vendor"), *mean))
 
-    rows = since(events, as_of, lookback_minutes, bin_size_sec, compat)
+    return F.array_compact(F.array(*map(tag, features)))
+
+
+def _counts(features: list[Feature]) -> bool:
+    return all(f.mean is None for f in features)
+
+
+def minute_rollup(events: DataFrame, bin_size_sec: int = 60, as_of: Column | None = None, lookback_minutes: int = 60, features: list[Feature] | None = None, compat: Compat = DEFAULT) -> DataFrame:
+    """The long feature table of normalized events, a row for each bin and key."""
     features = features or minute_features()
-    counts = all(f.mean is None for f in features)
-    tags = F.array_compact(F.array(*map(tag, features)))
-    flat = rows.select(bin_start(F.col("event_time"), bin_size_sec).alias("bin_start"), F.explode(tags).alias("f")).select("bin_start", F.lit(bin_size_sec).alias("bin_size_sec"), "f.*")
+    counts = _counts(features)
+    rows = since(events, as_of, lookback_minutes, bin_size_sec, compat)
+    flat = rows.select(bin_start(F.col("event_time"), bin_size_sec).alias("bin_start"), F.explode(tags(features, compat)).alias("f")).select("bin_start", F.lit(bin_size_sec).alias("bin_size_sec"), "f.*")
     mean = [] if counts else [F.avg("mean").alias("mean")]
     out = flat.groupBy(*KEYS).agg(F.array_join(F.array_sort(F.collect_set("vendor")), ",").alias("vendor"), F.count("*").alias("n"), *mean)
     value = F.col("n").cast("double")

@@ -33,6 +33,14 @@ def signals_of(table: DataFrame, events: DataFrame, start: Column | None = None,
     return detect.run_detections(table, events, start, end, as_of, detect.run_baselines(table, clock, windows))
 
 
+def swept_signals(table: DataFrame, events: DataFrame, now: datetime | None = None, windows: detect.Baselines = detect.Baselines(), hours: int = 1) -> DataFrame:
+    """Signals as runs at every minute find them: baselines at each bin, bad events by windows of hours, and alerts; see :mod:`sigloom.streaming.detect`."""
+    clock = now or detect.feature_clock(table)
+    spikes = detect.bad_event_spikes(table, by=[F.window("bin_start", f"{hours} hours")])
+    both = detect.judged(detect.swept(table, clock, windows), windows).unionByName(spikes).unionByName(detect.promoted_alerts(events))
+    return state.first_per_key(both, ["dedupe_key"], ["window_start", "score", "metadata"])
+
+
 def feature_table(events: DataFrame, compat: Compat = DEFAULT) -> DataFrame:
     """The minute features that detectors and profiles read."""
     return features.minute_rollup(events, features=[*features.minute_features(), *features.baseline_features()], compat=compat)

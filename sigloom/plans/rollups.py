@@ -285,6 +285,26 @@ query("signals_all", _JOB + " SELECT window_start, window_end, signal_name, enti
 )
 query("c02_job_incidents", _JOB + " SELECT * REPLACE (round(score, 6) AS score) FROM inc")(lambda s, d: C.incidents(C.assign(job_signals(s, d))).withColumn("score", F.round("score", 6)))
 
+# Detectors at every bin, as runs at each minute find them and as the stream does.
+
+
+def swept(spark: SparkSession, d: str) -> DataFrame:
+    events = job_events(spark, d)
+    table = stored(B.feature_table(events), "features")
+    return D.judged(D.swept(table, D.feature_clock(table), JOB), JOB)
+
+
+_SWEPT = f"""WITH {_FINE}, {FT}, ec AS ({_EVENTS}), er AS ({_RATES}),
+ f AS (SELECT 'auth_fail_spike' AS signal_name, 'host' AS entity_type, entity_id, bin_start, value FROM ft WHERE feature_name = 'auth_fail_count' AND entity_type = 'host' UNION ALL SELECT 'app_error_spike', 'application', entity_id, bin_start, value FROM er),
+ w AS (SELECT signal_name, entity_type, entity_id, bin_start AS at_, CASE WHEN signal_name = 'app_error_spike' THEN avg(value) OVER c ELSE sum(value) OVER c END AS c, COALESCE(avg(value) OVER b, 0) AS b FROM f
+  WINDOW c AS (PARTITION BY signal_name, entity_id ORDER BY bin_start RANGE BETWEEN INTERVAL 86399 SECOND PRECEDING AND CURRENT ROW), b AS (PARTITION BY signal_name, entity_id ORDER BY bin_start RANGE BETWEEN INTERVAL 604799 SECOND PRECEDING AND INTERVAL 86400 SECOND PRECEDING)),
+ n AS (SELECT entity_id, bin_start + INTERVAL 1 HOUR AS at_, lead(bin_start) OVER (PARTITION BY entity_id ORDER BY bin_start) AS nxt, max(bin_start) OVER () AS now FROM ec),
+ s AS (SELECT signal_name, entity_type, entity_id, at_, INTERVAL 24 HOUR AS w, CASE signal_name WHEN 'auth_fail_spike' THEN 7 ELSE 5 END AS severity, c / (b + CASE signal_name WHEN 'auth_fail_spike' THEN 0.1 ELSE 0.01 END) AS score FROM w
+   WHERE CASE signal_name WHEN 'auth_fail_spike' THEN c >= 5 AND c > b * 3 + 5 ELSE c > 0.05 AND c > b * 0.9 END
+  UNION ALL SELECT 'agent_silent', 'host', entity_id, at_, INTERVAL 1 HOUR, 3, 10.0 FROM n WHERE COALESCE(nxt > at_, at_ <= now) AND entity_id <> '(none)')
+ SELECT at_ - w AS window_start, at_ AS window_end, signal_name, entity_type, entity_id, CAST(severity AS INTEGER) AS severity, round(CAST(score AS DOUBLE), 6) AS score, signal_name || '|' || entity_type || '|' || entity_id || '|' || strftime(at_, '%Y%m%d%H%M%S') AS dedupe_key FROM s"""
+query("d02_d04_at_every_bin", _SWEPT)(lambda s, d: swept(s, d).select("window_start", "window_end", "signal_name", "entity_type", "entity_id", "severity", F.round("score", 6).alias("score"), "dedupe_key"))
+
 # Correlation in runs: three thirds of the range, the incidents of one host closed after the first.
 
 CUTS = [datetime(2024, 1, 10), datetime(2024, 1, 20)]

@@ -1,4 +1,4 @@
-"""The streaming twin: normalized events, windowed features, and stateful correlation.
+"""The streaming twin: normalized events and windowed features; :mod:`sigloom.streaming.detect` goes on from there.
 
 An hour's watermark takes the place of the lookback that recounts late events; later ones are
 dropped here, where the batch job would still store them.
@@ -6,14 +6,11 @@ dropped here, where the batch job would still store them.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sigloom.operators import features, normalize
-from sigloom.operators.correlate import CAP_HOURS, GAP_MINUTES
 from sigloom.params import DEFAULT, Compat
 
 WATERMARK = "60 minutes"
@@ -54,42 +51,3 @@ def latest_features(stored: DataFrame) -> DataFrame:
     from sigloom.operators.state import latest_per_key
 
     return latest_per_key(stored, features.KEYS, "batch").drop("batch")
-
-
-class Correlator(StatefulProcessor):
-    """Incidents of an entity that may still take signals, as (start, last, incident id) rows.
-
-    All that ended less than the gap and the cap ago are kept, so a signal that comes late joins
-    the incident that was last updated among those that match, as a lookup in a table would find.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getListState("open", "start long, last long, incident string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        gap, cap = GAP_MINUTES * 60_000_000, CAP_HOURS * 3_600_000_000
-        known = [list(x) for x in self.open.get()]
-        pdf = pd.concat(rows).sort_values(["end_us", "dedupe_key"])
-        out = []
-        for s, e, signal in zip(pdf["start_us"], pdf["end_us"], pdf["dedupe_key"], strict=True):
-            able = [x for x in known if x[1] >= e - gap and x[0] >= e - cap]
-            if able:
-                to = max(able, key=lambda x: (x[1], x[2]))
-                to[1] = max(to[1], e)
-            else:
-                to = [int(s), int(e), signal]
-                known.append(to)
-            out.append((signal, to[2], not able))
-        newest = max(x[1] for x in known)
-        self.open.put([(int(a), int(b), c) for a, b, c in known if b >= newest - gap - cap])
-        yield pd.DataFrame(out, columns=["signal_id", "incident_id", "founder"])
-
-    def close(self) -> None:
-        pass
-
-
-def correlated_stream(signals: DataFrame) -> DataFrame:
-    """(signal_id, incident_id, founder) of a stream of signals; needs the RocksDB state store (``ROCKS``)."""
-    micros = {"start_us": F.unix_micros(F.col("window_start").cast("timestamp")), "end_us": F.unix_micros(F.col("window_end").cast("timestamp"))}
-    rows = signals.withColumns(micros).select("entity_type", "entity_id", "dedupe_key", "start_us", "end_us")
-    return rows.groupBy("entity_type", "entity_id").transformWithStateInPandas(Correlator(), outputStructType="signal_id string, incident_id string, founder boolean", outputMode="append", timeMode="None")

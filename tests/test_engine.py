@@ -156,24 +156,6 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
 
 
-def test_streamed_correlation_equals_batch(spark, tmp_path):
-    rng = random.Random(9)
-    rows = [signal(f"k{i:04}", rng.randrange(0, 3000), f"h{rng.randrange(5)}") for i in range(400)]
-    rows.sort(key=lambda r: (r[2], r[8]))
-    for i in range(4):
-        spark.createDataFrame(rows[100 * i : 100 * i + 100], SIGNALS).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
-    old = spark.conf.get(stream.ROCKS[0])
-    spark.conf.set(*stream.ROCKS)
-    try:
-        source = spark.readStream.schema(SIGNALS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
-        q = stream.correlated_stream(source).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-        q.awaitTermination(240)
-    finally:
-        spark.conf.set(stream.ROCKS[0], old)
-    got = {r.signal_id: r.incident_id for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == plain_fold(rows)
-
-
 def fake_transport(search, start, end):
     """Lines of a fake server: an event a second, and some noise."""
     assert search.startswith("search")
