@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -42,7 +43,7 @@ SMALL_TABLE = 1_000_000  # rows of two numbers that may be broadcast
 PACKED = 7  # bytes a symbol where only whole windows are sorted
 PIECE = 1 << 20  # window starts hashed at a time
 SORTED_AT_ONCE = 2 << 20  # symbols
-NO_ID = 2**63 - 1  # place of null ids: after all others
+NO_ID = 2**63 - 1  # place of null ids: after all others, and after this one
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -130,32 +131,42 @@ def tag_of(text: bytes) -> int:
     return zlib.crc32(text) & 0xFFFFFF
 
 
+def row_of(text: bytes, null: bool) -> int:
+    """Tells apart the rows of one id, together with the tag in 86 bits; those of null ids come last."""
+    return null << 62 | xxhash.xxh64_intdigest(text, 29) >> 2
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), text.alias("text"))
+    doc = F.col(id_col).cast("long")
+    return docs.select(F.coalesce(doc, F.lit(NO_ID)).alias("doc"), text.alias("text"), doc.isNull().alias("null"))
+
 
+def _rows_of(part: pa.RecordBatch) -> np.ndarray:
+    return np.array([row_of(x, n) for x, n in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)], np.int64)
 
-_ROWS = "h long, s long, t long, doc long, pack long"
+
+_ROWS = "h long, s long, t long, doc long, row long, pack long"
 _KNOWN = -(2**63)  # added to the pack of a row that repeats another of its batch
 
 
-def _combined(h: np.ndarray, s: np.ndarray, t: np.ndarray, doc: np.ndarray, pack: np.ndarray) -> tuple[np.ndarray, ...]:
+def _combined(h: np.ndarray, s: np.ndarray, t: np.ndarray, doc: np.ndarray, row: np.ndarray, pack: np.ndarray) -> tuple[np.ndarray, ...]:
     """The rows of a batch, sorted, with all but the first of a kind marked as known repeats.
 
     A known repeat needs no family: it goes to any task, so a string that occurs everywhere sends
     its own task a row for each batch and not for each occurrence.
     """
-    order = np.lexsort((pack, doc, t, s, h))
-    h, s, t, doc, pack = (x[order] for x in (h, s, t, doc, pack))
+    order = np.lexsort((pack, row, doc, t, s, h))
+    h, s, t, doc, row, pack = (x[order] for x in (h, s, t, doc, row, pack))
     kind = np.append(True, (h[1:] != h[:-1]) | (s[1:] != s[:-1]) | (t[1:] != t[:-1]))[: len(h)]
     lead = np.flatnonzero(kind)[np.cumsum(kind) - 1]
-    known = ~kind & ((doc != doc[lead]) | (pack != pack[lead]))
+    known = ~kind & ((doc != doc[lead]) | (row != row[lead]) | (pack != pack[lead]))
     h[known] = _mixed((pack[known] ^ doc[known]).view(np.uint64)).view(np.int64)
-    return h, s, t, doc, np.where(known, pack + _KNOWN, pack)
+    return h, s, t, doc, row, np.where(known, pack + _KNOWN, pack)
 
 
 def _anchored(keyed: DataFrame) -> DataFrame:
-    """(h, s, t, doc, pack): a row a segment; pack orders tag, start and holds the number of windows."""
+    """(h, s, t, doc, row, pack): a row a segment; pack orders tag, start and holds the number of windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -164,12 +175,12 @@ def _anchored(keyed: DataFrame) -> DataFrame:
                 text, start, count, h, s, t = segment_rows(texts)
                 tags = np.array([tag_of(x) for x in texts], np.int64)
                 pack = tags[text] << 39 | start << 7 | count
-                yield _batch(*_combined(h.view(np.int64), s.view(np.int64), t.view(np.int64), part.column(0).to_numpy()[text], pack))
+                yield _batch(*_combined(h.view(np.int64), s.view(np.int64), t.view(np.int64), part.column(0).to_numpy()[text], _rows_of(part)[text], pack))
 
     return keyed.mapInArrow(run, _ROWS)
 
 
-def _batch(*columns, names=("h", "s", "t", "doc", "pack")) -> pa.RecordBatch:
+def _batch(*columns, names=("h", "s", "t", "doc", "row", "pack")) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(names))
 
 
@@ -177,109 +188,104 @@ REPEAT, FIRST, HOT = 0, 1, 2  # what a row of events tells
 
 
 def _sorted_out(rows: DataFrame) -> DataFrame:
-    """(h, doc, pack, what): the repeats, the first of each string in a family of several, and a row HOT for a
+    """(h, doc, row, pack, what): the repeats, the first of each string in a family of several, and a row HOT for a
     family of more than LARGE strings.
 
-    Rows come sorted by h, s, t, doc, pack; one row is carried from batch to batch.
+    Rows come sorted by h, s, t, doc, row, pack; one row is carried from batch to batch.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the latest first of a string: h, s, t, doc, pack, and the strings of its family so far
-        names = ("h", "doc", "pack", "what")
+        held = None  # the latest first of a string: h, s, t, doc, row, pack, and the strings of its family so far
+        names = ("h", "doc", "row", "pack", "what")
 
-        def out(h, doc, pack, what):
-            return _batch(h, doc, pack, np.full(len(h), what, np.int8), names=names)
+        def out(h, doc, row, pack, what):
+            return _batch(h, doc, row, pack, np.full(len(h), what, np.int8), names=names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, s, t, doc, pack = (c.to_numpy() for c in batch.columns)
+            h, s, t, doc, row, pack = (c.to_numpy() for c in batch.columns)
             told = pack < 0
             if told.any():
-                yield out(h[told], doc[told], pack[told] - _KNOWN, REPEAT)
-                h, s, t, doc, pack = (x[~told] for x in (h, s, t, doc, pack))
+                yield out(h[told], doc[told], row[told], pack[told] - _KNOWN, REPEAT)
+                h, s, t, doc, row, pack = (x[~told] for x in (h, s, t, doc, row, pack))
                 if not len(h):
                     continue
             if held is not None:
-                h, s, t, doc, pack = (np.append(a, b) for a, b in zip(held[:5], (h, s, t, doc, pack), strict=True))
+                h, s, t, doc, row, pack = (np.append(a, b) for a, b in zip(held[:6], (h, s, t, doc, row, pack), strict=True))
             kind = np.append(True, (h[1:] != h[:-1]) | (s[1:] != s[:-1]) | (t[1:] != t[:-1]))
             at = np.flatnonzero(kind)
             lead = at[np.cumsum(kind) - 1]
-            repeat = ~kind & ((doc != doc[lead]) | (pack != pack[lead]))
+            repeat = ~kind & ((doc != doc[lead]) | (row != row[lead]) | (pack != pack[lead]))
             fam = h[at]
             begins = np.flatnonzero(np.append(True, fam[1:] != fam[:-1]))
             sizes = np.diff(np.append(begins, len(at)))
             if held is not None:
-                sizes[0] += held[5] - 1  # those of earlier batches; the carried one counts once
+                sizes[0] += held[6] - 1  # those of earlier batches; the carried one counts once
             size = np.repeat(sizes, np.diff(np.append(begins, len(at))))
             # The last string waits for the next batch, in which its family may go on.
             mixed = size > 1
             last = at[-1]
             firsts = at[:-1][mixed[:-1]]
             pick = np.flatnonzero(repeat)
-            yield out(h[pick], doc[pick], pack[pick], REPEAT)
-            yield out(h[firsts], doc[firsts], pack[firsts], FIRST)
+            yield out(h[pick], doc[pick], row[pick], pack[pick], REPEAT)
+            yield out(h[firsts], doc[firsts], row[firsts], pack[firsts], FIRST)
             done = begins[:-1][sizes[:-1] > LARGE]  # families that ended
             if len(done):
-                yield out(fam[done], np.zeros(len(done), np.int64), np.zeros(len(done), np.int64), HOT)
-            held = (h[last], s[last], t[last], doc[last], pack[last], int(sizes[-1]))
-        if held is not None and held[5] > 1:
-            yield out(np.array([held[0]]), np.array([held[3]]), np.array([held[4]]), FIRST)
-            if held[5] > LARGE:
-                yield out(np.array([held[0]]), np.zeros(1, np.int64), np.zeros(1, np.int64), HOT)
+                yield out(fam[done], *[np.zeros(len(done), np.int64)] * 3, HOT)
+            held = (h[last], s[last], t[last], doc[last], row[last], pack[last], int(sizes[-1]))
+        if held is not None and held[6] > 1:
+            yield out(*(np.array([held[i]]) for i in (0, 3, 4, 5)), FIRST)
+            if held[6] > LARGE:
+                yield out(np.array([held[0]]), *[np.zeros(1, np.int64)] * 3, HOT)
 
-    dealt = rows.repartition(F.col("h")).sortWithinPartitions("h", "s", "t", "doc", "pack")
-    return dealt.mapInArrow(run, "h long, doc long, pack long, what byte")
+    dealt = rows.repartition(F.col("h")).sortWithinPartitions("h", "s", "t", "doc", "row", "pack")
+    return dealt.mapInArrow(run, "h long, doc long, row long, pack long, what byte")
 
 
 def _intervals(repeats: DataFrame) -> DataFrame:
-    """(doc, tag, start, end) in bytes."""
+    """(doc, row, tag, start, end) in bytes."""
     start = F.shiftright("pack", 7).bitwiseAND(F.lit(0xFFFFFFFF))
-    return repeats.select("doc", F.shiftright("pack", 39).alias("tag"), start.alias("start"), (start + F.col("pack").bitwiseAND(F.lit(127)) + SPAN - 1).alias("end"))
+    return repeats.select("doc", "row", F.shiftright("pack", 39).alias("tag"), start.alias("start"), (start + F.col("pack").bitwiseAND(F.lit(127)) + SPAN - 1).alias("end"))
 
 
 def _packed(keyed: DataFrame) -> DataFrame:
-    """(doc, tag, blob): texts compressed for the shuffle."""
+    """(doc, row, tag, blob): texts compressed for the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = part.column(1).to_pylist()
-                yield _batch(part.column(0), [tag_of(x) for x in texts], [z.compress(x) for x in texts], names=("doc", "tag", "blob"))
+                yield _batch(part.column(0), _rows_of(part), [tag_of(x) for x in texts], [z.compress(x) for x in texts], names=("doc", "row", "tag", "blob"))
 
-    return keyed.mapInArrow(run, "doc long, tag long, blob binary")
+    return keyed.mapInArrow(run, "doc long, row long, tag long, blob binary")
 
 
 def _fetched(keyed: DataFrame, asked: DataFrame) -> DataFrame:
-    """(h, doc, pack, segment): the text of each asked segment (h, doc, pack, hot) or, if hot, of each of its windows,
+    """(h, doc, row, pack, segment): the text of each asked segment (h, doc, row, pack, hot) or, if hot, of each of its windows,
     under their digests.  A window that copies one of its batch is known: its pack is negative and it needs no text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         for batch in batches:
             rows, size, seen = [], 0, {}
             for at in range(batch.num_rows):
-                doc, blob, asks = (batch.column(i)[at].as_py() for i in range(3))
+                doc, row, blob, asks = (batch.column(i)[at].as_py() for i in range(4))
                 text = z.decompress(blob)
                 for x in asks:
                     start, count = x["pack"] >> 7 & 0xFFFFFFFF, x["pack"] & 127
                     if not x["hot"]:
-                        rows.append((x["h"], doc, x["pack"], text[start : start + count + SPAN - 1]))
+                        rows.append((x["h"], doc, row, x["pack"], text[start : start + count + SPAN - 1]))
                         size += count + SPAN
                         continue
                     for i in range(start, start + count):
-                        own, pack = text[i : i + SPAN], x["pack"] >> 39 << 39 | i << 7 | 1
-                        first = seen.setdefault(own, (doc, pack))
-                        if first == (doc, pack):
-                            d = int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "big", signed=True)
-                            rows.append((d, doc, pack, own))
-                            size += SPAN
-                        elif first < (doc, pack):
-                            rows.append((0, doc, pack + _KNOWN, None))
-                        else:  # the earlier of the two stands for both
-                            seen[own] = (doc, pack)
-                            d = int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "big", signed=True)
-                            rows += [(d, doc, pack, own)]
-                            size += SPAN
+                        own, place = text[i : i + SPAN], (doc, row, x["pack"] >> 39 << 39 | i << 7 | 1)
+                        first = seen.setdefault(own, place)
+                        if first < place:
+                            rows.append((0, doc, row, place[2] + _KNOWN, None))
+                            continue
+                        seen[own] = place  # the earlier of the two stands for both
+                        rows.append((int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "big", signed=True), *place, own))
+                        size += SPAN
                 if size + 32 * len(rows) >= 8 << 20:
                     yield rows_of(rows)
                     rows, size = [], 0
@@ -287,13 +293,13 @@ def _fetched(keyed: DataFrame, asked: DataFrame) -> DataFrame:
             yield rows_of(rows)
 
     def rows_of(rows: list) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        columns = zip(*rows) if rows else ((),) * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["h", "doc", "pack", "segment"])
+        kinds = (*[pa.int64()] * 4, pa.binary())
+        columns = zip(*rows) if rows else ((),) * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["h", "doc", "row", "pack", "segment"])
 
-    asks = asked.select("doc", F.shiftright("pack", 39).alias("tag"), F.struct("h", "pack", "hot").alias("x")).groupBy("doc", "tag").agg(F.collect_list("x").alias("asks"))
-    texts = _packed(keyed).join(asks, ["doc", "tag"]).select("doc", "blob", "asks")
-    return texts.mapInArrow(run, "h long, doc long, pack long, segment binary")
+    asks = asked.select("doc", "row", F.shiftright("pack", 39).alias("tag"), F.struct("h", "pack", "hot").alias("x")).groupBy("doc", "row", "tag").agg(F.collect_list("x").alias("asks"))
+    texts = _packed(keyed).join(asks, ["doc", "row", "tag"]).select("doc", "row", "blob", "asks")
+    return texts.mapInArrow(run, "h long, doc long, row long, pack long, segment binary")
 
 
 def _packed_symbols(windows: list[bytes]) -> np.ndarray:
@@ -380,12 +386,12 @@ def _repeats(families: list[list[tuple[int, int, bytes]]], packed: bool) -> list
 
 
 def _sorted_families(rows: DataFrame) -> DataFrame:
-    """(doc, pack) of repeats inside families of segments."""
+    """(doc, row, pack) of repeats inside families of segments."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool: list[list[tuple[int, int, bytes]]] = []
-        family: list[tuple[int, int, bytes]] = []
+        pool: list[list[tuple]] = []
+        family: list[tuple] = []  # ((doc, row), pack, segment)
         held, last = 0, None
-        copies: list[tuple[int, int]] = []
+        copies: list[tuple] = []
 
         def close() -> None:
             nonlocal held
@@ -398,7 +404,7 @@ def _sorted_families(rows: DataFrame) -> DataFrame:
         def found() -> Iterator[pa.RecordBatch]:
             nonlocal pool, held, copies
             if copies:
-                yield _batch(*(pa.array(c, pa.int64()) for c in zip(*copies)), names=("doc", "pack"))
+                yield told(copies)
                 copies = []
             pool.sort(key=lambda f: sum(len(x[2]) for x in f))
             chunk, size = [], 0
@@ -414,22 +420,25 @@ def _sorted_families(rows: DataFrame) -> DataFrame:
 
         def made(chunk) -> Iterator[pa.RecordBatch]:
             if out := family_repeats(chunk):
-                yield _batch(*(pa.array(c, pa.int64()) for c in zip(*out)), names=("doc", "pack"))
+                yield told(out)
+
+        def told(found: list[tuple]) -> pa.RecordBatch:
+            return _batch(*(pa.array(c, pa.int64()) for c in zip(*((*own, pack) for own, pack in found))), names=("doc", "row", "pack"))
 
         for batch in batches:
-            for h, doc, pack, seg in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for h, doc, row, pack, seg in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if h != last:
                     close()
                     family, last = [], h
                     if held >= 4 * SORTED_AT_ONCE:
                         yield from found()
-                if not family or family[-1][:2] != (doc, pack):
-                    family.append((doc, pack, seg))
+                if not family or family[-1][:2] != ((doc, row), pack):
+                    family.append(((doc, row), pack, seg))
         close()
         yield from found()
 
-    dealt = rows.select("h", "doc", "pack", "segment").repartition(F.col("h")).sortWithinPartitions("h", "doc", "pack")
-    return dealt.mapInArrow(run, "doc long, pack long")
+    dealt = rows.select("h", "doc", "row", "pack", "segment").repartition(F.col("h")).sortWithinPartitions("h", "doc", "row", "pack")
+    return dealt.mapInArrow(run, "doc long, row long, pack long")
 
 
 def union_of(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -443,16 +452,16 @@ def union_of(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, tag, start, end): byte intervals that go, in any order, overlaps included."""
+    """(doc, row, tag, start, end): byte intervals that go, in any order, overlaps included."""
     keyed = _keyed(docs, id_col, text_col)
     events = stored(_sorted_out(_anchored(keyed)), "segments")
     hot = events.where(F.col("what") == HOT).select("h", F.lit(True).alias("hot"))
     if hot.count() <= SMALL_TABLE:
         hot = F.broadcast(hot)
-    asked = events.where(F.col("what") == FIRST).select("h", "doc", "pack").join(hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    asked = events.where(F.col("what") == FIRST).select("h", "doc", "row", "pack").join(hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     texts = stored(_fetched(keyed, asked), "families")
-    repeats = events.where(F.col("what") == REPEAT).select("doc", "pack")
-    known = texts.where("segment IS NULL").select("doc", (F.col("pack") - F.lit(_KNOWN)).alias("pack"))
+    repeats = events.where(F.col("what") == REPEAT).select("doc", "row", "pack")
+    known = texts.where("segment IS NULL").select("doc", "row", (F.col("pack") - F.lit(_KNOWN)).alias("pack"))
     return _intervals(repeats.union(known).union(_sorted_families(texts.where("segment IS NOT NULL"))))
 
 
@@ -460,8 +469,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 and, ``with_text``, kept (binary).
 
     A null text counts as empty.  A null id comes after all others.  Rows that repeat id and text
-    are one document and get the same result; texts that differ under one id are ordered by a
-    checksum.  Texts shorter than SPAN lose nothing.  An empty table gives an empty result.
+    are one document and get the same result; texts that differ under one id, or under null, are documents
+    of their own, in the order of a digest.  Texts shorter than SPAN lose nothing.  An empty table gives an empty result.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
@@ -469,17 +478,17 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows = []
-                for doc, blob, cuts in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for doc, row, blob, cuts in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     text = z.decompress(blob)
                     spans = union_of([x["start"] for x in cuts or ()], [x["end"] for x in cuts or ()])
                     edges = [0, *(y for x in spans for y in x), len(text)]
                     kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    rows.append((None if doc == NO_ID else doc, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
+                    rows.append((None if row >> 62 else doc, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] if with_text else []))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)], names=schema.fieldNames())
 
-    cuts = repeated_spans(docs, id_col, text_col).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
-    texts = _packed(_keyed(docs, id_col, text_col)).join(cuts, ["doc", "tag"], "left").select("doc", "blob", "cuts")
+    cuts = repeated_spans(docs, id_col, text_col).groupBy("doc", "row", "tag").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
+    texts = _packed(_keyed(docs, id_col, text_col)).join(cuts, ["doc", "row", "tag"], "left").select("doc", "row", "blob", "cuts")
     schema = T.StructType([T.StructField(id_col, T.LongType()), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), *([T.StructField("kept", T.BinaryType())] if with_text else [])])
     return texts.mapInArrow(run, schema)

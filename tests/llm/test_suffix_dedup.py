@@ -112,3 +112,22 @@ def test_splitting_a_family_loses_no_repeat(monkeypatch):
                 want.add((d, 1000 + i))
             seen.add(x[i : i + 100])
     assert got == want
+
+
+def test_null_and_repeated_ids_with_equal_tags(spark):
+    """10 000 texts without an id, and some of one id, among them texts of one tag: each is a document of its own."""
+    rng = random.Random(17)
+    shared = ["".join(rng.choice("abcdefgh ") for _ in range(150)) for _ in range(40)]
+    texts = [rng.choice(shared)[: rng.choice([150, 150, 120])] + f" {i:x} " + "".join(rng.choice("xyz") for _ in range(rng.choice([5, 60, 200]))) for i in range(10_000)]
+    by_tag = {}
+    for x in texts + [shared[0] + f"{i:x}" + shared[1] for i in range(9000)]:
+        by_tag.setdefault(suffix_dedup.tag_of(x.encode()), []).append(x)
+    clashes = [x for same in by_tag.values() if len(same) > 1 for x in same]
+    assert len(clashes) >= 4
+    for ids in (lambda i: None, lambda i: 7):
+        rows = [(ids(i), x, None, None) for i, x in enumerate(dict.fromkeys(texts + clashes))] + [(2**63 - 1, shared[2], None, None), (5, shared[3], None, None)]
+        late = ids(0) is None
+        order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, suffix_dedup.row_of(r[1].encode(), late)))
+        want = plain([(k, r[1].encode()) for k, r in enumerate(order)])
+        got = sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.without_repeats(spark.createDataFrame(rows, DOCS).repartition(6)).collect())
+        assert got == sorted((r[0] is None, r[0] or 0, *want[k]) for k, r in enumerate(order))
