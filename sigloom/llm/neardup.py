@@ -1,18 +1,19 @@
 """Near-duplicates at a similarity of word shingles, by multi-index hashing of wide SimHash prints.
 
-Documents of one set of shingles are one node.  A node's print is a run of segments and some check words,
+Documents of one set of shingles are one node.  A node's print is a run of segments and two check words,
 all SimHash bits of its shingles.  Nodes meet where a segment differs in at most one bit, or in one
 bit of each side: each is put under its segment and under the half of its Hamming ball of radius
-one that sets a bit.  Of those that it meets, the ``PARTNERS`` nearest in a check word, if they agree in all but
-``CHECK`` of its bits, are its candidates, and a candidate is a link if the sets of shingles themselves are similar enough.
+one that sets a bit.  Nodes that meet and agree in all but ``CHECK`` of the check bits are candidates, and a candidate is
+a link if the sets of shingles themselves are similar enough.
 
 The length of a segment follows the number of documents, so that a bucket holds about as many strangers at any
 size; the number of segments follows from it, so that the share of pairs that meet (``RECALL``, for a pair right at
 the threshold) is the same too.  It grows as about the sixth root of the number of documents.
 
-So what is verified grows with the rows of a bucket, not with their pairs.  Where a link failed, the groups around it go into
-further rounds: each node takes its nearest of other groups then, by another check word.  A node whose only similar one is
-beyond its nearest in every bucket and round is missed.
+Every pair of candidates is verified, or lies in one group by other links.  A large group isn't paired: first each row of a bucket tries
+its ``PARTNERS`` nearest, then, of the nodes that have more candidates than those, the nearest ones of other groups.
+What is left are candidates in different groups that no try has joined; they are listed, all of them, and verified once each.  So
+the pairs grow with the rows of buckets and with candidates that turn out unlike, not with the square of a group of copies.
 """
 
 from __future__ import annotations
@@ -32,10 +33,12 @@ from sigloom.llm.simhash import shingles
 WIDTH = 5  # words of a shingle
 SIMILAR = 0.8  # Jaccard similarity of the sets of shingles
 RECALL = 0.95  # of pairs right at SIMILAR, by the buckets
-ROUNDS = 3  # a check word each
-PARTNERS = 2  # of a row of a bucket, in a round
-NEXT, TURNS = 48, 6  # rows that a row of a bucket is compared with in an order, and orders; a bucket of 49 needs one
-CHECK = 18  # bits of 64 that a candidate may differ in; at SIMILAR 10 do, three in a thousand pairs more than 18
+CHECKS = 2  # check words of 64 bits
+CHECK = 33  # of their bits that a candidate may differ in; at SIMILAR 19 do, five in ten thousand pairs more than 33
+PARTNERS = 2  # that a row of a bucket tries first
+NEXT, TURNS = 48, 3  # rows that a row is compared with for those, by its order in a bucket, and orders; all, in a bucket of 49
+LARGE = 4096  # rows of a bucket in one task; of more, those of its largest group are dealt on
+MORE = -1  # stands in place of a partner where a node has more candidates than it tries
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -70,10 +73,10 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     return np.sort(np.fromiter((digest(x, 42) for x in grams), np.uint64, len(grams)))
 
 
-def node_print(found: np.ndarray, bits: int, segments: int) -> tuple[int, list[int], list[int]]:
-    """(node, check words, segments) of a set of shingles; a segment holds its own number above its bits."""
+def node_print(found: np.ndarray, bits: int, segments: int) -> tuple[int, int, list[int], list[int]]:
+    """(both halves of the node's name, check words, segments) of a set of shingles; a segment holds its own number above its bits."""
     per = 64 // bits
-    words = -(-segments // per) + ROUNDS
+    words = -(-segments // per) + CHECKS
     ones = np.zeros((words, 64), np.int64)
     for at in range(0, len(found), 65536):
         h = found[at : at + 65536]
@@ -81,14 +84,15 @@ def node_print(found: np.ndarray, bits: int, segments: int) -> tuple[int, list[i
             own = _mixed(h ^ np.uint64(k * 0x9E3779B97F4A7C15 & 2**64 - 1)).astype(">u8")
             ones[k] += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     w = [int(x) for x in np.packbits(2 * ones > len(found), axis=1).view(">u8")[:, 0]]
-    cut = [w[ROUNDS + s // per] >> s % per * bits & (1 << bits) - 1 | s << bits for s in range(segments)]
-    node = xxhash.xxh64_intdigest(found.tobytes(), 7)
-    return node - (node >> 63 << 64), [x - (x >> 63 << 64) for x in w[:ROUNDS]], cut
+    cut = [w[CHECKS + s // per] >> s % per * bits & (1 << bits) - 1 | s << bits for s in range(segments)]
+    name = xxhash.xxh3_128_intdigest(found.tobytes(), 7)
+    signed = lambda x: x - (x >> 63 << 64)
+    return signed(name >> 64), signed(name & 2**64 - 1), [signed(x) for x in w[:CHECKS]], cut
 
 
 def _buckets(nodes: DataFrame, bits: int, *more: str) -> DataFrame:
-    """(bucket, node, check and ``more``): each node under its segments and under the upper halves of their balls."""
-    columns = ["node", "check", *more]
+    """(bucket, node, c0, c1 and ``more``): each node under its segments and under the upper halves of their balls."""
+    columns = ["node", "c0", "c1", *more]
 
     def run(batches):
         for batch in batches:
@@ -110,17 +114,25 @@ def _buckets(nodes: DataFrame, bits: int, *more: str) -> DataFrame:
     return nodes.select("segs", *columns).mapInArrow(run, "bucket long, " + ", ".join(f"{c} long" for c in columns))
 
 
-def _nearest(keys: np.ndarray, check: np.ndarray, group: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (u, v): for each row its PARTNERS nearest rows of its bucket and another group, within ``radius``.
+def _apart(check: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Check bits in which rows i and j differ; ``check`` has a row for each word."""
+    return np.bitwise_count(check[:, i] ^ check[:, j]).sum(axis=0, dtype=np.int16)
+
+
+def _nearest(keys: np.ndarray, check: np.ndarray, group: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (u, v): for each row its PARTNERS nearest rows of its bucket and another group, within ``radius``; and
+    the rows that may have more candidates.
 
     Rows come sorted by bucket.  In a bucket of up to NEXT + 1 rows all are compared; in a larger one each with its
-    neighbours in TURNS orders, by the check word turned, so that the work is linear.
+    neighbours in TURNS orders, by the first check word turned, so that the work is linear.
     """
     n = len(keys)
     best, whom = np.full((PARTNERS, n), radius + 1, np.int16), np.full((PARTNERS, n), -1, np.int64)
+    met = np.zeros(n, np.int64)
 
     def offer(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> None:
         """b as a partner of a: each a occurs once."""
+        met[a] += d <= radius
         ok = (d < best[-1, a]) & (whom[:, a] != b).all(axis=0)
         a, b, d = a[ok], b[ok], d[ok]
         best[-1, a], whom[-1, a] = d, b
@@ -137,7 +149,7 @@ def _nearest(keys: np.ndarray, check: np.ndarray, group: np.ndarray | None, radi
             break
         if turn:
             by = np.uint64(64 * turn // TURNS)
-            rows = rows[np.lexsort((check[rows] << by | check[rows] >> np.uint64(64) - by, keys[rows]))]
+            rows = rows[np.lexsort((check[0, rows] << by | check[0, rows] >> np.uint64(64) - by, keys[rows]))]
         k, at = keys[rows], np.arange(len(rows))
         for step in range(1, NEXT + 1):
             at = at[at + step < len(rows)]
@@ -148,45 +160,116 @@ def _nearest(keys: np.ndarray, check: np.ndarray, group: np.ndarray | None, radi
             if group is not None:
                 other = group[i] != group[j]
                 i, j = i[other], j[other]
-            d = np.bitwise_count(check[i] ^ check[j]).astype(np.int16)
+            d = _apart(check, i, j)
             offer(i, j, d)
             offer(j, i, d)
     found = whom >= 0
-    return np.nonzero(found)[1], whom[found]
+    return np.nonzero(found)[1], whom[found], np.flatnonzero((met > PARTNERS) | (size > NEXT + 1))
 
 
-def candidates(nodes: DataFrame, bits: int, radius: int = CHECK, across: str | None = None) -> DataFrame:
-    """(u, v), u > v: nodes (node, check, segs) and the nearest that they meet, within ``radius`` and, given the column ``across``,
-    different in it.  A task holds one bucket and one batch."""
-    more = [across] if across else []
-
+def _across(keys: np.ndarray, check: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All places (u, v) of a bucket, of different groups, within ``radius``.  Rows come sorted by bucket."""
+    n = len(keys)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if n else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, n))
+    found = []
+
+    def look(i: np.ndarray, j: np.ndarray) -> None:
+        other = group[i] != group[j]
+        i, j = i[other], j[other]
+        near = _apart(check, i, j) <= radius
+        found.append((i[near], j[near]))
+
+    at = np.flatnonzero(np.repeat(size, size) <= NEXT + 1)
+    end = np.repeat(first + size, size)
+    for step in range(1, NEXT + 1):
+        at = at[at + step < end[at]]
+        if not len(at):
+            break
+        look(at, at + step)
+    for a, m in zip(first[size > NEXT + 1].tolist(), size[size > NEXT + 1].tolist(), strict=True):
+        # Rows of the bucket's largest group have no pairs among them, and aren't compared.
+        names, of = np.unique(group[a : a + m], return_inverse=True)
+        lead = names[np.bincount(of).argmax()]
+        others = a + np.flatnonzero(group[a : a + m] != lead)
+        whole = a + np.flatnonzero(group[a : a + m] == lead)
+        for k, i in enumerate(others.tolist()):
+            j = np.concatenate([whole, others[k + 1 :]])
+            look(np.full(len(j), i), j)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+
+
+def _by_bucket(dealt: DataFrame, keys: list[str], links, names: str) -> DataFrame:
+    """``links(columns)`` of the rows of whole buckets; ``dealt`` comes sorted by ``keys``.  A task holds one bucket and one batch."""
     def run(batches):
         held: list[list[np.ndarray]] = []  # parts of the bucket that the next batch may go on with
 
-        def links(parts: list[list[np.ndarray]]):
-            keys, node, check, *group = (np.concatenate(c) for c in zip(*parts, strict=True))
-            check = check.view(np.uint64)
-            u, v = _nearest(keys, check, group[0] if group else None, radius)
-            a, b = node[u], node[v]
-            once = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1)[a != b], axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["u", "v"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
             columns = [c.to_numpy() for c in batch.columns]
-            last = int(np.searchsorted(columns[0], columns[0][-1]))
-            if held and (last or held[0][0][0] != columns[0][0]):
-                yield links([*held, [c[:last] for c in columns]])
+            changes = np.any([np.diff(c) != 0 for c in columns[: len(keys)]], axis=0)
+            last = int(np.flatnonzero(changes)[-1]) + 1 if changes.any() else 0
+            goes_on = held and all(h[0] == c[0] for h, c in zip(held[0], columns[: len(keys)], strict=False))
+            if held and (last or not goes_on):
+                if goes_on:
+                    yield links([np.concatenate(c) for c in zip(*held, [c[:last] for c in columns], strict=True)])
+                else:
+                    yield links([np.concatenate(c) for c in zip(*held, strict=True)])
+                    if last:
+                        yield links([c[:last] for c in columns])
                 held = []
             elif last:
-                yield links([[c[:last] for c in columns]])
+                yield links([c[:last] for c in columns])
             held.append([c[last:] for c in columns])
         if held:
-            yield links(held)
+            yield links([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    return dealt.mapInArrow(run, names)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+    """(u, v), u > v, each once, and ``more`` nodes with MORE in place of v."""
+    both = np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1)[a != b]
+    both = np.concatenate([both, *(np.stack([x, np.full(len(x), MORE)], axis=1) for x in more)])
+    once = np.unique(both, axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["u", "v"])
+
+
+def candidates(nodes: DataFrame, bits: int, radius: int = CHECK, across: str | None = None) -> DataFrame:
+    """(u, v), u > v: nodes (node, c0, c1, segs), numbers from 0, and the nearest that they meet, within ``radius`` and, given the column
+    ``across``, different in it; and (node, MORE) for nodes that may have more."""
+    more = [across] if across else []
+
+    def links(columns):
+        keys, node, c0, c1, *group = columns
+        u, v, rest = _nearest(keys, np.stack([c0, c1]).view(np.uint64), group[0] if group else None, radius)
+        return _pairs(node[u], node[v], node[rest])
 
     dealt = _buckets(nodes, bits, *more).repartition(F.col("bucket")).sortWithinPartitions("bucket", "node")
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    return _by_bucket(dealt, ["bucket"], links, "u long, v long").distinct()
+
+
+def every_candidate(nodes: DataFrame, bits: int, radius: int = CHECK, large: int = LARGE) -> DataFrame:
+    """(u, v), u > v: all nodes (node, c0, c1, segs, g) that meet within ``radius`` and have different g.
+
+    Of a bucket of more than ``large`` rows those of its largest g, which have no pairs among them, are dealt on, each part with all others.
+    """
+    rows = _buckets(nodes, bits, "g")
+    sizes = rows.groupBy("bucket", "g").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.max(F.struct("count", "g")).alias("x"))
+    hot = sizes.where(F.col("n") > large).select("bucket", F.col("x.g").alias("lead"), F.ceil(F.col("n") / large).cast("long").alias("parts"))
+    own = F.array(F.pmod(F.xxhash64("node"), F.col("parts")))
+    part = F.when(F.col("lead").isNull(), F.array(F.lit(0).cast("long"))).when(F.col("g") == F.col("lead"), own).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    dealt = rows.join(hot, "bucket", "left").select("bucket", F.explode(part).alias("part"), "node", "c0", "c1", "g")
+
+    def links(columns):
+        bucket, part, node, c0, c1, g = columns
+        keys = np.cumsum(np.append(0, (np.diff(bucket) != 0) | (np.diff(part) != 0)))[: len(bucket)]
+        u, v = _across(keys, np.stack([c0, c1]).view(np.uint64), g, radius)
+        return _pairs(node[u], node[v])
+
+    dealt = dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node")
+    return _by_bucket(dealt, ["bucket", "part"], links, "u long, v long").distinct()
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -228,48 +311,43 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col:
 def grouped(docs: DataFrame, width: int = WIDTH, least: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, x, component): the nodes of ``docs``, each with the first (n, id, salt) of its rows and its group; a stored table.
 
-    Rows of equal sets of shingles are one node; null and empty texts, and others without a word, have the empty set.
+    Rows of equal sets of shingles are one node; null and empty texts, and others without a word, have the empty set.  Of
+    ``docs`` only the two columns are read.  Nodes are numbered; sets are told apart by 128 bits.
     """
     bits, segments = layout(docs.count())
 
     def make():
         def run(texts):
             made = [node_print(shingle_set(None if x is None else x.encode("utf-8", "surrogatepass"), width), bits, segments) for x in texts]
-            return {n: [x[i] for x in made] for i, n in enumerate(("node", "checks", "segs"))}
+            return {n: [x[i] for x in made] for i, n in enumerate(("high", "low", "checks", "segs"))}
 
         return run
 
     # Texts stay where they are until the rows to compare or to keep are known.
-    fields = [T.StructField("node", T.LongType()), T.StructField("checks", T.ArrayType(T.LongType())), T.StructField("segs", T.ArrayType(T.LongType()))]
+    fields = [*(T.StructField(n, T.LongType()) for n in ("high", "low")), *(T.StructField(n, T.ArrayType(T.LongType())) for n in ("checks", "segs"))]
     rows = map_rows(_salted(docs, id_col, text_col), make, fields, ["id", "salt"], "text")
     first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "salt"))
-    nodes = stored(rows.groupBy("node").agg(F.first("checks").alias("checks"), F.first("segs").alias("segs"), first.alias("x")), "nodes")
-
-    pairs = stored(candidates(_with_check(nodes, 0), bits), "candidates")
-    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = nodes.join(ends, "node")
-    sets = _sets(docs, wanted.select("node", "x.id", "x.salt"), width, id_col, text_col)
+    known = rows.groupBy("high", "low").agg(F.first("checks").alias("checks"), F.first("segs").alias("segs"), first.alias("x"))
+    words = [F.get("checks", F.lit(k)).alias(f"c{k}") for k in range(CHECKS)]
+    nodes = stored(known.select(F.monotonically_increasing_id().alias("node"), *words, "segs", "x"), "nodes")
+
+    found = stored(candidates(nodes, bits), "candidates")
+    pairs, more = found.where(F.col("v") != MORE), stored(found.where(F.col("v") == MORE).select(F.col("u").alias("node")), "more")
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).union(more).distinct()
+    sets = _sets(docs, nodes.join(ends, "node").select("node", "x.id", "x.salt"), width, id_col, text_col)
     tried = stored(similar(pairs, sets, least), "tried")
-    linked, failed = tried.where("linked").select("u", "v"), tried.where("NOT linked").select("u", "v")
-    group = stored(components(linked), "groups")
-    for k in range(1, ROUNDS):
-        # Groups on both sides of a failed link: others of them may still be similar.
-        named = stored(ends.join(group, "node", "left").select("node", F.coalesce("component", "node").alias("g")), "named")
-        u, v = (named.select(F.col("node").alias(x), F.col("g").alias(f"g{x}")) for x in "uv")
-        failed = stored(failed.join(u, "u").join(v, "v").where("gu <> gv"), "failed")
-        touched = failed.select(F.col("gu").alias("g")).union(failed.select(F.col("gv").alias("g"))).distinct()
-        again = stored(_with_check(wanted, k).join(named, "node").join(touched, "g").select("node", "check", "segs", "g"), "again")
-        tried = stored(similar(candidates(again, bits, across="g"), sets, least), "tried")
-        linked = linked.union(tried.where("linked").select("u", "v"))
-        failed = failed.select("u", "v").union(tried.where("NOT linked").select("u", "v")).distinct()
-        group = stored(components(linked), "groups")
+    group = stored(components(tried.where("linked").select("u", "v")), "groups")
+    if not more.isEmpty():
+        rest = nodes.join(more, "node").select("node", "c0", "c1", "segs")
+        for step in (lambda x: candidates(x, bits, across="g").where(F.col("v") != MORE), lambda x: every_candidate(x, bits)):
+            # Once more the nearest, of other groups now; then all that are in different groups still.
+            named = stored(rest.join(group, "node", "left").select(*rest.columns, F.coalesce("component", "node").alias("g")), "named")
+            new = stored(step(named).join(tried.select("u", "v"), ["u", "v"], "left_anti"), "untried")
+            tried = tried.union(stored(similar(new, sets, least), "tried"))
+            group = stored(components(tried.where("linked").select("u", "v")), "groups")
     return stored(nodes.join(group, "node", "left").select("node", "x", F.coalesce("component", "node").alias("component")), "grouped")
 
 
-def _with_check(nodes: DataFrame, k: int) -> DataFrame:
-    return nodes.select("node", "segs", F.get("checks", F.lit(k)).alias("check"))
-
-
 def deduplicated(docs: DataFrame, width: int = WIDTH, least: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of its smallest id, a null id last.
 
