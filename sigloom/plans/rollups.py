@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sigloom.operators import correlate as C, detect as D, features as X, serve as V, state as S
+from sigloom.operators.keyed import Profiles
 from sigloom.params import Compat
 from sigloom.plans import batch as B
 from sigloom.sources.adapter import EV, normalized_events
@@ -87,6 +88,24 @@ query("f13_top_signatures", _TOP.format(ev=EV, ft=FT, quiet=_QUIET, n=1000000))(
 query("f13_top_signatures_3", _TOP.format(ev=EV, ft=FT, quiet=_QUIET, n=3))(lambda s, d: X.top_signatures(features(s, d), Compat(top_n=3)))
 query("f14_unique_src_ips", f"WITH {EV}, {FT} SELECT entity_type, entity_id, count(DISTINCT secondary_id) AS unique_src_ips FROM ft WHERE feature_name = 'src_ip_count' GROUP BY 1, 2")(lambda s, d: X.unique_src_ips(features(s, d)))
 
+
+
+@query("f12_f14_incremental", _TOP.format(ev=EV, ft=FT, quiet=_QUIET, n=1000000).replace(" SELECT entity_type, entity_id, '['", ", top AS (SELECT entity_type, entity_id, '['") + f"""),
+ ips AS (SELECT entity_type, entity_id, count(DISTINCT secondary_id) AS unique_src_ips FROM ft WHERE feature_name = 'src_ip_count' GROUP BY 1, 2),
+ st AS (SELECT entity_type, entity_id, min(bin_start) AS first_seen, max(bin_start) AS last_seen, CAST(sum(n_events) AS BIGINT) AS event_count FROM ft GROUP BY 1, 2)
+ SELECT st.*, unique_src_ips, top_signatures FROM st LEFT JOIN ips ON ips.entity_type = st.entity_type AND ips.entity_id = st.entity_id LEFT JOIN top ON top.entity_type = st.entity_type AND top.entity_id = st.entity_id""")
+def f12_increments(spark: SparkSession, d: str) -> DataFrame:
+    """Profiles of three increments, the second of them added twice."""
+    rows = stored(features(spark, d), "features")
+    kept = Profiles(spark, work_path(spark, "profiles"), parts=16, buckets=4, time="timestamp_ntz")
+    for day in (10, 20, 20, 99):
+        upto = F.lit(datetime(2024, 1, min(day, 31))) if day < 99 else None
+        after = F.lit(datetime(2024, 1, 10 if day == 20 else 20)) if day > 10 else None
+        part = rows if upto is None else rows.where(F.col("bin_start") < upto)
+        kept.add(part if after is None else part.where(F.col("bin_start") >= after), str(day))
+    return kept.profiles()
+
+
 _BIN = "time_bucket(INTERVAL '300 seconds', event_time) AS bin_start, CAST(300 AS INTEGER) AS bin_size_sec"
 
 
