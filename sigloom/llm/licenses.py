@@ -8,6 +8,9 @@ same is done with each line and the known one-line notices.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sigloom.llm.license_texts import DIGESTS, NOTICES, SPELLINGS, TEXTS
@@ -20,17 +23,47 @@ _DIFFERENT = [(f" {a} ".replace(" ", "  ")[1:-1], f" {b} ".replace(" ", "  ")[1:
 MOST_KNOWN = 100_000  # rows of a known table that is broadcast
 
 
+def _once(c: Column, *steps: Callable[[Column], Column]) -> Column:
+    """``steps`` one after the other, each evaluated once however often the next one names it."""
+    held = F.array(c)
+    for step in steps:
+        held = F.transform(held, step)
+    return F.get(held, 0)
+
+
 def canonical(text: Column) -> Column:
     """Canonical form of a whole text; null counts as empty."""
-    t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), _COPYRIGHT, "")
-    t = F.regexp_replace(F.lower(t), _TITLE, "")
-    t = F.concat(F.lit("  "), F.regexp_replace(t, _BETWEEN, "  "), F.lit("  "))
-    # One pass finds out whether any spelling is there; few texts pay for the replacements.
-    fixed = t
-    for a, b in _DIFFERENT:
-        fixed = F.replace(fixed, F.lit(a), F.lit(b))
-    fixed = F.when(t.rlike("|".join(a for a, _ in _DIFFERENT)), fixed).otherwise(t)
-    return F.replace(F.trim(fixed), F.lit("  "), F.lit(" "))
+    def without_copyright(t: Column) -> Column:
+        # Few texts have a line to look for.
+        low = F.lower(t)
+        return F.when(low.contains("copyright") | low.contains("(c)") | t.contains("©"), F.regexp_replace(t, _COPYRIGHT, "")).otherwise(t)
+
+    def spelled(t: Column) -> Column:
+        # One pass finds out whether any spelling is there; few texts pay for the replacements.
+        fixed = t
+        for x, y in _DIFFERENT:
+            fixed = F.replace(fixed, F.lit(x), F.lit(y))
+        return F.when(t.rlike(" (?:" + "|".join(x[1:] for x, _ in _DIFFERENT) + ")"), fixed).otherwise(t)
+
+    lines = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return _once(
+        lines,
+        without_copyright,
+        lambda t: F.regexp_replace(F.lower(t), _TITLE, ""),
+        lambda t: F.concat(F.lit("  "), F.regexp_replace(t, _BETWEEN, "  "), F.lit("  ")),
+        spelled,
+        lambda t: F.replace(F.trim(t), F.lit("  "), F.lit(" ")),
+    )
+
+
+def first_words(forms: list[str]) -> set[str] | None:
+    """The words that a line whose canonical form is one of ``forms`` may start with, before its spellings are mended; None for any."""
+    if not all(forms):
+        return None
+    words = {x.split(" ")[0] for x in forms}
+    while more := {a.split()[0] for a, b in _DIFFERENT if b.split()[0] in words} - words:
+        words |= more
+    return words
 
 
 def digest(text: Column) -> Column:
@@ -57,7 +90,14 @@ def license_scan(docs: DataFrame, texts=TEXTS, notices=NOTICES, digests=DIGESTS,
     """
     spark, text = docs.sparkSession, F.col(text_col)
     rows = docs.select(F.col(id_col), F.xxhash64(text).alias("__salt"), digest(text).alias("text_digest"))
-    lines = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__s"), F.explode(F.split(F.coalesce(text, F.lit("")), "\r\n?|\n")).alias("line"))
+    # Only a line that starts as a notice does can be one: the others aren't made canonical.
+    forms = [r[0] for r in spark.createDataFrame(list(notices), "license string, text string").select(canonical(F.col("text"))).distinct().collect()]
+    words = first_words(forms)
+    each = F.split(F.coalesce(text, F.lit("")), "\r\n?|\n")
+    if words is not None:
+        start = r"^[^\p{L}\p{N}]*(?:" + "|".join(map(re.escape, sorted(words) or ["$."])) + r")(?![\p{L}\p{N}])"
+        each = F.filter(each, lambda x: F.lower(x).rlike(start))
+    lines = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__s"), F.explode(each).alias("line"))
     hits = lines.select("__id", "__s", digest(F.col("line")).alias("digest")).join(known(spark, notices), "digest")
     # Few rows have a line that is a notice; only their names are grouped.
     found = hits.groupBy("__id", "__s").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))

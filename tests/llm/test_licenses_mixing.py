@@ -167,3 +167,16 @@ def test_mixture_of_odd_rows(spark):
     assert sorted((str(r.doc_id), r.tokens) for r in got) == sorted((str(a), len((b or "").split())) for a, b, _, _ in rows)
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
     assert mixing.mix(spark.createDataFrame([(1, None, None, "a")], DOCS)).count() == 1
+
+
+def test_lines_are_chosen_by_their_first_word(spark):
+    """A line may start with another spelling of a notice's first word, in any case and behind any signs; with an empty notice every line counts."""
+    notices = [("A", "Sublicense of this is granted."), ("B", "Analyze me"), ("C", "Ärger über ΣΑΣ")]
+    lines = ["// SUB LICENCE, of this is granted", "sublicence of this is granted!", "  * analyse ME.", "analyser me", "äRGER ÜBER σας", "x analyze me", "", "Analyze me too"]
+    docs = spark.createDataFrame([(i, x, None, None) for i, x in enumerate(lines)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.notices for r in licenses.license_scan(docs, notices=notices).collect()}
+    assert got == {0: "A", 1: "A", 2: "B", 3: "", 4: "C", 5: "", 6: "", 7: ""}
+    assert licenses.first_words(["sublicense of"]) == {"sublicense", "sub", "sublicence"} and licenses.first_words(["a", ""]) is None
+    got = licenses.license_scan(docs, notices=[("E", "--")]).where("notices = 'E'").collect()
+    assert [r.doc_id for r in got] == [6]
+    assert licenses.license_scan(docs, notices=[]).where("notices <> ''").count() == 0
