@@ -172,7 +172,8 @@ def test_export_source(spark, tmp_path):
     assert events.count() == 50 and events.select("event_key").distinct().count() == 50
     assert spark.read.format("search_export").options(**{**options, "unwrap": "false"}).load().count() == 54
     assert spark.read.format("search_export").options(**{**options, "splits": "1", "limit": "1"}).load().count() == 1
-    q = spark.readStream.format("search_export").options(**{**options, "limit": "0"}, step="20").load().writeStream.format("memory").queryName("exported").start()
+    assert spark.read.format("search_export").options(**{**options, "limit": "7"}).load().count() == 7  # of the whole pull
+    q = spark.readStream.format("search_export").options(**{**options, "limit": "0"}, start="0", step="20").load().writeStream.format("memory").queryName("exported").start()
     q.processAllAvailable()
     for _ in range(4):
         q.processAllAvailable()
@@ -239,7 +240,7 @@ class _Server:
 def test_export_over_http(spark):
     spark.dataSource.register(SearchExport)
     with _Server() as server:
-        options = {"url": f"http://127.0.0.1:{server.server.server_port}/", "username": "u", "password": "p", "search": "search x", "end": "200", "splits": "4"}
+        options = {"url": f"http://127.0.0.1:{server.server.server_port}/", "username": "u", "password": "p", "search": "search x", "start": "0", "end": "200", "splits": "4"}
         got = spark.read.format("search_export").options(**options).load()
         assert sorted(r.event for r in got.collect())[0] == '{"_time": "0", "q": "search x"}' and got.count() == 20
         assert all(key == "Bearer k1" for path, key in server.seen if path.endswith("export")) and any(p.endswith("login") for p, _ in server.seen)
