@@ -219,8 +219,15 @@ def exported(spark: SparkSession, d: str) -> DataFrame:
 _BASE = "strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || ' UTC'"
 _ENV = f"""env AS (SELECT CASE WHEN event_id % 4 = 0 THEN 'hash:' || sha256({_BASE} || '|' || event_type || '|s|h' || (user_id % 3) || '|raw ' || event_id) ELSE 'splunk:7:' || event_id END AS event_key,
   date_trunc('millisecond', ts) AS event_time, event_type AS sourcetype, 's' AS source, 'h' || (user_id % 3) AS host, 'a' AS agent_name, 'raw ' || event_id AS raw_text, event_id FROM events WHERE event_id % 10 < 8)"""
-query("s01_export_events", f"WITH {_ENV} SELECT count(*) AS n FROM env")(lambda s, d: I.export_events(exported(s, d)).agg(F.count("*").alias("n")))
-query("s04_export_lenient", "SELECT count(*) AS n FROM events WHERE event_id % 10 <> 9")(lambda s, d: I.export_events(exported(s, d), unwrap=False).agg(F.count("*").alias("n")))
+def _told(events: DataFrame, prefix: str = "$") -> DataFrame:
+    return events.select(*[F.get_json_object("event", f"{prefix}.{x}").alias(x.strip("_")) for x in ("_cd", "sourcetype", "host", "_raw")])
+
+
+_TOLD = "CASE WHEN event_id % 4 > 0 THEN '7:' || event_id END AS cd, event_type AS sourcetype, 'h' || (user_id % 3) AS host, 'raw ' || event_id AS raw"
+query("s01_export_events", f"SELECT {_TOLD} FROM events WHERE event_id % 10 < 8")(lambda s, d: _told(I.export_events(exported(s, d))))
+query("s04_export_lenient", f"SELECT {_TOLD}, false AS preview FROM events WHERE event_id % 10 < 8 UNION ALL SELECT NULL, NULL, NULL, NULL, true FROM events WHERE event_id % 10 = 8")(
+    lambda s, d: _told(I.export_events(exported(s, d), unwrap=False).select("event"), "$.result").withColumn("preview", F.col("raw").isNull())
+)
 query("s08_s09_envelope", f"WITH {_ENV} SELECT * EXCLUDE (event_id) FROM env")(
     lambda s, d: I.envelope(I.export_events(exported(s, d))).withColumn("event_time", F.col("event_time").cast("timestamp_ntz")).select("event_key", "event_time", "sourcetype", "source", "host", "agent_name", "raw_text")
 )
@@ -241,10 +248,19 @@ def s16(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), K.event_time(text).cast("timestamp_ntz").alias("at"))
 
 
-@query("s06_s07_files", "SELECT * FROM (VALUES ('array', 2), ('results', 2), ('result', 1), ('object', 1), ('lines', 2), ('bom', 1), ('digest', 1)) x(path, n)")
+_FILES = """files AS (SELECT 'f' || (event_id // 20) AS path, event_id, user_id, (event_id // 20) % 6 AS shape, row_number() OVER (PARTITION BY event_id // 20 ORDER BY event_id) AS n FROM events)"""
+
+
+@query("s06_s07_files", f"WITH {_FILES} SELECT path, event_id, CAST(user_id AS BIGINT) AS user_id, TIMESTAMP '2024-01-01 00:00:00' AS event_time FROM files WHERE shape < 4 OR shape = 4 AND n = 1 OR shape = 5 AND event_id % 3 > 0")
 def s06(spark: SparkSession, d: str) -> DataFrame:
-    """Events of a file of each shape, with their times set to one instant."""
-    shapes = {"array": '[{"a":1},{"a":2}]', "results": '{"results":[{"a":1},{"b":2}]}', "result": '{"result":{"a":1}}', "object": '{"a":{"result":3}}', "lines": '{"result":{"a":1}}\n\nbroken {\n{"b":2}\n', "bom": '﻿{"a":1}', "digest": '{"x":{"a":1},"y":{"a":2}}', "text": "nothing"}
-    files = spark.createDataFrame(list(shapes.items()), "path string, value string")
-    events = I.retimed(I.parse_files(files), F.lit(datetime(2024, 1, 1)))
-    return I.envelope(events).where("event_time = TIMESTAMP '2024-01-01 00:00:00'").join(events, F.col("raw_json") == F.col("event")).select("path", "raw_text").distinct().groupBy("path").agg(F.count("*").cast("int").alias("n"))
+    """Events in files of twenty, of every shape, with their times set to one instant: arrays, wrapped arrays, one wrapped event, lines with broken ones."""
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", F.floor(F.col("event_id") / 20).alias("f"))
+    one = _text('{"id":', F.col("event_id"), ',"u":', F.col("user_id"), ',"_time":"1"}')
+    line = F.when(F.col("event_id") % 3 == 0, _text("{broken ", F.col("event_id"))).when(F.col("event_id") % 3 == 1, _text('{"result":', one, "}")).otherwise(one)
+    listed = rows.groupBy("f").agg(*[F.transform(F.array_sort(F.collect_list(F.struct("event_id", x.alias("x")))), lambda y: y["x"]).alias(n) for n, x in (("e", one), ("l", line))])
+    joined = F.array_join("e", ",\n")
+    shape = F.col("f") % 6
+    value = F.when(shape == 0, _text("[", joined, "]")).when(shape == 1, _text('{"results":[', joined, "]}")).when(shape == 2, _text("\ufeff[", joined, "]")).when(shape == 3, F.array_join("e", "\n")).when(shape == 4, _text('{"result":', F.get("e", F.lit(0)), "}")).otherwise(F.array_join("l", "\n\n"))
+    events = I.retimed(I.parse_files(listed.select(_text("f", F.col("f")).alias("path"), value.alias("value"))), F.lit(datetime(2024, 1, 1)))
+    at = K.event_time(F.get_json_object("event", "$._time")).cast("timestamp_ntz")
+    return events.select("path", F.get_json_object("event", "$.id").cast("bigint").alias("event_id"), F.get_json_object("event", "$.u").cast("bigint").alias("user_id"), at.alias("event_time"))

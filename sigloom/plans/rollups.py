@@ -386,17 +386,24 @@ query("v05_key_evidence", _ALL + _LINE + """, o1 AS (SELECT *, row_number() OVER
 query("v09_severity_histogram", _ALL + _LINE + " SELECT incident_id, time_bucket(INTERVAL '3600 seconds', event_time) AS bin_start, CAST(sum(severity) AS BIGINT) AS severity FROM tl GROUP BY 1, 2")(lambda s, d: V.severity_histogram(timeline(s, d)))
 
 
-@query("v06_heuristic_brief")
+@query("v06_heuristic_brief", _ALL + _LINE + """, b AS (SELECT * FROM inc ORDER BY score DESC, incident_id LIMIT 1)
+ SELECT b.incident_id, root_entity_type || ':' || root_entity_id AS entity, count(*) AS total_signals, count(DISTINCT (signal_name, entity_id, tl.window_start)) AS unique_evidence, CAST(b.severity AS BIGINT) AS severity, CAST(round(any_value(b.score)) AS BIGINT) AS score, least(5, count(DISTINCT (signal_name, entity_id, time_str))) AS listed
+ FROM b JOIN tl ON tl.incident_id = b.incident_id GROUP BY ALL""")
 def v06(spark: SparkSession, d: str) -> DataFrame:
-    """The brief of the incident with the highest score."""
+    """The brief of the incident with the highest score, and the figures that it tells."""
     a = assigned(spark, d)
     inc = C.incidents(a).orderBy(F.desc("score"), "incident_id").first()
-    if inc is None:
-        return spark.createDataFrame([], "incident_id string, brief string")
-    own = a.where(F.col("incident_id") == inc.incident_id)
-    line = V.incident_evidence(own.drop("incident_id", "founder"), C.evidence(own))
-    text = V.heuristic_brief(inc, V.brief_stats(line).first(), V.key_evidence(line).orderBy("rank").collect())
-    return spark.createDataFrame([(inc.incident_id, text)], "incident_id string, brief string")
+    columns = "incident_id string, brief string"
+    text = None
+    if inc is not None:
+        own = a.where(F.col("incident_id") == inc.incident_id)
+        line = V.incident_evidence(own.drop("incident_id", "founder"), C.evidence(own))
+        text = V.heuristic_brief(inc, V.brief_stats(line).first(), V.key_evidence(line).orderBy("rank").collect())
+    brief = spark.createDataFrame([(inc.incident_id, text)] if text else [], columns)
+    said = r"^(\S+) has (\d+) signals, (\d+) distinct, severity (\d+), score (\d+)\."
+    told = lambda g: F.regexp_extract("brief", said, g)
+    numbers = [told(g).cast("bigint").alias(n) for g, n in ((2, "total_signals"), (3, "unique_evidence"), (4, "severity"), (5, "score"))]
+    return brief.select("incident_id", told(1).alias("entity"), *numbers, F.size(F.regexp_extract_all("brief", F.lit(r"(?m)^(\d+)\. "), F.lit(1))).cast("bigint").alias("listed"))
 
 
 @query("v08_investigation_queries", f"WITH {EV} SELECT 'General Activity' AS title, count(*) AS n FROM ev WHERE host = 'host_1' AND event_time BETWEEN TIMESTAMP '2024-01-02 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00' UNION ALL SELECT 'Authentication Failures', count(*) FROM (SELECT DISTINCT username, src_ip FROM ev WHERE host = 'host_1' AND event_time BETWEEN TIMESTAMP '2024-01-02 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00' AND (rule_id = '4625' OR lower(signature) LIKE '%fail%'))")
@@ -453,11 +460,8 @@ query("s13_keyed_dedupe", f"WITH {EV} SELECT host, signature, max(raw_id) AS raw
 query("i01_unprocessed", f"WITH {EV} SELECT raw_id FROM ev WHERE raw_id NOT IN (SELECT raw_id FROM ev WHERE event_kind = 'web')")(
     lambda s, d: S.unprocessed(normalized_events(s, d).select("raw_id"), normalized_events(s, d).where("event_kind = 'web'"), "raw_id", "raw_id")
 )
-query("i03_i04_checkpoints", "SELECT * FROM (VALUES ('detect', TIMESTAMP '2024-01-03 00:00:00'), ('new', TIMESTAMP '2024-01-01 00:00:00'), ('old', TIMESTAMP '2024-01-02 00:00:00')) x(job, last_window_end)")(
-    lambda s, d: S.advance_checkpoints(
-        s.sql("SELECT * FROM VALUES ('detect', TIMESTAMP_NTZ '2024-01-03 00:00:00'), ('old', TIMESTAMP_NTZ '2024-01-02 00:00:00') AS x(job, last_window_end)"),
-        s.sql("SELECT * FROM VALUES ('detect', TIMESTAMP_NTZ '2024-01-02 00:00:00'), ('new', TIMESTAMP_NTZ '2024-01-01 00:00:00') AS x(job, last_window_end)"),
-    )
+query("i03_i04_checkpoints", f"WITH {EV} SELECT vendor AS job, max(event_time) FILTER (raw_id % 2 = 0 OR raw_id % 3 = 0) AS last_window_end FROM ev WHERE raw_id % 2 = 0 OR raw_id % 3 = 0 GROUP BY 1")(
+    lambda s, d: S.advance_checkpoints(*[normalized_events(s, d).where(F.col("raw_id") % n == 0).groupBy(F.col("vendor").alias("job")).agg(F.max("event_time").alias("last_window_end")) for n in (2, 3)])
 )
 
 
