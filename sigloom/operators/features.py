@@ -159,7 +159,8 @@ def profiles(features: DataFrame, compat: Compat = DEFAULT) -> DataFrame:
 # Five-minute rollups over the whole history; missing keys are "(none)".
 
 
-def _named(c: str) -> Column:
+def named(c: str) -> Column:
+    """A key, "(none)" where it is missing."""
     return F.coalesce(filled(F.col(c)), F.lit("(none)"))
 
 
@@ -176,7 +177,7 @@ def _metric(rows: DataFrame, kind: str, metric: str, entity: Column, value: Colu
 
 
 def host_counts(events: DataFrame, seconds: int = 300) -> DataFrame:
-    return _metric(events, "host", "event_count", _named("host"), F.count("*"), seconds=seconds)
+    return _metric(events, "host", "event_count", named("host"), F.count("*"), seconds=seconds)
 
 
 def signature_counts(events: DataFrame, seconds: int = 300) -> DataFrame:
@@ -187,13 +188,13 @@ def signature_counts(events: DataFrame, seconds: int = 300) -> DataFrame:
 
 
 def rule_counts(events: DataFrame, seconds: int = 300) -> DataFrame:
-    return _metric(events.where("sourcetype = 'wazuh-alerts'"), "rule_id", "event_count", _named("rule_id"), F.count("*"), seconds=seconds)
+    return _metric(events.where("sourcetype = 'wazuh-alerts'"), "rule_id", "event_count", named("rule_id"), F.count("*"), seconds=seconds)
 
 
 def auth_failures(events: DataFrame, seconds: int = 300) -> DataFrame:
     """Flagged failures by host and by user, bins without any included."""
     both = events.withColumn("__fail", _auth_failure())
-    sides = F.explode(F.array(F.struct(F.lit("host").alias("t"), _named("host").alias("i")), F.struct(F.lit("user").alias("t"), _named("username").alias("i"))))
+    sides = F.explode(F.array(F.struct(F.lit("host").alias("t"), named("host").alias("i")), F.struct(F.lit("user").alias("t"), named("username").alias("i"))))
     flat = both.select(bin_start(F.col("event_time"), seconds).alias("bin_start"), "__fail", sides.alias("x"))
     out = flat.groupBy("bin_start", "x").agg(F.sum("__fail").cast("double").alias("value"), F.count("*").cast("int").alias("n_events"))
     return out.select("bin_start", F.lit(seconds).alias("bin_size_sec"), F.lit("auth_fail_count").alias("feature_name"), F.col("x.t").alias("entity_type"), F.col("x.i").alias("entity_id"), "value", "n_events", F.lit(None).cast("string").alias("meta"))
@@ -201,7 +202,7 @@ def auth_failures(events: DataFrame, seconds: int = 300) -> DataFrame:
 
 def top_src_ips(events: DataFrame, seconds: int = 300, n: int = 5) -> DataFrame:
     """(bin_start, host, rank, src_ip, count) of the n most frequent addresses; ties by address."""
-    seen = events.where("src_ip IS NOT NULL").select(bin_start(F.col("event_time"), seconds).alias("bin_start"), _named("host").alias("host"), "src_ip")
+    seen = events.where("src_ip IS NOT NULL").select(bin_start(F.col("event_time"), seconds).alias("bin_start"), named("host").alias("host"), "src_ip")
     counts = seen.groupBy("bin_start", "host", "src_ip").agg(F.count("*").alias("count"))
     best = Window.partitionBy("bin_start", "host").orderBy(F.desc("count"), "src_ip")
     return counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
@@ -217,11 +218,11 @@ def error_rates(events: DataFrame, seconds: int = 300) -> DataFrame:
     """Share of failed requests by endpoint; a request without a status is no failure."""
     bad = F.coalesce((F.col("http_status") >= 400).cast("int"), F.lit(0))
     meta = F.to_json(F.struct(F.count("*").alias("total"), F.sum(bad).alias("errors")))
-    return _metric(events.where("sourcetype = 'juiceshop:app'"), "endpoint", "error_rate", _named("http_path"), F.avg(bad), meta, seconds)
+    return _metric(events.where("sourcetype = 'juiceshop:app'"), "endpoint", "error_rate", named("http_path"), F.avg(bad), meta, seconds)
 
 
 def host_profiles(events: DataFrame) -> DataFrame:
-    return events.groupBy(F.lit("host").alias("entity_type"), _named("host").alias("entity_id")).agg(
+    return events.groupBy(F.lit("host").alias("entity_type"), named("host").alias("entity_id")).agg(
         F.min("event_time").alias("first_seen"),
         F.max("event_time").alias("last_seen"),
         F.count("*").alias("event_count"),
@@ -241,19 +242,21 @@ def five_minute_rollup(events: DataFrame, seconds: int = 300) -> DataFrame:
 
     one = F.lit(1)
     tags = [
-        tag("event_count", "host", _named("host"), one),
+        tag("event_count", "host", named("host"), one),
         tag("event_count", "signature", F.col("signature"), one, filled(F.col("signature")).isNotNull(), seen=F.col("sourcetype")),
-        tag("event_count", "rule_id", _named("rule_id"), one, F.col("sourcetype") == "wazuh-alerts"),
-        tag("auth_fail_count", "host", _named("host"), _auth_failure()),
-        tag("auth_fail_count", "user", _named("username"), _auth_failure()),
-        tag("top_src_ip", "host", _named("host"), one, F.col("src_ip").isNotNull(), other=F.col("src_ip")),
-        tag("error_rate", "endpoint", _named("http_path"), bad, F.col("sourcetype") == "juiceshop:app"),
+        tag("event_count", "rule_id", named("rule_id"), one, F.col("sourcetype") == "wazuh-alerts"),
+        tag("auth_fail_count", "host", named("host"), _auth_failure()),
+        tag("auth_fail_count", "user", named("username"), _auth_failure()),
+        tag("top_src_ip", "host", named("host"), one, F.col("src_ip").isNotNull(), other=F.col("src_ip")),
+        tag("error_rate", "endpoint", named("http_path"), bad, F.col("sourcetype") == "juiceshop:app"),
     ]
     keys = ["bin_start", "feature_name", "entity_type", "entity_id"]
     flat = events.select(bin_start(F.col("event_time"), seconds).alias("bin_start"), F.explode(F.array_compact(F.array(*tags))).alias("x")).select("bin_start", "x.*")
     counted = flat.groupBy(*keys, "other").agg(F.sum("v").alias("v"), F.count("*").alias("n"), F.collect_set("seen").alias("seen"))
-    # Only addresses have more than one row a key; of them the first five are kept.
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "other"))).where("rank <= 5")
+    # Only addresses have more than one row a key; of them the first five are kept, and nothing else is sorted.
+    is_address = F.col("feature_name") == "top_src_ip"
+    best = Window.partitionBy(*keys).orderBy(F.desc("n"), "other")
+    ranked = counted.where(is_address).withColumn("rank", F.row_number().over(best)).where("rank <= 5").unionByName(counted.where(~is_address).withColumn("rank", F.lit(1)))
     top = F.transform(F.array_sort(F.collect_list(F.struct("rank", "other", "n"))), lambda r: F.struct(r["other"].alias("src_ip"), r["n"].alias("count")))
     out = ranked.groupBy(*keys).agg(F.sum("v").alias("v"), F.sum("n").alias("n"), F.first("seen").alias("seen"), top.alias("top"))
     name, is_top = F.col("feature_name"), F.col("feature_name") == "top_src_ip"

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sigloom.operators import correlate as C, detect as D, features as X, serve as V, state as S
 from sigloom.operators.keyed import Profiles
+from sigloom.operators.textindex import TextIndex
 from sigloom.params import Compat
 from sigloom.plans import batch as B
 from sigloom.sources.adapter import EV, normalized_events
@@ -433,6 +434,18 @@ def tagged(spark: SparkSession, d: str) -> DataFrame:
 
 query("q_rex", f"WITH {EV} SELECT host AS lab_host, count(*) AS n FROM {_TAGGED} GROUP BY 1")(lambda s, d: V.tagged_counts(tagged(s, d), "lab_host"))
 query("q_find", f"WITH {EV} SELECT host, sourcetype, count(*) AS n FROM {_TAGGED} WHERE raw LIKE '%host_1%' OR raw LIKE '%host_3%' GROUP BY 1, 2")(lambda s, d: V.find_text(tagged(s, d), ["host_1", "host_3"], ["host", "sourcetype"]))
+
+
+def indexed(spark: SparkSession, d: str) -> TextIndex:
+    """Tagged events with an address in their text, behind an index."""
+    found = TextIndex(spark, work_path(spark, "indexed"), blocks=4)
+    found.add(tagged(spark, d).withColumn("raw", F.concat_ws(" ", "raw", F.concat(F.lit("from="), "src_ip"))))
+    return found
+
+
+query("q_find_indexed", f"WITH {EV} SELECT raw_id, host, src_ip FROM ev WHERE src_ip LIKE '%10.0.1.13%' OR raw_id % 3 > 0 AND host = 'host_3' AND raw_id % 2 = 0 AND event_time >= TIMESTAMP '2024-01-01'")(
+    lambda s, d: indexed(s, d).find(["from=10.0.1.13", "LAB_HOST=host_3"]).select("raw_id", "host", "src_ip")
+)
 query("q_fresh", f"WITH {EV}, a AS (SELECT username, count(*) AS n, CAST(epoch(TIMESTAMP '2024-01-30 00:00:00') AS BIGINT) - CAST(floor(epoch(max(event_time))) AS BIGINT) AS age_sec FROM ev GROUP BY 1) SELECT *, CASE WHEN age_sec < 86400 THEN 'ALIVE' ELSE 'DEAD' END AS status FROM a")(
     lambda s, d: V.freshness(normalized_events(s, d), F.lit(datetime(2024, 1, 30)), 86400, "username")
 )

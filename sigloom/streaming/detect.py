@@ -20,6 +20,11 @@ ROW = "feature_name string, entity_type string, entity_id string, at timestamp,
 SIGNAL = "window_start timestamp, window_end timestamp, signal_name string, severity int, score double, dedupe_key string, metadata string"
 
 
+def _plain(out: pd.DataFrame, *texts: str) -> pd.DataFrame:
+    """Text columns as plain objects: the worker takes no column in chunks."""
+    return out.astype({c: object for c in texts})
+
+
 def minute_bins(events: DataFrame) -> DataFrame:
     """(feature_name, entity_type, entity_id, bin, value, ready) of a watermarked stream of normalized events, each bin once."""
     wanted = [f for f in features.minute_features() if f.name == "auth_fail_count" and f.entity_type == "host"] + features.baseline_features()
@@ -96,7 +101,7 @@ class Windows(StatefulProcessor):
         out = pd.DataFrame(found, columns=["at", "current", "baseline"])
         at = pd.to_datetime(out["at"], unit="us", utc=True).dt.tz_localize(None)
         out = out.assign(feature_name=key[0], entity_type=key[1], entity_id=key[2], at=at, ready=at + pd.Timedelta(seconds=60))
-        return out[["feature_name", "entity_type", "entity_id", "at", "current", "baseline", "ready"]]
+        return _plain(out[["feature_name", "entity_type", "entity_id", "at", "current", "baseline", "ready"]], "feature_name", "entity_type", "entity_id")
 
     def close(self) -> None:
         pass
@@ -172,7 +177,8 @@ class Correlator(StatefulProcessor):
     def _rows(key, found: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(found, columns=["window_start", "window_end", "signal_name", "severity", "score", "dedupe_key", "metadata", "incident_id", "founder"])
         times = {c: pd.to_datetime(out[c], unit="us", utc=True).dt.tz_localize(None) for c in ("window_start", "window_end")}
-        return out.assign(entity_type=key[0], entity_id=key[1], **times)[["entity_type", "entity_id", "window_start", "window_end", "signal_name", "severity", "score", "dedupe_key", "metadata", "incident_id", "founder"]]
+        out = out.assign(entity_type=key[0], entity_id=key[1], **times)[["entity_type", "entity_id", "window_start", "window_end", "signal_name", "severity", "score", "dedupe_key", "metadata", "incident_id", "founder"]]
+        return _plain(out, "entity_type", "entity_id", "signal_name", "dedupe_key", "metadata", "incident_id")
 
     def close(self) -> None:
         pass
@@ -186,3 +192,57 @@ def correlated_stream(signals: DataFrame, lag_minutes: int = 0) -> DataFrame:
     micros = {"start_us": F.unix_micros(F.col("window_start").cast("timestamp")), "end_us": F.unix_micros(F.col("window_end").cast("timestamp"))}
     out = "entity_type string, entity_id string, " + SIGNAL + ", incident_id string, founder boolean"
     return signals.withColumns(micros).groupBy("entity_type", "entity_id").transformWithStateInPandas(Correlator(lag_minutes * MINUTE), outputStructType=out, outputMode="append", timeMode="EventTime")
+
+
+class TopN(StatefulProcessor):
+    """The most frequent values of a key, exact: a count for each value, and the ranks that a batch changed.
+
+    Once the watermark is past the key's ``until`` its counts are dropped.
+    """
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getMapState("counts", "value string", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        counts = {k[0]: v[0] for k, v in self.counts.iterator()}
+        before = self._best(counts)
+        if not counts:
+            self.handle.registerTimer(-(-key[0] // 1000))
+        for pdf in rows:
+            for value, n in pdf.groupby("value")["n"].sum().items():
+                counts[value] = counts.get(value, 0) + int(n)
+                self.counts.updateValue((value,), (counts[value],))
+        now = self._best(counts)
+        new = [(i + 1, *x) for i, x in enumerate(now) if i >= len(before) or before[i] != x]
+        yield self._rows(key, new)
+
+    @staticmethod
+    def _rows(key, new: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(new, columns=["rank", "value", "count"]).assign(until=key[0], entity_id=key[1])
+        return _plain(out[["until", "entity_id", "rank", "value", "count"]], "entity_id", "value")
+
+    def _best(self, counts: dict[str, int]) -> list[tuple[str, int]]:
+        return sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[: self.n]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.counts.clear()
+        yield self._rows(key, [])
+
+    def close(self) -> None:
+        pass
+
+
+def top_src_ip_stream(events: DataFrame, seconds: int = 300, n: int = 5) -> DataFrame:
+    """(bin_start, host, rank, src_ip, count) of a watermarked stream, in update mode: a row takes the place of the earlier one of its bin, host and rank.
+
+    As counts only grow, no rank is ever vacated; an address that falls back shows up again in its new rank.
+    """
+    start = F.unix_micros(features.bin_start(F.col("event_time"), seconds).cast("timestamp"))
+    host = features.named("host")
+    rows = events.where("src_ip IS NOT NULL").select("event_time", (start + seconds * 1_000_000).alias("until"), host.alias("entity_id"), F.col("src_ip").alias("value"), F.lit(1).cast("long").alias("n"))
+    best = rows.groupBy("until", "entity_id").transformWithStateInPandas(TopN(n), outputStructType="until long, entity_id string, rank int, value string, count long", outputMode="update", timeMode="EventTime")
+    return best.select(F.timestamp_micros(F.col("until") - seconds * 1_000_000).alias("bin_start"), F.col("entity_id").alias("host"), "rank", F.col("value").alias("src_ip"), "count")

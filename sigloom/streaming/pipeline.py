@@ -37,12 +37,14 @@ def feature_stream(events: DataFrame, bin_size_sec: int = 60, compat: Compat = D
 def keep_features(path: str, then: Callable[[DataFrame], None] | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink: each batch is a folder of its own, so a repeated batch overwrites itself.
 
-    :func:`latest_features` reads the newest count of each bin and key.
+    :func:`latest_features` reads the newest count of each bin and key.  ``then`` gets the rows of the batch alone, which are the newest of
+    their keys, so the work of a batch doesn't grow with those before it.
     """
     def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).drop("batch").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        own = f"{path}/batch={number}"
+        batch.write.mode("overwrite").parquet(own)
         if then is not None:
-            then(latest_features(batch.sparkSession.read.parquet(path)))
+            then(batch.sparkSession.read.schema(batch.schema).parquet(own))
 
     return put
 

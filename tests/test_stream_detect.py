@@ -97,3 +97,30 @@ def test_correlation_waits_for_late_signals(spark, tmp_path):
     for name in ("open", "waiting"):
         left = spark.read.format("statestore").option("stateVarName", name).load(f"{tmp_path}/cp")
         assert left.count() <= 1  # the last, far signal may wait
+
+
+def test_top_addresses_equal_batch(spark, sf, tmp_path):
+    """Update mode: the last row of each bin, host and rank is what the batch has; nothing is left when the bins are over."""
+    events = normalized_events(spark, sf).withColumns({"event_time": F.col("event_time").cast("timestamp"), "id": F.col("raw_id"), "src_ip": F.concat(F.lit("10.0.0."), F.col("raw_id") % 9)})
+    in_files(events, tmp_path / "in", 7, files=6)
+    hours = 48 * 3600
+    stream = streamed.top_src_ip_stream(source(spark, events.schema, tmp_path / "in").withWatermark("event_time", "60 minutes"), hours, 3)
+    q = stream.writeStream.outputMode("update").foreachBatch(pipeline.keep_features(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(600)
+    from sigloom.operators.features import top_src_ips
+    from sigloom.operators.state import latest_per_key
+
+    kept = latest_per_key(spark.read.parquet(str(tmp_path / "out")), ["bin_start", "host", "rank"], "batch").drop("batch").where("host <> 'heartbeat'")
+    want = top_src_ips(events, hours, 3).select(*kept.columns)
+    assert kept.count() == want.count() > 50 and kept.exceptAll(want).count() == 0
+    assert spark.read.parquet(str(tmp_path / "out")).count() > want.count()  # some rank was taken over
+    assert spark.read.format("statestore").option("stateVarName", "counts").load(f"{tmp_path}/cp").count() <= 1
+
+
+def test_then_gets_the_rows_of_its_batch(spark, sf, tmp_path):
+    rows = normalized_events(spark, sf).select("host").limit(8)
+    seen = []
+    put = pipeline.keep_features(str(tmp_path / "f"), lambda x: seen.append(x.count()))
+    for i in range(3):
+        put(rows.limit(i + 1), i)
+    assert seen == [1, 2, 3]
