@@ -73,8 +73,8 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     return np.sort(np.fromiter((digest(x, 42) for x in grams), np.uint64, len(grams)))
 
 
-def node_print(found: np.ndarray, bits: int, segments: int) -> tuple[int, int, list[int], list[int]]:
-    """(both halves of the node's name, check words, segments) of a set of shingles; a segment holds its own number above its bits."""
+def node_print(found: np.ndarray, bits: int, segments: int) -> tuple[int, int, list[int], list[int], int]:
+    """(both halves of the node's name, check words, segments, size) of a set of shingles; a segment holds its own number above its bits."""
     per = 64 // bits
     words = -(-segments // per) + CHECKS
     ones = np.zeros((words, 64), np.int64)
@@ -87,7 +87,7 @@ def node_print(found: np.ndarray, bits: int, segments: int) -> tuple[int, int, l
     cut = [w[CHECKS + s // per] >> s % per * bits & (1 << bits) - 1 | s << bits for s in range(segments)]
     name = xxhash.xxh3_128_intdigest(found.tobytes(), 7)
     signed = lambda x: x - (x >> 63 << 64)
-    return signed(name >> 64), signed(name & 2**64 - 1), [signed(x) for x in w[:CHECKS]], cut
+    return signed(name >> 64), signed(name & 2**64 - 1), [signed(x) for x in w[:CHECKS]], cut, len(found)
 
 
 def _buckets(nodes: DataFrame, bits: int, *more: str) -> DataFrame:
@@ -111,7 +111,8 @@ def _buckets(nodes: DataFrame, bits: int, *more: str) -> DataFrame:
                 pick = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(c.take(pick) for c in part.columns[1:])], names=["bucket", *columns])
 
-    return nodes.select("segs", *columns).mapInArrow(run, "bucket long, " + ", ".join(f"{c} long" for c in columns))
+    rows = nodes.select("segs", *columns)
+    return rows.mapInArrow(run, "bucket long, " + ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns))
 
 
 def _apart(check: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -207,7 +208,7 @@ def _by_bucket(dealt: DataFrame, keys: list[str], links, names: str) -> DataFram
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [c.to_numpy() for c in batch.columns]
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             changes = np.any([np.diff(c) != 0 for c in columns[: len(keys)]], axis=0)
             last = int(np.flatnonzero(changes)[-1]) + 1 if changes.any() else 0
             goes_on = held and all(h[0] == c[0] for h, c in zip(held[0], columns[: len(keys)], strict=False))
@@ -250,23 +251,49 @@ def candidates(nodes: DataFrame, bits: int, radius: int = CHECK, across: str | N
     return _by_bucket(dealt, ["bucket"], links, "u long, v long").distinct()
 
 
-def every_candidate(nodes: DataFrame, bits: int, radius: int = CHECK, large: int = LARGE) -> DataFrame:
-    """(u, v), u > v: all nodes (node, c0, c1, segs, g) that meet within ``radius`` and have different g.
+def _first_bucket(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
+    """The one bucket, of all that two nodes with segments x and y share, in which the pair counts; a row a pair."""
+    only = np.bitwise_count(x & ~y), np.bitwise_count(y & ~x)
+    first = ((only[0] <= 1) & (only[1] <= 1)).argmax(axis=1)
+    at = np.arange(len(x))
+    return x[at, first] | y[at, first]
 
-    Of a bucket of more than ``large`` rows those of its largest g, which have no pairs among them, are dealt on, each part with all others.
+
+def every_candidate(nodes: DataFrame, bits: int, radius: int = CHECK, large: int = LARGE, least: float = SIMILAR) -> DataFrame:
+    """(u, v), u > v: all nodes (node, c0, c1, segs, g, n) that meet within ``radius``, have different g and sets of sizes n that may be similar.
+
+    A pair counts in the first bucket that it shares, so it is listed once.  Of a bucket of more than ``large`` rows those of its
+    largest g, which have no pairs among them, are dealt on, each part with all others.
     """
-    rows = _buckets(nodes, bits, "g")
-    sizes = rows.groupBy("bucket", "g").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.max(F.struct("count", "g")).alias("x"))
-    hot = sizes.where(F.col("n") > large).select("bucket", F.col("x.g").alias("lead"), F.ceil(F.col("n") / large).cast("long").alias("parts"))
+    def packed(batches):
+        for batch in batches:
+            segs = [x.astype("<i8").tobytes() for x in batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(segs, pa.binary())], names=[*names, "print"])
+
+    names = ["segs", "node", "c0", "c1", "g", "n"]
+    whole = nodes.select(*names).mapInArrow(packed, "segs array<long>, node long, c0 long, c1 long, g long, n long, print binary")
+    sizes = _buckets(nodes, bits, "g").groupBy("bucket", "g").count().groupBy("bucket").agg(F.sum("count").alias("rows"), F.max(F.struct("count", "g")).alias("x"))
+    # A bucket of one g has no pairs.
+    sizes = sizes.where(F.col("rows") > F.col("x.count")).select("bucket", F.col("x.g").alias("lead"), F.ceil(F.col("rows") / large).cast("long").alias("parts"))
     own = F.array(F.pmod(F.xxhash64("node"), F.col("parts")))
-    part = F.when(F.col("lead").isNull(), F.array(F.lit(0).cast("long"))).when(F.col("g") == F.col("lead"), own).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    dealt = rows.join(hot, "bucket", "left").select("bucket", F.explode(part).alias("part"), "node", "c0", "c1", "g")
+    part = F.when(F.col("g") == F.col("lead"), own).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    rows = _buckets(whole, bits, "g", "n", "print").join(sizes, "bucket")
+    dealt = rows.select("bucket", F.explode(part).alias("part"), "node", "c0", "c1", "g", "n", (F.col("g") == F.col("lead")).cast("long").alias("led"), "print")
 
     def links(columns):
-        bucket, part, node, c0, c1, g = columns
+        bucket, part, node, c0, c1, g, n, led, prints = columns
         keys = np.cumsum(np.append(0, (np.diff(bucket) != 0) | (np.diff(part) != 0)))[: len(bucket)]
         u, v = _across(keys, np.stack([c0, c1]).view(np.uint64), g, radius)
-        return _pairs(node[u], node[v])
+        # Rows that lie in every part have their pairs in the first.
+        ok = ((led[u] + led[v] > 0) | (part[u] == 0)) & (np.minimum(n[u], n[v]) >= least * np.maximum(n[u], n[v]) - 1e-9)
+        u, v = u[ok], v[ok]
+        kept = []
+        for at in range(0, len(u), 1 << 14):
+            i, j = u[at : at + (1 << 14)], v[at : at + (1 << 14)]
+            x, y = (np.frombuffer(b"".join(prints[k].tolist()), "<i8").reshape(len(k), -1) for k in (i, j))
+            kept.append(_first_bucket(x, y, bits) == bucket[i])
+        here = np.concatenate(kept) if kept else np.zeros(0, bool)
+        return _pairs(node[u[here]], node[v[here]])
 
     dealt = dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node")
     return _by_bucket(dealt, ["bucket", "part"], links, "u long, v long").distinct()
@@ -319,17 +346,17 @@ def grouped(docs: DataFrame, width: int = WIDTH, least: float = SIMILAR, id_col:
     def make():
         def run(texts):
             made = [node_print(shingle_set(None if x is None else x.encode("utf-8", "surrogatepass"), width), bits, segments) for x in texts]
-            return {n: [x[i] for x in made] for i, n in enumerate(("high", "low", "checks", "segs"))}
+            return {n: [x[i] for x in made] for i, n in enumerate(("high", "low", "checks", "segs", "n"))}
 
         return run
 
     # Texts stay where they are until the rows to compare or to keep are known.
-    fields = [*(T.StructField(n, T.LongType()) for n in ("high", "low")), *(T.StructField(n, T.ArrayType(T.LongType())) for n in ("checks", "segs"))]
+    fields = [*(T.StructField(n, T.LongType()) for n in ("high", "low")), *(T.StructField(n, T.ArrayType(T.LongType())) for n in ("checks", "segs")), T.StructField("n", T.LongType())]
     rows = map_rows(_salted(docs, id_col, text_col), make, fields, ["id", "salt"], "text")
     first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "salt"))
-    known = rows.groupBy("high", "low").agg(F.first("checks").alias("checks"), F.first("segs").alias("segs"), first.alias("x"))
+    known = rows.groupBy("high", "low").agg(F.first("checks").alias("checks"), F.first("segs").alias("segs"), F.first("n").alias("n"), first.alias("x"))
     words = [F.get("checks", F.lit(k)).alias(f"c{k}") for k in range(CHECKS)]
-    nodes = stored(known.select(F.monotonically_increasing_id().alias("node"), *words, "segs", "x"), "nodes")
+    nodes = stored(known.select(F.monotonically_increasing_id().alias("node"), *words, "segs", "n", "x"), "nodes")
 
     found = stored(candidates(nodes, bits), "candidates")
     pairs, more = found.where(F.col("v") != MORE), stored(found.where(F.col("v") == MORE).select(F.col("u").alias("node")), "more")
@@ -338,8 +365,8 @@ def grouped(docs: DataFrame, width: int = WIDTH, least: float = SIMILAR, id_col:
     tried = stored(similar(pairs, sets, least), "tried")
     group = stored(components(tried.where("linked").select("u", "v")), "groups")
     if not more.isEmpty():
-        rest = nodes.join(more, "node").select("node", "c0", "c1", "segs")
-        for step in (lambda x: candidates(x, bits, across="g").where(F.col("v") != MORE), lambda x: every_candidate(x, bits)):
+        rest = nodes.join(more, "node").select("node", "c0", "c1", "segs", "n")
+        for step in (lambda x: candidates(x, bits, across="g").where(F.col("v") != MORE), lambda x: every_candidate(x, bits, least=least)):
             # Once more the nearest, of other groups now; then all that are in different groups still.
             named = stored(rest.join(group, "node", "left").select(*rest.columns, F.coalesce("component", "node").alias("g")), "named")
             new = stored(step(named).join(tried.select("u", "v"), ["u", "v"], "left_anti"), "untried")

@@ -46,7 +46,7 @@ def test_layout_holds_load_and_recall():
 
 def meet(a, b):
     """Whether two prints share a bucket and agree in the check words."""
-    (_, _, x, s), (_, _, y, t) = a, b
+    (_, _, x, s, _), (_, _, y, t, _) = a, b
     apart = [(i ^ j).bit_count() for i, j in zip(s, t)]
     bucket = any(d < 2 or (d == 2 and (i & ~j) and (j & ~i)) for d, i, j in zip(apart, s, t))
     return bucket and sum(((i ^ j) & 2**64 - 1).bit_count() for i, j in zip(x, y)) <= neardup.CHECK
@@ -142,9 +142,11 @@ def test_unlike_prints_of_one_bucket(spark, batch):
         none = neardup.candidates(table.withColumn("g", F.col("g") % 1000), 8, across="g").where("u = v + 1000").count()
         wide = 55
         for large in (4096, 50):
-            grouped = table.withColumn("g", F.when(F.col("node") < 90, 0).otherwise(F.col("node")))
+            grouped = table.withColumns({"g": F.when(F.col("node") < 90, 0).otherwise(F.col("node")), "n": F.when(F.col("node") % 7 == 0, 10).otherwise(8).cast("long")})
+            grouped = grouped.withColumn("n", F.when(F.col("node") == 150, 7).otherwise(F.col("n")).cast("long"))
             every = [tuple(r) for r in neardup.every_candidate(grouped, 8, wide, large).collect()]
-            assert len(every) == len(set(every)) and set(every) == {p for p, d in far.items() if d <= wide and not p[0] < 90}
+            sized = lambda p: 150 not in p or not any(x % 7 == 0 for x in p)  # noqa: E731  7 of 10 can't be similar
+            assert len(every) == len(set(every)) and set(every) == {p for p, d in far.items() if d <= wide and not p[0] < 90 and sized(p)}
     finally:
         spark.conf.set(key, size)
     pairs = {p for p in some if p[1] != neardup.MORE}
@@ -177,6 +179,21 @@ def test_nearest_and_all_of_small_buckets(radius):
                         assert (i in more) == (len(want) > neardup.PARTNERS)
 
 
+def test_a_pair_counts_in_one_bucket():
+    """Of the buckets that two prints share exactly one is the pair's."""
+    rng, bits = np.random.default_rng(3), 9
+    top = np.arange(6) << bits
+    for _ in range(400):
+        x = rng.integers(0, 1 << bits, 6)
+        y = x.copy()
+        for k in range(6):
+            for b in rng.choice(bits, rng.integers(0, 4), replace=False):
+                y[k] ^= 1 << b
+        under = [{int(v) for v in z} | {int(v) | 1 << b for v in z for b in range(bits)} for z in (x | top, y | top)]
+        if both := under[0] & under[1]:
+            assert int(neardup._first_bucket((x | top)[None], (y | top)[None], bits)[0]) in both
+
+
 def test_nearest_of_a_large_bucket():
     """Linear work: of 5000 rows of one bucket most pairs a few bits apart are found by the orders, and all rows are to be asked again."""
     rng = np.random.default_rng(2)
