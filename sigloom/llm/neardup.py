@@ -12,8 +12,9 @@ the threshold) is the same too.  It grows as about the sixth root of the number
 
 Every pair of candidates is verified, or lies in one group by other links.  A large group isn't paired: first each row of a bucket tries
 its ``PARTNERS`` nearest, then, of the nodes that have more candidates than those, the nearest ones of other groups.
-What is left are candidates in different groups that no try has joined; they are listed, all of them, and verified once each.  So
-the pairs grow with the rows of buckets and with candidates that turn out unlike, not with the square of a group of copies.
+What is left are candidates in different groups that no try has joined; they are listed, all of them, and verified once each, but for
+those whose parities prove them unlike: an element of one set alone flips one bit of ``parity``, so two parities never differ in more bits than
+the sets in elements.  So the pairs grow with the rows of buckets and with candidates just below the threshold, not with the square of a group of copies.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ CHECK = 33  # of their bits that a candidate may differ in; at SIMILAR 19 do, fi
 PARTNERS = 2  # that a row of a bucket tries first
 NEXT, TURNS = 48, 3  # rows that a row is compared with for those, by its order in a bucket, and orders; all, in a bucket of 49
 LARGE = 4096  # rows of a bucket in one task; of more, those of its largest group are dealt on
+PARITY = 512, 8192  # bits of a set's parity, at least two an element, and at most; with fewer than two it rules out less, never more
 MORE = -1  # stands in place of a partner where a node has more candidates than it tries
 
 
@@ -73,6 +75,28 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     return np.sort(np.fromiter((digest(x, 42) for x in grams), np.uint64, len(grams)))
 
 
+def parity(found: np.ndarray) -> bytes:
+    """For each bit, whether an odd number of a set's hashes falls on it; a power of two of bits, so that halves fold by XOR."""
+    least, most = PARITY
+    m = min(most, max(least, 1 << (2 * len(found) - 1).bit_length())) if len(found) else least
+    odd = np.bincount((found & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _differing(parities: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Elements that at least are in one of the sets u and v alone, by their parities; longer ones are folded to the shorter one's length."""
+    words = np.array([len(x) // 8 for x in parities], np.int64)
+    short, out = np.minimum(words[u], words[v]), np.zeros(len(u), np.int64)
+    for m in np.unique(short).tolist():
+        mine = np.flatnonzero(short == m)
+        rows, place = np.unique(np.concatenate([u[mine], v[mine]]), return_inverse=True)
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, "<u8").reshape(-1, m), axis=0) for x in parities[rows]])
+        for at in range(0, len(mine), 1 << 14):
+            i, j = place[: len(mine)][at : at + (1 << 14)], place[len(mine) :][at : at + (1 << 14)]
+            out[mine[at : at + (1 << 14)]] = np.bitwise_count(folded[i] ^ folded[j]).sum(axis=1)
+    return out
+
+
 def node_print(found: np.ndarray, bits: int, segments: int) -> tuple[int, int, list[int], list[int], int]:
     """(both halves of the node's name, check words, segments, size) of a set of shingles; a segment holds its own number above its bits."""
     per = 64 // bits
@@ -260,7 +284,8 @@ def _first_bucket(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
 
 
 def every_candidate(nodes: DataFrame, bits: int, radius: int = CHECK, large: int = LARGE, least: float = SIMILAR) -> DataFrame:
-    """(u, v), u > v: all nodes (node, c0, c1, segs, g, n) that meet within ``radius``, have different g and sets of sizes n that may be similar.
+    """(u, v), u > v: all nodes (node, c0, c1, segs, g, n) that meet within ``radius``, have different g and sets that may be similar, by
+    their sizes n and, where ``nodes`` has them, their parities.
 
     A pair counts in the first bucket that it shares, so it is listed once.  Of a bucket of more than ``large`` rows those of its
     largest g, which have no pairs among them, are dealt on, each part with all others.
@@ -270,23 +295,28 @@ def every_candidate(nodes: DataFrame, bits: int, radius: int = CHECK, large: int
             segs = [x.astype("<i8").tobytes() for x in batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(segs, pa.binary())], names=[*names, "print"])
 
-    names = ["segs", "node", "c0", "c1", "g", "n"]
-    whole = nodes.select(*names).mapInArrow(packed, "segs array<long>, node long, c0 long, c1 long, g long, n long, print binary")
+    odd = [c for c in nodes.columns if c == "parity"]
+    names = ["segs", "node", "c0", "c1", "g", "n", *odd]
+    types = "segs array<long>, node long, c0 long, c1 long, g long, n long, " + "".join(f"{c} binary, " for c in odd)
+    whole = nodes.select(*names).mapInArrow(packed, f"{types}print binary")
     sizes = _buckets(nodes, bits, "g").groupBy("bucket", "g").count().groupBy("bucket").agg(F.sum("count").alias("rows"), F.max(F.struct("count", "g")).alias("x"))
     # A bucket of one g has no pairs.
     sizes = sizes.where(F.col("rows") > F.col("x.count")).select("bucket", F.col("x.g").alias("lead"), F.ceil(F.col("rows") / large).cast("long").alias("parts"))
     own = F.array(F.pmod(F.xxhash64("node"), F.col("parts")))
     part = F.when(F.col("g") == F.col("lead"), own).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    rows = _buckets(whole, bits, "g", "n", "print").join(sizes, "bucket")
-    dealt = rows.select("bucket", F.explode(part).alias("part"), "node", "c0", "c1", "g", "n", (F.col("g") == F.col("lead")).cast("long").alias("led"), "print")
+    rows = _buckets(whole, bits, "g", "n", "print", *odd).join(sizes, "bucket")
+    dealt = rows.select("bucket", F.explode(part).alias("part"), "node", "c0", "c1", "g", "n", (F.col("g") == F.col("lead")).cast("long").alias("led"), "print", *odd)
 
     def links(columns):
-        bucket, part, node, c0, c1, g, n, led, prints = columns
+        bucket, part, node, c0, c1, g, n, led, prints, *parities = columns
         keys = np.cumsum(np.append(0, (np.diff(bucket) != 0) | (np.diff(part) != 0)))[: len(bucket)]
         u, v = _across(keys, np.stack([c0, c1]).view(np.uint64), g, radius)
         # Rows that lie in every part have their pairs in the first.
         ok = ((led[u] + led[v] > 0) | (part[u] == 0)) & (np.minimum(n[u], n[v]) >= least * np.maximum(n[u], n[v]) - 1e-9)
         u, v = u[ok], v[ok]
+        for x in parities:
+            ok = _differing(x, u, v) <= (1 - least) / (1 + least) * (n[u] + n[v]) + 1e-6
+            u, v = u[ok], v[ok]
         kept = []
         for at in range(0, len(u), 1 << 14):
             i, j = u[at : at + (1 << 14)], v[at : at + (1 << 14)]
@@ -345,18 +375,19 @@ def grouped(docs: DataFrame, width: int = WIDTH, least: float = SIMILAR, id_col:
 
     def make():
         def run(texts):
-            made = [node_print(shingle_set(None if x is None else x.encode("utf-8", "surrogatepass"), width), bits, segments) for x in texts]
-            return {n: [x[i] for x in made] for i, n in enumerate(("high", "low", "checks", "segs", "n"))}
+            sets = [shingle_set(None if x is None else x.encode("utf-8", "surrogatepass"), width) for x in texts]
+            made = [(*node_print(x, bits, segments), parity(x)) for x in sets]
+            return {n: [x[i] for x in made] for i, n in enumerate(("high", "low", "checks", "segs", "n", "parity"))}
 
         return run
 
     # Texts stay where they are until the rows to compare or to keep are known.
-    fields = [*(T.StructField(n, T.LongType()) for n in ("high", "low")), *(T.StructField(n, T.ArrayType(T.LongType())) for n in ("checks", "segs")), T.StructField("n", T.LongType())]
+    fields = [*(T.StructField(n, T.LongType()) for n in ("high", "low")), *(T.StructField(n, T.ArrayType(T.LongType())) for n in ("checks", "segs")), T.StructField("n", T.LongType()), T.StructField("parity", T.BinaryType())]
     rows = map_rows(_salted(docs, id_col, text_col), make, fields, ["id", "salt"], "text")
     first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "salt"))
-    known = rows.groupBy("high", "low").agg(F.first("checks").alias("checks"), F.first("segs").alias("segs"), F.first("n").alias("n"), first.alias("x"))
+    known = rows.groupBy("high", "low").agg(F.first("checks").alias("checks"), F.first("segs").alias("segs"), F.first("n").alias("n"), F.first("parity").alias("parity"), first.alias("x"))
     words = [F.get("checks", F.lit(k)).alias(f"c{k}") for k in range(CHECKS)]
-    nodes = stored(known.select(F.monotonically_increasing_id().alias("node"), *words, "segs", "n", "x"), "nodes")
+    nodes = stored(known.select(F.monotonically_increasing_id().alias("node"), *words, "segs", "n", "parity", "x"), "nodes")
 
     found = stored(candidates(nodes, bits), "candidates")
     pairs, more = found.where(F.col("v") != MORE), stored(found.where(F.col("v") == MORE).select(F.col("u").alias("node")), "more")
@@ -365,7 +396,7 @@ def grouped(docs: DataFrame, width: int = WIDTH, least: float = SIMILAR, id_col:
     tried = stored(similar(pairs, sets, least), "tried")
     group = stored(components(tried.where("linked").select("u", "v")), "groups")
     if not more.isEmpty():
-        rest = nodes.join(more, "node").select("node", "c0", "c1", "segs", "n")
+        rest = nodes.join(more, "node").select("node", "c0", "c1", "segs", "n", "parity")
         for step in (lambda x: candidates(x, bits, across="g").where(F.col("v") != MORE), lambda x: every_candidate(x, bits, least=least)):
             # Once more the nearest, of other groups now; then all that are in different groups still.
             named = stored(rest.join(group, "node", "left").select(*rest.columns, F.coalesce("component", "node").alias("g")), "named")

@@ -120,6 +120,40 @@ def test_hot_groups_lose_no_pair_that_meets(spark):
     assert all(len(x) == 1 for x in ends.values()) and len(ends) > 5
 
 
+def test_parity_never_exceeds_the_difference():
+    """Sets of all sizes, the empty one too, whose parities have unlike lengths: a lower bound, and sharp enough below the threshold."""
+    rng = np.random.default_rng(11)
+    for n in (0, 1, 5, 150, 300, 1500, 6000):
+        for shared in {0, n // 2, int(0.75 * n), n}:
+            more = int(rng.integers(0, 2 * n + 2))
+            whole = rng.integers(0, 2**64, 2 * n - shared + more, dtype=np.uint64)
+            a, b = whole[:n], whole[n - shared :]
+            both = np.array([neardup.parity(a), neardup.parity(b)], object)
+            least = int(neardup._differing(both, np.array([0]), np.array([1]))[0])
+            assert least <= len(set(a.tolist()) ^ set(b.tolist())) and (len(a) - len(b) - least) % 2 == 0
+    for n in (150, 700, 3000):  # 0.7 alike: ruled out
+        both = int(n * 0.7 * 2 / 1.7)
+        whole = rng.integers(0, 2**64, 2 * n - both, dtype=np.uint64)
+        parities = np.array([neardup.parity(whole[:n]), neardup.parity(whole[n - both :])], object)
+        assert neardup._differing(parities, np.array([0]), np.array([1]))[0] > 2 * n / 9
+
+
+def test_every_candidate_is_listed_unless_parity_proves_it_unlike(spark):
+    """Sets from quite unlike to nearly equal, of two sizes of parity, in one bucket: all at 0.8 or more are listed, few of the others."""
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 2**64, 256, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[int(k) :], rng.integers(0, 2**64, int(j), dtype=np.uint64)])) for k, j in rng.integers(0, 60, (90, 2))]
+    rows = [(i, 0, 0, [5], i, len(x), bytearray(neardup.parity(x))) for i, x in enumerate(sets)]
+    assert {len(r[-1]) for r in rows} == {64, 128}
+    table = spark.createDataFrame(rows, "node long, c0 long, c1 long, segs array<long>, g long, n long, parity binary")
+    found = [tuple(r) for r in neardup.every_candidate(table, 8, large=40).collect()]
+    of = [set(x.tolist()) for x in sets]
+    alike = {(a, b): len(of[a] & of[b]) / len(of[a] | of[b]) for a in range(len(of)) for b in range(a)}
+    want = {p for p, s in alike.items() if s >= 0.8}
+    assert len(found) == len(set(found)) and want <= set(found) and len(want) > 300
+    assert all(alike[p] > 0.7 for p in found)
+
+
 def table_of(spark, rng, n, extra):
     """Nodes in two buckets, their check words, and the pairs of them within reach."""
     check = [[int(x) for x in rng.integers(-(2**63), 2**63 - 1, 2)] for _ in range(n)]
