@@ -68,10 +68,13 @@ def subtrees(first: int, nodes: list[bytes], last: bool, levels: int, level: int
     yield from ((level, first + i, x) for i, x in enumerate(nodes))
 
 
-def paths(leaves: list[bytes]) -> Iterator[list[bytes]]:
-    """For each leaf of a whole tree the siblings before and after it, by level."""
+def paths(leaves: list[bytes], levels: int) -> Iterator[list[bytes]]:
+    """For each leaf of a whole subtree of so many levels the siblings before and after it, by level.
+
+    A group's last subtree may have one node on several levels, each the digest of the one below.
+    """
     rows = [leaves]
-    while len(rows[-1]) > 1:
+    for _ in range(levels):
         rows.append([digest(rows[-1][i : i + FAN]) for i in range(0, len(rows[-1]), FAN)])
     for at in range(len(leaves)):
         out = []
@@ -237,15 +240,15 @@ def _whole(docs: DataFrame, group: str, id_col: str, columns: tuple[str, ...], a
 
 
 def _with_paths(t: Tree) -> DataFrame:
-    return t.blocks.join(t.above, ["g", "level", "idx"]).select("leaves", "path", "subroot")
+    return t.blocks.join(t.above, ["g", "level", "idx"]).select("leaves", "level", "path", "subroot")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """For each block its leaves with their siblings in it, and what else its row has."""
     for batch in batches:
         for at in range(batch.num_rows):
-            leaves, *rest = (batch.column(i)[at].as_py() for i in range(batch.num_columns))
-            yield zip(leaves, paths([x["leaf"].hex().encode() for x in leaves]), strict=True), *rest
+            leaves, level, *rest = (batch.column(i)[at].as_py() for i in range(batch.num_columns))
+            yield zip(leaves, paths([x["leaf"].hex().encode() for x in leaves], level), strict=True), *rest
 
 
 def manifest(docs: DataFrame, group: str = "lang", id_col: str = "doc_id", columns: tuple[str, ...] = COLUMNS, cut: int = CUT, partitions: int | None = None) -> DataFrame:
@@ -276,7 +279,7 @@ def proofs(docs: DataFrame, group: str = "lang", id_col: str = "doc_id", columns
     text = lambda *names: [T.StructField(n, T.StringType()) for n in names]
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *text("leaf", "subroot", "root", "proof_sha256", "folded_root"), T.StructField("verified", T.BooleanType()), *extra])
     above = trees.above.join(roots.select("g", "root", "to_root"), "g").select("g", "level", "idx", F.concat("path", "to_root").alias("path"), "subroot", "root")
-    rows = trees.blocks.join(above, ["g", "level", "idx"]).select("leaves", "path", "subroot", "root")
+    rows = trees.blocks.join(above, ["g", "level", "idx"]).select("leaves", "level", "path", "subroot", "root")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for leaves, path, subroot, root in _blocks(batches):

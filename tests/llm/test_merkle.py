@@ -79,6 +79,16 @@ def test_proofs_match_brute_force(spark, n, cut, partitions):
         assert H(*r.path) == r.proof_sha256
 
 
+@pytest.mark.parametrize(("n", "langs", "cut"), [(9, 1, 1), (65, 1, 2), (4097, 1, 4), (75, 9, 1)])
+def test_last_runs_of_one(spark, n, langs, cut):
+    rows = [{"doc_id": i, "text": f"t{i}", "lang": f"l{i % langs}", "source": "s", "n_chars": 1} for i in range(n)]
+    docs = spark.createDataFrame([tuple(r[c.split()[0]] for c in DOCS.split(", ")) for r in rows], DOCS)
+    where = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    got = merkle.proofs(docs, altered={"text": F.lower("text")}, where=where, cut=cut, partitions=1).collect()
+    assert sorted((tuple(r)[:7] for r in got), key=key) == sorted(brute_force(rows), key=key)
+    assert all(r.verified and merkle.folded(r.leaf.encode(), [x.encode() for x in r.path]).decode() == r.root for r in got)
+
+
 def test_manifest_and_odd_tables(spark):
     docs = spark.createDataFrame([(1, "a", "en", "s", 1), (2, "b", None, "s", 1), (3, "c", "", None, None)], DOCS)
     got = {r.lang: r for r in merkle.manifest(docs).collect()}
