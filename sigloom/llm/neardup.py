@@ -12,9 +12,9 @@ the threshold) is the same too.  It grows as about the sixth root of the number
 
 Every pair of candidates is verified, or lies in one group by other links.  A large group isn't paired: first each row of a bucket tries
 its ``PARTNERS`` nearest, then, of the nodes that have more candidates than those, the nearest ones of other groups.
-What is left are candidates in different groups that no try has joined; they are listed, all of them, and verified once each, but for
-those whose parities prove them unlike: an element of one set alone flips one bit of ``parity``, so two parities never differ in more bits than
-the sets in elements.  So the pairs grow with the rows of buckets and with candidates just below the threshold, not with the square of a group of copies.
+From then on those whose sizes or parities prove them unlike aren't candidates: an element of one set alone flips one bit of ``parity``, so two
+parities never differ in more bits than the sets in elements.  What is left are candidates in different groups that no try has joined; both of
+them have candidates that weren't tried, so that only such nodes are dealt to buckets again; their pairs are listed, all of them, and verified once each.  So the pairs grow with the rows of buckets and with candidates just below the threshold, not with the square of a group of copies.
 """
 
 from __future__ import annotations
@@ -97,6 +97,24 @@ def _differing(parities: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray
     return out
 
 
+def _admitting(n: np.ndarray, parities: np.ndarray | None, least: float):
+    """A function that keeps of places i and j those whose sets may be similar, by their sizes n and, if given, parities."""
+    words = PARITY[0] // 64
+    folded = np.array([np.bitwise_xor.reduce(np.frombuffer(x, "<u8").reshape(-1, words), axis=0) for x in parities]).reshape(-1, words) if parities is not None else None
+
+    def run(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9
+        i, j = i[ok], j[ok]
+        # The shortest parities first, which cost least.
+        for differing in (lambda: np.bitwise_count(folded[i] ^ folded[j]).sum(axis=1), lambda: _differing(parities, i, j)):
+            if folded is not None and len(i):
+                ok = differing() <= (1 - least) / (1 + least) * (n[i] + n[j]) + 1e-6
+                i, j = i[ok], j[ok]
+        return i, j
+
+    return run
+
+
 def node_print(found: np.ndarray, bits: int, segments: int) -> tuple[int, int, list[int], list[int], int]:
     """(both halves of the node's name, check words, segments, size) of a set of shingles; a segment holds its own number above its bits."""
     per = 64 // bits
@@ -144,8 +162,8 @@ def _apart(check: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.bitwise_count(check[:, i] ^ check[:, j]).sum(axis=0, dtype=np.int16)
 
 
-def _nearest(keys: np.ndarray, check: np.ndarray, group: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places (u, v): for each row its PARTNERS nearest rows of its bucket and another group, within ``radius``; and
+def _nearest(keys: np.ndarray, check: np.ndarray, group: np.ndarray | None, radius: int, may=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (u, v): for each row its PARTNERS nearest rows of its bucket and another group, within ``radius`` and kept by ``may``; and
     the rows that may have more candidates.
 
     Rows come sorted by bucket.  In a bucket of up to NEXT + 1 rows all are compared; in a larger one each with its
@@ -186,24 +204,35 @@ def _nearest(keys: np.ndarray, check: np.ndarray, group: np.ndarray | None, radi
                 other = group[i] != group[j]
                 i, j = i[other], j[other]
             d = _apart(check, i, j)
+            if may:
+                near = d <= radius
+                i, j = may(i[near], j[near])
+                d = _apart(check, i, j)
             offer(i, j, d)
             offer(j, i, d)
     found = whom >= 0
     return np.nonzero(found)[1], whom[found], np.flatnonzero((met > PARTNERS) | (size > NEXT + 1))
 
 
-def _across(keys: np.ndarray, check: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All places (u, v) of a bucket, of different groups, within ``radius``.  Rows come sorted by bucket."""
+def _across(keys: np.ndarray, check: np.ndarray, group: np.ndarray, radius: int, may=None, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All places (u, v) of a bucket of up to ``most`` rows, of different groups, within ``radius`` and kept by ``may``.  Rows come sorted by bucket."""
     n = len(keys)
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if n else np.zeros(0, np.int64)
     size = np.diff(np.append(first, n))
-    found = []
+    found, held = [], []
+
+    def settle() -> None:
+        i, j = (np.concatenate(x) for x in zip(*held, strict=True))
+        found.append(may(i, j) if may else (i, j))
+        held.clear()
 
     def look(i: np.ndarray, j: np.ndarray) -> None:
         other = group[i] != group[j]
         i, j = i[other], j[other]
         near = _apart(check, i, j) <= radius
-        found.append((i[near], j[near]))
+        held.append((i[near], j[near]))
+        if len(held) == 256:
+            settle()
 
     at = np.flatnonzero(np.repeat(size, size) <= NEXT + 1)
     end = np.repeat(first + size, size)
@@ -212,7 +241,8 @@ def _across(keys: np.ndarray, check: np.ndarray, group: np.ndarray, radius: int)
         if not len(at):
             break
         look(at, at + step)
-    for a, m in zip(first[size > NEXT + 1].tolist(), size[size > NEXT + 1].tolist(), strict=True):
+    big = (size > NEXT + 1) & (size <= (most or n))
+    for a, m in zip(first[big].tolist(), size[big].tolist(), strict=True):
         # Rows of the bucket's largest group have no pairs among them, and aren't compared.
         names, of = np.unique(group[a : a + m], return_inverse=True)
         lead = names[np.bincount(of).argmax()]
@@ -221,6 +251,8 @@ def _across(keys: np.ndarray, check: np.ndarray, group: np.ndarray, radius: int)
         for k, i in enumerate(others.tolist()):
             j = np.concatenate([whole, others[k + 1 :]])
             look(np.full(len(j), i), j)
+    if held:
+        settle()
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
 
 
@@ -261,14 +293,24 @@ def _pairs(a: np.ndarray, b: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["u", "v"])
 
 
-def candidates(nodes: DataFrame, bits: int, radius: int = CHECK, across: str | None = None) -> DataFrame:
-    """(u, v), u > v: nodes (node, c0, c1, segs), numbers from 0, and the nearest that they meet, within ``radius`` and, given the column
-    ``across``, different in it; and (node, MORE) for nodes that may have more."""
-    more = [across] if across else []
+def candidates(nodes: DataFrame, bits: int, radius: int = CHECK, across: str | None = None, least: float = SIMILAR, large: int = LARGE) -> DataFrame:
+    """(u, v), u > v: nodes (node, c0, c1, segs), numbers from 0, and the nearest that they meet, within ``radius``; and (node, MORE) for
+    nodes that may have more.
+
+    Given the column ``across``, candidates are different in it and, where ``nodes`` has sizes n and parities, may be similar by them; then MORE
+    is told exactly but for buckets of more than ``large`` rows: a candidate that isn't listed has it at both ends.
+    """
+    more = [across, *(c for c in ("n", "parity") if c in nodes.columns)] if across else []
 
     def links(columns):
-        keys, node, c0, c1, *group = columns
-        u, v, rest = _nearest(keys, np.stack([c0, c1]).view(np.uint64), group[0] if group else None, radius)
+        keys, node, c0, c1, *rest = columns
+        check, given = np.stack([c0, c1]).view(np.uint64), dict(zip(more, rest, strict=True))
+        may = _admitting(given["n"], given.get("parity"), least) if "n" in given else None
+        u, v, rest = _nearest(keys, check, given.get(across), radius, may)
+        if across:
+            met = np.bincount(np.concatenate(_across(keys, check, given[across], radius, may, large)), minlength=len(keys))
+            _, of, sizes = np.unique(keys, return_inverse=True, return_counts=True)
+            rest = np.flatnonzero((sizes[of] > large) | (met > np.where(sizes[of] > NEXT + 1, 0, PARTNERS)))
         return _pairs(node[u], node[v], node[rest])
 
     dealt = _buckets(nodes, bits, *more).repartition(F.col("bucket")).sortWithinPartitions("bucket", "node")
@@ -310,13 +352,10 @@ def every_candidate(nodes: DataFrame, bits: int, radius: int = CHECK, large: int
     def links(columns):
         bucket, part, node, c0, c1, g, n, led, prints, *parities = columns
         keys = np.cumsum(np.append(0, (np.diff(bucket) != 0) | (np.diff(part) != 0)))[: len(bucket)]
-        u, v = _across(keys, np.stack([c0, c1]).view(np.uint64), g, radius)
+        u, v = _across(keys, np.stack([c0, c1]).view(np.uint64), g, radius, _admitting(n, parities[0] if parities else None, least))
         # Rows that lie in every part have their pairs in the first.
-        ok = ((led[u] + led[v] > 0) | (part[u] == 0)) & (np.minimum(n[u], n[v]) >= least * np.maximum(n[u], n[v]) - 1e-9)
+        ok = (led[u] + led[v] > 0) | (part[u] == 0)
         u, v = u[ok], v[ok]
-        for x in parities:
-            ok = _differing(x, u, v) <= (1 - least) / (1 + least) * (n[u] + n[v]) + 1e-6
-            u, v = u[ok], v[ok]
         kept = []
         for at in range(0, len(u), 1 << 14):
             i, j = u[at : at + (1 << 14)], v[at : at + (1 << 14)]
@@ -397,12 +436,16 @@ def grouped(docs: DataFrame, width: int = WIDTH, least: float = SIMILAR, id_col:
     group = stored(components(tried.where("linked").select("u", "v")), "groups")
     if not more.isEmpty():
         rest = nodes.join(more, "node").select("node", "c0", "c1", "segs", "n", "parity")
-        for step in (lambda x: candidates(x, bits, across="g").where(F.col("v") != MORE), lambda x: every_candidate(x, bits, least=least)):
-            # Once more the nearest, of other groups now; then all that are in different groups still.
+        for step in (lambda x: candidates(x, bits, across="g", least=least), lambda x: every_candidate(x, bits, least=least)):
+            # Once more the nearest, of other groups now; then, of nodes that have more of those, all that are in different groups still.
             named = stored(rest.join(group, "node", "left").select(*rest.columns, F.coalesce("component", "node").alias("g")), "named")
-            new = stored(step(named).join(tried.select("u", "v"), ["u", "v"], "left_anti"), "untried")
+            found = stored(step(named), "candidates")
+            rest = stored(rest.join(found.where(F.col("v") == MORE).select(F.col("u").alias("node")), "node"), "rest")
+            new = stored(found.where(F.col("v") != MORE).join(tried.select("u", "v"), ["u", "v"], "left_anti"), "untried")
             tried = tried.union(stored(similar(new, sets, least), "tried"))
             group = stored(components(tried.where("linked").select("u", "v")), "groups")
+            if rest.isEmpty():
+                break
     return stored(nodes.join(group, "node", "left").select("node", "x", F.coalesce("component", "node").alias("component")), "grouped")
 
 

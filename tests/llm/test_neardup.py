@@ -154,6 +154,28 @@ def test_every_candidate_is_listed_unless_parity_proves_it_unlike(spark):
     assert all(alike[p] > 0.7 for p in found)
 
 
+def test_only_nodes_with_untried_candidates_are_dealt_again(spark):
+    """A large bucket of like prints: no node of unlike sets has more candidates, and of like sets no pair is lost."""
+    rng = np.random.default_rng(13)
+    fresh = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    base = fresh(150)
+    sets = [np.unique(fresh(150)) for _ in range(120)] + [np.unique(np.concatenate([base[int(k) :], fresh(int(k))])) for k in rng.integers(0, 40, 40)]
+    of = [set(x.tolist()) for x in sets]
+    want = {(a, b) for a in range(len(of)) for b in range(a) if len(of[a] & of[b]) / len(of[a] | of[b]) >= 0.8}
+    for keys in (1, 4):  # one large bucket, and small ones
+        rows = [(i, 0, 0, [3 << 2 * (i % keys)], i, len(x), bytearray(neardup.parity(x))) for i, x in enumerate(sets)]
+        table = spark.createDataFrame(rows, "node long, c0 long, c1 long, segs array<long>, g long, n long, parity binary")
+        here = {p for p in want if p[0] % keys == p[1] % keys}
+        for large in (4096, 50):
+            found = {tuple(r) for r in neardup.candidates(table, 8, across="g", large=large).collect()}
+            more = {u for u, v in found if v == neardup.MORE}
+            tried = {p for p in found if p[1] != neardup.MORE}
+            if keys > 1 or large > 160:
+                assert not any(u < 120 for u in more) and len(tried) < 200
+            left = neardup.every_candidate(table.where(F.col("node").isin(*more)), 8).collect() if more else []
+            assert here <= tried | {tuple(r) for r in left} and len(here) > 20
+
+
 def table_of(spark, rng, n, extra):
     """Nodes in two buckets, their check words, and the pairs of them within reach."""
     check = [[int(x) for x in rng.integers(-(2**63), 2**63 - 1, 2)] for _ in range(n)]
