@@ -10,8 +10,10 @@ The length of a segment follows the number of documents, so that a bucket holds
 size; the number of segments follows from it, so that the share of pairs that meet (``RECALL``, for a pair right at
 the threshold) is the same too.  It grows as about the sixth root of the number of documents.
 
-Every pair of candidates is verified, or lies in one group by other links.  A large group isn't paired: first each row of a bucket tries
-its ``PARTNERS`` nearest, then, of the nodes that have more candidates than those, the nearest ones of other groups.
+Every pair of candidates is verified, or lies in one group by other links.  A large group isn't paired: first each node tries
+its ``PARTNERS`` nearest under each of its segments alone, which groups near copies at a tenth of the rows of the balls.  Then each row
+of a bucket tries as many of other groups, and of those pairs the nearest between each two groups, so that the balls of a group list none of its pairs
+and few with others; and after that, of the nodes that have more candidates than those, once more.
 From then on those whose sizes or parities prove them unlike aren't candidates: an element of one set alone flips one bit of ``parity``, so two
 parities never differ in more bits than the sets in elements.  What is left are candidates in different groups that no try has joined; both of
 them have candidates that weren't tried, so that only such nodes are dealt to buckets again; their pairs are listed, all of them, and verified once each.  So the pairs grow with the rows of buckets and with candidates just below the threshold, not with the square of a group of copies.
@@ -214,25 +216,27 @@ def _nearest(keys: np.ndarray, check: np.ndarray, group: np.ndarray | None, radi
     return np.nonzero(found)[1], whom[found], np.flatnonzero((met > PARTNERS) | (size > NEXT + 1))
 
 
-def _across(keys: np.ndarray, check: np.ndarray, group: np.ndarray, radius: int, may=None, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """All places (u, v) of a bucket of up to ``most`` rows, of different groups, within ``radius`` and kept by ``may``.  Rows come sorted by bucket."""
+def _across_parts(keys: np.ndarray, check: np.ndarray, group: np.ndarray, radius: int, may=None, most: int | None = None, over: np.ndarray | None = None):
+    """Parts of the places (u, v) of a bucket, of different groups, within ``radius`` and kept by ``may``.  Rows come sorted by bucket.
+
+    A bucket of more than ``most`` rows is left out, and marked in ``over``, unless its rows outside its largest group are so few that
+    comparing them takes no more than a bucket of ``most`` rows does.
+    """
     n = len(keys)
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if n else np.zeros(0, np.int64)
     size = np.diff(np.append(first, n))
-    found, held = [], []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def settle() -> None:
+    def settled() -> tuple[np.ndarray, np.ndarray]:
         i, j = (np.concatenate(x) for x in zip(*held, strict=True))
-        found.append(may(i, j) if may else (i, j))
         held.clear()
+        return may(i, j) if may else (i, j)
 
     def look(i: np.ndarray, j: np.ndarray) -> None:
         other = group[i] != group[j]
         i, j = i[other], j[other]
         near = _apart(check, i, j) <= radius
         held.append((i[near], j[near]))
-        if len(held) == 256:
-            settle()
 
     at = np.flatnonzero(np.repeat(size, size) <= NEXT + 1)
     end = np.repeat(first + size, size)
@@ -241,21 +245,41 @@ def _across(keys: np.ndarray, check: np.ndarray, group: np.ndarray, radius: int,
         if not len(at):
             break
         look(at, at + step)
-    big = (size > NEXT + 1) & (size <= (most or n))
+    big = size > NEXT + 1
     for a, m in zip(first[big].tolist(), size[big].tolist(), strict=True):
         # Rows of the bucket's largest group have no pairs among them, and aren't compared.
         names, of = np.unique(group[a : a + m], return_inverse=True)
         lead = names[np.bincount(of).argmax()]
         others = a + np.flatnonzero(group[a : a + m] != lead)
         whole = a + np.flatnonzero(group[a : a + m] == lead)
+        if most and m > most and len(others) * m > most**2:
+            over[a : a + m] = True
+            continue
         for k, i in enumerate(others.tolist()):
             j = np.concatenate([whole, others[k + 1 :]])
             look(np.full(len(j), i), j)
+            if len(held) >= 256:
+                yield settled()
     if held:
-        settle()
+        yield settled()
+
+
+def _across(keys: np.ndarray, check: np.ndarray, group: np.ndarray, radius: int, may=None) -> tuple[np.ndarray, np.ndarray]:
+    """All places (u, v) of a bucket, of different groups, within ``radius`` and kept by ``may``.  Rows come sorted by bucket."""
+    found = list(_across_parts(keys, check, group, radius, may))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
 
 
+def _of_groups(keys: np.ndarray, check: np.ndarray, group: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of places (u, v) the nearest pair of each two groups of a bucket: rows of a large group don't each list what is near it."""
+    u, v = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1)
+    by = keys[u], np.minimum(group[u], group[v]), np.maximum(group[u], group[v])
+    order = np.lexsort((_apart(check, u, v), *by))
+    changes = np.any([np.diff(x[order]) != 0 for x in by], axis=0)
+    first = order[np.append(True, changes)] if len(u) else order
+    return u[first], v[first]
+
+
 def _by_bucket(dealt: DataFrame, keys: list[str], links, names: str) -> DataFrame:
     """``links(columns)`` of the rows of whole buckets; ``dealt`` comes sorted by ``keys``.  A task holds one bucket and one batch."""
     def run(batches):
@@ -285,20 +309,29 @@ def _by_bucket(dealt: DataFrame, keys: list[str], links, names: str) -> DataFram
     return dealt.mapInArrow(run, names)
 
 
-def _pairs(a: np.ndarray, b: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
-    """(u, v), u > v, each once, and ``more`` nodes with MORE in place of v."""
-    both = np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1)[a != b]
-    both = np.concatenate([both, *(np.stack([x, np.full(len(x), MORE)], axis=1) for x in more)])
-    once = np.unique(both, axis=0)
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """(u, v), u > v, each once."""
+    once = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1)[a != b], axis=0)
     return pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["u", "v"])
 
 
+def _pairs_and_more(a: np.ndarray, b: np.ndarray, rest: np.ndarray) -> pa.RecordBatch:
+    """(u, v, more), u > v, each once: 1 in ``more`` if u is in ``rest``, 2 if v is; nodes of ``rest`` without a pair have MORE in place of v."""
+    pairs, rest = _pairs(a, b), np.unique(rest)
+    u, v = (c.to_numpy() for c in pairs.columns)
+    alone = rest[~np.isin(rest, np.concatenate([u, v]))]
+    u, v = np.concatenate([u, alone]), np.concatenate([v, np.full(len(alone), MORE)])
+    more = np.isin(u, rest) + 2 * np.isin(v, rest)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (u, v, more.astype(np.int32))], names=["u", "v", "more"])
+
+
 def candidates(nodes: DataFrame, bits: int, radius: int = CHECK, across: str | None = None, least: float = SIMILAR, large: int = LARGE) -> DataFrame:
     """(u, v), u > v: nodes (node, c0, c1, segs), numbers from 0, and the nearest that they meet, within ``radius``; and (node, MORE) for
     nodes that may have more.
 
     Given the column ``across``, candidates are different in it and, where ``nodes`` has sizes n and parities, may be similar by them; then MORE
-    is told exactly but for buckets of more than ``large`` rows: a candidate that isn't listed has it at both ends.
+    is told exactly but for buckets of more than ``large`` rows of several groups: a candidate that isn't listed has it at both ends.
+    With 0 ``bits`` nodes meet by equal segments only, and MORE isn't told.
     """
     more = [across, *(c for c in ("n", "parity") if c in nodes.columns)] if across else []
 
@@ -308,13 +341,17 @@ def candidates(nodes: DataFrame, bits: int, radius: int = CHECK, across: str | N
         may = _admitting(given["n"], given.get("parity"), least) if "n" in given else None
         u, v, rest = _nearest(keys, check, given.get(across), radius, may)
         if across:
-            met = np.bincount(np.concatenate(_across(keys, check, given[across], radius, may, large)), minlength=len(keys))
-            _, of, sizes = np.unique(keys, return_inverse=True, return_counts=True)
-            rest = np.flatnonzero((sizes[of] > large) | (met > np.where(sizes[of] > NEXT + 1, 0, PARTNERS)))
-        return _pairs(node[u], node[v], node[rest])
+            u, v = _of_groups(keys, check, given[across], u, v)
+            met, over = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+            for part in _across_parts(keys, check, given[across], radius, may, large, over):
+                met += np.bincount(np.concatenate(part), minlength=len(keys))
+            rest = np.flatnonzero(over | (met > np.bincount(np.concatenate([u, v]), minlength=len(keys))))
+        return _pairs_and_more(node[u], node[v], node[rest] if bits else node[:0])
 
     dealt = _buckets(nodes, bits, *more).repartition(F.col("bucket")).sortWithinPartitions("bucket", "node")
-    return _by_bucket(dealt, ["bucket"], links, "u long, v long").distinct()
+    made = _by_bucket(dealt, ["bucket"], links, "u long, v long, more int").groupBy("u", "v").agg(F.bit_or("more").alias("more"))
+    told = [F.when(F.col("more").bitwiseAND(k) > 0, F.struct(F.col(x).alias("u"), F.lit(MORE).cast("long").alias("v"))) for k, x in ((1, "u"), (2, "v"))]
+    return made.select(F.inline(F.array_compact(F.array(F.struct("u", "v"), *told)))).distinct()
 
 
 def _first_bucket(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
@@ -428,24 +465,34 @@ def grouped(docs: DataFrame, width: int = WIDTH, least: float = SIMILAR, id_col:
     words = [F.get("checks", F.lit(k)).alias(f"c{k}") for k in range(CHECKS)]
     nodes = stored(known.select(F.monotonically_increasing_id().alias("node"), *words, "segs", "n", "parity", "x"), "nodes")
 
-    found = stored(candidates(nodes, bits), "candidates")
-    pairs, more = found.where(F.col("v") != MORE), stored(found.where(F.col("v") == MORE).select(F.col("u").alias("node")), "more")
-    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).union(more).distinct()
-    sets = _sets(docs, nodes.join(ends, "node").select("node", "x.id", "x.salt"), width, id_col, text_col)
-    tried = stored(similar(pairs, sets, least), "tried")
+    def sets_of(found: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """``known`` and the sets of all other nodes that ``found`` names."""
+        ends = found.select(F.col("u").alias("node")).union(found.where(F.col("v") != MORE).select(F.col("v").alias("node"))).distinct()
+        ends = ends.join(known.select("node"), "node", "left_anti") if known else ends
+        made = _sets(docs, nodes.join(ends, "node").select("node", "x.id", "x.salt"), width, id_col, text_col)
+        return known.union(made) if known else made
+
+    found = stored(candidates(nodes, 0), "candidates")
+    sets = sets_of(found)
+    tried = stored(similar(found, sets, least), "tried")
     group = stored(components(tried.where("linked").select("u", "v")), "groups")
-    if not more.isEmpty():
-        rest = nodes.join(more, "node").select("node", "c0", "c1", "segs", "n", "parity")
-        for step in (lambda x: candidates(x, bits, across="g", least=least), lambda x: every_candidate(x, bits, least=least)):
-            # Once more the nearest, of other groups now; then, of nodes that have more of those, all that are in different groups still.
-            named = stored(rest.join(group, "node", "left").select(*rest.columns, F.coalesce("component", "node").alias("g")), "named")
-            found = stored(step(named), "candidates")
-            rest = stored(rest.join(found.where(F.col("v") == MORE).select(F.col("u").alias("node")), "node"), "rest")
-            new = stored(found.where(F.col("v") != MORE).join(tried.select("u", "v"), ["u", "v"], "left_anti"), "untried")
-            tried = tried.union(stored(similar(new, sets, least), "tried"))
-            group = stored(components(tried.where("linked").select("u", "v")), "groups")
-            if rest.isEmpty():
-                break
+    rest = nodes.select("node", "c0", "c1", "segs")
+    for k, step in enumerate((
+        lambda x: candidates(x, bits, across="g"),
+        lambda x: candidates(x, bits, across="g", least=least),
+        lambda x: every_candidate(x, bits, least=least),
+    )):
+        # The nearest of other groups; of nodes that have more, once more; then, of those that still have, all that are in different groups.
+        named = stored(rest.join(group, "node", "left").select(*rest.columns, F.coalesce("component", "node").alias("g")), "named")
+        found = stored(step(named), "candidates")
+        sets = sets if k else sets_of(found, sets)
+        more = found.where(F.col("v") == MORE).select(F.col("u").alias("node"))
+        rest = stored(nodes.select("node", "c0", "c1", "segs", "n", "parity").join(more, "node"), "rest")
+        new = stored(found.where(F.col("v") != MORE).join(tried.select("u", "v"), ["u", "v"], "left_anti"), "untried")
+        tried = tried.union(stored(similar(new, sets, least), "tried"))
+        group = stored(components(tried.where("linked").select("u", "v")), "groups")
+        if rest.isEmpty():
+            break
     return stored(nodes.join(group, "node", "left").select("node", "x", F.coalesce("component", "node").alias("component")), "grouped")
 
 

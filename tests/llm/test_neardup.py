@@ -176,6 +176,56 @@ def test_only_nodes_with_untried_candidates_are_dealt_again(spark):
             assert here <= tried | {tuple(r) for r in left} and len(here) > 20
 
 
+def test_a_group_of_near_copies_lists_few_pairs(spark, monkeypatch):
+    """Rows that the steps list grow with nodes, not with the buckets that near copies share; two tight groups apart from each other stay apart."""
+    rng, made, dealt = random.Random(21), [], neardup._by_bucket
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = {}
+    for first in (0, 500):
+        base = [word() for _ in range(150)]
+        for i in range(first, first + 400):
+            w = list(base)
+            w[rng.randrange(len(w))] = word()
+            texts[i] = " ".join(w)
+
+    def counted(*given):
+        made.append(neardup.stored(dealt(*given), "made"))
+        return made[-1]
+
+    monkeypatch.setattr(neardup, "_by_bucket", counted)
+    group = grouped_as(spark, spark.createDataFrame([(k, t, "en", "x") for k, t in texts.items()], DOCS))
+    assert len(group) == 800 and len({group[k] for k in group if k < 500}) == len({group[k] for k in group if k >= 500}) == 1 and len(set(group.values())) == 2
+    assert sum(x.count() for x in made) < 12 * len(group)
+
+
+def test_nearest_pair_of_each_two_groups():
+    """One pair for each two groups of each bucket, the nearest; none of no pairs."""
+    rng = np.random.default_rng(6)
+    keys, group, check = np.sort(rng.integers(0, 3, 60)), rng.integers(0, 4, 60), rng.integers(0, 1 << 20, (2, 60)).astype(np.uint64)
+    u, v = neardup._across(keys, check, group, 128)
+    far = lambda a, b: neardup._apart(check, np.array([a]), np.array([b]))[0]
+    want = {}
+    for a, b in zip(u.tolist(), v.tolist()):
+        by = (int(keys[a]), *sorted((int(group[a]), int(group[b]))))
+        want[by] = min(want.get(by, 999), far(a, b))
+    x, y = neardup._of_groups(keys, check, group, np.concatenate([u, v]), np.concatenate([v, u]))
+    assert {(int(keys[a]), *sorted((int(group[a]), int(group[b])))): far(a, b) for a, b in zip(x, y)} == want and len(x) == len(want)
+    none = np.zeros(0, np.int64)
+    assert [len(z) for z in neardup._of_groups(keys, check, group, none, none)] == [0, 0]
+
+
+def test_a_bucket_of_one_group_and_few_others_is_told_exactly(spark):
+    """Over ``large`` rows: rows far from all others have no more candidates, those near some are listed or have."""
+    rng = np.random.default_rng(9)
+    check = [[int(x) for x in rng.integers(-(2**63), 2**63 - 1, 2)] for _ in range(123)]
+    check[120], check[121] = [check[0][0] ^ 3, check[0][1]], [check[1][0] ^ 1, check[1][1]]
+    rows = [(i, *c, [5], 0 if i < 120 else i) for i, c in enumerate(check)]
+    table = spark.createDataFrame(rows, "node long, c0 long, c1 long, segs array<long>, g long")
+    found = {tuple(r) for r in neardup.candidates(table, 8, across="g", large=60).collect()}
+    assert {p for p in found if p[1] != neardup.MORE} == {(120, 0), (121, 1)}
+    assert not {p for p in found if p[1] == neardup.MORE}
+
+
 def table_of(spark, rng, n, extra):
     """Nodes in two buckets, their check words, and the pairs of them within reach."""
     check = [[int(x) for x in rng.integers(-(2**63), 2**63 - 1, 2)] for _ in range(n)]
